@@ -48,17 +48,17 @@ def as_of_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], wi
         raise ValueError(f"rename the columns on one side first: {', '.join(clash)}")
     keys = [f"__k{i}" for i in range(len(by))]
 
-    def tagged(df, axis, side, left_part, right_part):
-        return df.select(*[quoted(c).alias(k) for c, k in zip(by, keys)], axis.alias("__at"),
-                         F.floor(axis / F.lit(float(width))).alias("__stretch"), F.lit(side).alias("__side"),
-                         left_part.alias("__l"), right_part.alias("__r"))
+    def tagged(df, at, side, left_part, right_part):
+        return df.select(*[quoted(c).alias(k) for c, k in zip(by, keys)], quoted(at).alias("__at"),
+                         F.floor(_axis(df, at) / F.lit(float(width))).alias("__stretch"),
+                         F.lit(side).alias("__side"), left_part.alias("__l"), right_part.alias("__r"))
 
     left_row = F.struct(*map(quoted, left.columns))
     right_row = F.struct(*map(quoted, payload))
     left_type = left.select(left_row.alias("s")).schema[0].dataType
     right_type = right.select(right_row.alias("s")).schema[0].dataType
-    lefts = tagged(left, _axis(left, on), 1, left_row, F.lit(None).cast(right_type))
-    rights = tagged(right, _axis(right, right_on), 0, F.lit(None).cast(left_type), right_row)
+    lefts = tagged(left, on, 1, left_row, F.lit(None).cast(right_type))
+    rights = tagged(right, right_on, 0, F.lit(None).cast(left_type), right_row)
     both = lefts.unionByName(rights)
 
     part = [*keys, "__stretch"]

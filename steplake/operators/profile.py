@@ -42,60 +42,60 @@ def histogram(df: DataFrame, columns: Sequence[str] | str, bins: int = 8) -> Dat
     # one row: the limits of every column
     limits = values.agg(*[f(quoted(c)).alias(f"{c}.{k}") for c in names
                           for k, f in (("low", F.min), ("high", F.max))]).first()
-    counts, shape = [], []
-    for c in names:
-        low, high = limits[f"{c}.low"], limits[f"{c}.high"]
-        if low is None:
-            continue
-        # the maximum falls into bin bins+1, and equal limits give NULL
-        place = F.coalesce(F.least(F.width_bucket(quoted(c), F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins)),
-                           F.lit(1))
-        width = (high - low) / bins
-        for b in range(1, bins + 1):
-            counts.append(F.count_if(quoted(c).isNotNull() & (place == b)).alias(f"{c}.{b}"))
-        shape.append((c, low, high, width))
     schema = "column string, bin int, low double, high double, count bigint, height double"
-    if not counts:
+    filled = [c for c in names if limits[f"{c}.low"] is not None]
+    if not filled:
         return df.sparkSession.createDataFrame([], schema)
-    wide = values.agg(*counts)
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(b).alias("bin"), F.lit(low + (b - 1) * width).alias("low"),
-                 F.lit(low + b * width if b < bins else high).alias("high"), quoted(f"{c}.{b}").alias("count"),
-                 (quoted(f"{c}.{b}") / F.greatest(*[quoted(f"{c}.{i}") for i in range(1, bins + 1)], F.lit(0)))
-                 .alias("height"))
-        for c, low, high, width in shape for b in range(1, bins + 1)])
-    return wide.select(F.inline(rows)).to(T._parse_datatype_string(schema))
+
+    def placed(c):
+        low, high = F.lit(limits[f"{c}.low"]), F.lit(limits[f"{c}.high"])
+        # the maximum falls into bin bins+1, and equal limits give NULL
+        place = F.coalesce(F.least(F.width_bucket(quoted(c), low, high, F.lit(bins)), F.lit(bins)), F.lit(1))
+        return F.struct(F.lit(c).alias("column"), low.alias("low"), high.alias("high"),
+                        F.when(quoted(c).isNotNull(), place).alias("place"))
+
+    numbers = range(1, bins + 1)
+    counted = (values.select(F.inline(F.array(*map(placed, filled)))).groupBy("column", "low", "high")
+               .agg(F.array(*[F.count_if(F.col("place") == b) for b in numbers]).alias("counts")))
+    width = (F.col("high") - F.col("low")) / bins
+    spread = counted.select("column", "low", "high", F.array_max("counts").alias("tallest"),
+                            F.posexplode("counts").alias("i", "count"))
+    return spread.select(
+        "column", (F.col("i") + 1).alias("bin"), (F.col("low") + F.col("i") * width).alias("low"),
+        F.when(F.col("i") + 1 == bins, F.col("high")).otherwise(F.col("low") + (F.col("i") + 1) * width).alias("high"),
+        "count", (F.col("count") / F.col("tallest")).alias("height")).to(T._parse_datatype_string(schema))
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False, bins: int = 8) -> DataFrame:
     """Nulls, distinct values, limits and a small histogram, one row per column.
 
-    All columns share one aggregation. Exact distinct counts shuffle every
-    distinct value of every column; on wide or very large tables ``approx``
-    replaces them by a sketch of fixed size.
+    One pass finds nulls and limits of all columns; text limits need a sort-based
+    aggregate, so distinct values, which are shuffled, are counted in a pass of
+    their own by hash. On very large tables ``approx`` replaces the exact
+    distinct counts by sketches of fixed size.
     """
     names = list(columns or df.columns)
     require_columns(df, names)
-    distinct = F.approx_count_distinct if approx else F.count_distinct
+    values = df.select(*[_comparable(quoted(c), df.schema[c].dataType).alias(f"c{i}") for i, c in enumerate(names)])
+    total = F.col("total")
     parts = [F.count(F.lit(1)).alias("total")]
-    for i, c in enumerate(names):
-        column = quoted(c)
-        parts += [F.count(column).alias(f"n{i}"), distinct(_comparable(column, df.schema[c].dataType)).alias(f"d{i}"),
-                  F.min(_comparable(column, df.schema[c].dataType)).cast("string").alias(f"lo{i}"),
-                  F.max(_comparable(column, df.schema[c].dataType)).cast("string").alias(f"hi{i}")]
-    wide = df.agg(*parts)
+    for i in range(len(names)):
+        parts += [F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"lo{i}"), F.max(f"c{i}").alias(f"hi{i}")]
     rows = F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"),
                  F.lit(df.schema[c].dataType.simpleString()).alias("data_type"),
                  F.lit(display_type(df.schema[c].dataType)).alias("display_type"),
-                 F.col("total").alias("total_rows"), (F.col("total") - F.col(f"n{i}")).alias("null_count"),
-                 F.when(F.col("total") > 0,
-                        F.round((F.col("total") - F.col(f"n{i}")) * 100.0 / F.col("total"), 1).cast("double"))
-                 .otherwise(0.0).alias("null_pct"),
-                 F.col(f"d{i}").alias("distinct_count"), F.col(f"lo{i}").alias("min_value"),
-                 F.col(f"hi{i}").alias("max_value"))
+                 total.alias("total_rows"), (total - F.col(f"n{i}")).alias("null_count"),
+                 F.col(f"lo{i}").cast("string").alias("min_value"), F.col(f"hi{i}").cast("string").alias("max_value"))
         for i, c in enumerate(names)])
-    result = wide.select(F.inline(rows))
+    limits = values.agg(*parts).select(F.inline(rows))
+    distinct = F.approx_count_distinct if approx else F.count_distinct
+    different = values.agg(*[distinct(f"c{i}").alias(f"d{i}") for i in range(len(names))]).select(
+        F.posexplode(F.array(*[F.col(f"d{i}") for i in range(len(names))])).alias("position", "distinct_count"))
+    # one row per column on both sides
+    result = limits.join(different, "position").withColumn("null_pct", F.when(
+        F.col("total_rows") > 0, F.round(F.col("null_count") * 100.0 / F.col("total_rows"), 1).cast("double")
+    ).otherwise(0.0))
     numeric = _numeric(df, names)
     if bins and numeric:
         # at most `bins` rows per column
