@@ -4,7 +4,7 @@ from importlib import import_module
 
 from steplake.conformance.registry import ORACLE, QUERIES
 
-MODULES = ["steps", "quality"]
+MODULES = ["steps", "quality", "relational"]
 
 
 def load_all():
