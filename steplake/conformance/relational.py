@@ -332,9 +332,9 @@ SELECT doc_id, length(text) AS n, md5(lower(text)) AS low, upper(lang) AS up, md
 FROM documents""")
 def fn_string(spark, sf):
     return table(spark, sf, "documents").select(
-        "doc_id", F.length("text").alias("n"), F.md5(F.lower("text")).alias("low"), F.upper("lang").alias("up"), F.md5(F.trim("text")).alias("bare"),
-        F.size(F.split("text", " ")).alias("words"), F.substring("text", 3, 12).alias("part"),
-        F.instr("text", "the").alias("first_the"), F.md5(F.replace("text", F.lit(" "), F.lit(""))).alias("solid"),
+        "doc_id", F.length("text").cast("bigint").alias("n"), F.md5(F.lower("text")).alias("low"), F.upper("lang").alias("up"), F.md5(F.trim("text")).alias("bare"),
+        F.size(F.split("text", " ")).cast("bigint").alias("words"), F.substring("text", 3, 12).alias("part"),
+        F.instr("text", "the").cast("bigint").alias("first_the"), F.md5(F.replace("text", F.lit(" "), F.lit(""))).alias("solid"),
         F.md5(F.regexp_replace("text", "[0-9]+", "#")).alias("masked"), F.regexp_extract("text", "([0-9]+)", 1).alias("digits"),
         F.lpad("source", 8, "*").alias("padded"),
         F.concat_ws("", "lang", F.expr("nullif(lang, 'en')"), F.lit("-"), "source").alias("joined"),

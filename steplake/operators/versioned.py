@@ -1,0 +1,375 @@
+"""Versioned Parquet tables: every write adds a version, old versions stay readable until vacuum.
+
+A table is a folder with three parts:
+
+``data/sl_commit=<id>/[key=value/...]/*.parquet``  rows, never changed once written
+``files/<id>/``                                    the live files of one version, as Parquet
+``log/v<n>.json``                                  one small header per version
+
+A version exists once its header does. Rows and file lists are written before,
+by Spark, so a writer that dies leaves only files that vacuum removes.
+"""
+
+from __future__ import annotations
+
+import json
+import math
+import re
+import time
+import uuid
+from collections.abc import Sequence
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+
+from steplake.operators.steps import quoted, require_columns
+from steplake.sources import storage
+
+_HEADER = ("version bigint, operation string, total_rows bigint, total_bytes bigint, file_count bigint, "
+           "rows_written bigint, created_at double, message string, partition_columns array<string>, "
+           "files string, schema string")
+_FILES = "file string, commit string, partition string, rows bigint, bytes bigint, commit_files bigint"
+# a list of files this long is still far below what a broadcast may hold
+_BROADCAST_FILES = 50_000
+
+
+class WriteConflict(RuntimeError):
+    """Another writer made the next version first."""
+
+
+class VersionedTable:
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.path = path.rstrip("/")
+
+    # ---- headers and file lists
+
+    def versions(self) -> list[int]:
+        names = [n for n, *_ in storage.children(self.spark, f"{self.path}/log")]
+        return sorted(int(m.group(1)) for m in (re.fullmatch(r"v(\d+)\.json", n) for n in names) if m)
+
+    def header(self, version: int | None = None) -> dict[str, Any] | None:
+        """The header of a version, by default the newest; None for a table without versions."""
+        versions = self.versions()
+        if version is None:
+            if not versions:
+                return None
+            version = versions[-1]
+        elif version not in versions:
+            raise ValueError(f"{self.path} has no version {version}; it has {versions}")
+        return json.loads(storage.read_text(self.spark, f"{self.path}/log/v{version}.json"))
+
+    def _current(self) -> dict[str, Any]:
+        header = self.header()
+        if header is None:
+            raise ValueError(f"{self.path} has no versions yet")
+        return header
+
+    def files(self, version: int | None = None) -> DataFrame:
+        """One row per live file: path below ``data``, partition, rows, bytes."""
+        header = self.header(version)
+        if header is None:
+            return self.spark.createDataFrame([], _FILES)
+        return self.spark.read.schema(_FILES).parquet(f"{self.path}/files/{header['files']}")
+
+    def history(self) -> DataFrame:
+        """All versions, newest first."""
+        paths = [f"{self.path}/log/v{v}.json" for v in self.versions()]
+        if not paths:
+            return self.spark.createDataFrame([], _HEADER).drop("files", "schema")
+        return self.spark.read.schema(_HEADER).json(paths).drop("files", "schema").orderBy(F.desc("version"))
+
+    # ---- reading
+
+    def read(self, condition: str | None = None, version: int | None = None, limit: int | None = None) -> DataFrame:
+        """The rows of a version. Conditions reach the Parquet scan, those on partition columns prune files."""
+        header = self.header(version)
+        if header is None:
+            raise ValueError(f"{self.path} has no versions yet")
+        frame = self._scan(header, self._paths(self.files(header["version"])))
+        if condition:
+            frame = frame.filter(condition)
+        return frame if limit is None else frame.limit(limit)
+
+    def _paths(self, files: DataFrame) -> list[str]:
+        """What to hand to the reader: whole commits where all files live, single files elsewhere."""
+        per_commit = files.groupBy("commit").agg(
+            (F.count(F.lit(1)) == F.max("commit_files")).alias("whole"))
+        partial = files.join(per_commit.filter("NOT whole"), "commit", "left_semi").select("file")
+        whole = per_commit.filter("whole").select(F.concat(F.lit("sl_commit="), "commit").alias("file"))
+        return [f"{self.path}/data/{r.file}" for r in whole.unionAll(partial).collect()]
+
+    def _scan(self, header: dict, paths: Sequence[str], with_file: bool = False) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(header["schema"]))
+        extra = [_file_below_data().alias("__file")] if with_file else []
+        if not paths:
+            empty = self.spark.createDataFrame([], schema)
+            return empty.withColumn("__file", F.lit("")) if with_file else empty
+        frame = self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*paths)
+        return frame.select(*map(quoted, schema.names), *extra)
+
+    # ---- writing
+
+    def append(self, df: DataFrame, partition_by: Sequence[str] | None = None, message: str = "") -> int:
+        """New version = old files + new files. Another writer's version in between is no conflict."""
+        header = self.header()
+        if header and partition_by and list(partition_by) != header["partition_columns"]:
+            raise ValueError(f"the table is partitioned by {header['partition_columns']}")
+        columns = self._partitioning(df, header, partition_by)
+        df = self._align(df, header)
+        commit = self._write_rows(df, columns)
+        for attempt in (1, 2):
+            kept = self.files(header["version"]) if header else None
+            try:
+                return self._commit(header, "append", df.schema, columns, kept, [commit], [commit], message)
+            except WriteConflict:
+                if attempt == 2:
+                    raise
+                header = self.header()
+
+    def overwrite(self, df: DataFrame, partition_by: Sequence[str] | None = None, message: str = "") -> int:
+        """New version = new files only."""
+        header = self.header()
+        columns = self._partitioning(df, header, partition_by)
+        commit = self._write_rows(df, columns)
+        return self._commit(header, "overwrite", df.schema, columns, None, [commit], [commit], message)
+
+    def merge(self, df: DataFrame, keys: Sequence[str], keep_duplicates: bool = False, message: str = "") -> int:
+        """Replace rows with the same key, add the others. A NULL key matches nothing.
+
+        Only files that hold a matched key are written again. The incoming rows
+        are written once, first, and everything else reads that copy.
+        """
+        if not keys:
+            raise ValueError("merge needs keys")
+        require_columns(df, keys)
+        header = self.header()
+        columns = self._partitioning(df, header, None)
+        df = self._align(df, header)
+        incoming_commit = self._write_rows(df, columns)
+        incoming_files = self._file_rows([incoming_commit])
+        incoming = self._scan(header or {"schema": json.dumps(df.schema.jsonValue())},
+                              self._commit_paths(incoming_files))
+        key_columns = incoming.select(*map(quoted, keys))
+        if not keep_duplicates:
+            named = key_columns.dropna()
+            repeated = named.groupBy(*map(quoted, keys)).count().filter("count > 1").limit(5).collect()
+            if repeated:
+                shown = "; ".join(str(tuple(r)[:-1]) for r in repeated)
+                raise ValueError(f"incoming rows repeat a key: {shown}")
+        if header is None:
+            return self._commit(None, "merge", df.schema, columns, None, [incoming_commit], [incoming_commit], message)
+
+        live = self.files(header["version"])
+        target = self._scan(header, self._paths(live), with_file=True)
+        touched = (target.select(*map(quoted, keys), "__file")
+                   .join(key_columns.distinct(), list(keys), "left_semi").select(F.col("__file").alias("file")).distinct())
+        # file names, not rows
+        names = [r.file for r in touched.collect()]
+        commits = [incoming_commit]
+        kept = live
+        if names:
+            old = self._scan(header, [f"{self.path}/data/{n}" for n in names])
+            rest = old.join(key_columns.distinct(), list(keys), "left_anti").select(*map(quoted, df.columns))
+            commits.append(self._write_rows(rest, columns))
+            kept = live.join(self.spark.createDataFrame([(n,) for n in names], "file string"), "file", "left_anti")
+        return self._commit(header, "merge", df.schema, columns, kept, commits, [incoming_commit], message)
+
+    def overwrite_partitions(self, df: DataFrame, message: str = "") -> int:
+        """Replace exactly the partitions that occur in ``df``; running it twice changes nothing more."""
+        header = self._current()
+        columns = header["partition_columns"]
+        if not columns:
+            raise ValueError(f"{self.path} has no partition columns")
+        df = self._align(df, header)
+        commit = self._write_rows(df, columns)
+        replaced = self._file_rows([commit]).select("partition").distinct()
+        kept = self.files(header["version"]).join(replaced, "partition", "left_anti")
+        return self._commit(header, "overwrite_partitions", df.schema, columns, kept, [commit], [commit], message)
+
+    def backfill(self, df: DataFrame, date_column: str, start: str, end: str) -> DataFrame:
+        """Rebuild every day from start to end in one job and report one run per day.
+
+        Days of the range that have no rows any more become empty; other days
+        are not touched. Run ids depend on table and day only.
+        """
+        if start > end:
+            raise ValueError(f"the backfill starts after it ends: {start} > {end}")
+        header = self._current()
+        columns = header["partition_columns"]
+        if date_column not in columns:
+            raise ValueError(f"{self.path} is not partitioned by {date_column}")
+        df = self._align(df, header)
+        day = F.date_format(quoted(date_column), "yyyy-MM-dd") if not isinstance(
+            df.schema[date_column].dataType, T.StringType) else quoted(date_column)
+        commit = self._write_rows(df.filter(day.between(start, end)), columns)
+        day_of_file = F.regexp_extract("partition", rf"(?:^|/){re.escape(date_column)}=([^/]+)", 1)
+        kept = self.files(header["version"]).filter(~day_of_file.between(start, end))
+        self._commit(header, "backfill", df.schema, columns, kept, [commit], [commit], f"{start} to {end}")
+        rows = self._file_rows([commit]).groupBy(day_of_file.alias("backfill_date")).agg(F.sum("rows").alias("rows"))
+        days = self.spark.range(1).select(F.explode(F.sequence(
+            F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day")).select(
+            F.col("day").cast("string").alias("backfill_date"))
+        name = self.path.rsplit("/", 1)[-1]
+        return days.join(rows, "backfill_date", "left").select(
+            F.concat(F.lit(f"bf-{name}-"), F.replace("backfill_date", F.lit("-"), F.lit(""))).alias("run_id"),
+            "backfill_date", F.lit("backfill").alias("trigger"), F.lit("success").alias("status"),
+            F.coalesce("rows", F.lit(0)).alias("rows_processed"))
+
+    def compact(self, target_file_size_mb: float = 64) -> dict[str, Any]:
+        """Join small files of the same partition into files of about the target size.
+
+        Files are packed into groups by size; a group of one stays as it is.
+        """
+        header = self._current()
+        live = self.files(header["version"])
+        before = header["file_count"]
+        report = {"version": header["version"], "previous_files_count": before, "new_files_count": before,
+                  "total_rows": header["total_rows"], "saved_bytes": 0}
+        if before <= 1:
+            return report
+        target = int(target_file_size_mb * 1024 * 1024)
+        # windows over file names, not rows
+        packing = Window.partitionBy("partition").orderBy("file").rowsBetween(Window.unboundedPreceding, 0)
+        packed = live.withColumn("bin", F.floor((F.sum("bytes").over(packing) - F.col("bytes")) / F.lit(target)))
+        small = packed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("partition", "bin"))).filter("n > 1")
+        groups = small.select("partition", "bin").distinct().withColumn(
+            "group_id", F.row_number().over(Window.orderBy("partition", "bin")) - 1)
+        plan = [(r.file, r.group_id) for r in small.join(groups, ["partition", "bin"]).select("file", "group_id").collect()]
+        if not plan:
+            return report
+        chosen = self.spark.createDataFrame(plan, "__file string, __group int")
+        lookup = F.broadcast(chosen) if len(plan) <= _BROADCAST_FILES else chosen
+        rows = self._scan(header, [f"{self.path}/data/{f}" for f, _ in plan], with_file=True).join(lookup, "__file")
+        count = max(g for _, g in plan) + 1
+        together = rows.repartitionById(count, F.col("__group")).drop("__file", "__group")
+        schema = T.StructType.fromJson(json.loads(header["schema"]))
+        commit = self._write_rows(together, header["partition_columns"])
+        kept = live.join(chosen.select(F.col("__file").alias("file")), "file", "left_anti")
+        version = self._commit(header, "compaction", schema, header["partition_columns"], kept, [commit], [],
+                               f"{len(plan)} files joined into {count}")
+        after = self.header(version)
+        return report | {"version": version, "new_files_count": after["file_count"],
+                         "saved_bytes": max(0, header["total_bytes"] - after["total_bytes"])}
+
+    def vacuum(self, retention_versions: int = 3, older_than_seconds: float = 0) -> dict[str, Any]:
+        """Delete files that no kept version uses; the kept versions are the newest and those before it.
+
+        While other writers are at work pass ``older_than_seconds``: rows they
+        have written but not yet published belong to no version.
+        """
+        header = self._current()
+        oldest = max(1, header["version"] - retention_versions)
+        lists = [f"{self.path}/files/{self.header(v)['files']}" for v in self.versions() if v >= oldest]
+        needed = self.spark.read.schema(_FILES).parquet(*lists).select("file").distinct()
+        on_disk = (self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                   .option("pathGlobFilter", "*.parquet").load(f"{self.path}/data")
+                   .filter(F.col("modificationTime") <= F.lit(time.time() - older_than_seconds).cast("timestamp"))
+                   .select(_below_data(F.col("path")).alias("file"), "length"))
+        deleted = freed = 0
+        # names arrive one partition at a time
+        for row in on_disk.join(needed, "file", "left_anti").toLocalIterator():
+            storage.delete(self.spark, f"{self.path}/data/{row.file}")
+            deleted, freed = deleted + 1, freed + row.length
+        return {"deleted_files_count": deleted, "freed_bytes": freed, "min_retained_version": oldest,
+                "current_version": header["version"]}
+
+    # ---- parts of a write
+
+    def _partitioning(self, df: DataFrame, header: dict | None, wanted: Sequence[str] | None) -> list[str]:
+        """Partition columns are inherited; an overwrite may choose new ones."""
+        columns = list(wanted or (header["partition_columns"] if header else []))
+        require_columns(df, columns)
+        return columns
+
+    def _align(self, df: DataFrame, header: dict | None) -> DataFrame:
+        """Columns by name, in the order and the types of the table."""
+        if header is None:
+            return df
+        schema = T.StructType.fromJson(json.loads(header["schema"]))
+        if set(schema.names) != set(df.columns):
+            raise ValueError(f"the table has other columns: {', '.join(schema.names)}")
+        return df.select(*[quoted(f.name).cast(f.dataType).alias(f.name) for f in schema])
+
+    def _write_rows(self, df: DataFrame, partition_by: Sequence[str]) -> str:
+        commit = "c" + uuid.uuid4().hex
+        writer = df.write.mode("errorifexists")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(f"{self.path}/data/sl_commit={commit}")
+        return commit
+
+    def _file_rows(self, commits: Sequence[str]) -> DataFrame:
+        """Rows and bytes per new file, from the files themselves; empty files are left out."""
+        frames = []
+        for commit in commits:
+            folder = f"{self.path}/data/sl_commit={commit}"
+            if not any(n.endswith(".parquet") or "=" in n for n, *_ in storage.children(self.spark, folder)):
+                continue
+            scan = self.spark.read.parquet(folder)
+            found = scan.groupBy(_file_below_data().alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(
+                F.count(F.lit(1)).alias("rows"))
+            frames.append(found.select(
+                "file", F.lit(commit).alias("commit"),
+                F.regexp_extract("file", r"^sl_commit=[^/]+/(.*)/[^/]+$", 1).alias("partition"), "rows", "bytes"))
+        if not frames:
+            return self.spark.createDataFrame([], _FILES)
+        result = frames[0]
+        for frame in frames[1:]:
+            result = result.unionByName(frame)
+        counts = result.groupBy("commit").agg(F.count(F.lit(1)).alias("commit_files"))
+        return result.join(counts, "commit").select(*T._parse_datatype_string(_FILES).names)
+
+    def _commit_paths(self, files: DataFrame) -> list[str]:
+        return [f"{self.path}/data/sl_commit={r.commit}" for r in files.select("commit").distinct().collect()]
+
+    def _commit(self, parent: dict | None, operation: str, schema: T.StructType, partition_by: Sequence[str],
+                kept: DataFrame | None, commits: Sequence[str], written: Sequence[str], message: str) -> int:
+        fresh = self._file_rows(commits)
+        listing = uuid.uuid4().hex
+        live = kept.unionByName(fresh) if kept is not None else fresh
+        live.coalesce(max(1, math.ceil((parent or {}).get("file_count", 0) / 100_000))).write.parquet(
+            f"{self.path}/files/{listing}")
+        sums = self.spark.read.schema(_FILES).parquet(f"{self.path}/files/{listing}").agg(
+            F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+            F.coalesce(F.sum(F.when(F.col("commit").isin(list(written)), F.col("rows"))), F.lit(0)).alias("written"),
+        ).first()
+        version = (parent["version"] if parent else 0) + 1
+        header = {"version": version, "operation": operation, "total_rows": sums["rows"], "total_bytes": sums["bytes"],
+                  "file_count": sums["n"], "rows_written": sums["written"], "created_at": time.time(),
+                  "message": message or f"{operation} v{version} ({sums['written']} rows)",
+                  "partition_columns": list(partition_by), "files": listing,
+                  "schema": json.dumps(_nullable(schema).jsonValue())}
+        try:
+            storage.publish(self.spark, f"{self.path}/log/v{version}.json", json.dumps(header))
+        except FileExistsError as error:
+            raise WriteConflict(f"{self.path}: version {version} was made by another writer") from error
+        return version
+
+
+def _nullable(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
+
+
+def _below_data(path: Column) -> Column:
+    return F.regexp_extract(path, r"/data/(sl_commit=.*)$", 1)
+
+
+def _file_below_data() -> Column:
+    # the metadata column holds a URI, in which a plus sign stands for itself
+    uri = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return _below_data(F.url_decode(uri))
+
+
+def list_versioned_tables(spark: SparkSession, root: str) -> DataFrame:
+    """Every versioned table below a folder with its newest version, size and last operation."""
+    root = root.rstrip("/")
+    names = [n for n, folder, *_ in storage.children(spark, root)
+             if folder and storage.exists(spark, f"{root}/{n}/log")]
+    if not names:
+        return spark.createDataFrame([], f"table_name string, {_HEADER}").drop("files", "schema")
+    headers = spark.read.schema(_HEADER).option("pathGlobFilter", "v*.json").json([f"{root}/{n}/log" for n in names])
+    named = headers.withColumn("table_name", F.regexp_extract("_metadata.file_path", r"/([^/]+)/log/[^/]+$", 1))
+    newest = named.groupBy("table_name").agg(F.max_by(F.struct(*headers.columns), "version").alias("h"))
+    return newest.select("table_name", "h.*").drop("files", "schema")
