@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from steplake.functions.sql import run_sql
@@ -83,6 +84,15 @@ def map_groups(df: DataFrame, keys: Sequence[str],
     return df.groupBy(*map(quoted, keys)).applyInPandas(run, schema)
 
 
+def map_groups_arrow(df: DataFrame, keys: Sequence[str],
+                     function: Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+                     schema: str) -> DataFrame:
+    """:func:`map_groups` on Arrow batches; several times faster where groups are many and small."""
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(tuple(k.as_py() for k in key), batches)
+    return df.groupBy(*map(quoted, keys)).applyInArrow(run, schema)
+
+
 def combine_groups(df: DataFrame, keys: Sequence[str], partial: Callable[[pd.DataFrame], pd.DataFrame],
                    partial_schema: str, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A user aggregate in two parts: pandas reduces each batch, Spark aggregates merge the parts.

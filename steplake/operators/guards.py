@@ -30,7 +30,7 @@ def estimate_scan(df: DataFrame, max_bytes: int | None = None, confirmed: bool =
     """
     plan = df._jdf.queryExecution().optimizedPlan()
     leaves = plan.collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     files = df.inputFiles()
     rows = None
     if count_rows and files:

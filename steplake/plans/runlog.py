@@ -91,7 +91,7 @@ def expected_slots(schedules: DataFrame, start, end) -> DataFrame:
 
 def late_runs(schedules: DataFrame, runs: DataFrame, start, end, tolerance_seconds: int = 0) -> DataFrame:
     """Slots that have no run: none started from the slot until the tolerance or the next slot is over."""
-    slots = expected_slots(schedules, start, end).join(schedules.select("target_id", "every_seconds"), "target_id")
+    slots = expected_slots(schedules, start, end)
     first = F.unix_seconds(F.col("first_slot").cast("timestamp"))
     started = F.unix_seconds(F.col("started_at").cast("timestamp"))
     step = F.col("every_seconds").cast("bigint")
@@ -101,8 +101,7 @@ def late_runs(schedules: DataFrame, runs: DataFrame, start, end, tolerance_secon
                .withColumn("slot", F.timestamp_seconds(started - behind).cast("timestamp_ntz")))
     if tolerance_seconds:
         covered = covered.filter(behind <= tolerance_seconds)
-    return slots.join(covered.select("target_id", "slot").distinct(), ["target_id", "slot"], "left_anti").select(
-        "target_id", "slot")
+    return slots.join(covered.select("target_id", "slot").distinct(), ["target_id", "slot"], "left_anti")
 
 
 def attention_list(runs: DataFrame, late: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -29,7 +29,8 @@ def _capped(df: DataFrame, limit: int | None) -> DataFrame:
 def export_csv(df: DataFrame, path: str, sep: str = ",", limit: int | None = None, mode: str = "overwrite") -> None:
     """Text with a header. NULL is empty and '' is quoted, so both can be told apart again."""
     (_capped(df, limit).write.mode(mode).option("header", True).option("sep", sep).option("quote", '"')
-     .option("escape", '"').option("nullValue", "").option("emptyValue", '""').csv(path))
+     .option("escape", '"').option("nullValue", "").option("emptyValue", '""')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def export_json(df: DataFrame, path: str, limit: int | None = None, mode: str = "overwrite") -> None:
