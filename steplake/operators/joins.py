@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from steplake.operators.steps import quoted, require_columns
 
 
-def hot_keys(counted: DataFrame, keys: Sequence[str], count: str, share: int = 1000) -> DataFrame:
-    """Keys that hold more than one ``share``-th of all rows, from rows already counted per key.
+def hot_keys(counted: DataFrame, count: str, share: int = 1000) -> DataFrame:
+    """The keys that hold more than one ``share``-th of all rows, from a table with one row per key.
 
     There are fewer than ``share`` of them whatever the table's size, so the
     result is safe to broadcast.
     """
     total = counted.agg(F.sum(quoted(count))).scalar()
-    return counted.filter(quoted(count) * share > total).select(*map(quoted, keys))
+    return counted.filter(quoted(count) * share > total)
 
 
 def _number(column: Column) -> Column:

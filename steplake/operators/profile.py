@@ -50,7 +50,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | str, bins: int = 8) -> Dat
     def placed(c):
         low, high = F.lit(limits[f"{c}.low"]), F.lit(limits[f"{c}.high"])
         # the maximum falls into bin bins+1, and equal limits give NULL
-        place = F.coalesce(F.least(F.width_bucket(quoted(c), low, high, F.lit(bins)), F.lit(bins)), F.lit(1))
+        place = F.least(F.coalesce(F.width_bucket(quoted(c), low, high, F.lit(bins)), F.lit(1)), F.lit(bins))
         return F.struct(F.lit(c).alias("column"), low.alias("low"), high.alias("high"),
                         F.when(quoted(c).isNotNull(), place).alias("place"))
 
