@@ -22,22 +22,28 @@ class ScanEstimate:
 
 def estimate_scan(df: DataFrame, max_bytes: int | None = None, confirmed: bool = False,
                   count_rows: bool = False) -> ScanEstimate:
-    """Bytes Spark expects to read, without running the query.
+    """Bytes and files Spark would read, without running the query.
 
-    The number comes from the optimised plan: pruned partitions are left out,
-    filters on other columns are not. ``count_rows`` also counts the rows of the
-    Parquet files behind the query, from their footers.
+    File scans report the files left after partition pruning, other sources the
+    optimiser's estimate; filters on other columns are not counted in either.
+    ``count_rows`` also counts the rows of all Parquet files behind the query,
+    from their footers.
     """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    leaves = plan.collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    files = df.inputFiles()
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    size = files = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "FileSourceScanExec":
+            chosen = leaf.selectedPartitions()
+            size, files = size + chosen.totalFileSize(), files + chosen.totalNumberOfFiles()
+        elif leaf.logicalLink().isDefined():
+            size += int(str(leaf.logicalLink().get().stats().sizeInBytes()))
     rows = None
     if count_rows and files:
-        rows = df.sparkSession.read.parquet(*files).count()
+        rows = df.sparkSession.read.parquet(*df.inputFiles()).count()
     if max_bytes is not None and size > max_bytes and not confirmed:
         raise ScanTooLarge(f"the query reads about {size:,} bytes, more than {max_bytes:,}; confirm to run it")
-    return ScanEstimate(rows, size, len(files))
+    return ScanEstimate(rows, size, files)
 
 
 def partition_filters(df: DataFrame) -> list[str]:

@@ -46,7 +46,7 @@ def infer_value_schema(df: DataFrame, column: str = "value") -> T.StructType:
     found = df.agg(F.schema_of_variant_agg(F.try_parse_json(quoted(column)))).first()[0]
     if not found or not found.startswith("OBJECT<"):
         raise ValueError(f"column {column!r} does not hold JSON objects")
-    return T._parse_datatype_string(_spark_type(found))
+    return T.StructType.fromDDL(_spark_type(found))
 
 
 def _spark_type(variant_type: str) -> str:

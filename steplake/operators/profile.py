@@ -63,7 +63,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | str, bins: int = 8) -> Dat
     return spread.select(
         "column", (F.col("i") + 1).alias("bin"), (F.col("low") + F.col("i") * width).alias("low"),
         F.when(F.col("i") + 1 == bins, F.col("high")).otherwise(F.col("low") + (F.col("i") + 1) * width).alias("high"),
-        "count", (F.col("count") / F.col("tallest")).alias("height")).to(T._parse_datatype_string(schema))
+        "count", (F.col("count") / F.col("tallest")).alias("height")).to(T.StructType.fromDDL(schema))
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False, bins: int = 8) -> DataFrame:

@@ -318,7 +318,7 @@ class VersionedTable:
         for frame in frames[1:]:
             result = result.unionByName(frame)
         counts = result.groupBy("commit").agg(F.count(F.lit(1)).alias("commit_files"))
-        return result.join(counts, "commit").select(*T._parse_datatype_string(_FILES).names)
+        return result.join(counts, "commit").select(*T.StructType.fromDDL(_FILES).names)
 
     def _commit_paths(self, files: DataFrame) -> list[str]:
         return [f"{self.path}/data/sl_commit={r.commit}" for r in files.select("commit").distinct().collect()]

@@ -9,16 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-RUN = T._parse_datatype_string("""
-id string, schedule_id string, target_type string, target_id string, target_name string, trigger string,
+RUN = """id string, schedule_id string, target_type string, target_id string, target_name string, trigger string,
 status string, write_mode string, started_at timestamp_ntz, finished_at timestamp_ntz, duration_sec int,
 rows_processed bigint, error_message string,
 step_timelines array<struct<step_id: string, step_name: string, status: string, duration_sec: double,
                             rows_in: bigint, rows_out: bigint, error_message: string>>,
 logs array<struct<timestamp: string, level: string, message: string>>,
-parameters map<string, string>, pipeline_version int, attempt int""")
+parameters map<string, string>, pipeline_version int, attempt int"""
 
 
 def _moment(now) -> Column:

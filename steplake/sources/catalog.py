@@ -24,7 +24,7 @@ def preview(df: DataFrame, key: Sequence[str], limit: int = 100, offset: int = 0
 
 
 def list_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows, columns, bytes on disk and time of the last change of tables that are read from files."""
+    """Rows, columns, bytes and time of the last change of tables read from files; files without rows do not count."""
     def facts(name, df):
         files = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(
             F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes"),

@@ -28,13 +28,17 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
              multiline: bool = False) -> DataFrame:
     """Comma- or tab-separated text. Types are inferred in an extra pass unless a schema is given.
 
+    An empty field is NULL, a quoted empty field is ''.
+
     ``multiline`` reads line breaks inside quotes, at the price that one file is
     read by one task.
     """
     if sep is None:
         sep = "\t" if _suffix(path) == ".tsv" else ","
     reader = (spark.read.option("header", header).option("sep", sep).option("quote", '"').option("escape", '"')
-              .option("multiLine", multiline))
+              .option("multiLine", multiline)
+              # a text no file holds: Spark reads '' as NULL when it is the mark for NULL
+              .option("nullValue", "\x00"))
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 

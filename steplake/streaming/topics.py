@@ -64,7 +64,7 @@ def peek(messages: DataFrame, partition: int | None = None, limit: int = 20) ->
 def parse_values(messages: DataFrame, schema: T.StructType | str, keep: Sequence[str] = ("offset", "partition", "timestamp")
                  ) -> DataFrame:
     """Typed columns of the JSON value beside the envelope; text that does not parse goes to ``_corrupt``."""
-    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     require_columns(messages, [*keep, "value"])
     with_bad = T.StructType([*kind.fields, T.StructField("_corrupt", T.StringType())])
     parsed = F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
