@@ -35,8 +35,8 @@ def soft_cast(column: Column, source: T.DataType, target: str, date_format: str
     """Cast that yields NULL for a bad value and rounds where a fraction is lost."""
     if target in _INTEGRAL:
         if isinstance(source, T.StringType):
-            exact = column.try_cast(target)
-            return F.coalesce(exact, F.round(column.try_cast("decimal(38,10)")).try_cast(target))
+            # by way of a decimal: a direct try_cast raises and catches an exception per bad value
+            return F.round(column.try_cast("decimal(38,10)")).try_cast(target)
         if isinstance(source, (T.FloatType, T.DoubleType)):
             return F.bround(column).try_cast(target)
         if isinstance(source, T.DecimalType):

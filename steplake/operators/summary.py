@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from steplake.operators.steps import quoted, require_columns
 from steplake.session import ensure_checkpoint_dir
 
-# number of ranges one group is cut into; one range is what a single task sorts
-_RANGES = 256
+# The sketch that brackets a quantile is off by at most 1/_ACCURACY of a group's rows ...
+_ACCURACY = 10_000
+# ... so this margin on either side holds the wanted rank.
+_MARGIN = 5 / _ACCURACY
+# A bracket is cut into this many cells, and only the cell with the wanted rank is sorted.
+_CELLS = 1000
+# Brackets of so many groups are a few megabytes.
+_BROADCAST_GROUPS = 5000
 
 
 def ratio_to_mean(df: DataFrame, column: str, alias: str = "ratio", digits: int = 2) -> DataFrame:
@@ -22,57 +28,108 @@ def ratio_to_mean(df: DataFrame, column: str, alias: str = "ratio", digits: int
 
 def quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
               group_by: Sequence[str] = ()) -> DataFrame:
-    """Exact interpolated quantiles: one row per group and probability.
+    """Exact interpolated quantiles: one row per group and probability. NULL and NaN do not count.
 
     Spark's ``percentile`` keeps every distinct value of a group in one task.
-    Here equal values are counted first; a sketch cuts each group into ranges of
-    about the same number of rows; the running count over those few ranges tells
-    which of them hold the wanted ranks, and only these are sorted. A group that
-    holds a third of all rows is therefore spread over many tasks.
+    Here a sketch brackets each quantile by two values, a pass over the table
+    counts the rows below the bracket and in each of its cells, and only the rows
+    of the one cell that holds the wanted rank are sorted: about one in a
+    million of a group, however large the group is. Both passes combine on the
+    map side. Should a bracket miss its rank, it is widened to the whole group.
     """
+    return _quantiles(df, value, probabilities, group_by)[0]
+
+
+def _quantiles(df: DataFrame, value: str, probabilities: Sequence[float], group_by: Sequence[str],
+               extra: Sequence[Column] = ()) -> tuple[DataFrame, DataFrame]:
+    """The quantiles, and what the sketch's pass found per group: ``total, least, most`` and the extra
+    aggregates of ``v``."""
     require_columns(df, [value, *group_by])
-    spark = df.sparkSession
     keys = [f"__g{i}" for i in range(len(group_by))] or ["__g0"]
     named = [quoted(c).alias(k) for c, k in zip(group_by, keys)] or [F.lit(0).alias("__g0")]
-    base = df.filter(quoted(value).isNotNull()).select(*named, quoted(value).cast("double").alias("v"))
-
-    fences = [i / _RANGES for i in range(1, _RANGES)]
-    edges = base.groupBy(*keys).agg(F.percentile_approx("v", fences, 10 * _RANGES).alias("edges"),
-                                    F.count("v").alias("total"))
-    # The sketch may come out differently when it is computed twice, and it is used twice.
-    ensure_checkpoint_dir(spark)
-    edges = edges.checkpoint()
-
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    counted = base.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    placed = (counted.alias("a").join(edges.alias("b"), same)
-              .select("a.*", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("range")))
-
-    ranges = placed.groupBy(*keys, "range").agg(F.sum("n").alias("size"))
-    running = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("size").over(running), F.lit(0)))
-
-    wanted = (edges.select(*keys, "total", F.explode(F.array(*map(F.lit, probabilities))).alias("p"))
-              .withColumn("position", (F.col("total") - 1) * F.col("p"))
-              .select(*keys, "p", "position",
-                      F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position")))).alias("rank")))
-    targets = (wanted.alias("a").join(ranges.alias("b"), same + [
-        F.col("rank") >= F.col("before"), F.col("rank") < F.col("before") + F.col("size")])
-        .select("a.*", "b.range", "b.before"))
-
-    needed = targets.select(*keys, "range").distinct()
-    in_range = Window.partitionBy(*keys, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    sorted_part = (placed.alias("a").join(needed.alias("b"), same + [F.col("a.range") == F.col("b.range")], "left_semi")
-                   .withColumn("upto", F.sum("n").over(in_range)))
-    found = (sorted_part.alias("a").join(targets.alias("b"), same + [
-        F.col("a.range") == F.col("b.range"),
-        F.col("b.rank") >= F.col("b.before") + F.col("a.upto") - F.col("a.n"),
-        F.col("b.rank") < F.col("b.before") + F.col("a.upto")])
-        .select(*[F.col(f"b.{k}") for k in keys], "b.p", "b.position", "b.rank", "a.v"))
+    number = quoted(value).cast("double")
+    base = df.filter(number.isNotNull() & ~F.isnan(number)).select(*named, number.alias("v"))
+
+    edges = [max(p - _MARGIN, 0.0) for p in probabilities] + [min(p + _MARGIN, 1.0) for p in probabilities]
+    sketch = base.groupBy(*keys).agg(
+        F.percentile_approx("v", edges, _ACCURACY).alias("e"), F.count("v").alias("total"),
+        F.min("v").alias("least"), F.max("v").alias("most"), *extra)
+    known = [c for c in sketch.columns if c not in (*keys, "e")]
+    n = len(probabilities)
+    brackets = sketch.select(*keys, *known, F.array(*[
+        F.struct(F.lit(p).alias("p"),
+                 (F.col("least") if p - _MARGIN <= 0 else F.col("e")[i]).alias("low"),
+                 (F.col("most") if p + _MARGIN >= 1 else F.col("e")[n + i]).alias("high"))
+        for i, p in enumerate(probabilities)]).alias("brackets"))
+    # A sketch may come out differently when it is computed again, so it is kept.
+    ensure_checkpoint_dir(df.sparkSession)
+    brackets = brackets.checkpoint()
+    few = brackets.count() <= _BROADCAST_GROUPS
+    placed = _cells(base, keys, brackets, n, few)
+    located = _locate(placed, keys, brackets)
+    missed = located.filter("range IS NULL").select(*keys, "p").distinct()
+    if not missed.isEmpty():
+        wide = F.transform("brackets", lambda b: F.when(
+            F.array_contains("missed", b["p"]), F.struct(b["p"].alias("p"), F.col("least").alias("low"), F.col("most").alias("high")))
+            .otherwise(b))
+        failed = missed.groupBy(*keys).agg(F.collect_set("p").alias("missed"))
+        brackets = (_null_safe(brackets, failed, keys, "left")
+                    .withColumn("brackets", F.when(F.col("missed").isNotNull(), wide).otherwise(F.col("brackets")))
+                    .drop("missed").checkpoint())
+        placed = _cells(base, keys, brackets, n, few)
+        located = _locate(placed, keys, brackets)
+
+    needed = located.select(*keys, "p", F.col("range").alias("cell")).distinct()
+    values = (_null_safe(placed, needed, [*keys, "p", "cell"], "left_semi")
+              .groupBy(*keys, "p", "cell", "v").agg(F.count(F.lit(1)).alias("n")))
+    order = Window.partitionBy(*keys, "p", "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    sorted_cells = values.withColumn("upto", F.sum("n").over(order))
+    # at most two ranks per group and probability
+    found = _null_safe(sorted_cells, located.withColumnRenamed("range", "cell"), [*keys, "p", "cell"], "inner").filter(
+        (F.col("rank") >= F.col("before") + F.col("upto") - F.col("n")) & (F.col("rank") < F.col("before") + F.col("upto")))
     low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
     fraction = F.max("position") - F.min("rank")
-    return (found.groupBy(*keys, "p").agg((low + (high - low) * fraction).alias("quantile"))
-            .select(*[F.col(k).alias(c) for c, k in zip(group_by, keys)], F.col("p").alias("probability"), "quantile"))
+    # low + 0 * (inf - inf) would be NaN
+    result = F.when(low == high, low).otherwise(low + (high - low) * fraction)
+    groups = [F.col(k).alias(c) for c, k in zip(group_by, keys)]
+    return (found.groupBy(*keys, "p").agg(result.alias("quantile")).select(
+        *groups, F.col("p").alias("probability"), "quantile"), brackets.select(*groups, *known))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on keys where NULL equals NULL; the keys appear once, from the left."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    joined = left.join(renamed, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys], how)
+    return joined if how == "left_semi" else joined.drop(*[f"__r_{k}" for k in keys])
+
+
+def _cells(base: DataFrame, keys: Sequence[str], brackets: DataFrame, n: int, few: bool) -> DataFrame:
+    """Each value once per bracket that it lies in or below: cell -1 is below, 0.. are parts of the bracket."""
+    side = brackets.select(*keys, "brackets")
+    joined = _null_safe(base, F.broadcast(side) if few else side, keys, "inner")
+
+    def place(i):
+        b, v = F.col("brackets")[i], F.col("v")
+        part = F.floor((v - b["low"]) / (b["high"] - b["low"]) * _CELLS)
+        inside = F.when(b["high"] > b["low"], F.least(part, F.lit(_CELLS - 1))).otherwise(0)
+        return F.struct(b["p"].alias("p"), F.when(v < b["low"], -1).when(v <= b["high"], inside).cast("int").alias("cell"))
+    return joined.select(*keys, "v", F.inline(F.array(*map(place, range(n))))).filter("cell IS NOT NULL")
+
+
+def _locate(placed: DataFrame, keys: Sequence[str], brackets: DataFrame) -> DataFrame:
+    """Per group, probability and wanted rank: the cell that holds it and the rows before that cell."""
+    sizes = placed.groupBy(*keys, "p", "cell").agg(F.count(F.lit(1)).alias("size"))
+    # one row per cell
+    earlier = Window.partitionBy(*keys, "p").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sizes.withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+    position = (F.col("total") - 1) * F.col("b.p")
+    wanted = brackets.select(*keys, "total", F.explode("brackets").alias("b")).select(
+        *keys, F.col("b.p").alias("p"), position.alias("position"),
+        F.explode(F.array_distinct(F.array(F.floor(position), F.ceil(position)))).alias("rank"))
+    hit = _null_safe(wanted, ranges, [*keys, "p"], "inner").filter(
+        (F.col("cell") >= 0) & (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size")))
+    hit = hit.select(*keys, "p", "rank", F.col("cell").alias("range"), "before")
+    return _null_safe(wanted, hit, [*keys, "p", "rank"], "left").checkpoint()
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -81,12 +138,12 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     require_columns(df, names)
     long = df.select(*[quoted(c).cast("double").alias(c) for c in names]).unpivot(
         [], [quoted(c) for c in names], "column", "value")
-    moments = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
+    points, moments = _quantiles(long, "value", [0.25, 0.5, 0.75], ["column"],
+                                 [F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")])
     # three rows per column
-    quartiles = quantiles(long, "value", [0.25, 0.5, 0.75], ["column"]).groupBy("column").agg(*[
+    quartiles = points.groupBy("column").agg(*[
         F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(name)
         for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
-    return moments.join(quartiles, "column", "left").select(
-        "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    return moments.join(quartiles, "column").select(
+        "column", F.col("total").alias("count"), "mean", "std", F.col("least").alias("min"), "q25", "q50", "q75",
+        F.col("most").alias("max"))
