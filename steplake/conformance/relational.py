@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from steplake.conformance.registry import query, table
 from steplake.functions.sql import run_sql
-from steplake.operators.joins import as_of_join, range_join
+from steplake.operators.joins import as_of_join, full_join, range_join
 from steplake.operators.steps import deduplicate
 from steplake.operators.summary import quantiles
-from steplake.operators.windows import running
+from steplake.operators.windows import framed, running
 
 
 def _sql(name, oracle, text=None, tables=("orders",)):
@@ -92,7 +92,7 @@ SELECT coalesce(c_custkey, o_custkey) AS custkey, c_name, o_orderkey FROM
 def join_full(spark, sf):
     customer = table(spark, sf, "customer").filter("c_acctbal > 0").select("c_custkey", "c_name")
     orders = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select("o_custkey", "o_orderkey")
-    return customer.join(orders, customer.c_custkey == orders.o_custkey, "full").select(
+    return full_join(orders, customer, ["o_custkey"], ["c_custkey"]).select(
         F.coalesce("c_custkey", "o_custkey").alias("custkey"), "c_name", "o_orderkey")
 
 
@@ -144,7 +144,7 @@ def _as_of(spark, sf, key):
     left = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts", (F.col("user_id") % 2).alias("half"))
     right = (events.filter("event_type = 'view'").withColumn("half", F.col("user_id") % 2)
              .groupBy(key, F.col("ts").alias("view_ts")).agg(F.max("event_id").alias("view_id")))
-    return as_of_join(left, right, "ts", [key], 86400, "view_ts").select("event_id", key, "view_id")
+    return as_of_join(left, right, "ts", [key], 3600, "view_ts").select("event_id", key, "view_id")
 
 
 def _as_of_sql(key):
@@ -203,12 +203,12 @@ def agg_quantiles(spark, sf):
 @query("win_rank", """
 SELECT event_id, event_type, row_number() OVER w AS position, rank() OVER (PARTITION BY event_type ORDER BY value) AS place,
   dense_rank() OVER (PARTITION BY event_type ORDER BY value) AS level
-FROM events WINDOW w AS (PARTITION BY event_type ORDER BY value, event_id)""")
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
 def win_rank(spark, sf):
-    events = table(spark, sf, "events").select("event_id", "event_type", "value")
-    ranked = running(events, ["event_type"], ["value"], "floor(value)", rank="place", dense_rank="level")
-    out = running(ranked, ["event_type"], ["value", "event_id"], "floor(value)", row_number="position")
-    return out.drop("value")
+    events = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
+    ranked = running(events, ["event_type"], ["value"], "floor(value * 10)", rank="place", dense_rank="level")
+    out = running(ranked, ["event_type"], ["ts", "event_id"], "date_trunc('HOUR', ts)", row_number="position")
+    return out.drop("ts", "value")
 
 
 @query("win_lag_lead", """
@@ -216,7 +216,7 @@ SELECT event_id, lag(value) OVER w AS before, lead(value) OVER w AS after, lag(e
 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
 def win_lag_lead(spark, sf):
     events = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
-    return running(events, ["event_type"], ["ts", "event_id"], "date_trunc('DAY', ts)",
+    return running(events, ["event_type"], ["ts", "event_id"], "date_trunc('HOUR', ts)",
                    lags={"before": "value", "before_id": "event_id"}, leads={"after": "value"}).select(
         "event_id", "before", "after", "before_id")
 
@@ -226,13 +226,25 @@ SELECT event_id, CAST(sum(CAST(value AS DECIMAL(12,2))) OVER (PARTITION BY event
   ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS upto FROM events""")
 def win_running_sum(spark, sf):
     events = table(spark, sf, "events").selectExpr("event_id", "event_type", "ts", "CAST(value AS DECIMAL(12,2)) AS value")
-    out = running(events, ["event_type"], ["ts", "event_id"], "date_trunc('DAY', ts)", sums={"upto": "value"})
+    out = running(events, ["event_type"], ["ts", "event_id"], "date_trunc('HOUR', ts)", sums={"upto": "value"})
     return out.select("event_id", F.col("upto").cast("double").alias("upto"))
 
 
-_same_sql("win_frame", """SELECT event_id, round(avg(value) OVER w, 6) AS smooth, max(value) OVER w AS top, count(*) OVER w AS n
-FROM events
-WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)""", "events")
+@query("win_frame", """
+SELECT event_id, round(avg(value) OVER w, 6) AS smooth, max(value) OVER w AS top, count(*) OVER w AS n
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)""")
+def win_frame(spark, sf):
+    events = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
+    out = framed(events, ["event_type"], ["ts", "event_id"], "date_trunc('HOUR', ts)", 2, 1, {
+        "smooth": F.avg("value"), "top": F.max("value"), "n": F.count(F.lit(1))})
+    return out.select("event_id", F.round("smooth", 6).alias("smooth"), "top", "n")
+
+
+_same_sql("win_frame_sql", """SELECT o_orderkey, round(avg(o_totalprice) OVER w, 6) AS smooth, CAST(ntile(2) OVER w2 AS BIGINT) AS half,
+  first_value(o_orderkey) OVER w2 AS first_key, round(percent_rank() OVER w2, 6) AS pct
+FROM orders
+WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING),
+  w2 AS (PARTITION BY o_custkey ORDER BY o_orderkey)""", "orders")
 
 
 @query("topk_per_group", """

@@ -3,12 +3,15 @@
 Whatever a query writes goes to a fresh folder below the shared folder.
 """
 
+import uuid
+
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from steplake.conformance.registry import query, table
+from steplake.functions.sql import run_sql
 from steplake.functions.user import Context, combine_groups, map_batches, map_groups, map_groups_arrow, run_script
 from steplake.operators.guards import estimate_scan, require_partition_filter
 from steplake.operators.nested import expand_json, flatten, infer_types, read_documents
@@ -17,7 +20,7 @@ from steplake.plans.workflow import Node, run_workflow
 from steplake.session import scratch_path
 from steplake.sources.catalog import list_tables, page, table_schema
 from steplake.sources.files import list_objects, read_any, read_csv, read_log_jsonl
-from steplake.sources.sinks import export_csv, export_json, export_parquet, write_documents, write_files
+from steplake.sources.sinks import export_csv, export_json, export_parquet, save_as_table, write_documents, write_files
 
 # ---- files
 
@@ -128,6 +131,21 @@ def newest_log_lines(spark, sf):
     return log.select("event_id", "event_type", "user_id")
 
 
+@query("create_insert_view", """
+SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1""")
+def create_insert_view(spark, sf):
+    """CREATE TABLE AS, INSERT by name, and a temporary view."""
+    name, orders = "orders_" + uuid.uuid4().hex, table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    path = scratch_path(spark, "saved")
+    save_as_table(orders.filter("o_orderstatus = 'F'"), name, path=path)
+    save_as_table(orders.filter("o_orderstatus = 'O'").select("o_orderstatus", "o_orderkey"), name, "append")
+    spark.table(name).createOrReplaceTempView(f"{name}_view")
+    counted = run_sql(spark, f"SELECT o_orderstatus, count(*) AS n FROM {name}_view GROUP BY 1", None)
+    spark.catalog.dropTempView(f"{name}_view")
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and the plan reads them
+    return counted
+
+
 # ---- nested data
 
 @query("flatten_docs", """

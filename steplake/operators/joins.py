@@ -96,3 +96,20 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, start: str,
         F.floor(_axis(intervals, start) / size), F.floor(_axis(intervals, end) / size))))
     joined = cut.join(spread, [*by, "__stretch"])
     return joined.filter((quoted(point) >= quoted(start)) & (quoted(point) <= quoted(end))).drop("__stretch")
+
+
+def full_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str]) -> DataFrame:
+    """All rows of both sides, paired where the keys agree.
+
+    Spark holds both sides of a key in memory for a full outer join and cannot
+    split a busy key. A left join and the right rows without a partner give the
+    same rows, and both parts can be split.
+    """
+    require_columns(left, left_on)
+    require_columns(right, right_on)
+    same = [quoted(a) == quoted(b) for a, b in zip(left_on, right_on)]
+    clash = [c for c in right.columns if c in left.columns]
+    if clash:
+        raise ValueError(f"rename the columns on one side first: {', '.join(clash)}")
+    alone = right.join(left.select(*map(quoted, left_on)), same, "left_anti")
+    return left.join(right, same, "left").unionByName(alone, allowMissingColumns=True)

@@ -144,6 +144,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     quartiles = points.groupBy("column").agg(*[
         F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(name)
         for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
-    return moments.join(quartiles, "column").select(
-        "column", F.col("total").alias("count"), "mean", "std", F.col("least").alias("min"), "q25", "q50", "q75",
+    listed = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
+    return listed.join(moments, "column", "left").join(quartiles, "column", "left").select(
+        "column", F.coalesce("total", F.lit(0)).alias("count"), "mean", "std", F.col("least").alias("min"), "q25", "q50", "q75",
         F.col("most").alias("max"))

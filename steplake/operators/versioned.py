@@ -163,14 +163,14 @@ class VersionedTable:
         live = self.files(header["version"])
         target = self._scan(header, self._paths(live), with_file=True)
         touched = (target.select(*map(quoted, keys), "__file")
-                   .join(key_columns.distinct(), list(keys), "left_semi").select(F.col("__file").alias("file")).distinct())
+                   .join(key_columns, list(keys), "left_semi").select(F.col("__file").alias("file")).distinct())
         # file names, not rows
         names = [r.file for r in touched.collect()]
         commits = [incoming_commit]
         kept = live
         if names:
             old = self._scan(header, [f"{self.path}/data/{n}" for n in names])
-            rest = old.join(key_columns.distinct(), list(keys), "left_anti").select(*map(quoted, df.columns))
+            rest = old.join(key_columns, list(keys), "left_anti").select(*map(quoted, df.columns))
             commits.append(self._write_rows(rest, columns))
             kept = live.join(self.spark.createDataFrame([(n,) for n in names], "file string"), "file", "left_anti")
         return self._commit(header, "merge", df.schema, columns, kept, commits, [incoming_commit], message)

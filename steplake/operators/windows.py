@@ -16,11 +16,12 @@ def running(df: DataFrame, by: Sequence[str], order_by: Sequence[str], stretch:
     """Ranks, running sums and neighbours per ``by`` group in ascending ``order_by``.
 
     An ordinary window sorts a whole group in one task. ``stretch`` is an
-    expression that never falls as the order rises and depends on the first order
-    column only, such as the day of a time: rows are sorted within a group's
-    stretch, and one row per stretch carries counts, sums and edge values
-    across. The result equals the ordinary window. Order columns must not be
-    NULL; ``sums``, ``lags`` and ``leads`` map a new column to its source column.
+    expression that never falls as the order rises, such as the hour of a time:
+    rows are sorted within a group's stretch, and one row per stretch carries
+    counts, sums and edge values across. The result equals the ordinary window.
+    For ranks the stretch may depend on the order columns only, so that ties stay
+    together. Order columns must not be NULL; ``sums``, ``lags`` and ``leads`` map a
+    new column to its source column.
     """
     sums, lags, leads = dict(sums or {}), dict(lags or {}), dict(leads or {})
     require_columns(df, [*by, *order_by, *sums.values(), *lags.values(), *leads.values()])
@@ -71,3 +72,27 @@ def running(df: DataFrame, by: Sequence[str], order_by: Sequence[str], stretch:
         near = F.lead(F.struct(quoted(c))).over(inside)
         out[alias] = F.coalesce(near, F.col(f"__lead_{alias}"))[c]
     return joined.select(*map(quoted, df.columns), *[column.alias(a) for a, column in out.items()])
+
+
+# rows of one chunk, and so of one sort, in framed()
+_CHUNK = 100_000
+
+
+def framed(df: DataFrame, by: Sequence[str], order_by: Sequence[str], stretch: Column | str, preceding: int,
+           following: int, aggregates: Mapping[str, Column], chunk: int = _CHUNK) -> DataFrame:
+    """Aggregates over ``ROWS BETWEEN preceding PRECEDING AND following FOLLOWING`` per ``by`` group.
+
+    Rows are numbered with :func:`running` and cut into chunks of equal size; the
+    few rows at a chunk's edge are also sent to its neighbours. No task sorts
+    more than a chunk of a group at a time, however large the group is.
+    """
+    if max(preceding, following) > chunk:
+        raise ValueError("the frame is wider than a chunk")
+    numbered = running(df, by, order_by, stretch, row_number="__row")
+    row = F.col("__row") - 1
+    home = F.floor(row / chunk)
+    numbered = numbered.withColumn("__home", home).withColumn("__chunk", F.explode(F.array_distinct(F.array(
+        F.floor(F.greatest(row - following, F.lit(0)) / chunk), home, F.floor((row + preceding) / chunk)))))
+    frame = Window.partitionBy(*map(quoted, by), "__chunk").orderBy("__row").rowsBetween(-preceding, following)
+    computed = numbered.select("*", *[a.over(frame).alias(name) for name, a in aggregates.items()])
+    return computed.filter("__chunk = __home").select(*map(quoted, df.columns), *map(quoted, aggregates))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from steplake.operators.quality import Rule, evaluate
@@ -38,14 +39,31 @@ def stream_steps(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     return run_steps(df, steps)
 
 
-def drop_repeats(df: DataFrame, keys: Sequence[str], time_column: str, within: str = "1 hour") -> DataFrame:
-    """Keep the first row seen of every key; a key is remembered for ``within``, so state stays bounded."""
+def drop_repeats(df: DataFrame, keys: Sequence[str], time_column: str, within: str = "1 hour",
+                 combine: bool = True) -> DataFrame:
+    """Keep the first row seen of every key; a key is remembered for ``within``, so state stays bounded.
+
+    Spark sends all copies of a key to one task. With ``combine`` every Arrow
+    batch is thinned to one row per key before that, so a key with very many
+    copies costs little.
+    """
     timed = event_time(df, time_column)
     if not df.isStreaming:
         return timed.dropDuplicates(list(keys))
+    if combine:
+        timed = timed.mapInArrow(_first_of_each(list(keys)), timed.schema)
     return timed.withWatermark(time_column, within).dropDuplicatesWithinWatermark(list(keys))
 
 
+def _first_of_each(keys: list[str]):
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbered = pa.table({**{f"k{i}": batch[k] for i, k in enumerate(keys)}, "row": pa.array(range(batch.num_rows))})
+            firsts = numbered.group_by([f"k{i}" for i in range(len(keys))]).aggregate([("row", "min")])["row_min"]
+            yield batch.take(firsts.combine_chunks())
+    return thin
+
+
 def append_stream(df: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = (), fmt: str = "parquet",
                   once: bool = True):
     """Append a stream to files, exactly once per checkpoint.

@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from steplake.operators.joins import as_of_join, hot_keys, range_join
+from steplake.operators import summary
+from steplake.operators.joins import as_of_join, full_join, hot_keys, range_join
 from steplake.operators.summary import describe, quantiles, ratio_to_mean
-from steplake.operators.windows import running
+from steplake.operators.windows import framed, running
 
 
 def keyed_rows(n, seed, keys=6, span=1000):
@@ -79,6 +80,8 @@ def test_running_equals_ordinary_windows(spark):
     one = running(df, ["k"], ["t", "id"], "floor(t / 10)", row_number="rn", sums={"s": "v"},
                   lags={"lg": "v", "lid": "id"}, leads={"ld": "v"})
     got = running(one, ["k"], ["t"], "floor(t / 10)", rank="rk", dense_rank="dr").select(*want.columns)
+    split_ties = running(df, ["k"], ["t", "id"], "struct(t, floor(id / 50))", row_number="rn").select("id", "rn")
+    assert sorted(map(tuple, split_ties.collect())) == sorted((r.id, r.rn) for r in want.collect())
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
@@ -104,13 +107,43 @@ def test_quantiles(spark, shape):
     assert len(got) == 2 * len(wanted)
 
 
+def test_quantiles_when_the_brackets_miss(spark, monkeypatch):
+    monkeypatch.setattr(summary, "_MARGIN", 0.0)
+    monkeypatch.setattr(summary, "_ACCURACY", 3)
+    values = np.random.default_rng(1).normal(size=2000)
+    df = spark.createDataFrame([("a" if i % 3 else None, float(v)) for i, v in enumerate(values)], "g string, v double")
+    got = {(r.g, r.probability): r.quantile for r in quantiles(df, "v", [0.1, 0.5, 0.8], ["g"]).collect()}
+    for p in (0.1, 0.5, 0.8):
+        assert got["a", p] == pytest.approx(np.quantile([v for i, v in enumerate(values) if i % 3], p))
+        assert got[None, p] == pytest.approx(np.quantile(values[::3], p))
+
+
+def test_framed_equals_ordinary_windows(spark):
+    df = spark.createDataFrame([(i, k, t) for i, k, t in keyed_rows(400, 6, span=60)], "id int, k int, t int")
+    df.createOrReplaceTempView("f_rows")
+    want = spark.sql("""SELECT id, sum(t) OVER w AS s, count(*) OVER w AS n, min(id) OVER w AS m FROM f_rows
+        WINDOW w AS (PARTITION BY k ORDER BY t, id ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING)""")
+    got = framed(df, ["k"], ["t", "id"], "floor(t / 7)", 3, 2, {
+        "s": F.sum("t"), "n": F.count(F.lit(1)), "m": F.min("id")}, chunk=5).select("id", "s", "n", "m")
+    assert df.count() == got.count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_full_join(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, l string")
+    right = spark.createDataFrame([(1, "x"), (3, "y"), (None, "z"), (1, "w")], "j int, r string")
+    want = left.join(right, left.k == right.j, "full")
+    assert sorted(map(repr, full_join(left, right, ["k"], ["j"]).collect())) == sorted(map(repr, want.collect()))
+
+
 def test_quantiles_of_whole_table(spark):
     got = quantiles(spark.range(101), "id", [0.5, 0.905]).collect()
     assert sorted((r.probability, r.quantile) for r in got) == [(0.5, 50.0), (0.905, pytest.approx(90.5))]
 
 
 def test_describe_and_ratio(spark):
-    df = spark.createDataFrame([(1, 10.0), (2, None), (3, 30.0)], "id int, v double")
+    df = spark.createDataFrame([(1, 10.0, None), (2, None, None), (3, 30.0, None)], "id int, v double, none double")
     rows = {r["column"]: r for r in describe(df).collect()}
     assert rows["v"]["count"] == 2 and rows["v"]["q50"] == 20.0 and rows["id"]["std"] == 1.0
+    assert rows["none"]["count"] == 0 and rows["none"]["q50"] is None
     assert [r.ratio for r in ratio_to_mean(df, "v").orderBy("id").collect()] == [0.5, None, 1.5]
