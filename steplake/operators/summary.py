@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -65,8 +66,8 @@ def _quantiles(df: DataFrame, value: str, probabilities: Sequence[float], group_
     ensure_checkpoint_dir(df.sparkSession)
     brackets = brackets.checkpoint()
     few = brackets.count() <= _BROADCAST_GROUPS
-    placed = _cells(base, keys, brackets, n, few)
-    located = _locate(placed, keys, brackets)
+    bracketed = _bracketed(base, keys, brackets, n, few)
+    located = _locate(bracketed, keys, brackets, probabilities)
     missed = located.filter("range IS NULL").select(*keys, "p").distinct()
     if not missed.isEmpty():
         wide = F.transform("brackets", lambda b: F.when(
@@ -76,11 +77,15 @@ def _quantiles(df: DataFrame, value: str, probabilities: Sequence[float], group_
         brackets = (_null_safe(brackets, failed, keys, "left")
                     .withColumn("brackets", F.when(F.col("missed").isNotNull(), wide).otherwise(F.col("brackets")))
                     .drop("missed").checkpoint())
-        placed = _cells(base, keys, brackets, n, few)
-        located = _locate(placed, keys, brackets)
+        bracketed = _bracketed(base, keys, brackets, n, few)
+        located = _locate(bracketed, keys, brackets, probabilities)
 
     needed = located.select(*keys, "p", F.col("range").alias("cell")).distinct()
-    values = (_null_safe(placed, needed, [*keys, "p", "cell"], "left_semi")
+    inside = [F.col("v").between(F.col(f"low{i}"), F.col(f"high{i}")) for i in range(n)]
+    in_brackets = bracketed.filter(functools.reduce(Column.__or__, inside)).select(
+        *keys, "v", F.inline(F.array(*[F.struct(F.lit(p).alias("p"), _cell(i).alias("cell"))
+                                       for i, p in enumerate(probabilities)])))
+    values = (_null_safe(in_brackets, F.broadcast(needed) if few else needed, [*keys, "p", "cell"], "left_semi")
               .groupBy(*keys, "p", "cell", "v").agg(F.count(F.lit(1)).alias("n")))
     order = Window.partitionBy(*keys, "p", "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     sorted_cells = values.withColumn("upto", F.sum("n").over(order))
@@ -103,22 +108,33 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return joined if how == "left_semi" else joined.drop(*[f"__r_{k}" for k in keys])
 
 
-def _cells(base: DataFrame, keys: Sequence[str], brackets: DataFrame, n: int, few: bool) -> DataFrame:
-    """Each value once per bracket that it lies in or below: cell -1 is below, 0.. are parts of the bracket."""
-    side = brackets.select(*keys, "brackets")
-    joined = _null_safe(base, F.broadcast(side) if few else side, keys, "inner")
+def _bracketed(base: DataFrame, keys: Sequence[str], brackets: DataFrame, n: int, few: bool) -> DataFrame:
+    """Each value beside the brackets of its group."""
+    limits = []
+    for i in range(n):
+        low, high = F.col("brackets")[i]["low"], F.col("brackets")[i]["high"]
+        limits += [low.alias(f"low{i}"), high.alias(f"high{i}"),
+                   F.when(high > low, F.lit(float(_CELLS)) / (high - low)).otherwise(0.0).alias(f"scale{i}")]
+    side = brackets.select(*keys, *limits)
+    return _null_safe(base, F.broadcast(side) if few else side, keys, "inner")
 
-    def place(i):
-        b, v = F.col("brackets")[i], F.col("v")
-        part = F.floor((v - b["low"]) / (b["high"] - b["low"]) * _CELLS)
-        inside = F.when(b["high"] > b["low"], F.least(part, F.lit(_CELLS - 1))).otherwise(0)
-        return F.struct(b["p"].alias("p"), F.when(v < b["low"], -1).when(v <= b["high"], inside).cast("int").alias("cell"))
-    return joined.select(*keys, "v", F.inline(F.array(*map(place, range(n))))).filter("cell IS NOT NULL")
 
+def _cell(i: int) -> Column:
+    """A value's place in a bracket: -1 below, 0.. a cell of it, ``_CELLS`` above."""
+    v, low = F.col("v"), F.col(f"low{i}")
+    part = F.least(F.floor((v - low) * F.col(f"scale{i}")), F.lit(_CELLS - 1))
+    return F.when(v < low, -1).when(v <= F.col(f"high{i}"), part).otherwise(_CELLS).cast("int")
 
-def _locate(placed: DataFrame, keys: Sequence[str], brackets: DataFrame) -> DataFrame:
+
+def _locate(bracketed: DataFrame, keys: Sequence[str], brackets: DataFrame, probabilities: Sequence[float]) -> DataFrame:
     """Per group, probability and wanted rank: the cell that holds it and the rows before that cell."""
-    sizes = placed.groupBy(*keys, "p", "cell").agg(F.count(F.lit(1)).alias("size"))
+    labels = [f"c{i}" for i in range(len(probabilities))]
+    labelled = bracketed.select(*keys, *[_cell(i).alias(c) for i, c in enumerate(labels)])
+    # a few thousand rows per group from here on
+    together = labelled.groupBy(*keys, *labels).agg(F.count(F.lit(1)).alias("n"))
+    sizes = together.select(*keys, "n", F.inline(F.array(*[
+        F.struct(F.lit(p).alias("p"), F.col(c).alias("cell")) for p, c in zip(probabilities, labels)]))
+    ).groupBy(*keys, "p", "cell").agg(F.sum("n").alias("size"))
     # one row per cell
     earlier = Window.partitionBy(*keys, "p").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     ranges = sizes.withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
@@ -127,7 +143,7 @@ def _locate(placed: DataFrame, keys: Sequence[str], brackets: DataFrame) -> Data
         *keys, F.col("b.p").alias("p"), position.alias("position"),
         F.explode(F.array_distinct(F.array(F.floor(position), F.ceil(position)))).alias("rank"))
     hit = _null_safe(wanted, ranges, [*keys, "p"], "inner").filter(
-        (F.col("cell") >= 0) & (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size")))
+        F.col("cell").between(0, _CELLS - 1) & (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size")))
     hit = hit.select(*keys, "p", "rank", F.col("cell").alias("range"), "before")
     return _null_safe(wanted, hit, [*keys, "p", "rank"], "left").checkpoint()
 
