@@ -147,9 +147,8 @@ class VersionedTable:
         columns = self._partitioning(df, header, None)
         df = self._align(df, header)
         incoming_commit = self._write_rows(df, columns)
-        incoming_files = self._file_rows([incoming_commit])
         incoming = self._scan(header or {"schema": json.dumps(df.schema.jsonValue())},
-                              self._commit_paths(incoming_files))
+                              [f"{self.path}/data/sl_commit={incoming_commit}"])
         key_columns = incoming.select(*map(quoted, keys))
         if not keep_duplicates:
             named = key_columns.dropna()
@@ -183,7 +182,7 @@ class VersionedTable:
             raise ValueError(f"{self.path} has no partition columns")
         df = self._align(df, header)
         commit = self._write_rows(df, columns)
-        replaced = self._file_rows([commit]).select("partition").distinct()
+        replaced = self._file_rows([commit], df.schema).select("partition").distinct()
         kept = self.files(header["version"]).join(replaced, "partition", "left_anti")
         return self._commit(header, "overwrite_partitions", df.schema, columns, kept, [commit], [commit], message)
 
@@ -206,7 +205,7 @@ class VersionedTable:
         day_of_file = F.regexp_extract("partition", rf"(?:^|/){re.escape(date_column)}=([^/]+)", 1)
         kept = self.files(header["version"]).filter(~day_of_file.between(start, end))
         self._commit(header, "backfill", df.schema, columns, kept, [commit], [commit], f"{start} to {end}")
-        rows = self._file_rows([commit]).groupBy(day_of_file.alias("backfill_date")).agg(F.sum("rows").alias("rows"))
+        rows = self._file_rows([commit], df.schema).groupBy(day_of_file.alias("backfill_date")).agg(F.sum("rows").alias("rows"))
         days = self.spark.range(1).select(F.explode(F.sequence(
             F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day")).select(
             F.col("day").cast("string").alias("backfill_date"))
@@ -299,33 +298,21 @@ class VersionedTable:
         writer.parquet(f"{self.path}/data/sl_commit={commit}")
         return commit
 
-    def _file_rows(self, commits: Sequence[str]) -> DataFrame:
+    def _file_rows(self, commits: Sequence[str], schema: T.StructType) -> DataFrame:
         """Rows and bytes per new file, from the files themselves; empty files are left out."""
-        frames = []
-        for commit in commits:
-            folder = f"{self.path}/data/sl_commit={commit}"
-            if not any(n.endswith(".parquet") or "=" in n for n, *_ in storage.children(self.spark, folder)):
-                continue
-            scan = self.spark.read.parquet(folder)
-            found = scan.groupBy(_file_below_data().alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(
-                F.count(F.lit(1)).alias("rows"))
-            frames.append(found.select(
-                "file", F.lit(commit).alias("commit"),
-                F.regexp_extract("file", r"^sl_commit=[^/]+/(.*)/[^/]+$", 1).alias("partition"), "rows", "bytes"))
-        if not frames:
-            return self.spark.createDataFrame([], _FILES)
-        result = frames[0]
-        for frame in frames[1:]:
-            result = result.unionByName(frame)
-        counts = result.groupBy("commit").agg(F.count(F.lit(1)).alias("commit_files"))
-        return result.join(counts, "commit").select(*T.StructType.fromDDL(_FILES).names)
-
-    def _commit_paths(self, files: DataFrame) -> list[str]:
-        return [f"{self.path}/data/sl_commit={r.commit}" for r in files.select("commit").distinct().collect()]
+        paths = [f"{self.path}/data/sl_commit={commit}" for commit in commits]
+        found = (self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*paths)
+                 .groupBy(_file_below_data().alias("file"), F.col("_metadata.file_size").alias("bytes"))
+                 .agg(F.count(F.lit(1)).alias("rows"))
+                 .withColumn("commit", F.regexp_extract("file", r"^sl_commit=([^/]+)/", 1))
+                 .withColumn("partition", F.regexp_extract("file", r"^sl_commit=[^/]+/(.*)/[^/]+$", 1)))
+        # one row per file
+        counted = found.withColumn("commit_files", F.count(F.lit(1)).over(Window.partitionBy("commit")))
+        return counted.select(*T.StructType.fromDDL(_FILES).names)
 
     def _commit(self, parent: dict | None, operation: str, schema: T.StructType, partition_by: Sequence[str],
                 kept: DataFrame | None, commits: Sequence[str], written: Sequence[str], message: str) -> int:
-        fresh = self._file_rows(commits)
+        fresh = self._file_rows(commits, schema)
         listing = uuid.uuid4().hex
         live = kept.unionByName(fresh) if kept is not None else fresh
         live.coalesce(max(1, math.ceil((parent or {}).get("file_count", 0) / 100_000))).write.parquet(
