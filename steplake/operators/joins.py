@@ -49,9 +49,11 @@ def as_of_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], wi
     keys = [f"__k{i}" for i in range(len(by))]
 
     def tagged(df, at, side, left_part, right_part):
-        return df.select(*[quoted(c).alias(k) for c, k in zip(by, keys)], quoted(at).alias("__at"),
-                         F.floor(_axis(df, at) / F.lit(float(width))).alias("__stretch"),
-                         F.lit(side).alias("__side"), left_part.alias("__l"), right_part.alias("__r"))
+        # one struct per key and stretch, so that all steps below share one shuffle of the rows
+        cell = F.struct(*[quoted(c).alias(k) for c, k in zip(by, keys)],
+                        F.floor(_axis(df, at) / F.lit(float(width))).alias("s"))
+        return df.select(cell.alias("__cell"), quoted(at).alias("__at"), F.lit(side).alias("__side"),
+                         left_part.alias("__l"), right_part.alias("__r"))
 
     left_row = F.struct(*map(quoted, left.columns))
     right_row = F.struct(*map(quoted, payload))
@@ -61,21 +63,21 @@ def as_of_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], wi
     rights = tagged(right, right_on, 0, F.lit(None).cast(left_type), right_row)
     both = lefts.unionByName(rights)
 
-    part = [*keys, "__stretch"]
-    inside = Window.partitionBy(*part).orderBy("__at", "__side", "__r").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("__cell").orderBy("__at", "__side", "__r").rowsBetween(Window.unboundedPreceding, 0)
     local = both.withColumn("__near", F.last("__r", ignorenulls=True).over(inside)).filter("__side = 1")
 
     # one row per key and stretch
-    lasts = both.groupBy(*part).agg(F.max_by("__r", F.when(F.col("__r").isNotNull(), F.struct("__at", "__r"))).alias("__last"))
-    earlier = Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.select(*part, F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
+    lasts = both.groupBy("__cell").agg(
+        F.max_by("__r", F.when(F.col("__r").isNotNull(), F.struct("__at", "__r"))).alias("__last"))
+    earlier = (Window.partitionBy(*[F.col("__cell")[k] for k in keys]).orderBy(F.col("__cell")["s"])
+               .rowsBetween(Window.unboundedPreceding, -1))
+    carried = lasts.select(F.col("__cell").alias("__from"), F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
 
+    joined = local.join(carried, F.col("__cell") == F.col("__from"), "left")
     # a left row without a key has no partner, but stays
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in part]
-    joined = local.alias("a").join(carried.alias("b"), same, "left")
     known = F.lit(True)
     for k in keys:
-        known = known & F.col(f"a.{k}").isNotNull()
+        known = known & F.col("__cell")[k].isNotNull()
     match = F.when(known, F.coalesce("__near", "__carried"))
     return joined.select("__l", match.alias("__m")).select(
         *[F.col("__l")[c].alias(c) for c in left.columns], *[F.col("__m")[c].alias(c) for c in payload])

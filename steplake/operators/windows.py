@@ -26,51 +26,58 @@ def running(df: DataFrame, by: Sequence[str], order_by: Sequence[str], stretch:
     sums, lags, leads = dict(sums or {}), dict(lags or {}), dict(leads or {})
     require_columns(df, [*by, *order_by, *sums.values(), *lags.values(), *leads.values()])
     cut = F.expr(stretch) if isinstance(stretch, str) else stretch
-    rows = df.withColumn("__stretch", cut)
-    keys = [quoted(c) for c in by]
+    # One struct per cell: NULL keys match as they do in a window, and grouping,
+    # sorting and joining by the same column need a single shuffle of the rows.
+    cell = F.struct(*[quoted(c).alias(f"k{i}") for i, c in enumerate(by)], cut.alias("s"))
+    rows = df.withColumn("__cell", cell)
     order = F.struct(*map(quoted, order_by))
 
-    parts = [F.count(F.lit(1)).alias("__n")]
+    parts = [F.count(F.lit(1)).alias("n")]
     if dense_rank:
-        parts.append(F.count_distinct(*map(quoted, order_by)).alias("__d"))
-    parts += [F.sum(quoted(c)).alias(f"__sum_{a}") for a, c in sums.items()]
+        parts.append(F.count_distinct(*map(quoted, order_by)).alias("d"))
+    parts += [F.sum(quoted(c)).alias(f"sum_{a}") for a, c in sums.items()]
     # wrapped, so that a NULL at the edge is carried as a NULL
-    parts += [F.max_by(F.struct(quoted(c)), order).alias(f"__lag_{a}") for a, c in lags.items()]
-    parts += [F.min_by(F.struct(quoted(c)), order).alias(f"__lead_{a}") for a, c in leads.items()]
-    per_stretch = rows.groupBy(*keys, "__stretch").agg(*parts)
+    parts += [F.max_by(F.struct(quoted(c)), order).alias(f"lag_{a}") for a, c in lags.items()]
+    parts += [F.min_by(F.struct(quoted(c)), order).alias(f"lead_{a}") for a, c in leads.items()]
+    per_cell = rows.groupBy("__cell").agg(*parts)
 
-    across = Window.partitionBy(*keys).orderBy("__stretch")
+    across = Window.partitionBy(*[F.col("__cell")[f"k{i}"] for i in range(len(by))]).orderBy(F.col("__cell")["s"])
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_stretch.select(
-        *[quoted(c).alias(f"__by_{i}") for i, c in enumerate(by)], F.col("__stretch").alias("__cut"),
-        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
-        *([F.coalesce(F.sum("__d").over(earlier), F.lit(0)).alias("__before_d")] if dense_rank else []),
-        *[F.sum(f"__sum_{a}").over(earlier).alias(f"__sum_{a}") for a in sums],
-        *[F.lag(f"__lag_{a}").over(across).alias(f"__lag_{a}") for a in lags],
-        *[F.lead(f"__lead_{a}").over(across).alias(f"__lead_{a}") for a in leads])
-
-    same = [quoted(c).eqNullSafe(F.col(f"__by_{i}")) for i, c in enumerate(by)]
-    same.append(F.col("__stretch").eqNullSafe(F.col("__cut")))
-    joined = rows.join(offsets, same)
-
-    inside = Window.partitionBy(*keys, "__stretch").orderBy(*map(quoted, order_by))
+    offsets = per_cell.select(
+        F.col("__cell").alias("__at"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"),
+        *([F.coalesce(F.sum("d").over(earlier), F.lit(0)).alias("__before_d")] if dense_rank else []),
+        *[F.sum(quoted(f"sum_{a}")).over(earlier).alias(f"__sum_{a}") for a in sums],
+        *[F.lag(quoted(f"lag_{a}")).over(across).alias(f"__lag_{a}") for a in lags],
+        *[F.lead(quoted(f"lead_{a}")).over(across).alias(f"__lead_{a}") for a in leads])
+
+    inside = Window.partitionBy("__cell").orderBy(*map(quoted, order_by))
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    here = {}
+    if row_number:
+        here["__here"] = F.row_number().over(inside)
+    if rank:
+        here["__here_rank"] = F.rank().over(inside)
+    if dense_rank:
+        here["__here_d"] = F.dense_rank().over(inside)
+    here |= {f"__here_sum_{a}": F.sum(quoted(c)).over(upto) for a, c in sums.items()}
+    here |= {f"__here_lag_{a}": F.lag(F.struct(quoted(c))).over(inside) for a, c in lags.items()}
+    here |= {f"__here_lead_{a}": F.lead(F.struct(quoted(c))).over(inside) for a, c in leads.items()}
+    joined = rows.select("*", *[w.alias(a) for a, w in here.items()]).join(offsets, F.col("__cell") == F.col("__at"))
+
     out = {}
     if row_number:
-        out[row_number] = F.row_number().over(inside) + F.col("__before")
+        out[row_number] = F.col("__here") + F.col("__before")
     if rank:
-        out[rank] = F.rank().over(inside) + F.col("__before")
+        out[rank] = F.col("__here_rank") + F.col("__before")
     if dense_rank:
-        out[dense_rank] = F.dense_rank().over(inside) + F.col("__before_d")
-    for alias, c in sums.items():
-        here, before = F.sum(quoted(c)).over(upto), F.col(f"__sum_{alias}")
-        out[alias] = F.when(here.isNull() | before.isNull(), F.coalesce(here, before)).otherwise(here + before)
+        out[dense_rank] = F.col("__here_d") + F.col("__before_d")
+    for alias in sums:
+        near, before = quoted(f"__here_sum_{alias}"), quoted(f"__sum_{alias}")
+        out[alias] = F.when(near.isNull() | before.isNull(), F.coalesce(near, before)).otherwise(near + before)
     for alias, c in lags.items():
-        near = F.lag(F.struct(quoted(c))).over(inside)
-        out[alias] = F.coalesce(near, F.col(f"__lag_{alias}"))[c]
+        out[alias] = F.coalesce(quoted(f"__here_lag_{alias}"), quoted(f"__lag_{alias}"))[c]
     for alias, c in leads.items():
-        near = F.lead(F.struct(quoted(c))).over(inside)
-        out[alias] = F.coalesce(near, F.col(f"__lead_{alias}"))[c]
+        out[alias] = F.coalesce(quoted(f"__here_lead_{alias}"), quoted(f"__lead_{alias}"))[c]
     return joined.select(*map(quoted, df.columns), *[column.alias(a) for a, column in out.items()])
 
 

@@ -247,3 +247,12 @@ def test_no_nested_loops_in_registered_joins(spark):
     for name in ("join_range", "join_as_of", "join_as_of_hot_key", "flag_rows_repeated", "ratio_to_mean", "late_runs"):
         plan = physical(queries[name](spark, SF))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_windows_and_as_of_joins_shuffle_their_rows_once(spark):
+    from steplake.conformance import load_all
+    queries, _ = load_all()
+    # the rows once; the aggregate, the window and the join of one row per stretch
+    assert physical(queries["win_running_sum"](spark, SF)).count("Exchange hashpartitioning") <= 4
+    plan = physical(queries["join_as_of_hot_key"](spark, SF))
+    assert plan.count("Exchange hashpartitioning(__cell") == 2 and "CartesianProduct" not in plan
