@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from steplake.llm.decontaminate import contamination
 from steplake.llm.jaccard_join import jaccard_components
 from steplake.llm.mix_sources import Mix
+from steplake.llm.suffix_dedup import remove_repeats
 from steplake.llm.top_k import top_inner_products
 from steplake.llm.url_filter import filter_urls, host_of
 
@@ -142,3 +143,28 @@ FROM scores QUALIFY rank <= 20
 @query("op9_exact_top_k", TOP_K_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+# In hex, a byte is two characters. A window's first place is its smallest (doc_id, start).
+SUFFIX_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+wins AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 200)) AS w1, hash('x' || substr(h, 2 * i + 1, 200)) AS w2
+         FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
+later AS (SELECT doc_id, i FROM wins QUALIFY row_number() OVER (PARTITION BY w1, w2 ORDER BY doc_id, i) > 1),
+steps AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM later),
+numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM steps),
+spans AS (SELECT doc_id, s, min(i) AS first, max(i) + 100 AS last FROM numbered GROUP BY doc_id, s),
+cuts AS (SELECT doc_id, first, last, lag(last, 1, 0) OVER (PARTITION BY doc_id ORDER BY first) AS before FROM spans),
+parts AS (
+  SELECT c.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (first - before)), '' ORDER BY first) AS head,
+         max(last) AS tail, sum(last - first) AS n_removed, count(*) AS n_spans
+  FROM cuts c JOIN d ON d.doc_id = c.doc_id GROUP BY c.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN parts p ON p.doc_id = d.doc_id
+"""
+
+
+@query("op10_suffix_dedup", SUFFIX_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
