@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from steplake.llm.decontaminate import contamination
 from steplake.llm.jaccard_join import jaccard_components
+from steplake.llm.language_id import identify, learn
 from steplake.llm.mix_sources import Mix
 from steplake.llm.suffix_dedup import remove_repeats
 from steplake.llm.top_k import top_inner_products
@@ -168,3 +169,15 @@ FROM d LEFT JOIN parts p ON p.doc_id = d.doc_id
 @query("op10_suffix_dedup", SUFFIX_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def held_out(divisor: int, remainder: int):
+    """Whether a document is kept from learning: by the checksum of its doc_id as text."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == remainder, F.lit(False))
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = learn(documents.where(~held_out(4, 2)))
+    return identify(documents, model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
