@@ -11,8 +11,10 @@ from steplake.llm.decontaminate import contamination
 from steplake.llm.jaccard_join import jaccard_components
 from steplake.llm.language_id import identify, learn
 from steplake.llm.mix_sources import Mix
+from steplake.llm.quality import grade
 from steplake.llm.suffix_dedup import remove_repeats
 from steplake.llm.top_k import top_inner_products
+from steplake.llm.toxicity import score_toxicity
 from steplake.llm.url_filter import filter_urls, host_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,3 +183,24 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = learn(documents.where(~held_out(4, 2)))
     return identify(documents, model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels that may be learned from."""
+    return table(spark, sf_dir, "labels").where(~held_out(5, 0))
+
+
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # grades: 0 low quality, 1 good but toxic, 2 good
+    rating = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    ratings = label_rows(spark, sf_dir).select("doc_id", rating.alias("y"))
+    graded = grade(table(spark, sf_dir, "documents"), ratings, 3)
+    return graded.select("doc_id", held_out(5, 0).alias("held_out"), "expected_grade", "p_grade_1", "p_grade_2", (F.col("p_grade_1") >= 0.5).alias("keep"))
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = label_rows(spark, sf_dir).select("doc_id", F.col("toxic").alias("y"))
+    scored = score_toxicity(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
