@@ -252,3 +252,21 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     """
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_identified(model), f"doc_id bigint, lang_pred string, score double, spans {SPANS}")
+
+
+def keep_identified(documents: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
+    """The rows of documents whose language is known with a score of at least ``least``; all columns stay, whatever their names."""
+    columns = documents.columns
+    at = columns.index("text")
+    label = _identified(model)
+
+    def run(batches):
+        for batch in batches:
+            asked = pa.record_batch([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], names=["doc_id", "text"])
+            keep = [pa.array([x != "und" and s >= least for x, s in zip(out.column("lang_pred").to_pylist(), out.column("score").to_pylist())], pa.bool_())
+                    for out in label([asked])]
+            if keep:
+                yield batch.filter(pa.concat_arrays(keep))
+
+    placed = documents.toDF(*[f"c{i}" for i in range(len(columns))])
+    return placed.mapInArrow(run, placed.schema).toDF(*columns)

@@ -11,6 +11,7 @@ from steplake.llm.decontaminate import contamination
 from steplake.llm.jaccard_join import jaccard_components
 from steplake.llm.language_id import identify, learn
 from steplake.llm.mix_sources import Mix
+from steplake.llm.pseudonyms import replace_values
 from steplake.llm.quality import grade
 from steplake.llm.suffix_dedup import remove_repeats
 from steplake.llm.top_k import top_inner_products
@@ -204,3 +205,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = label_rows(spark, sf_dir).select("doc_id", F.col("toxic").alias("y"))
     scored = score_toxicity(table(spark, sf_dir, "documents"), labels)
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
+PSEUDONYM_KEY = b"steplake example key"  # a deployment hands over its own secret
+
+
+@query("op8_pseudonyms")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_values(table(spark, sf_dir, "documents"), PSEUDONYM_KEY).select("doc_id", "n_values", "text")
