@@ -10,11 +10,12 @@ Steps, all on Spark's partitions:
 1. Every text becomes a set; equal sets are one class from here on, named by a fingerprint.
 2. Every class sends a key per fragment. A task first groups its own keys and sends one row
    per key, so a key is at most as frequent as there are tasks. Keys of one class go away.
-3. Classes left get a count per 64 fine fragments. Half the counts' difference bounds the
-   overlap from above, so most pairs fall without their sets.
+3. Classes left get a count per fine fragment. The counts' difference bounds the overlap
+   from above, so most pairs fall without their sets.
 4. First each class is compared with the first, the last and one middle class of its most
-   shared keys. What that links is one component; the second time only pairs of different
-   components are compared, so a large group of copies costs a few comparisons a copy.
+   shared keys, then with the closest class of another component under each key. What links is
+   one component, so a large group of copies costs a few comparisons a copy; only then are
+   all pairs compared that share a key and are still unconnected.
 5. Pairs that pass the bound are counted exactly, fragment sums over whole sets.
 """
 
@@ -33,7 +34,7 @@ from steplake.llm.shingles import shingle_sets
 from steplake.llm.words import chunks, mix
 
 _U = np.uint64
-FINE = 64  # fragments of the bound
+FINE = 256  # fragments of the bound
 BLOCK = 256  # rows of a frequent key that are compared with each other at once
 
 
@@ -87,7 +88,7 @@ class Cut:
 
 def fine_counts(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """N-grams of each of ``n`` rows by fine fragment; a byte each, so large counts stop at 255."""
-    where = owner * FINE + (hashes >> _U(58)).astype(np.int64)
+    where = owner * FINE + (hashes >> _U(56)).astype(np.int64)
     return np.minimum(np.bincount(where, minlength=n * FINE), 255).astype(np.uint8).reshape(n, FINE)
 
 
@@ -190,8 +191,9 @@ def _bounded(percent: int):
     return run
 
 
-def _crossing(percent: int):
-    """Pairs of different components under the keys of one block of rows, if their counts allow a link."""
+def _crossing(percent: int, closest: bool):
+    """Pairs of different components under the keys of one block of rows, if their counts allow a link:
+    all of them, or only each row's closest partner."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         keys = np.asarray(table.column("key"))
         order = np.argsort(keys, kind="stable")
@@ -201,12 +203,20 @@ def _crossing(percent: int):
         n, label, classes, side = (np.asarray(table.column(c)) for c in ("n", "label", "class", "side"))
         found = set()
         for low, high in zip(bounds[:-1], bounds[1:]):
-            for i in range(low, high):  # against the rows after it; in a block of two sides, against the other side
-                others = np.arange(low, high) if side[low:high].any() and side[i] == 1 else np.arange(i + 1, high)
-                others = others[(label[others] != label[i]) & ((side[others] == 2) if side[i] == 1 else (side[others] == side[i]) & (side[i] == 0))]
-                others = others[may_link(n[i], n[others], 0 * n[others] + np.abs(n[others] - n[i]), percent)]
+            rows = np.arange(low, high)
+            for i in rows:
+                if side[i]:  # a block against another one: each row meets the other side
+                    others = rows[side[low:high] == 3 - side[i]] if closest or side[i] == 1 else rows[:0]
+                else:
+                    others = rows if closest else rows[i - low + 1:]
+                others = others[label[others] != label[i]]
+                others = others[may_link(n[i], n[others], np.abs(n[others] - n[i]), percent)]
                 if len(others):
-                    others = others[may_link(n[i], n[others], np.abs(counts[others] - counts[i]).sum(axis=1), percent)]
+                    apart = np.abs(counts[others] - counts[i]).sum(axis=1)
+                    near = may_link(n[i], n[others], apart, percent)
+                    others, apart = others[near], apart[near]
+                    if closest and len(others):
+                        others = others[[apart.argmin()]]
                     found.update((min(int(classes[i]), int(c)), max(int(classes[i]), int(c))) for c in classes[others])
         a, b = zip(*sorted(found)) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -239,6 +249,22 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _both(near, sets, "grams").mapInArrow(_linked(percent), "a bigint, b bigint")
 
 
+def _crossing_pairs(keys: DataFrame, sets: DataFrame, linked: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """Pairs (a, b) of classes that share a key, are not connected yet and may link."""
+    labelled = sets.select("class", "n", "counts").join(components(linked).withColumnRenamed("node", "class"), "class", "left")
+    held = keys.join(labelled.withColumn("label", F.coalesce("label", "class")), "class")
+    spread = (held.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("rows"))
+              .where("least <> most").select("key", F.ceil(F.col("rows") / BLOCK).alias("blocks")))
+    held = held.join(spread, "key").withColumn("block", F.pmod(F.xxhash64("class", F.lit(7)), "blocks"))
+    # a row meets its own block (side 0) and, as side 1 or 2, each other block of its key
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    own = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    parts = 8 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = held.select(own.alias("key"), "class", "n", "counts", "label", side.alias("side")).withColumn("part", F.pmod("key", F.lit(parts)))
+    return held.groupBy("part").applyInArrow(_crossing(percent, closest), "a bigint, b bigint").distinct()
+
+
 def jaccard_components(documents: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """Per row of documents(doc_id, text): doc_id, n_shingles, component_id.
 
@@ -273,24 +299,11 @@ def jaccard_components(documents: DataFrame, size: int = 3, percent: int = 90) -
         first = tried if first is None else first.unionByName(tried)
     linked = written(_links(first.distinct(), sets, percent), "jaccard-links")
 
-    labelled = sets.select("class", "n", "counts").join(components(linked).withColumnRenamed("node", "class"), "class", "left")
-    labelled = labelled.withColumn("label", F.coalesce("label", "class"))
-    held = keys.join(labelled, "class")
-    spread = (held.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("rows"))
-              .where("least <> most").select("key", F.ceil(F.col("rows") / BLOCK).alias("blocks")))
-    held = held.join(spread, "key").withColumn("block", F.pmod(F.xxhash64("class", F.lit(7)), "blocks"))
-    # a row meets its own block (side 0) and, as side 1 or 2, each other block of its key
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    held = held.select("key", "class", "n", "counts", "label", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"),
-                       F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
-    parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    crossing = (held.withColumn("part", F.pmod(F.xxhash64("key", "b1", "b2"), F.lit(parts)))
-                .withColumn("key", F.xxhash64("key", "b1", "b2")).drop("b1", "b2")
-                .groupBy("part").applyInArrow(_crossing(percent), "a bigint, b bigint").distinct())
-    more = _links(crossing, sets, percent)
+    for closest in (True, False):
+        linked = written(linked.unionByName(_links(_crossing_pairs(keys, sets, linked, percent, closest), sets, percent)).distinct(), "jaccard-links")
 
     first_of = {side: classes.select(F.col("class").alias(side), F.col("first").alias(f"first_{side}")) for side in "ab"}
-    links = linked.unionByName(more).join(first_of["a"], "a").join(first_of["b"], "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    links = linked.join(first_of["a"], "a").join(first_of["b"], "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
     named = classes.join(components(links).withColumnRenamed("node", "first"), "first", "left").select("class", F.coalesce("label", "first").alias("component_id"))
     return (rows.join(named, "class", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
