@@ -71,9 +71,15 @@ def suggested(spark, sf):
     return suggest_rules(profiled, "orders").drop("reason")
 
 
-@query("sampled_profile")
+_SAMPLED = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders
+  WHERE substr(md5(concat('42|', o_orderkey)), 1, 8) < '33333333'"""
+
+
+@query("sampled_profile", f"""SELECT * EXCLUDE (total_rows), total_rows AS sample_rows, (SELECT count(*) FROM orders) AS table_rows
+FROM ({" UNION ALL ".join(_profile_sql(i, *c, _SAMPLED) for i, c in enumerate(_PROFILE_COLUMNS[:5]))})""")
 def profile_of_sample(spark, sf):
-    return sampled_profile(table(spark, sf, "orders").drop("o_orderdate"), 0.2, bins=0)
+    sampled = sampled_profile(table(spark, sf, "orders").drop("o_orderdate"), 0.2, keys=["o_orderkey"], bins=0)
+    return sampled.drop("histogram")
 
 
 ORDER_RULES = [

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from steplake.conformance.registry import query, table
 from steplake.functions.sql import run_sql
 from steplake.operators.joins import as_of_join, full_join, range_join
-from steplake.operators.steps import deduplicate
+from steplake.operators.steps import deduplicate, sample_rows
 from steplake.operators.summary import quantiles
 from steplake.operators.windows import framed, running
 
@@ -57,13 +57,12 @@ def predicates(spark, sf):
 
 def _join(spark, sf, how):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    lines = table(spark, sf, "lineitem").filter("l_linenumber <= 3").select(
-        "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
     return orders.join(lines, orders.o_orderkey == lines.l_orderkey, how)
 
 
 _JOIN_SQL = """SELECT {columns} FROM (SELECT o_orderkey, o_custkey, o_totalprice FROM orders {o}) {how} JOIN
- (SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity FROM lineitem WHERE l_linenumber <= 3) ON o_orderkey = l_orderkey"""
+ (SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity FROM lineitem) ON o_orderkey = l_orderkey"""
 
 
 @query("join_inner", _JOIN_SQL.format(columns="*", how="INNER", o=""))
@@ -87,23 +86,24 @@ def join_right(spark, sf):
 
 @query("join_full", """
 SELECT coalesce(c_custkey, o_custkey) AS custkey, c_name, o_orderkey FROM
- (SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0) FULL JOIN
- (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F') ON c_custkey = o_custkey""")
+ (SELECT c_custkey + 100 AS c_custkey, c_name FROM customer) FULL JOIN
+ (SELECT o_custkey, o_orderkey FROM orders) ON c_custkey = o_custkey""")
 def join_full(spark, sf):
-    customer = table(spark, sf, "customer").filter("c_acctbal > 0").select("c_custkey", "c_name")
-    orders = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select("o_custkey", "o_orderkey")
+    """Shifted customer keys leave rows without a partner on both sides."""
+    customer = table(spark, sf, "customer").select((F.col("c_custkey") + 100).alias("c_custkey"), "c_name")
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
     return full_join(orders, customer, ["o_custkey"], ["c_custkey"]).select(
         F.coalesce("c_custkey", "o_custkey").alias("custkey"), "c_name", "o_orderkey")
 
 
 @query("join_semi", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE EXISTS"
-                    " (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber <= 3)")
+                    " (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def join_semi(spark, sf):
     return _join(spark, sf, "left_semi")
 
 
 @query("join_anti", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE NOT EXISTS"
-                    " (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber <= 3)")
+                    " (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def join_anti(spark, sf):
     return _join(spark, sf, "left_anti")
 
@@ -315,10 +315,10 @@ def pivot(spark, sf):
 
 @query("unpivot", """
 SELECT l_orderkey, l_linenumber, measure, amount FROM
- (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem WHERE l_linenumber = 1)
+ (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem)
 UNPIVOT (amount FOR measure IN (l_quantity, l_discount, l_tax))""")
 def unpivot(spark, sf):
-    return (table(spark, sf, "lineitem").filter("l_linenumber = 1")
+    return (table(spark, sf, "lineitem")
             .unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "measure", "amount"))
 
 
@@ -329,9 +329,11 @@ def star_except_replace(spark, sf):
             .withColumnsRenamed({"c_mktsegment": "segment"}))
 
 
-@query("sample")
+@query("sample", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders
+WHERE substr(md5(concat('42|', o_orderkey)), 1, 8) < '19999999'""")
 def sample(spark, sf):
-    return table(spark, sf, "orders").drop("o_orderdate").sample(fraction=0.1, seed=42)
+    return sample_rows(table(spark, sf, "orders"), ["o_orderkey"], 0.1, seed=42).drop("o_orderdate")
 
 
 # ---- scalar functions
@@ -385,8 +387,7 @@ def fn_date_sequence(spark, sf):
 _same_sql("fn_math", """SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * l_discount, 4) AS saved, CAST(floor(l_extendedprice / 7) AS BIGINT) AS f,
  CAST(ceil(l_quantity / 3) AS BIGINT) AS c, abs(l_quantity - 25) AS a, round(sqrt(l_extendedprice), 6) AS s, round(ln(l_quantity + 1), 6) AS l,
  round(power(l_discount, 2), 8) AS p, l_partkey % 7 AS m, greatest(l_discount, l_tax) AS g, CAST(sign(l_quantity - 25) AS INTEGER) AS sg,
- round(exp(l_tax), 6) AS e FROM lineitem
-WHERE l_linenumber = 2 """, "lineitem")
+ round(exp(l_tax), 6) AS e FROM lineitem """, "lineitem")
 
 
 @query("fn_array", """

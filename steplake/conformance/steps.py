@@ -7,7 +7,7 @@ from steplake.operators.edits import batch_edit
 from steplake.operators.steps import (aggregate, cast_columns, deduplicate, derive, drop_null,
                                       filter_rows, limit_rows, rename, sort_rows)
 from steplake.operators.summary import describe, ratio_to_mean
-from steplake.plans.step_list import Step, clean_orders_steps, clean_sensor_steps, run_steps, step_row_counts
+from steplake.plans.step_list import Step, clean_events_steps, clean_orders_steps, run_steps, step_row_counts
 
 LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                 "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -176,54 +176,40 @@ def sort_limit_offset(spark, sf):
     return limit_rows(ordered, 500, 100)
 
 
-# The orders table in the shape of the daily orders sample: some dates missing,
-# two orders per number, three payment states.
-_DAILY = """SELECT o_orderkey AS id, concat('INV/', o_custkey, '/', year(o_orderdate)) AS nomor_pesanan,
-  CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey END AS tanggal, o_orderpriority AS kategori,
-  o_totalprice AS total_harga,
-  CASE o_orderstatus WHEN 'F' THEN 'Lunas' WHEN 'O' THEN 'Pending' ELSE 'Gagal' END AS status_bayar FROM {orders}"""
-_DATED = f"(SELECT * FROM ({_DAILY.format(orders='orders')}) WHERE tanggal IS NOT NULL)"
-_NUMBERED = f"""(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY nomor_pesanan ORDER BY id) AS rn
-  FROM {_DATED}) WHERE rn = 1)"""
+_KEPT = """(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
+  CASE WHEN o_totalprice < 50000 THEN 'low' WHEN o_totalprice < 250000 THEN 'mid' ELSE 'high' END AS band
+  FROM orders WHERE o_totalprice >= 1000 AND o_orderdate IS NOT NULL AND o_orderstatus IS NOT NULL)"""
+_FIRSTS = f"""(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, band ORDER BY o_orderkey) AS rn
+  FROM {_KEPT}) WHERE rn = 1)"""
 
 
-def _daily(spark, sf):
-    return spark.sql(_DAILY, orders=table(spark, sf, "orders"))
-
-
-@query("clean_orders", f"SELECT * FROM {_NUMBERED} WHERE status_bayar = 'Lunas'")
+@query("clean_orders", f"SELECT * FROM {_FIRSTS}")
 def clean_orders(spark, sf):
-    return run_steps(_daily(spark, sf), clean_orders_steps())
+    return run_steps(table(spark, sf, "orders"), clean_orders_steps()).drop("o_orderdate")
 
 
-@query("clean_orders_totals", f"""
-SELECT kategori, round(sum(total_harga), 2) AS total_revenue, count(id) AS jumlah_pesanan
-FROM {_NUMBERED} WHERE status_bayar = 'Lunas' GROUP BY kategori""")
+@query("clean_orders_totals", f"SELECT band, round(sum(o_totalprice), 2) AS worth, count(*) AS customers FROM {_FIRSTS} GROUP BY band")
 def clean_orders_totals(spark, sf):
     steps = [Step(s.kind, s.params, s.name) for s in clean_orders_steps()]
-    return run_steps(_daily(spark, sf), steps).withColumn("total_revenue", F.round("total_revenue", 2))
+    return run_steps(table(spark, sf, "orders"), steps).withColumn("worth", F.round("worth", 2))
 
 
 @query("step_row_counts", f"""
-WITH counts AS (SELECT (SELECT count(*) FROM orders) AS a, (SELECT count(*) FROM {_DATED}) AS b,
-  (SELECT count(*) FROM {_NUMBERED}) AS c, (SELECT count(*) FROM {_NUMBERED} WHERE status_bayar = 'Lunas') AS d)
-SELECT 1 AS step, 'drop_null' AS kind, 'rows with a date' AS name, a AS rows_in, b AS rows_out FROM counts
-UNION ALL SELECT 2, 'deduplicate', 'one row per order number', b, c FROM counts
-UNION ALL SELECT 3, 'filter', 'paid orders', c, d FROM counts""")
+WITH counts AS (SELECT (SELECT count(*) FROM orders) AS a, (SELECT count(*) FROM orders WHERE o_totalprice >= 1000) AS b,
+  (SELECT count(*) FROM {_KEPT}) AS c, (SELECT count(*) FROM {_FIRSTS}) AS d)
+SELECT 1 AS step, 'filter' AS kind, 'orders worth a call' AS name, a AS rows_in, b AS rows_out FROM counts
+UNION ALL SELECT 2, 'drop_null', 'with date and status', b, c FROM counts
+UNION ALL SELECT 3, 'derive', 'price band', c, c FROM counts
+UNION ALL SELECT 4, 'deduplicate', 'first of customer and band', c, d FROM counts""")
 def row_counts(spark, sf):
-    return step_row_counts(_daily(spark, sf), clean_orders_steps())
-
-
-_SENSOR = """SELECT event_id AS sensor_id, value AS suhu_celsius, event_id AS waktu_rekam,
-  CASE event_type WHEN 'error' THEN 'KRITIS' WHEN 'signup' THEN 'PERINGATAN' WHEN 'purchase' THEN 'PERINGATAN'
-  ELSE 'NORMAL' END AS status FROM {events}"""
+    return step_row_counts(table(spark, sf, "orders"), clean_orders_steps())
 
 
-@query("clean_sensor", f"""
-SELECT *, CASE WHEN status = 'KRITIS' THEN 3 WHEN status = 'PERINGATAN' THEN 2 ELSE 1 END AS level_urgensi
-FROM ({_SENSOR.format(events='events')}) WHERE status <> 'NORMAL'""")
-def clean_sensor(spark, sf):
-    return run_steps(spark.sql(_SENSOR, events=table(spark, sf, "events")), clean_sensor_steps())
+@query("clean_events", """
+SELECT event_id AS id, user_id, event_type, value, round(value * 10) + user_id % 7 AS points FROM events
+WHERE event_type <> 'view' AND value IS NOT NULL""")
+def clean_events(spark, sf):
+    return run_steps(table(spark, sf, "events").drop("ts", "props"), clean_events_steps())
 
 
 # every tenth customer edited, some of them twice, some set to NULL

@@ -135,12 +135,14 @@ def stream_steps(spark, sf):
 
 @query("stream_dedup", "SELECT event_id, user_id FROM events")
 def stream_dedup(spark, sf):
-    """Every event arrives twice and is kept once."""
-    path = scratch_path(spark, "dedup")
-    twice = _event_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    streams.append_stream(streams.drop_repeats(twice, ["event_id"], "ts").select("event_id", "user_id"), path,
-                          scratch_path(spark, "offsets"))
-    return spark.read.parquet(path)
+    """Every event arrives twice, in files without any order that are read one at a time, and is kept once."""
+    events = table(spark, sf, "events").select("event_id", "user_id")
+    landed, path = scratch_path(spark, "landed"), scratch_path(spark, "dedup")
+    twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    twice.repartitionById(5, F.pmod(F.xxhash64("event_id", "copy"), F.lit(5)).cast("int")).write.parquet(landed)
+    stream = spark.readStream.schema(twice.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    streams.drop_repeats(stream, ["event_id"], path, scratch_path(spark, "offsets"))
+    return spark.read.parquet(path).select("event_id", "user_id")
 
 
 @query("stream_parse", _PARSED)

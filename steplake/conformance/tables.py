@@ -1,4 +1,4 @@
-"""Sources, sinks, documents, versioned tables, guards, workflows and user code on the driver tables.
+"""Sources, sinks, documents, partitioned tables, guards, workflows and user code on the driver tables.
 
 Whatever a query writes goes to a fresh folder below the shared folder.
 """
@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from steplake.conformance.registry import query, table
 from steplake.functions.sql import run_sql
 from steplake.functions.user import Context, combine_groups, map_batches, map_groups, map_groups_arrow, run_script
+from steplake.operators import partitioned
 from steplake.operators.guards import estimate_scan, require_partition_filter
 from steplake.operators.nested import expand_json, flatten, infer_types, read_documents
-from steplake.operators.versioned import VersionedTable, list_versioned_tables
 from steplake.plans.workflow import Node, run_workflow
 from steplake.session import scratch_path
-from steplake.sources.catalog import list_tables, page, table_schema
-from steplake.sources.files import list_objects, read_any, read_csv, read_log_jsonl
+from steplake.sources.catalog import list_tables, page
+from steplake.sources.files import read_any, read_csv, read_log_jsonl
 from steplake.sources.sinks import export_csv, export_json, export_parquet, save_as_table, write_documents, write_files
 
 # ---- files
@@ -92,21 +92,15 @@ def documents_round_trip(spark, sf):
     return back.withColumnsRenamed({"who.id": "who_id", "who.value": "who_value"})
 
 
-_NAMES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier"
-
-
-@query("list_objects", "\nUNION ALL ".join(
-    f"SELECT '{n}.parquet' AS name, CASE WHEN count(*) >= 0 THEN 'table' END AS node_type FROM {n}" for n in _NAMES.split()))
-def objects(spark, sf):
-    return list_objects(spark, sf).drop("size_bytes")
+_COLUMNS = {"benchmark": 2, "conversations": 4, "customer": 5, "documents": 5, "embeddings": 3, "events": 6, "labels": 3,
+            "lineitem": 11, "nation": 3, "orders": 6, "pages": 3, "part": 6, "region": 2, "supplier": 4}
 
 
 @query("list_tables", "\nUNION ALL ".join(
     f"SELECT '{n}' AS table_name, count(*) AS row_count, {k} AS column_count FROM {n}"
-    for n, k in (("orders", 6), ("lineitem", 11), ("customer", 5), ("documents", 5), ("region", 2))))
+    for n, k in _COLUMNS.items()))
 def listed_tables(spark, sf):
-    names = ("orders", "lineitem", "customer", "documents", "region")
-    return list_tables({n: table(spark, sf, n) for n in names}).drop("size_bytes", "updated_at")
+    return list_tables({n: table(spark, sf, n) for n in _COLUMNS}).drop("size_bytes", "updated_at")
 
 
 @query("preview_page", "SELECT * FROM customer ORDER BY c_custkey LIMIT 100 OFFSET 200")
@@ -114,14 +108,6 @@ def preview_page(spark, sf):
     return page(table(spark, sf, "customer"), ["c_custkey"], 100, 200)
 
 
-@query("table_schema", """
-SELECT CAST(column_index AS INTEGER) AS position, column_name AS name FROM duckdb_columns()
-WHERE table_name = 'lineitem' AND column_index IS NOT NULL AND (SELECT count(*) FROM lineitem) >= 0""")
-def schema_of_lines(spark, sf):
-    out = table_schema(table(spark, sf, "lineitem"))
-    return out.select((F.col("position") + 1).alias("position"), "name")
-
-
 @query("newest_log_lines", """
 SELECT event_id, event_type, user_id FROM events ORDER BY ts DESC, event_id LIMIT 50""")
 def newest_log_lines(spark, sf):
@@ -132,13 +118,13 @@ def newest_log_lines(spark, sf):
 
 
 @query("create_insert_view", """
-SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1""")
+SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1""")
 def create_insert_view(spark, sf):
     """CREATE TABLE AS, INSERT by name, and a temporary view."""
     name, orders = "orders_" + uuid.uuid4().hex, table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     path = scratch_path(spark, "saved")
     save_as_table(orders.filter("o_orderstatus = 'F'"), name, path=path)
-    save_as_table(orders.filter("o_orderstatus = 'O'").select("o_orderstatus", "o_orderkey"), name, "append")
+    save_as_table(orders.filter("o_orderstatus <> 'F'").select("o_orderstatus", "o_orderkey"), name, "append")
     spark.table(name).createOrReplaceTempView(f"{name}_view")
     counted = run_sql(spark, f"SELECT o_orderstatus, count(*) AS n FROM {name}_view GROUP BY 1", None)
     spark.catalog.dropTempView(f"{name}_view")
@@ -171,12 +157,12 @@ SELECT name, CASE WHEN (SELECT count(*) FROM events) > 0 THEN data_type END AS d
 def infer_json_schema(spark, sf):
     docs = table(spark, sf, "events").select("event_id", F.to_json(F.struct(
         F.struct(F.col("user_id").alias("id"), F.struct(F.col("event_type").alias("kind")).alias("b")).alias("a"),
-        F.when(F.col("event_id") > 5, F.col("value") + 0.125).alias("late"), (F.col("user_id") > 3).alias("flag"),
+        F.when(F.col("event_id") > 500, F.col("value") + 0.125).alias("late"), (F.col("user_id") > 3).alias("flag"),
         F.array("event_type").alias("list"))).alias("doc"))
-    return infer_types(docs, "doc", "event_id", 100)
+    return infer_types(docs, "doc", "event_id")
 
 
-# ---- versioned tables
+# ---- partitioned tables and snapshots
 
 _PLAIN = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
 
@@ -185,118 +171,109 @@ def _orders(spark, sf):
     return table(spark, sf, "orders").drop("o_orderdate")
 
 
-def _table(spark, name):
-    return VersionedTable(spark, scratch_path(spark, name))
-
-
 @query("merge_upsert", f"""
-SELECT * REPLACE (CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice) FROM ({_PLAIN})""")
+SELECT * REPLACE (CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice,
+  CASE WHEN o_orderkey % 35 = 0 THEN 'F' ELSE o_orderstatus END AS o_orderstatus) FROM ({_PLAIN})""")
 def merge_upsert(spark, sf):
-    orders, target = _orders(spark, sf), _table(spark, "merge")
-    target.overwrite(orders.filter("o_orderkey % 3 <> 0"), partition_by=["o_orderstatus"])
+    """Incoming rows change other rows of the table, add new ones, and move some to another partition."""
+    orders, path = _orders(spark, sf), scratch_path(spark, "merge")
+    partitioned.overwrite(orders.filter("o_orderkey % 3 <> 0"), path, ["o_orderstatus"])
     changed = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice"))
-    target.merge(orders.filter("o_orderkey % 3 = 0 OR o_orderkey % 5 = 0").withColumn("o_totalprice", changed),
-                 ["o_orderkey"])
-    return target.read()
+    moved = F.when(F.col("o_orderkey") % 35 == 0, "F").otherwise(F.col("o_orderstatus"))
+    incoming = orders.filter("o_orderkey % 3 = 0 OR o_orderkey % 5 = 0").withColumns({"o_totalprice": changed, "o_orderstatus": moved})
+    partitioned.merge(incoming, path, ["o_orderkey"], ["o_orderstatus"])
+    return partitioned.read_table(spark, path, orders.schema)
+
+
+@query("append_overwrite_counts", """
+SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0) AS first, (SELECT count(*) FROM orders) AS second,
+  (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS third""")
+def append_overwrite_counts(spark, sf):
+    orders, path, counts = _orders(spark, sf), scratch_path(spark, "writes"), []
+    for write, rows in ((partitioned.overwrite, orders.filter("o_orderkey % 2 = 0")), (partitioned.append, orders.filter("o_orderkey % 2 = 1")),
+                        (partitioned.overwrite, orders.filter("o_orderstatus = 'F'"))):
+        write(rows, path, ["o_orderpriority"])
+        counts.append(partitioned.read_table(spark, path, orders.schema).count())
+    return orders.select(*[F.lit(n).alias(name) for n, name in zip(counts, ("first", "second", "third"))]).limit(1)
 
 
-def _three_versions(spark, sf):
-    orders, target = _orders(spark, sf), _table(spark, "history")
-    target.overwrite(orders.filter("o_orderkey % 2 = 0"))
-    target.append(orders.filter("o_orderkey % 2 = 1"))
-    target.overwrite(orders.filter("o_orderstatus = 'F'"))
-    return target
+def _three_snapshots(spark, sf):
+    orders, path = _orders(spark, sf), scratch_path(spark, "snapshots")
+    for number, condition in enumerate(("o_orderkey % 2 = 0", "true", "o_orderstatus = 'F'"), 1):
+        partitioned.write_snapshot(orders.filter(condition), path, number)
+    return orders, path
 
 
 @query("table_history", """
-SELECT 1 AS version, 'overwrite' AS operation, count(*) AS total_rows, count(*) AS rows_written FROM orders WHERE o_orderkey % 2 = 0
-UNION ALL SELECT 2, 'append', count(*), count(*) FILTER (WHERE o_orderkey % 2 = 1) FROM orders
-UNION ALL SELECT 3, 'overwrite', count(*), count(*) FROM orders WHERE o_orderstatus = 'F'""")
+SELECT 1 AS snapshot, count(*) AS total_rows FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT 2, count(*) FROM orders UNION ALL SELECT 3, count(*) FROM orders WHERE o_orderstatus = 'F'""")
 def table_history(spark, sf):
-    return _three_versions(spark, sf).history().select(
-        F.col("version").cast("int").alias("version"), "operation", "total_rows", "rows_written")
+    return partitioned.snapshot_rows(spark, _three_snapshots(spark, sf)[1])
 
 
 @query("as_of_read", f"{_PLAIN} WHERE o_totalprice > 100000")
 def as_of_read(spark, sf):
-    return _three_versions(spark, sf).read("o_totalprice > 100000", version=2)
+    orders, path = _three_snapshots(spark, sf)
+    return partitioned.read_snapshot(spark, path, orders.schema, 2).filter("o_totalprice > 100000")
 
 
-@query("append_overwrite_counts", """
-SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0) AS first, (SELECT count(*) FROM orders) AS second,
-  (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS third""")
-def append_overwrite_counts(spark, sf):
-    target = _three_versions(spark, sf)
-    counts = [target.read(version=v).select(F.lit(v).alias("v")) for v in (1, 2, 3)]
-    every = counts[0].unionAll(counts[1]).unionAll(counts[2])
-    return every.agg(*[F.count_if(F.col("v") == i).alias(n) for i, n in enumerate(("first", "second", "third"), 1)])
+@query("vacuum_retains", """
+SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS n, count(*) AS n_before FROM orders""")
+def vacuum_retains(spark, sf):
+    """The newest two snapshots stay readable."""
+    orders, path = _three_snapshots(spark, sf)
+    partitioned.drop_snapshots(spark, path, 2)
+    last, before = (partitioned.read_snapshot(spark, path, orders.schema, n) for n in (None, 2))
+    return last.agg(F.count(F.lit(1)).alias("n")).select("n", before.agg(F.count(F.lit(1))).scalar().alias("n_before"))
 
 
 @query("compact_rows", "SELECT event_id, user_id, event_type, value, props FROM events")
 def compact_rows(spark, sf):
-    events, target = table(spark, sf, "events").drop("ts"), _table(spark, "compact")
+    events, path = table(spark, sf, "events").drop("ts"), scratch_path(spark, "compact")
     for part in range(3):
-        target.append(events.filter(F.col("event_id") % 3 == part), partition_by=["event_type"])
-    before = target.header()["file_count"]
-    report = target.compact()
-    if not report["new_files_count"] < before:
-        raise AssertionError(f"compaction left {report['new_files_count']} of {before} files")
-    return target.read()
-
-
-@query("vacuum_retains", "SELECT count(*) AS n, count(*) AS n_before FROM orders")
-def vacuum_retains(spark, sf):
-    orders, target = _orders(spark, sf), _table(spark, "vacuum")
-    target.overwrite(orders.filter("o_orderstatus = 'F'"))
-    target.overwrite(orders)
-    target.overwrite(orders.withColumn("o_totalprice", F.col("o_totalprice") + 1))
-    target.vacuum(retention_versions=1)
-    return target.read().agg(F.count(F.lit(1)).alias("n")).select(
-        "n", target.read(version=2).agg(F.count(F.lit(1))).scalar().alias("n_before"))
+        partitioned.append(events.filter(F.col("event_id") % 3 == part), path, ["event_type"])
+    report = partitioned.compact(spark, path, events.schema, ["event_type"])
+    if not report["new_files_count"] < report["previous_files_count"]:
+        raise AssertionError(f"compaction left {report['new_files_count']} of {report['previous_files_count']} files")
+    return partitioned.read_table(spark, path, events.schema)
 
 
 @query("file_statistics", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def file_statistics(spark, sf):
-    target = _table(spark, "files")
-    target.overwrite(table(spark, sf, "events").drop("ts"), partition_by=["event_type"])
-    return target.files().groupBy(F.regexp_extract("partition", "event_type=(.*)", 1).alias("event_type")).agg(
-        F.sum("rows").alias("n"))
+    events, path = table(spark, sf, "events").drop("ts"), scratch_path(spark, "files")
+    partitioned.overwrite(events, path, ["event_type"])
+    return partitioned.files(spark, path, events.schema, ["event_type"]).groupBy("event_type").agg(F.sum("rows").alias("n"))
 
 
-@query("list_versioned_tables", """
-SELECT 'customers' AS table_name, 1 AS version, count(*) AS total_rows FROM customer
-UNION ALL SELECT 'orders', 2, count(*) FROM orders""")
-def versioned_tables(spark, sf):
-    root = scratch_path(spark, "warehouse")
-    VersionedTable(spark, f"{root}/customers").overwrite(table(spark, sf, "customer"))
-    orders = VersionedTable(spark, f"{root}/orders")
-    orders.overwrite(_orders(spark, sf).filter("o_orderkey % 4 = 0"))
-    orders.append(_orders(spark, sf).filter("o_orderkey % 4 <> 0"))
-    return list_versioned_tables(spark, root).select("table_name", F.col("version").cast("int").alias("version"),
-                                                     "total_rows")
+_DAILY = """SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, value FROM events"""
+# the days from the eighth one on, and all but the last two
+_RANGE = "(SELECT strftime(min(ts) + INTERVAL 7 DAY, '%Y-%m-%d') AS a, strftime(max(ts) - INTERVAL 2 DAY, '%Y-%m-%d') AS b FROM events)"
 
 
-_DAILY = """SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, value FROM events"""
+def _daily(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "value")
 
 
 def _backfilled(spark, sf):
-    events = table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "value")
-    target = _table(spark, "backfill")
-    target.overwrite(events.filter("day <= '2024-01-10'"), partition_by=["day"])
-    runs = target.backfill(events.withColumn("value", F.col("value") + 1000), "day", "2024-01-08", "2024-01-13")
-    return target, runs
+    daily, path = _daily(spark, sf), scratch_path(spark, "backfill")
+    day = "yyyy-MM-dd"
+    first, last = table(spark, sf, "events").agg(F.date_format(F.min("ts") + F.expr("INTERVAL 7 DAY"), day),
+                                                 F.date_format(F.max("ts") - F.expr("INTERVAL 2 DAY"), day)).first()
+    partitioned.overwrite(daily, path, ["day"])
+    runs = partitioned.backfill(daily.withColumn("value", F.col("value") + 1000), path, "day", first, last)
+    return partitioned.read_table(spark, path, daily.schema), runs
 
 
 @query("backfill_days", f"""
-SELECT event_id, day, CASE WHEN day >= '2024-01-08' THEN value + 1000 ELSE value END AS value
-FROM ({_DAILY}) WHERE day <= '2024-01-13'""")
+SELECT event_id, day, CASE WHEN day BETWEEN a AND b THEN value + 1000 ELSE value END AS value FROM ({_DAILY}), {_RANGE}""")
 def backfill_days(spark, sf):
-    return _backfilled(spark, sf)[0].read()
+    return _backfilled(spark, sf)[0]
 
 
 @query("backfill_runs", f"""
-SELECT day AS backfill_date, 'success' AS status, count(*) AS rows_processed FROM ({_DAILY})
-WHERE day BETWEEN '2024-01-08' AND '2024-01-13' GROUP BY 1""")
+SELECT d AS backfill_date, 'success' AS status, count(event_id) AS rows_processed
+FROM (SELECT strftime(unnest(generate_series(CAST(a AS DATE), CAST(b AS DATE), INTERVAL 1 DAY)), '%Y-%m-%d') AS d FROM {_RANGE})
+LEFT JOIN ({_DAILY}) ON day = d GROUP BY 1""")
 def backfill_runs(spark, sf):
     return _backfilled(spark, sf)[1].select("backfill_date", "status", "rows_processed")
 
@@ -304,11 +281,10 @@ def backfill_runs(spark, sf):
 @query("overwrite_partitions", f"""
 SELECT event_id, day, value FROM ({_DAILY}) WHERE day NOT IN ('2024-01-03', '2024-01-04') OR value > 5""")
 def overwrite_partitions(spark, sf):
-    events = table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "value")
-    target = _table(spark, "partitions")
-    target.overwrite(events, partition_by=["day"])
-    target.overwrite_partitions(events.filter("day IN ('2024-01-03', '2024-01-04') AND value > 5"))
-    return target.read()
+    daily, path = _daily(spark, sf), scratch_path(spark, "partitions")
+    partitioned.overwrite(daily, path, ["day"])
+    partitioned.overwrite_partitions(daily.filter("day IN ('2024-01-03', '2024-01-04') AND value > 5"), path, ["day"])
+    return partitioned.read_table(spark, path, daily.schema)
 
 
 # ---- guards
@@ -320,15 +296,16 @@ def scan_estimate(spark, sf):
 
 
 @query("partition_guard", f"""
-SELECT count(*) AS n, true AS fine, false AS loose FROM ({_DAILY}) WHERE day = '2024-01-05'""")
+SELECT count(*) AS n, true AS fine, true AS joined, false AS loose, false AS other FROM ({_DAILY}) WHERE day = '2024-01-05'""")
 def partition_guard(spark, sf):
-    target = _table(spark, "guard")
-    events = table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "value")
-    target.overwrite(events, partition_by=["day"])
-    one_day = target.read("day = '2024-01-05'")
-    fine, _ = require_partition_filter(one_day, ["day"])
-    loose, _ = require_partition_filter(target.read("value > 3"), ["day"])
-    return one_day.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(fine).alias("fine"), F.lit(loose).alias("loose"))
+    """Equality on the partition passes, beside other filters and joins too; inequality and alternatives don't."""
+    path, daily = scratch_path(spark, "guard"), _daily(spark, sf)
+    partitioned.overwrite(daily, path, ["day"])
+    stored, events = partitioned.read_table(spark, path, daily.schema), table(spark, sf, "events").select("event_id", "user_id")
+    one_day = stored.filter("day = '2024-01-05'")
+    asked = {"fine": one_day, "joined": one_day.filter("day > '2023' AND day < '2025'").join(events, "event_id"),
+             "loose": stored.filter("value > 3 AND day <> '2024-01-05'"), "other": stored.filter("day = '2024-01-05' OR day > '2024-01-07'")}
+    return one_day.agg(F.count(F.lit(1)).alias("n")).select("n", *[F.lit(require_partition_filter(df, ["day"])[0]).alias(k) for k, df in asked.items()])
 
 
 # ---- workflows

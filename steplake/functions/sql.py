@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 RESULT_LIMIT = 1000
 
 
-def run_sql(spark: SparkSession, sql: str, limit: int | None = RESULT_LIMIT, **frames: DataFrame) -> DataFrame:
+def run_sql(spark: SparkSession, sql: str, limit: int | None = None, **frames: DataFrame) -> DataFrame:
     """Any Spark SQL text; ``{name}`` stands for the DataFrame passed under that name.
 
-    The limit is for results shown to a person; ``None`` gives the whole result.
+    The result is whole; a limit is for rows shown to a person.
     """
     if not sql or not sql.strip():
         raise ValueError("the SQL text is empty")

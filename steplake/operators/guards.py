@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -46,22 +45,40 @@ def estimate_scan(df: DataFrame, max_bytes: int | None = None, confirmed: bool =
     return ScanEstimate(rows, size, files)
 
 
-def partition_filters(df: DataFrame) -> list[str]:
-    """The partition filters of every file scan in the physical plan."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters", plan, re.DOTALL)
+def _fixed_columns(scan) -> set[str]:
+    """The partition columns that a scan compares with values by equality; Spark has split the conditions on AND."""
+    fixed, filters = set(), scan.partitionFilters()
+    for i in range(filters.size()):
+        condition = filters.apply(i)
+        kind = condition.getClass().getSimpleName()
+        if kind == "EqualTo":
+            sides = [condition.left(), condition.right()]
+        elif kind == "In":
+            sides = [condition.value()]
+        elif kind == "InSet":
+            sides = [condition.child()]
+        else:
+            continue
+        while any(s.getClass().getSimpleName() == "Cast" for s in sides):
+            sides = [s.child() if s.getClass().getSimpleName() == "Cast" else s for s in sides]
+        fixed |= {s.name() for s in sides if s.getClass().getSimpleName() == "AttributeReference"}
+    return fixed
 
 
 def require_partition_filter(df: DataFrame, columns: Sequence[str], allow_full_scan: bool = False) -> tuple[bool, str]:
-    """Whether every scan fixes a partition column by equality, and what to say if not."""
+    """Whether every scan of partitioned files fixes one of the columns by equality, and what to say if not.
+
+    Files without partitions, such as small tables joined to the large one, are not judged.
+    """
     if allow_full_scan:
         return False, "the query asks for a full scan of the table"
-    scans = partition_filters(df)
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    scans = [leaves.apply(i) for i in range(leaves.size())]
+    scans = [s for s in scans if s.getClass().getSimpleName() == "FileSourceScanExec" and s.relation().partitionSchema().size() > 0]
     if not scans:
         return False, "the query reads no partitioned files"
-    for found in scans:
-        if not any(re.search(rf"\(?\b{re.escape(c)}#\d+L? = |\b{re.escape(c)}#\d+L? IN ", found) for c in columns):
-            return False, f"the query does not fix a partition column ({', '.join(columns)})"
+    if any(not _fixed_columns(s) & set(columns) for s in scans):
+        return False, f"the query does not fix a partition column ({', '.join(columns)})"
     return True, "the query reads only the partitions it names"
 
 

@@ -60,7 +60,11 @@ def as_of_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], wi
     left_type = left.select(left_row.alias("s")).schema[0].dataType
     right_type = right.select(right_row.alias("s")).schema[0].dataType
     lefts = tagged(left, on, 1, left_row, F.lit(None).cast(right_type))
-    rights = tagged(right, right_on, 0, F.lit(None).cast(left_type), right_row)
+    # a right row without a time or key is no partner
+    known = F.lit(True)
+    for c in (right_on, *by):
+        known = known & quoted(c).isNotNull()
+    rights = tagged(right.filter(known), right_on, 0, F.lit(None).cast(left_type), right_row)
     both = lefts.unionByName(rights)
 
     inside = Window.partitionBy("__cell").orderBy("__at", "__side", "__r").rowsBetween(Window.unboundedPreceding, 0)
@@ -74,8 +78,8 @@ def as_of_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], wi
     carried = lasts.select(F.col("__cell").alias("__from"), F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
 
     joined = local.join(carried, F.col("__cell") == F.col("__from"), "left")
-    # a left row without a key has no partner, but stays
-    known = F.lit(True)
+    # a left row without a time or key has no partner, but stays
+    known = F.col("__at").isNotNull()
     for k in keys:
         known = known & F.col("__cell")[k].isNotNull()
     match = F.when(known, F.coalesce("__near", "__carried"))
@@ -87,17 +91,27 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, start: str,
                by: Sequence[str] = ()) -> DataFrame:
     """Pairs where ``start <= point <= end`` (and the ``by`` columns agree), without a nested loop.
 
-    Intervals are repeated once per stretch of ``width`` they touch, so the join
-    is an equality on key and stretch; choose a width near the usual interval.
+    An interval is repeated once per stretch it touches, so the join is an
+    equality on key and stretch. Stretches of level n are ``width * 2**n`` long and an
+    interval takes the level of its own length, so it touches three at most; a point
+    stands in one stretch of each level that occurs. Choose a width near the usual interval.
     """
     require_columns(points, [point, *by])
     require_columns(intervals, [start, end, *by])
-    size = F.lit(float(width))
-    cut = points.withColumn("__stretch", F.floor(_axis(points, point) / size))
-    spread = intervals.filter(quoted(start) <= quoted(end)).withColumn("__stretch", F.explode(F.sequence(
-        F.floor(_axis(intervals, start) / size), F.floor(_axis(intervals, end) / size))))
-    joined = cut.join(spread, [*by, "__stretch"])
-    return joined.filter((quoted(point) >= quoted(start)) & (quoted(point) <= quoted(end))).drop("__stretch")
+    first, last, size = _axis(intervals, start), _axis(intervals, end), F.lit(float(width))
+    level = F.greatest(F.lit(0), F.ceil(F.log2((last - first) / size))).cast("int")
+    level = F.when(last - first > size, level).otherwise(0)
+    sized = intervals.filter(quoted(start) <= quoted(end)).withColumn("__level", level)
+    # at most as many levels as a double has exponents
+    levels = sorted(r["__level"] for r in sized.select("__level").distinct().collect()) or [0]
+
+    def cell(axis: Column) -> Column:
+        return F.floor(axis / (size * F.pow(F.lit(2.0), F.col("__level"))))
+
+    spread = sized.withColumn("__stretch", F.explode(F.sequence(cell(first), cell(last))))
+    cut = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)))).withColumn("__stretch", cell(_axis(points, point)))
+    joined = cut.join(spread, [*by, "__level", "__stretch"])
+    return joined.filter((quoted(point) >= quoted(start)) & (quoted(point) <= quoted(end))).drop("__level", "__stretch")
 
 
 def full_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str]) -> DataFrame:

@@ -46,17 +46,65 @@ def infer_value_schema(df: DataFrame, column: str = "value") -> T.StructType:
     found = df.agg(F.schema_of_variant_agg(F.try_parse_json(quoted(column)))).first()[0]
     if not found or not found.startswith("OBJECT<"):
         raise ValueError(f"column {column!r} does not hold JSON objects")
-    return T.StructType.fromDDL(_spark_type(found))
+    return _TypeText(found).read()
 
 
-def _spark_type(variant_type: str) -> str:
-    # decimals are how variants keep fractions; a document's fraction is a double
-    text = variant_type.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("VARIANT", "STRING")
-    out, rest = "", text
-    while "DECIMAL(" in rest:
-        before, after = rest.split("DECIMAL(", 1)
-        out, rest = out + before + "DOUBLE", after.split(")", 1)[1]
-    return out + rest
+class _TypeText:
+    """Reads the text of a variant's type; field names are taken as they are.
+
+    Decimals are how variants keep fractions, a document's fraction is a double; a
+    value that is always null, or of several kinds, is text.
+    """
+
+    LEAVES = {"BOOLEAN": T.BooleanType(), "BIGINT": T.LongType(), "DOUBLE": T.DoubleType(), "FLOAT": T.DoubleType(),
+              "STRING": T.StringType(), "VOID": T.StringType(), "VARIANT": T.StringType(), "DATE": T.DateType(),
+              "TIMESTAMP": T.TimestampType(), "BINARY": T.BinaryType()}
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def _takes(self, token: str) -> bool:
+        if self.text.startswith(token, self.at):
+            self.at += len(token)
+            return True
+        return False
+
+    def read(self) -> T.DataType:
+        if self._takes("OBJECT<"):
+            fields = []
+            while not self._takes(">"):
+                self._takes(", ")
+                name = self._name()
+                fields.append(T.StructField(name, self.read()))
+            return T.StructType(fields)
+        if self._takes("ARRAY<"):
+            item = self.read()
+            self._takes(">")
+            return T.ArrayType(item)
+        end = self.at
+        while end < len(self.text) and (self.text[end].isalpha() or self.text[end] == "_"):
+            end += 1
+        word, self.at = self.text[self.at:end], end
+        if self._takes("("):
+            self.at = self.text.index(")", self.at) + 1
+        if word == "DECIMAL":
+            return T.DoubleType()
+        return self.LEAVES.get(word, T.StringType())
+
+    def _name(self) -> str:
+        if self._takes("`"):
+            name = ""
+            while True:
+                end = self.text.index("`", self.at)
+                name, self.at = name + self.text[self.at:end], end + 1
+                if not self._takes("`"):
+                    break
+                name += "`"
+            self._takes(": ")
+            return name
+        end = self.text.index(": ", self.at)
+        name, self.at = self.text[self.at:end], end + 2
+        return name
 
 
 def expand_json(df: DataFrame, column: str, schema: T.StructType | str | None = None, sep: str = ".") -> DataFrame:
@@ -65,14 +113,13 @@ def expand_json(df: DataFrame, column: str, schema: T.StructType | str | None =
     return flatten(df.withColumn(column, F.from_json(quoted(column), kind)), sep)
 
 
-def infer_types(df: DataFrame, column: str, order_by: str, sample: int = 100) -> DataFrame:
-    """Field names and types of JSON documents, judged from the first rows in order.
+def infer_types(df: DataFrame, column: str, order_by: str) -> DataFrame:
+    """Field names and types of JSON documents, judged from all of them.
 
-    The first value that is no text decides a field's type: boolean, bigint or
+    The first value in order that is no text decides a field's type: boolean, bigint or
     double; otherwise the field is text.
     """
-    head = df.orderBy(quoted(order_by)).limit(sample).select(
-        quoted(order_by).alias("at"), quoted(column).alias("doc"))
+    head = df.select(quoted(order_by).alias("at"), quoted(column).alias("doc"))
     schema = infer_value_schema(head, "doc")
     paths = [name for name, *_ in _leaves(schema, lambda n: F.lit(None), "", "\x00")]
     doc = F.try_parse_json("doc")

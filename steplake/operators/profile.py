@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from steplake.operators.steps import quoted, require_columns
+from steplake.operators.steps import quoted, require_columns, sample_rows
 
 
 def display_type(data_type: T.DataType) -> str:
@@ -33,19 +33,26 @@ def _numeric(df: DataFrame, columns: Sequence[str]) -> list[str]:
 def histogram(df: DataFrame, columns: Sequence[str] | str, bins: int = 8) -> DataFrame:
     """Equal-width bins per numeric column: column, bin (1..bins), low, high, count and height 0..1.
 
-    Two passes over the listed columns, whatever their number: one for the
+    NaN and infinite values have no place between the limits; where a column has some they
+    are counted in bin 0, without limits and height. Two passes over the listed columns, whatever their number: one for the
     limits, one that counts every bin of every column.
     """
     names = [columns] if isinstance(columns, str) else list(columns)
     require_columns(df, names)
     values = df.select(*[quoted(c).cast("double").alias(c) for c in names])
+    odd = {c: F.isnan(quoted(c)) | (F.abs(quoted(c)) == float("inf")) for c in names}
+    apart = values.agg(*[F.count_if(odd[c]).alias(c) for c in names]) if names else None
+    values = values.select(*[F.when(~F.coalesce(odd[c], F.lit(False)), quoted(c)).alias(c) for c in names])
     # one row: the limits of every column
     limits = values.agg(*[f(quoted(c)).alias(f"{c}.{k}") for c in names
                           for k, f in (("low", F.min), ("high", F.max))]).first()
     schema = "column string, bin int, low double, high double, count bigint, height double"
     filled = [c for c in names if limits[f"{c}.low"] is not None]
+    left_out = apart.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(0).alias("bin"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"),
+                 quoted(c).alias("count"), F.lit(None).cast("double").alias("height")) for c in names]))).filter("count > 0")
     if not filled:
-        return df.sparkSession.createDataFrame([], schema)
+        return left_out.to(T.StructType.fromDDL(schema))
 
     def placed(c):
         low, high = F.lit(limits[f"{c}.low"]), F.lit(limits[f"{c}.high"])
@@ -63,7 +70,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | str, bins: int = 8) -> Dat
     return spread.select(
         "column", (F.col("i") + 1).alias("bin"), (F.col("low") + F.col("i") * width).alias("low"),
         F.when(F.col("i") + 1 == bins, F.col("high")).otherwise(F.col("low") + (F.col("i") + 1) * width).alias("high"),
-        "count", (F.col("count") / F.col("tallest")).alias("height")).to(T.StructType.fromDDL(schema))
+        "count", (F.col("count") / F.col("tallest")).alias("height")).unionByName(left_out).to(T.StructType.fromDDL(schema))
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False, bins: int = 8) -> DataFrame:
@@ -99,7 +106,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool =
     numeric = _numeric(df, names)
     if bins and numeric:
         # at most `bins` rows per column
-        bars = histogram(df, numeric, bins).groupBy(F.col("column").alias("name")).agg(
+        bars = histogram(df, numeric, bins).filter("bin > 0").groupBy(F.col("column").alias("name")).agg(
             F.transform(F.sort_array(F.collect_list(F.struct("bin", "height"))), lambda s: s["height"])
             .alias("histogram"))
         result = result.join(bars, "name", "left")
@@ -116,10 +123,14 @@ def _comparable(column, data_type):
     return column
 
 
-def sampled_profile(df: DataFrame, fraction: float, seed: int = 42, **options) -> DataFrame:
-    """Profile of a sample, labelled with the sample's size and the table's size."""
+def sampled_profile(df: DataFrame, fraction: float, seed: int = 42, keys: Sequence[str] | None = None, **options) -> DataFrame:
+    """Profile of a sample, labelled with the sample's size and the table's size.
+
+    With ``keys`` the rows are picked by the keys' hash, so the sample is the same each time.
+    """
     total = df.agg(F.count(F.lit(1))).scalar()
-    return (profile(df.sample(fraction=fraction, seed=seed), **options)
+    rows = sample_rows(df, keys, fraction, seed) if keys else df.sample(fraction=fraction, seed=seed)
+    return (profile(rows, **options)
             .withColumnRenamed("total_rows", "sample_rows").withColumn("table_rows", total))
 
 

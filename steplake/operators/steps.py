@@ -167,3 +167,17 @@ STEPS: dict[str, Callable[..., DataFrame]] = {
     "sort": sort_rows,
     "limit": limit_rows,
 }
+
+
+def sample_rows(df: DataFrame, keys: Sequence[str], fraction: float, seed: int | str = 42) -> DataFrame:
+    """A sample that depends on the keys only: the rows whose hash lies below ``fraction`` of all hashes.
+
+    The same rows are picked again however the table is stored, and rows with equal keys go together.
+    """
+    require_columns(df, keys)
+    if not 0 <= fraction <= 1:
+        raise ValueError("fraction lies between 0 and 1")
+    if fraction == 1:
+        return df
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[quoted(k).cast("string") for k in keys]))
+    return df.filter(F.substring(digest, 1, 8) < F.lit(f"{int(fraction * 2 ** 32):08x}"))

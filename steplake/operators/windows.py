@@ -93,8 +93,7 @@ def framed(df: DataFrame, by: Sequence[str], order_by: Sequence[str], stretch: C
     few rows at a chunk's edge are also sent to its neighbours. No task sorts
     more than a chunk of a group at a time, however large the group is.
     """
-    if max(preceding, following) > chunk:
-        raise ValueError("the frame is wider than a chunk")
+    chunk = max(chunk, preceding, following)  # a chunk reaches into its neighbours only
     numbered = running(df, by, order_by, stretch, row_number="__row")
     row = F.col("__row") - 1
     home = F.floor(row / chunk)

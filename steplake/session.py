@@ -40,8 +40,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every machine can reach")
-    folder = os.environ.setdefault("STEPLAKE_TEST_FOLDER", tempfile.mkdtemp(prefix="steplake-"))
-    return folder
+    if "STEPLAKE_TEST_FOLDER" not in os.environ:
+        os.environ["STEPLAKE_TEST_FOLDER"] = tempfile.mkdtemp(prefix="steplake-")
+    return os.environ["STEPLAKE_TEST_FOLDER"]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

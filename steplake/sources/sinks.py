@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from steplake.operators.steps import quoted
 
-# Rows an export of each format is meant to hold at most, and the cap on any export.
+# Rows an export of each format is meant to hold at most; a caller may hand them over as ``limit``.
 EXPORT_ROWS = {"csv": 1_000_000, "tsv": 1_000_000, "json": 1_000_000, "parquet": 100_000_000}
-MAX_EXPORT_ROWS = 100_000_000
 
 
 def write_files(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -23,7 +22,7 @@ def write_files(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def _capped(df: DataFrame, limit: int | None) -> DataFrame:
     """A row cap only where the caller asks for one: it brings the capped rows into one task."""
-    return df if limit is None else df.limit(min(limit, MAX_EXPORT_ROWS))
+    return df if limit is None else df.limit(limit)
 
 
 def export_csv(df: DataFrame, path: str, sep: str = ",", limit: int | None = None, mode: str = "overwrite") -> None:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import SparkSession
 
 
@@ -28,54 +25,7 @@ def children(spark: SparkSession, path: str) -> list[tuple[str, bool, int, int]]
             for s in fs.listStatus(hadoop_path)]
 
 
-def read_text(spark: SparkSession, path: str) -> str:
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a file, or a folder with all it holds; False if there is none."""
     fs, hadoop_path = _open(spark, path)
-    stream = fs.open(hadoop_path)
-    try:
-        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
-def delete(spark: SparkSession, path: str) -> bool:
-    """Delete one file."""
-    fs, hadoop_path = _open(spark, path)
-    return fs.delete(hadoop_path, False)
-
-
-def publish(spark: SparkSession, path: str, text: str) -> None:
-    """Create a small file whole or not at all; FileExistsError when the name is taken.
-
-    The name is claimed by a hard link on a local disk and by a rename that
-    refuses to replace elsewhere. That rename is atomic on HDFS; an object store
-    needs a connector with conditional writes to give the same promise.
-    """
-    fs, target = _open(spark, path)
-    draft = f"{path}.{uuid.uuid4().hex}.tmp"
-    _, draft_path = _open(spark, draft)
-    stream = fs.create(draft_path, False)
-    try:
-        stream.write(bytearray(text, "utf-8"))
-    finally:
-        stream.close()
-    try:
-        if fs.getUri().getScheme() == "file":
-            os.link(draft_path.toUri().getPath(), target.toUri().getPath())
-        else:
-            _rename(spark, draft_path, target)
-    finally:
-        fs.delete(draft_path, False)
-
-
-def _rename(spark: SparkSession, source, target) -> None:
-    jvm = spark.sparkContext._jvm
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-        target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
-    try:
-        context.rename(source, target, options)
-    except Exception as error:
-        if "FileAlreadyExists" in str(error):
-            raise FileExistsError(target.toString()) from error
-        raise
+    return fs.delete(hadoop_path, True)

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from steplake.operators.quality import Rule, evaluate
@@ -39,29 +38,28 @@ def stream_steps(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     return run_steps(df, steps)
 
 
-def drop_repeats(df: DataFrame, keys: Sequence[str], time_column: str, within: str = "1 hour",
-                 combine: bool = True) -> DataFrame:
-    """Keep the first row seen of every key; a key is remembered for ``within``, so state stays bounded.
+def drop_repeats(df: DataFrame, keys: Sequence[str], path: str, checkpoint: str, buckets: int = 64, once: bool = True):
+    """Write the first row seen of every key; a key is never forgotten, so late rows with a new key stay.
 
-    Spark sends all copies of a key to one task. With ``combine`` every Arrow
-    batch is thinned to one row per key before that, so a key with very many
-    copies costs little.
+    Each micro-batch is reduced to one row per key and compared with the keys that earlier
+    batches have written, which lie in folders by a hash of the key. Results go to one
+    folder per batch, so a repeated batch replaces its own. NULL is a key like any other.
     """
-    timed = event_time(df, time_column)
-    if not df.isStreaming:
-        return timed.dropDuplicates(list(keys))
-    if combine:
-        timed = timed.mapInArrow(_first_of_each(list(keys)), timed.schema)
-    return timed.withWatermark(time_column, within).dropDuplicatesWithinWatermark(list(keys))
-
-
-def _first_of_each(keys: list[str]):
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            numbered = pa.table({**{f"k{i}": batch[k] for i, k in enumerate(keys)}, "row": pa.array(range(batch.num_rows))})
-            firsts = numbered.group_by([f"k{i}" for i in range(len(keys))]).aggregate([("row", "min")])["row_min"]
-            yield batch.take(firsts.combine_chunks())
-    return thin
+    names = list(keys)
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        bucket = F.pmod(F.xxhash64(*map(quoted, names)), F.lit(buckets)).cast("int")
+        fresh = rows.dropDuplicates(names).withColumn("key_bucket", bucket)
+        if batch_id > 0:
+            written = rows.sparkSession.read.schema(fresh.schema.add("batch_id", "long")).parquet(path)
+            seen = written.filter(F.col("batch_id") < batch_id).select(
+                F.col("key_bucket").alias("__bucket"), *[quoted(k).alias(f"__k{i}") for i, k in enumerate(names)])
+            same = F.col("key_bucket") == F.col("__bucket")
+            for i, k in enumerate(names):
+                same = same & quoted(k).eqNullSafe(F.col(f"__k{i}"))
+            fresh = fresh.join(seen, same, "left_anti")
+        fresh.write.mode("overwrite").partitionBy("key_bucket").parquet(f"{path}/batch_id={batch_id}")
+    return each_batch(df, write, checkpoint, once)
 
 
 def append_stream(df: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = (), fmt: str = "parquet",

@@ -1,28 +1,21 @@
-"""Small sample tables with the shapes FIXTURES.md describes; the rows are our own."""
+"""Small tables for the unit tests: the loans of a library, and readings of water meters."""
 
 from datetime import date, datetime
 
 
-def daily_orders(spark):
-    """12 orders: one number twice, one missing date, one missing quantity, untidy names."""
-    status = {1003: "Pending", 1006: "Pending", 1009: "Pending", 1011: "Gagal"}
-    category = ["Elektronik", "Pakaian", "Kuliner", "Otomotif", "Buku"]
+def loans(spark):
+    """15 loans: two cards twice, two without a due date, one without renewals, three states."""
     rows = []
-    for i in range(1001, 1013):
-        number = 2 if i == 1003 else i - 1000
-        rows.append((i, f"INV/2026/03/{number:03d}", None if i == 1007 else date(2026, 3, 1 + (i - 1001) // 2),
-                     f" Nama {i} " if i % 3 == 0 else f"Nama {i}", "  jakarta barat" if i == 1004 else "Bandung",
-                     category[i % 5], None if i == 1008 else i % 4 + 1, float(85_000 + 50_000 * (i - 1001)),
-                     status.get(i, "Lunas")))
-    return spark.createDataFrame(rows, "id int, nomor_pesanan string, tanggal date, nama_pelanggan string, kota string,"
-                                       " kategori string, jumlah int, total_harga double, status_bayar string")
+    for i in range(1, 16):
+        card = {6: 2, 11: 4}.get(i, i)
+        state = "open" if i % 5 == 0 else "lost" if i in (4, 8) else "back"
+        rows.append((i, f"C-{card:02d}", None if i in (3, 9) else date(2025, 6, i), f" Reader {i} " if i % 4 == 0 else f"Reader {i}",
+                     ("Mill", "North", "South")[i % 3], "ABCD"[i % 4], None if i == 5 else i % 3, i * i / 4, state))
+    return spark.createDataFrame(rows, "loan int, card string, due date, reader string, branch string, shelf string, renewals int,"
+                                       " fee double, state string")
 
 
-def sensor(spark):
-    at, later = datetime(2026, 3, 6, 10, 0), datetime(2026, 3, 6, 10, 5)
-    return spark.createDataFrame([
-        ("SNS-JKT-01", "Gudang A", 24.5, 60.2, "NORMAL", at), ("SNS-JKT-02", "Gudang B", 31.2, 70.5, "KRITIS", at),
-        ("SNS-BDG-01", "Gudang C", 19.5, 44.9, "NORMAL", at), ("SNS-SBY-01", "Gudang D", 28.4, 66.0, "PERINGATAN", at),
-        ("SNS-JKT-01", "Gudang A", 24.8, 59.9, "NORMAL", later),
-    ], "sensor_id string, lokasi string, suhu_celsius double, kelembaban_pct double, status string,"
-       " waktu_rekam timestamp_ntz")
+def meters(spark):
+    """7 readings of 4 meters."""
+    rows = [(f"M{i % 4}", f"{i} Brook Lane", 1.5 * i, 3.0 - i / 4, "ok" if i % 3 else "leak", datetime(2025, 6, 1, 6 + i // 4, 5 * i)) for i in range(7)]
+    return spark.createDataFrame(rows, "meter string, street string, flow double, pressure double, state string, read_at timestamp_ntz")

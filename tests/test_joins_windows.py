@@ -147,3 +147,25 @@ def test_describe_and_ratio(spark):
     assert rows["v"]["count"] == 2 and rows["v"]["q50"] == 20.0 and rows["id"]["std"] == 1.0
     assert rows["none"]["count"] == 0 and rows["none"]["q50"] is None
     assert [r.ratio for r in ratio_to_mean(df, "v").orderBy("id").collect()] == [0.5, None, 1.5]
+
+
+def test_as_of_join_ignores_right_rows_without_time_or_key(spark):
+    left = spark.createDataFrame([(1, 10), (2, None), (None, 5)], "k int, t int")
+    right = spark.createDataFrame([(1, None, 99), (None, 1, 98), (2, 3, 97)], "k int, rt int, v int")
+    got = as_of_join(left, right, "t", ["k"], 5, "rt").collect()
+    assert sorted((r.k or 0, r.v) for r in got) == [(0, None), (1, None), (2, None)]
+
+
+def test_range_join_of_very_long_intervals(spark):
+    points = spark.createDataFrame([(i, v) for i, v in enumerate([0, 7, 10**9, 4 * 10**9, 6 * 10**9])], "p int, x bigint")
+    spans = spark.createDataFrame([(0, 0, 5 * 10**9), (1, 7, 7), (2, 10**9 - 3, 10**9 + 3), (3, 9, 8)], "s int, a bigint, b bigint")
+    got = sorted((r.p, r.s) for r in range_join(points, spans, "x", "a", "b", 1).collect())
+    assert got == [(0, 0), (1, 0), (1, 1), (2, 0), (2, 2), (3, 0)]
+
+
+def test_frames_wider_than_a_chunk(spark):
+    df = spark.range(50).select("id", F.lit(1).alias("k"), (F.col("id") * 3 % 7).alias("v"))
+    got = framed(df, ["k"], ["id"], "floor(id / 10)", 30, 20, {"s": F.sum("v"), "n": F.count("v")}, chunk=4).collect()
+    for r in got:
+        near = [i * 3 % 7 for i in range(50) if r.id - 30 <= i <= r.id + 20]
+        assert (r.s, r.n) == (sum(near), len(near))

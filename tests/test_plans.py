@@ -40,61 +40,61 @@ def test_order_and_cycle():
 def test_run_workflow(spark, folder):
     nodes = [
         Node("src", "source", {"table": "orders"}),
-        Node("paid", "filter", {"condition": "status_bayar = 'Lunas'"}),
-        Node("tidy", "steps", {"steps": [Step("drop_null", {"column": "tanggal"})]}),
-        Node("ok", "quality_assert", {"rule": "regex", "column": "nomor_pesanan", "params": {"pattern": "^INV/.{1}"}}),
-        Node("py", "python", {"function": lambda df, low: df.filter(F.col("id") > low), "params": {"low": 1001}}),
-        Node("sql", "transform_sql", {"sql": "SELECT kategori, count(*) AS n FROM __input__ WHERE kota RLIKE 'a{1}' GROUP BY 1"}),
+        Node("paid", "filter", {"condition": "state = 'back'"}),
+        Node("tidy", "steps", {"steps": [Step("drop_null", {"column": "due"})]}),
+        Node("ok", "quality_assert", {"rule": "regex", "column": "card", "params": {"pattern": "^C-.{1}"}}),
+        Node("py", "python", {"function": lambda df, low: df.filter(F.col("loan") > low), "params": {"low": 1}}),
+        Node("sql", "transform_sql", {"sql": "SELECT shelf, count(*) AS n FROM __input__ WHERE branch RLIKE '[a-z]{1}' GROUP BY 1"}),
         Node("one", "destination", {"path": f"{folder}/one.parquet"}),
         Node("two", "destination", {"path": f"{folder}/two.parquet"}),
     ]
     edges = [("src", "paid"), ("paid", "tidy"), ("tidy", "ok"), ("ok", "py"), ("py", "sql"), ("sql", "one"), ("py", "two")]
-    result = run_workflow(spark, nodes, edges, {"orders": samples.daily_orders(spark)})
+    result = run_workflow(spark, nodes, edges, {"orders": samples.loans(spark)})
     assert result.success, result.error
     rows = {k: v.get("rows") for k, v in result.node_results.items()}
-    assert (rows["paid"], rows["tidy"], rows["py"]) == (8, 7, 6)
-    assert result.node_results["two"]["message"] == "6 rows stored"
-    assert spark.read.parquet(f"{folder}/one.parquet").agg(F.sum("n")).first()[0] == 6
+    assert (rows["paid"], rows["tidy"], rows["py"]) == (10, 8, 7)
+    assert result.node_results["two"]["message"] == "7 rows stored"
+    assert spark.read.parquet(f"{folder}/one.parquet").agg(F.sum("n")).first()[0] == 7
     assert not spark.catalog.listTables() or all(not t.name.startswith("steplake_") for t in spark.catalog.listTables())
 
 
 def test_workflow_failures(spark, folder):
-    tables = {"orders": samples.daily_orders(spark)}
-    nodes = [Node("src", "source", {"table": "orders"}), Node("q", "quality_assert", {"column": "tanggal"}, "dates"),
+    tables = {"orders": samples.loans(spark)}
+    nodes = [Node("src", "source", {"table": "orders"}), Node("q", "quality_assert", {"column": "due"}, "dates"),
              Node("out", "destination", {"path": f"{folder}/x.parquet"})]
     edges = [("src", "q"), ("q", "out")]
     result = run_workflow(spark, nodes, edges, tables)
     assert not result.success and "dates" in result.error and "out" not in result.node_results
-    warn = [nodes[0], Node("q", "quality_assert", {"column": "tanggal", "severity": "warn"}), nodes[2]]
+    warn = [nodes[0], Node("q", "quality_assert", {"column": "due", "severity": "warn"}), nodes[2]]
     assert run_workflow(spark, warn, edges, tables).success
     wrong = [nodes[0], Node("f", "filter", {"condition": "nope > 1"})]
     with pytest.raises(WorkflowError, match="nope"):
         plan_workflow(spark, wrong, [("src", "f")], tables)
-    with pytest.raises(WorkflowError, match="kotaa"):
-        plan_workflow(spark, [nodes[0], Node("f", "filter", {"requires": ["kotaa"]})], [("src", "f")], tables)
+    with pytest.raises(WorkflowError, match="brnch"):
+        plan_workflow(spark, [nodes[0], Node("f", "filter", {"requires": ["brnch"]})], [("src", "f")], tables)
 
 
 # ---- SQL and user code
 
 def test_run_sql(spark):
-    orders = samples.daily_orders(spark)
-    assert query_result(spark, "SELECT count(*) AS n FROM {o}", o=orders)["rows"] == [[12]]
+    orders = samples.loans(spark)
+    assert query_result(spark, "SELECT count(*) AS n FROM {o}", o=orders)["rows"] == [[15]]
     assert run_sql(spark, "SELECT * FROM {o}", 5, o=orders).count() == 5
     with pytest.raises(ValueError, match="empty"):
         run_sql(spark, "  ")
 
 
 def test_script(spark, folder):
-    context = Context(spark, {"orders": samples.daily_orders(spark)}, {"city": "Bandung"}, folder)
+    context = Context(spark, {"orders": samples.loans(spark)}, {"branch": "Mill"}, folder)
 
     def script(ctx):
-        df = ctx.sql("SELECT status_bayar, count(*) AS n FROM {orders} GROUP BY 1")
+        df = ctx.sql("SELECT state, count(*) AS n FROM {orders} GROUP BY 1")
         ctx.log("rows", 4)
         ctx.write_table("per_status", df)
         return ctx.read_table("per_status")
     out = run_script(context, script)
     assert out["tables_written"] == ["per_status"] and out["log"] == ["rows 4"]
-    assert out["preview"]["columns"] == ["status_bayar", "n"] and len(out["preview"]["rows"]) == 3
+    assert out["preview"]["columns"] == ["state", "n"] and len(out["preview"]["rows"]) == 3
     context.write_table("per_status", context.read_table("per_status").limit(0), "append")
     assert context.read_table("per_status").count() == 3
     spark.sql("DROP TABLE per_status")
@@ -117,31 +117,31 @@ def test_run_log(spark):
         return (i, None, "pipeline", name, name, "schedule", status, "append", started, None, seconds, 10 * seconds, None,
                 [(f"s{k}", f"Step {k}", s, 1.0, 5, 4, None) for k, s in enumerate(steps)],
                 [("02:00:00", "INFO", "start"), ("02:00:01", "ERROR", "stop")][: 2 if status == "failed" else 1], {"a": "b"}, 1, attempt)
-    raw = [run("r1", "orders_daily", "failed", "2026-03-06 02:00:00", 12, 1, ("ok", "error")),
-           run("r2", "orders_daily", "success", "2026-03-06 02:10:00", 20, 2, ("ok", "ok", "ok")),
-           run("r3", "sync_pelanggan", "running", "2026-03-06 03:00:00", 45, 1, ("running",)),
-           run("r4", "sync_pelanggan", "success", "2026-03-04 03:00:00", 18)]
+    raw = [run("r1", "loans_daily", "failed", "2026-03-06 02:00:00", 12, 1, ("ok", "error")),
+           run("r2", "loans_daily", "success", "2026-03-06 02:10:00", 20, 2, ("ok", "ok", "ok")),
+           run("r3", "sync_meters", "running", "2026-03-06 03:00:00", 45, 1, ("running",)),
+           run("r4", "sync_meters", "success", "2026-03-04 03:00:00", 18)]
     text = spark.createDataFrame(raw, runlog.RUN.replace("timestamp_ntz", "string"))
     runs = text.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "finished_at")})
     assert runs.schema == spark.createDataFrame([], runlog.RUN).schema
     now = "2026-03-06 09:00:00"
-    assert [r.id for r in runlog.list_runs(runs, "all", "ORDERS").collect()] == ["r2", "r1"]
+    assert [r.id for r in runlog.list_runs(runs, "all", "LOANS").collect()] == ["r2", "r1"]
     assert [r.id for r in runlog.list_runs(runs, limit=1).collect()] == ["r3"]
     assert runlog.status_summary(runs, now).first().asDict() == {"total": 3, "success": 1, "failed": 1, "running": 1, "cancelled": 0}
     bars = {r.id: r.offset_micros for r in runlog.run_timeline(runs, now).collect()}
     assert bars == {"r1": 17 * 3600 * 10**6, "r2": (17 * 3600 + 600) * 10**6, "r3": 18 * 3600 * 10**6}
     assert [r.id for r in runlog.slowest_runs(runs, 2).collect()] == ["r3", "r2"]
     assert runlog.step_rows(runs).count() == 6 and runlog.log_rows(runs, "ERROR").count() == 1
-    last = runlog.retry_last(runs, F.to_date("started_at")).filter("target_id = 'orders_daily'").first()
+    last = runlog.retry_last(runs, F.to_date("started_at")).filter("target_id = 'loans_daily'").first()
     assert (last.id, last.attempts) == ("r2", 2)
-    schedules = spark.createDataFrame([("orders_daily", "2026-03-01 02:00:00", 86400), ("sync_pelanggan", "2026-03-05 03:00:00", 86400)],
+    schedules = spark.createDataFrame([("loans_daily", "2026-03-01 02:00:00", 86400), ("sync_meters", "2026-03-05 03:00:00", 86400)],
                                       "target_id string, first_slot string, every_seconds int"
                                       ).withColumn("first_slot", F.col("first_slot").cast("timestamp_ntz"))
     late = runlog.late_runs(schedules, runs, "2026-03-05 00:00:00", now)
     assert {(r.target_id, str(r.slot)) for r in late.collect()} == {
-        ("orders_daily", "2026-03-05 02:00:00"), ("sync_pelanggan", "2026-03-05 03:00:00")}
+        ("loans_daily", "2026-03-05 02:00:00"), ("sync_meters", "2026-03-05 03:00:00")}
     strict = runlog.late_runs(schedules, runs.filter("id <> 'r1'"), "2026-03-06 00:00:00", now, tolerance_seconds=300)
-    assert {r.target_id for r in strict.collect()} == {"orders_daily"}
+    assert {r.target_id for r in strict.collect()} == {"loans_daily"}
     updates = spark.createDataFrame([("a", "2026-03-06 08:00:00"), ("b", "2026-03-05 00:00:00"), ("c", "2026-03-01 00:00:00")],
                                     "table_name string, updated_at string").withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
     fresh = runlog.freshness(updates, None, now)
@@ -154,8 +154,8 @@ def test_run_log(spark):
 # ---- topics and streams
 
 MESSAGES = "\n".join([
-    '{"offset": 2, "partition": 0, "timestamp": "2026-03-06T10:00:30Z", "key": "k", "value": "{\\"device_id\\": \\"d1\\", \\"suhu_celsius\\": 101.5}", "headers": {"a": "b"}}',
-    '{"offset": 1, "partition": 0, "timestamp": "2026-03-06T10:00:00Z", "key": "k", "value": "{\\"device_id\\": \\"d1\\", \\"suhu_celsius\\": 20.5}"}',
+    '{"offset": 2, "partition": 0, "timestamp": "2026-03-06T10:00:30Z", "key": "k", "value": "{\\"meter\\": \\"d1\\", \\"flow\\": 101.5}", "headers": {"a": "b"}}',
+    '{"offset": 1, "partition": 0, "timestamp": "2026-03-06T10:00:00Z", "key": "k", "value": "{\\"meter\\": \\"d1\\", \\"flow\\": 20.5}"}',
     '{"offset": 7, "partition": 1, "timestamp": "2026-03-06T10:01:00Z", "key": "k", "value": "not json"}'])
 
 
@@ -165,15 +165,15 @@ def test_messages(spark, tmp_path):
     batch = topics.read_message_files(spark, str(tmp_path / "in"))
     assert batch.schema == topics.ENVELOPE
     assert [r.offset for r in topics.peek(batch, 0).collect()] == [1, 2]
-    schema = "device_id string, suhu_celsius double"
+    schema = "meter string, flow double"
     rows = {r.offset: r for r in topics.parse_values(batch, schema).collect()}
-    assert rows[2].suhu_celsius == 101.5 and rows[7]._corrupt == "not json" and rows[1]._corrupt is None
+    assert rows[2].flow == 101.5 and rows[7]._corrupt == "not json" and rows[1]._corrupt is None
     stream = topics.read_message_files(spark, str(tmp_path / "in"), streaming=True)
     with pytest.raises(ValueError, match="bounded"):
         topics.peek(stream)
     hot = topics.parse_values(stream, schema)
     for _ in range(2):  # a second start finds nothing new
-        streams.filter_append(hot, "suhu_celsius > 100", f"{tmp_path}/out", f"{tmp_path}/ck")
+        streams.filter_append(hot, "flow > 100", f"{tmp_path}/out", f"{tmp_path}/ck")
     assert [r.offset for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [2]
     lag = topics.consumer_lag(spark.createDataFrame([(0, 1)], "partition int, current_offset bigint"), topics.high_watermarks(batch))
     assert sorted(tuple(r) for r in lag.collect()) == [(0, 1, 3, 2), (1, 0, 8, 8)]
@@ -181,10 +181,10 @@ def test_messages(spark, tmp_path):
 
 
 def test_lag_sample(spark):
-    rows = [(0, 148215, 148220, 5), (1, 139402, 139402, 0), (2, 152890, 152898, 8)]
+    rows = [(0, 40, 51, 11), (1, 7, 7, 0), (2, 0, 3, 3)]
     df = spark.createDataFrame(rows, "partition int, current_offset bigint, high_watermark bigint, lag bigint")
     lag = topics.consumer_lag(df.select("partition", "current_offset"), df.select("partition", "high_watermark"))
-    assert sorted(tuple(r) for r in lag.collect()) == rows and topics.total_lag(lag).first()[0] == 13
+    assert sorted(tuple(r) for r in lag.collect()) == rows and topics.total_lag(lag).first()[0] == 14
 
 
 def test_topic_options(spark):
@@ -201,8 +201,7 @@ def test_stream_results_equal_batch(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     with pytest.raises(ValueError, match="not on a stream"):
         streams.stream_steps(stream, [Step("sort", {"columns": ["ts"]})])
-    streams.append_stream(streams.drop_repeats(stream, ["event_id"], "ts", "60 days").select("event_id"),
-                          f"{tmp_path}/d", f"{tmp_path}/ck1")
+    streams.drop_repeats(stream.select("event_id"), ["event_id"], f"{tmp_path}/d", f"{tmp_path}/ck1")
     assert spark.read.parquet(f"{tmp_path}/d").distinct().count() == events.count()
     streams.latest_totals(streams.throughput(stream, "ts", "1 day", lateness="60 days"), f"{tmp_path}/t", f"{tmp_path}/ck2")
     batches = spark.read.parquet(f"{tmp_path}/t")
@@ -214,6 +213,16 @@ def test_stream_results_equal_batch(spark, tmp_path):
     assert judged == events.filter("value > 5").count()
 
 
+def test_no_key_is_lost_or_repeated(spark, tmp_path):
+    """Times far apart, keys without a value, and copies in other batches."""
+    rows = [(k, f"2024-0{1 + (7 * k + c) % 9}-01") for k in range(40) for c in range(3)] + [(None, "2024-01-01")] * 3
+    spark.createDataFrame(rows, "k int, at string").repartition(6).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k int, at string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    streams.drop_repeats(stream, ["k"], f"{tmp_path}/out", f"{tmp_path}/ck")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == 41 and out.select("k").distinct().count() == 41 and out.select("batch_id").distinct().count() >= 4
+
+
 # ---- plans
 
 def test_steps_become_one_scan_with_pushed_filter(spark):

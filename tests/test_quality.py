@@ -3,48 +3,53 @@ from pyspark.sql import functions as F
 
 import samples
 from steplake.operators.profile import display_type, histogram, profile, sampled_profile, suggest_rules
-from steplake.operators.quality import (Rule, breach_trend, default_order_rules, evaluate, flag_rows, health_score,
+from steplake.operators.quality import (Rule, breach_trend, evaluate, flag_rows, health_score,
                                         quality_overview, quarantine, sample_violations, table_report,
                                         write_quarantine)
 
 
 @pytest.fixture()
-def orders(spark):
-    return samples.daily_orders(spark)
+def loans(spark):
+    return samples.loans(spark)
 
 
 def results(df, *rules):
     return {r.rule_id: r for r in evaluate(df, list(rules), "t").collect()}
 
 
-def test_default_rules_pass(orders):
-    report = evaluate(orders, default_order_rules(), "pesanan_harian")
+def test_rules_that_pass(loans):
+    report = evaluate(loans, [Rule("1", "not_null", "loan"), Rule("2", "unique", "loan"), Rule("3", "range", "fee", {"min": 0})], "loans")
     assert {r.status for r in report.collect()} == {"passed"}
     assert health_score(report) == 100.0
-    assert table_report(report).first().total_rules == 4
+    assert table_report(report).first().total_rules == 3
 
 
-def test_every_rule_type(orders):
+def test_every_rule_type(loans):
     out = results(
-        orders, Rule("nn", "not_null", "tanggal"), Rule("u", "unique", "nomor_pesanan"),
-        Rule("r", "range", "total_harga", {"min": 100000, "max": 500000}), Rule("r0", "range", "total_harga"),
-        Rule("a", "allowed_values", "status_bayar", {"values": ["Lunas"]}), Rule("a0", "allowed_values", "jumlah"),
-        Rule("n", "row_count_min", None, {"min_count": 20}), Rule("x", "regex", "nomor_pesanan", {"pattern": "00[1-5]$"}),
-        Rule("c", "custom_sql", None, {"sql": "jumlah >= 2"}), Rule("bad", "custom_sql", None, {"sql": "nope > 1"}),
+        loans, Rule("nn", "not_null", "due"), Rule("u", "unique", "card"),
+        Rule("r", "range", "fee", {"min": 1, "max": 30}), Rule("r0", "range", "fee"),
+        Rule("a", "allowed_values", "state", {"values": ["back"]}), Rule("a0", "allowed_values", "renewals"),
+        Rule("n", "row_count_min", None, {"min_count": 20}), Rule("x", "regex", "card", {"pattern": "0[1-5]$"}),
+        Rule("c", "custom_sql", None, {"sql": "renewals >= 1"}), Rule("bad", "custom_sql", None, {"sql": "nope > 1"}),
         Rule("worse", "custom_sql", None, {"sql": "SELECT FROM"}), Rule("gone", "not_null", "nope"))
     failed = {k: v.failed_rows for k, v in out.items()}
-    assert failed["nn"] == 1 and failed["u"] == 1 and failed["r0"] == 0 and failed["a"] == 4 and failed["a0"] == 11
-    assert failed["n"] == 8 and out["n"].failure_rate == 1.0
-    assert out["nn"].failure_rate == 0.0833
-    assert failed["c"] == orders.filter("jumlah < 2").count()  # NULL is no violation
+    assert failed["nn"] == 2 and failed["u"] == 2 and failed["r"] == 6 and failed["r0"] == 0 and failed["a"] == 5 and failed["a0"] == 14
+    assert failed["n"] == 5 and out["n"].failure_rate == 1.0
+    assert out["nn"].failure_rate == 0.1333 and failed["x"] == 8
+    assert failed["c"] == loans.filter("renewals < 1").count()  # NULL is no violation
     for name in ("bad", "worse", "gone"):
         assert (out[name].status, out[name].passed) == ("error", False)
 
 
-def test_empty_inputs(spark, orders):
-    out = results(orders.limit(0), Rule("nn", "not_null", "id"), Rule("n", "row_count_min"))
+def test_rules_may_share_an_id(loans):
+    rows = evaluate(loans, [Rule("same", "not_null", "due"), Rule("same", "not_null", "nope"), Rule("same", "unique", "loan")]).collect()
+    assert [(r.rule_id, r.status) for r in rows] == [("same", "failed"), ("same", "error"), ("same", "passed")]
+
+
+def test_empty_inputs(spark, loans):
+    out = results(loans.limit(0), Rule("nn", "not_null", "loan"), Rule("n", "row_count_min"))
     assert out["nn"].passed and out["nn"].failure_rate == 0.0 and not out["n"].passed
-    nothing = evaluate(orders, [], "t")
+    nothing = evaluate(loans, [], "t")
     assert nothing.count() == 0 and health_score(nothing) == 100.0
 
 
@@ -57,29 +62,28 @@ def test_rule_checks():
         Rule("x", "not_null", "id", severity="fatal")
 
 
-def test_overview(orders):
-    a = evaluate(orders, [Rule("1", "not_null", "tanggal"), Rule("2", "not_null", "id")], "a")
-    b = evaluate(orders, [Rule("3", "not_null", "id")], "b")
+def test_overview(loans):
+    a = evaluate(loans, [Rule("1", "not_null", "due"), Rule("2", "not_null", "loan")], "a")
+    b = evaluate(loans, [Rule("3", "not_null", "loan")], "b")
     scores = {r.table_name: r.health_score for r in quality_overview([a, b]).collect()}
     assert scores == {"a": 50.0, "b": 100.0, None: 66.7}
 
 
-def test_samples(orders):
-    assert [r.id for r in sample_violations(orders, Rule("x", "not_null", "tanggal")).collect()] == [1007]
-    assert [tuple(r) for r in sample_violations(orders, Rule("x", "unique", "nomor_pesanan")).collect()] == [
-        ("INV/2026/03/002", 2)]
-    assert sample_violations(orders, Rule("x", "range", "id", {"min": 2000}), 3, ["id"]).count() == 3
+def test_samples(loans):
+    assert sorted(r.loan for r in sample_violations(loans, Rule("x", "not_null", "due")).collect()) == [3, 9]
+    assert sorted(tuple(r) for r in sample_violations(loans, Rule("x", "unique", "card")).collect()) == [("C-02", 2), ("C-04", 2)]
+    assert sample_violations(loans, Rule("x", "range", "loan", {"min": 100}), 3, ["loan"]).count() == 3
 
 
-def test_flags_and_quarantine(orders, folder):
-    rules = [Rule("u", "unique", "nomor_pesanan"), Rule("d", "not_null", "tanggal"), Rule("n", "row_count_min")]
-    flags = {r.id: r.broken_rules for r in flag_rows(orders, rules).collect()}
-    assert flags[1002] == ["u"] and flags[1003] == ["u"] and flags[1007] == ["d"] and flags[1001] == []
-    good, bad = quarantine(orders, rules)
-    assert (good.count(), bad.count()) == (9, 3)
-    write_quarantine(orders, rules, f"{folder}/q")
-    back = orders.sparkSession.read.parquet(f"{folder}/q")
-    assert back.groupBy("is_bad").count().orderBy("is_bad").collect()[1]["count"] == 3
+def test_flags_and_quarantine(loans, folder):
+    rules = [Rule("u", "unique", "card"), Rule("d", "not_null", "due"), Rule("n", "row_count_min")]
+    flags = {r.loan: r.broken_rules for r in flag_rows(loans, rules).collect()}
+    assert flags[2] == flags[6] == flags[4] == ["u"] and flags[3] == ["d"] and flags[1] == []
+    good, bad = quarantine(loans, rules)
+    assert (good.count(), bad.count()) == (9, 6)
+    write_quarantine(loans, rules, f"{folder}/q")
+    back = loans.sparkSession.read.parquet(f"{folder}/q")
+    assert back.groupBy("is_bad").count().orderBy("is_bad").collect()[1]["count"] == 6
 
 
 def test_flags_with_a_hot_value_and_nulls(spark):
@@ -94,32 +98,32 @@ def test_flags_with_a_hot_value_and_nulls(spark):
 
 
 def test_trend(spark):
-    history = spark.createDataFrame([("a", "2026-03-10 01:00:00", 3), ("a", "2026-03-10 02:00:00", 4),
-                                     ("b", "2026-01-01 00:00:00", 9)], "rule_id string, evaluated_at string, failed_rows bigint"
+    history = spark.createDataFrame([("a", "2025-06-10 01:00:00", 3), ("a", "2025-06-10 02:00:00", 4),
+                                     ("b", "2025-01-01 00:00:00", 9)], "rule_id string, evaluated_at string, failed_rows bigint"
                                     ).withColumn("evaluated_at", F.to_timestamp("evaluated_at"))
-    trend = breach_trend(history, "2026-03-12", 5).orderBy("rule_id", "day").collect()
+    trend = breach_trend(history, "2025-06-12", 5).orderBy("rule_id", "day").collect()
     assert [(r.rule_id, r.failed_rows) for r in trend] == [
         ("a", 0), ("a", 0), ("a", 7), ("a", 0), ("a", 0)] + [("b", 0)] * 5
 
 
-def test_profile(orders):
-    rows = {r["name"]: r for r in profile(orders).collect()}
-    assert rows["tanggal"].null_count == 1 and rows["tanggal"].null_pct == 8.3
-    assert rows["nomor_pesanan"].distinct_count == 11 and rows["id"].max_value == "1012"
-    assert [rows[c].display_type for c in ("id", "total_harga", "kota", "tanggal")] == ["int", "dec", "txt", "date"]
-    assert len(rows["id"].histogram) == 8 and max(rows["id"].histogram) == 1.0 and rows["kota"].histogram is None
-    approx = {r["name"]: r.distinct_count for r in profile(orders, approx=True).collect()}
-    assert approx["status_bayar"] == 3
-    rules = {(r.rule_type, r.column_name) for r in suggest_rules(profile(orders), "t").collect()}
-    assert ("not_null", "tanggal") in rules and ("unique", "id") in rules and ("unique", "nomor_pesanan") not in rules
+def test_profile(loans):
+    rows = {r["name"]: r for r in profile(loans).collect()}
+    assert rows["due"].null_count == 2 and rows["due"].null_pct == 13.3
+    assert rows["card"].distinct_count == 13 and rows["loan"].max_value == "15"
+    assert [rows[c].display_type for c in ("loan", "fee", "branch", "due")] == ["int", "dec", "txt", "date"]
+    assert len(rows["loan"].histogram) == 8 and max(rows["loan"].histogram) == 1.0 and rows["branch"].histogram is None
+    approx = {r["name"]: r.distinct_count for r in profile(loans, approx=True).collect()}
+    assert approx["state"] == 3
+    rules = {(r.rule_type, r.column_name) for r in suggest_rules(profile(loans), "t").collect()}
+    assert ("not_null", "due") in rules and ("unique", "loan") in rules and ("unique", "card") not in rules
 
 
-def test_profile_of_empty_and_odd_columns(spark, orders):
-    assert {r.null_pct for r in profile(orders.limit(0)).collect()} == {0.0}
+def test_profile_of_empty_and_odd_columns(spark, loans):
+    assert {r.null_pct for r in profile(loans.limit(0)).collect()} == {0.0}
     odd = spark.sql("SELECT map('a', 1) AS m, parse_json('{}') AS v, array(1) AS l, INTERVAL '1' DAY AS `i.x`, true AS b")
     rows = {r["name"]: r for r in profile(odd).collect()}
     assert rows["i.x"].display_type == "txt" and rows["m"].display_type == "json" and rows["b"].display_type == "bool"
-    assert [display_type(f.dataType) for f in samples.sensor(spark).schema][-1] == "ts"
+    assert [display_type(f.dataType) for f in samples.meters(spark).schema][-1] == "ts"
 
 
 def test_histogram(spark):
@@ -130,6 +134,17 @@ def test_histogram(spark):
     assert not [b for b in bars if b["column"] == "none"]
 
 
-def test_sampled_profile(orders):
-    row = sampled_profile(orders, 0.5).first()
-    assert row.table_rows == 12 and row.sample_rows <= 12
+def test_histogram_counts_odd_values_apart(spark):
+    df = spark.range(0, 81).select(F.col("id").cast("double").alias("x")).unionAll(
+        spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (None,)], "x double"))
+    bars = {b["bin"]: b["count"] for b in histogram(df, "x").collect()}
+    assert bars == {0: 3} | {i: 10 for i in range(1, 8)} | {8: 11}
+    only = histogram(df.filter("isnan(x)"), "x").collect()
+    assert [(b["bin"], b["count"], b["low"]) for b in only] == [(0, 1, None)]
+    assert max(profile(df).first().histogram) == 1.0
+
+
+def test_sampled_profile(loans):
+    row = sampled_profile(loans, 0.5).first()
+    assert row.table_rows == 15 and row.sample_rows <= 15
+    assert sampled_profile(loans, 1.0, keys=["loan"]).first().sample_rows == 15

@@ -80,41 +80,37 @@ def test_documents(spark, tmp_path):
     assert read_documents(spark, f"{tmp_path}/d").count() == 2
 
 
-NESTED = {"user": {"name": "Budi", "contact": {"city": "Jakarta", "phone": "081234567"}}, "tags": ["admin", "dev"],
-          "active": True}
+NESTED = {"boat": {"hull": "oak", "crew": {"cook": "Ida", "mate": "Jon"}}, "ports": ["Hull", "Bergen"], "afloat": False}
 
 
 def test_flatten(spark, tmp_path):
     df = spark.read.json(write(tmp_path / "n.json", json.dumps(NESTED)))
     row = flatten(df).first().asDict()
-    assert row == {"active": True, "tags": '["admin","dev"]', "user.contact.city": "Jakarta",
-                   "user.contact.phone": "081234567", "user.name": "Budi"}
+    assert row == {"afloat": False, "ports": '["Hull","Bergen"]', "boat.crew.cook": "Ida", "boat.crew.mate": "Jon", "boat.hull": "oak"}
 
 
 def test_expand_and_infer(spark):
     docs = [json.dumps(NESTED), '{"n": "text", "x": null}', '{"n": 4, "x": 1.5, "big": 12345678901}', "no json"]
     df = spark.createDataFrame(list(enumerate(docs)), "i int, doc string")
     types = {r.name: r.data_type for r in infer_types(df, "doc", "i").collect()}
-    assert types == {"user.name": "VARCHAR", "user.contact.city": "VARCHAR", "user.contact.phone": "VARCHAR", "tags": "VARCHAR",
-                     "active": "BOOLEAN", "n": "BIGINT", "x": "DOUBLE", "big": "BIGINT"}
-    assert {r.name for r in infer_types(df, "doc", "i", sample=1).collect()} == {
-        "user.name", "user.contact.city", "user.contact.phone", "tags", "active"}
+    assert types == {"boat.hull": "VARCHAR", "boat.crew.cook": "VARCHAR", "boat.crew.mate": "VARCHAR", "ports": "VARCHAR",
+                     "afloat": "BOOLEAN", "n": "BIGINT", "x": "DOUBLE", "big": "BIGINT"}
     out = expand_json(df.filter("i <> 3"), "doc")
-    assert "doc.user.contact.city" in out.columns and out.count() == 3
+    assert "doc.boat.crew.cook" in out.columns and out.count() == 3
     with pytest.raises(ValueError, match="does not hold JSON objects"):
         infer_value_schema(spark.createDataFrame([("[1]",)], "value string"))
 
 
 def test_catalog(spark, tmp_path):
-    samples.sensor(spark).write.parquet(f"{tmp_path}/s")
+    samples.meters(spark).write.parquet(f"{tmp_path}/s")
     df = spark.read.parquet(f"{tmp_path}/s")
-    row = list_tables({"sensor": df}).first()
-    assert (row.row_count, row.column_count) == (5, 6)
+    row = list_tables({"meters": df}).first()
+    assert (row.row_count, row.column_count) == (7, 6)
     assert row.size_bytes == sum(os.path.getsize(p.removeprefix("file:")) for p in {
         r.p for r in df.select(F.col("_metadata.file_path").alias("p")).collect()})
-    shown = preview(df, ["sensor_id", "waktu_rekam"], limit=2, offset=1)
-    assert shown["total_rows"] == 5 and [r[0] for r in shown["rows"]] == ["SNS-JKT-01", "SNS-JKT-01"]
-    assert [tuple(r) for r in table_schema(df).collect()][0] == (0, "sensor_id", "string", True)
+    shown = preview(df, ["meter", "read_at"], limit=2, offset=1)
+    assert shown["total_rows"] == 7 and [r[0] for r in shown["rows"]] == ["M0", "M1"]
+    assert [tuple(r) for r in table_schema(df).collect()][0] == (0, "meter", "string", True)
 
 
 def test_save_as_table(spark, tmp_path):
@@ -202,7 +198,15 @@ def test_guards(spark, tmp_path):
     assert estimate_scan(df, max_bytes=10, confirmed=True).files == whole.files
     assert require_partition_filter(df.filter("day = 1"), ["day"])[0]
     assert require_partition_filter(df.filter("day IN (1, 2) AND id > 3"), ["day"])[0]
-    for loose in (df, df.filter("id = 3"), df.filter("day > 1"), df.filter("kind = 'a'")):
+    long = df.withColumnRenamed("id", "i" * 900).filter("day = 2 AND day > 0 AND day < 3")
+    assert require_partition_filter(long, ["day"])[0]
+    small = spark.range(3).withColumnRenamed("id", "other")
+    small.write.parquet(f"{tmp_path}/small")
+    plain = spark.read.parquet(f"{tmp_path}/small")
+    assert require_partition_filter(df.filter("day = 1").join(plain, F.col("id") == F.col("other")), ["day"])[0]
+    assert not require_partition_filter(plain, ["day"])[0]
+    for loose in (df, df.filter("id = 3"), df.filter("day > 1"), df.filter("kind = 'a'"), df.filter("day <> 1"), df.filter("NOT (day = 1)"),
+                  df.filter("day = 1 OR day > 0"), df.filter("day = 1").join(df.select(F.col("id").alias("other")), F.col("id") == F.col("other"))):
         assert not require_partition_filter(loose, ["day"])[0]
     assert not require_partition_filter(df.filter("day = 1"), ["day"], allow_full_scan=True)[0]
     with pytest.raises(ValueError, match="partition column"):
@@ -219,10 +223,21 @@ def test_shared_folder(spark, monkeypatch):
     assert spark.sparkContext.getCheckpointDir()
 
 
-def test_publish_is_exclusive(spark, tmp_path):
-    path = str(tmp_path / "v1.json")
-    storage.publish(spark, path, "é")
-    with pytest.raises(FileExistsError):
-        storage.publish(spark, path, "b")
-    assert storage.read_text(spark, path) == "é"
-    assert [n for n in os.listdir(tmp_path) if n.endswith(".tmp")] == []
+def test_remove(spark, tmp_path):
+    spark.range(2).write.parquet(f"{tmp_path}/gone/a=1")
+    assert storage.exists(spark, f"{tmp_path}/gone") and storage.remove(spark, f"{tmp_path}/gone")
+    assert not storage.exists(spark, f"{tmp_path}/gone") and not storage.remove(spark, f"{tmp_path}/gone")
+
+
+def test_names_that_look_like_types(spark):
+    docs = ['{"VOID_at": 1, "VARIANT": 2, "a<b": {"OBJECT": "x", "DECIMAL(2,1)": 1.5}}', '{"VOID_at": null, "late": [1, "two"], "with, comma": true}']
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, doc string")
+    assert {f.name for f in infer_value_schema(df, "doc")} == {"VOID_at", "VARIANT", "a<b", "late", "with, comma"}
+    rows = expand_json(df, "doc").orderBy("i").collect()
+    assert rows[0]["doc.VOID_at"] == 1 and rows[0]["doc.VARIANT"] == 2 and rows[0]["doc.a<b.OBJECT"] == "x"
+    assert rows[0]["doc.a<b.DECIMAL(2,1)"] == 1.5 and rows[1]["doc.with, comma"] is True and rows[1]["doc.late"] == '["1","two"]'
+
+
+def test_fields_that_come_late(spark):
+    df = spark.range(300).select("id", F.when(F.col("id") < 150, F.lit('{"a": 1}')).otherwise(F.lit('{"a": 1, "late": true}')).alias("doc"))
+    assert {r.name: r.data_type for r in infer_types(df, "doc", "id").collect()} == {"a": "BIGINT", "late": "BOOLEAN"}

@@ -7,83 +7,97 @@ import samples
 from steplake.functions.casts import resolve_type
 from steplake.operators import steps as S
 from steplake.operators.edits import batch_edit
-from steplake.plans.step_list import (Step, clean_orders_steps, clean_sensor_steps, run_observed, run_steps,
-                                      step_row_counts)
+from steplake.plans.step_list import Step, clean_events_steps, run_observed, run_steps, step_row_counts
+
+# loans that came back, one per card
+RETURNED = [Step("filter", {"column": "state", "value": "back"}, "returned"), Step("drop_null", {"column": "due"}, "with a date"),
+            Step("deduplicate", {"columns": ["card"], "order_by": ["loan"]}, "one per card"),
+            Step("limit", {"n": 1}, "off", enabled=False)]
 
 
 def ids(df):
-    return sorted(r.id for r in df.collect())
+    return sorted(r.loan for r in df.collect())
 
 
 @pytest.fixture()
-def orders(spark):
-    return samples.daily_orders(spark)
+def loans(spark):
+    return samples.loans(spark)
 
 
-def test_clean_orders(orders):
-    result = run_steps(orders, clean_orders_steps())
-    assert result.count() == 7
-    assert 1003 not in ids(result) and 1007 not in ids(result)
-    counts = [(r.kind, r.rows_in, r.rows_out) for r in step_row_counts(orders, clean_orders_steps()).orderBy("step").collect()]
-    assert counts == [("drop_null", 12, 11), ("deduplicate", 11, 10), ("filter", 10, 7)]
+def test_step_list(loans):
+    result = run_steps(loans, RETURNED)
+    assert ids(result) == [1, 2, 7, 11, 12, 13, 14]
+    counts = [(r.kind, r.rows_in, r.rows_out) for r in step_row_counts(loans, RETURNED).orderBy("step").collect()]
+    assert counts == [("filter", 15, 10), ("drop_null", 10, 8), ("deduplicate", 8, 7)]
 
 
-def test_observed_counts(orders, folder):
-    seen = run_observed(orders, clean_orders_steps(), f"{folder}/out")
-    assert [(s["rows_in"], s["rows_out"]) for s in seen] == [(12, 11), (11, 10), (10, 7)]
-    assert orders.sparkSession.read.parquet(f"{folder}/out").count() == 7
+def test_observed_counts(loans, folder):
+    seen = run_observed(loans, RETURNED, f"{folder}/out")
+    assert [(s["rows_in"], s["rows_out"]) for s in seen] == [(15, 10), (10, 8), (8, 7)]
+    assert loans.sparkSession.read.parquet(f"{folder}/out").count() == 7
 
 
-def test_row_counts_of_nothing(orders):
-    assert step_row_counts(orders.limit(0), clean_orders_steps()).agg(F.sum("rows_out")).first()[0] == 0
-    assert step_row_counts(orders, []).count() == 0
+def test_row_counts_of_nothing(loans):
+    assert step_row_counts(loans.limit(0), RETURNED).agg(F.sum("rows_out")).first()[0] == 0
+    assert step_row_counts(loans, []).count() == 0
 
 
-def test_clean_sensor(spark):
-    rows = run_steps(samples.sensor(spark), clean_sensor_steps()).collect()
-    assert [(r.sensor_id, r.level_urgensi) for r in rows] == [("SNS-JKT-02", 3), ("SNS-SBY-01", 2)]
+def test_events_template(spark):
+    rows = spark.createDataFrame([(1, 3, "view", 9.0), (2, 3, "click", 0.5), (3, 8, "click", 2.0), (4, 8, "buy", None)],
+                                 "event_id bigint, user_id bigint, event_type string, value double")
+    assert [(r.id, r.points) for r in run_steps(rows, clean_events_steps()).collect()] == [(3, 21.0), (2, 8.0)]
 
 
-def test_unknown_step(orders):
+def test_unknown_step(loans):
     with pytest.raises(ValueError, match="unknown step kind"):
-        run_steps(orders, [{"kind": "explode"}])
-    assert run_steps(orders, [{"kind": "explode", "enabled": False}]).count() == 12
+        run_steps(loans, [{"kind": "explode"}])
+    assert run_steps(loans, [{"kind": "explode", "enabled": False}]).count() == 15
 
 
-@pytest.mark.parametrize("operator,expected", [("==", 1), ("!=", 10), (">", 4), ("<", 6), (">=", 5), ("<=", 7)])
-def test_filter_triple(orders, operator, expected):
-    known = orders.filter("id <> 1001")
-    assert S.filter_rows(known, column="id", operator=operator, value=1008).count() == expected
+@pytest.mark.parametrize("operator,expected", [("==", 1), ("!=", 13), (">", 5), ("<", 8), (">=", 6), ("<=", 9)])
+def test_filter_triple(loans, operator, expected):
+    known = loans.filter("loan <> 1")
+    assert S.filter_rows(known, column="loan", operator=operator, value=10).count() == expected
 
 
-def test_filter_rules(orders):
+def test_filter_rules(loans):
     # a condition wins, and NULL is not true
-    assert S.filter_rows(orders, "jumlah > 0", column="id", value=1001).count() == 11
-    assert S.filter_rows(orders).count() == 12
+    assert S.filter_rows(loans, "renewals >= 0", column="loan", value=1).count() == 14
+    assert S.filter_rows(loans).count() == 15
     with pytest.raises(ValueError, match="unknown operator"):
-        S.filter_rows(orders, column="id", operator="~", value=1)
+        S.filter_rows(loans, column="loan", operator="~", value=1)
     with pytest.raises(ValueError, match="unknown column"):
-        S.filter_rows(orders, column="nope", value=1)
-    assert S.filter_rows(orders, column="nama_pelanggan", value="x' OR '1'='1").count() == 0
+        S.filter_rows(loans, column="nope", value=1)
+    assert S.filter_rows(loans, column="reader", value="'; DROP TABLE loans --").count() == 0
 
 
-def test_drop_null(orders):
-    assert S.drop_null(orders, column="tanggal").count() == 11
-    assert S.drop_null(orders, ["tanggal", "jumlah"]).count() == 10
-    assert S.drop_null(orders).count() == 10
-    nan = orders.sparkSession.createDataFrame([(float("nan"),), (None,)], "x double")
+def test_drop_null(loans):
+    assert S.drop_null(loans, column="due").count() == 13
+    assert S.drop_null(loans, ["due", "renewals"]).count() == 12
+    assert S.drop_null(loans).count() == 12
+    nan = loans.sparkSession.createDataFrame([(float("nan"),), (None,)], "x double")
     assert S.drop_null(nan).count() == 1
 
 
-def test_deduplicate(orders):
-    first = S.deduplicate(orders, ["nomor_pesanan"], order_by=["id"])
-    last = S.deduplicate(orders, ["nomor_pesanan"], "last", ["id"])
-    assert set(ids(orders)) - set(ids(first)) == {1003}
-    assert set(ids(orders)) - set(ids(last)) == {1002}
-    assert first.columns == orders.columns
-    assert S.deduplicate(orders.select("kategori")).count() == 5
+def test_deduplicate(loans):
+    first = S.deduplicate(loans, ["card"], order_by=["loan"])
+    last = S.deduplicate(loans, ["card"], "last", ["loan"])
+    assert set(ids(loans)) - set(ids(first)) == {6, 11}
+    assert set(ids(loans)) - set(ids(last)) == {2, 4}
+    assert first.columns == loans.columns
+    assert S.deduplicate(loans.select("shelf")).count() == 4
     with pytest.raises(ValueError, match="needs order_by"):
-        S.deduplicate(orders, ["nomor_pesanan"])
+        S.deduplicate(loans, ["card"])
+
+
+def test_sample_rows(spark):
+    df = spark.range(4000).select(F.col("id"), (F.col("id") % 50).alias("k"))
+    picked = S.sample_rows(df, ["id"], 0.25)
+    assert 850 < picked.count() < 1150 and sorted(map(tuple, S.sample_rows(df.repartition(7), ["id"], 0.25).collect())) == sorted(map(tuple, picked.collect()))
+    assert {r["count"] for r in S.sample_rows(df, ["k"], 0.5).groupBy("k").count().collect()} == {80}
+    assert S.sample_rows(df, ["id"], 1).count() == 4000 and S.sample_rows(df, ["id"], 0).count() == 0
+    with pytest.raises(ValueError, match="between 0 and 1"):
+        S.sample_rows(df, ["id"], 2)
 
 
 def test_deduplicate_nulls_last_both_ways(spark):
@@ -92,26 +106,26 @@ def test_deduplicate_nulls_last_both_ways(spark):
     assert S.deduplicate(df, ["k"], "last", ["v"]).first().v is None
 
 
-def test_aggregate(orders):
-    out = S.aggregate(orders, ["status_bayar"], [{"column": "total_harga", "function": "sum"}, {}])
-    assert out.columns == ["status_bayar", "sum_total_harga", "count_*"]
-    whole = S.aggregate(orders, [], [{"column": "jumlah", "function": "COUNT", "alias": "n"},
-                                     {"column": "id", "function": "FIRST"}, {"column": "jumlah", "function": "LAST", "alias": "l"}],
-                        order_by=["jumlah", "id"]).first()
-    assert (whole["n"], whole["l"]) == (11, None)  # the row without a quantity sorts last
-    assert S.aggregate(orders, ["kategori"]).count() == 5
-    assert S.aggregate(orders, [], [{"column": "total_harga", "function": "MEDIAN", "alias": "m"}]).count() == 1
+def test_aggregate(loans):
+    out = S.aggregate(loans, ["state"], [{"column": "fee", "function": "sum"}, {}])
+    assert out.columns == ["state", "sum_fee", "count_*"]
+    whole = S.aggregate(loans, [], [{"column": "renewals", "function": "COUNT", "alias": "n"},
+                                    {"column": "loan", "function": "FIRST"}, {"column": "renewals", "function": "LAST", "alias": "l"}],
+                        order_by=["renewals", "loan"]).first()
+    assert (whole["n"], whole["l"]) == (14, None)  # the row without renewals sorts last
+    assert S.aggregate(loans, ["shelf"]).count() == 4
+    assert S.aggregate(loans, [], [{"column": "fee", "function": "MEDIAN", "alias": "m"}]).count() == 1
     with pytest.raises(ValueError, match="needs order_by"):
-        S.aggregate(orders, [], [{"column": "id", "function": "FIRST"}])
+        S.aggregate(loans, [], [{"column": "loan", "function": "FIRST"}])
 
 
-def test_rename_and_derive(orders):
-    assert S.rename(orders, {"id": "nomor"}).columns[0] == "nomor"
+def test_rename_and_derive(loans):
+    assert S.rename(loans, {"loan": "number"}).columns[0] == "number"
     with pytest.raises(ValueError, match="unknown column"):
-        S.rename(orders, {"nope": "x"})
-    assert S.derive(orders).select("kolom_baru").distinct().collect()[0][0] is None
-    dotted = S.rename(orders, {"id": "a.b"})
-    assert S.sort_rows(S.drop_null(dotted, ["a.b"]), ["a.b"]).count() == 12
+        S.rename(loans, {"nope": "x"})
+    assert S.derive(loans).select("kolom_baru").distinct().collect()[0][0] is None
+    dotted = S.rename(loans, {"loan": "a.b"})
+    assert S.sort_rows(S.drop_null(dotted, ["a.b"]), ["a.b"]).count() == 15
 
 
 def test_sort_and_limit(spark):
@@ -153,11 +167,11 @@ def test_cast_options(spark):
         S.cast_columns(df, {"v": "date"}, strict=True).collect()
 
 
-def test_batch_edit(spark, orders):
+def test_batch_edit(spark, loans):
     edits = spark.createDataFrame([
-        (1001, "kota", "Medan", 1), (1001, "kota", "Bogor", 2), (1002, "jumlah", None, 3), (1003, "total_harga", "5.5", 4),
-        (1004, "no_such", "x", 5), (9999, "kota", "x", 6)], "id int, column string, new_value string, seq int")
-    out = {r.id: r for r in batch_edit(orders, edits, "id").collect()}
-    assert len(out) == 12
-    assert out[1001].kota == "Bogor" and out[1002].jumlah is None and out[1003].total_harga == 5.5
-    assert batch_edit(orders, edits, "id").schema == orders.schema
+        (1, "branch", "Hill", 1), (1, "branch", "Lake", 2), (2, "renewals", None, 3), (3, "fee", "5.5", 4),
+        (4, "no_such", "x", 5), (99, "branch", "x", 6)], "id int, column string, new_value string, seq int")
+    out = {r.loan: r for r in batch_edit(loans, edits, "loan").collect()}
+    assert len(out) == 15
+    assert out[1].branch == "Lake" and out[2].renewals is None and out[3].fee == 5.5
+    assert batch_edit(loans, edits, "loan").schema == loans.schema
