@@ -89,7 +89,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents with hit words, and what stands between them inside a span, cut out of their texts;
+    """The documents with hit words cut out of their texts, each with what follows it up to the next word;
     texts without hits stay as they are. All other columns stay."""
     found = contamination(documents, benchmark, window).where("n_hit > 0").select("doc_id", "hit_spans")
     joined = documents.join(found, "doc_id", "left")

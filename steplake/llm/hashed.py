@@ -126,7 +126,7 @@ def scores(raw: np.ndarray, starts: np.ndarray, features: Features, weight: np.n
     number, row = features(raw, starts)
     used = weight[number] != 0
     number, row = distinct(number[used], row[used])
-    return np.bincount(row, weights=weight[number], minlength=len(starts) - 1)
+    return np.bincount(row, weights=weight[number], minlength=len(starts) - 1).astype(float)
 
 
 def dense(numbers: np.ndarray, weights: np.ndarray) -> np.ndarray:

@@ -271,8 +271,9 @@ def jaccard_components(documents: DataFrame, size: int = 3, percent: int = 90) -
     Two documents link when their sets of distinct ``size``-word shingles overlap in at least ``percent``
     of the union; component_id is the smallest doc_id that links lead to, the own one included.
     Texts of fewer words are one shingle; NULL texts and texts without words have size 0 and no
-    links. Repeated rows stay and are copies of each other; a NULL doc_id is never a component's name
-    unless nothing else is there. Other columns are ignored; an empty table gives none.
+    links. Repeated rows stay and are copies of each other. A row with a NULL doc_id belongs to the
+    component of an equal text that has one; without such a text its component_id is NULL, and it links
+    nothing. Other columns are ignored; an empty table gives no rows.
     """
     spark = documents.sparkSession
     cut = Cut(percent)

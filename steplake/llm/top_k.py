@@ -92,7 +92,7 @@ def _search(width: int, k: int, rotation: np.ndarray):
     lead = max(1, int(width * LEADING))
 
     def best(queries, ids_q, least, vectors, ids, found):
-        small = max(np.abs(queries).max(initial=0), np.abs(vectors).max(initial=0)) ** 2 * max(width, 1) < 2 ** 53
+        small = max(int(np.abs(queries).max(initial=0)), int(np.abs(vectors).max(initial=0))) ** 2 * width < 2 ** 53
         exact = vectors.astype(float) if small else vectors
         turned_q, turned = queries @ rotation, vectors @ rotation
         norms, norms_q = np.sqrt((turned ** 2).sum(axis=1)), np.sqrt((turned_q ** 2).sum(axis=1))
@@ -137,7 +137,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` largest inner products of each query row with all other rows of vectors(vec_id, embedding).
 
-    Components are floor(scale * x); equal scores go to the smaller vec_id. Rows with a NULL vec_id or vector, or
+    Components are floor(scale * x), and inner products have to fit 64 bits; equal scores go to the smaller vec_id. Rows with a NULL vec_id or vector, or
     with NULL or non-finite components, take no part; shorter vectors end in zeros. A query's own
     vec_id is never its result, repeated rows of other ids are results of their own. Fewer than k
     candidates give all of them. Other columns are ignored; an empty table gives no rows.
