@@ -8,7 +8,9 @@ The first digit is that of sampled suffixes: each window is represented by the s
 that start in it, whose first bytes hash lowest, and equal windows choose the same one. The windows
 of one sampled suffix are neighbours, a run. Pass 1 groups runs by the sampled suffix's first
 bytes, pass 2 by all bytes of the run: equal runs are repeated windows altogether. What still shares
-the first digit is spread out into single windows, whose whole threshold bytes are the last digit.
+the first digit is parted by three more digits, of the bytes before and behind the sampled suffix that
+the run's early, middle and late windows need; parts alone with their digit are left out, the
+others are spread out into single windows, whose whole threshold bytes are the last digit.
 A task groups its own runs before it sends one row per distinct run.
 """
 
@@ -23,24 +25,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steplake.llm.shared import bucket_count, bucket_of, group_bounds, packed, text_bytes, unpacked, written
-from steplake.llm.words import BYTES, chunks, ranges, running
+from steplake.llm.words import BYTES, chunks, mix, ranges, running
 
 _U = np.uint64
 _LAST = (1 << 63) - 1  # stands for a NULL doc_id: after all others
 _LOW = _U(0xFFFFFFFF)
 
-_BLOBS = "kind tinyint, bucket int, head binary, body binary, doc binary, pos binary, size binary"
-_BLOB_SCHEMA = pa.schema([("kind", pa.int8()), ("bucket", pa.int32())] + [(c, pa.binary()) for c in ("head", "body", "doc", "pos", "size")])
+CHUNK = 1 << 18  # bytes worked on at a time
+
+_BLOBS = "kind tinyint, bucket int, head binary, body binary, doc binary, pos binary, more binary"
+_BLOB_SCHEMA = pa.schema([("kind", pa.int8()), ("bucket", pa.int32())] + [(c, pa.binary()) for c in ("head", "body", "doc", "pos", "more")])
+# bytes of ``more``: windows of the run, place of the sampled suffix in it, digits of its three parts
+_MORE = 5
 _FOUND = "removed boolean, doc_id bigint, first int, last int"
 _SENT, _REMOVED = 0, 1
 
 
 def runs_of(raw: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with the same sampled suffix: its digit, the hash of all the run's bytes, first window and number of windows."""
+    """Runs of windows with the same sampled suffix: its digit, the hash of all the run's bytes, first window, and ``more``."""
     head = depth // 4
     n = len(raw) - depth + 1
     if n <= 0:
-        return (np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros((0, _MORE), np.uint8)
     sums = running(raw, BYTES)
     at = np.arange(len(raw) - head + 1)
     digits = ranges(sums, at, at + head)
@@ -58,8 +64,14 @@ def runs_of(raw: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray
     window = np.flatnonzero(np.cumsum(crossing[:-1]) == 0)
     chosen = (low[window] & _LOW).astype(np.int64)
     bounds = group_bounds(chosen)
-    first, count = window[bounds[:-1]], np.diff(bounds)
-    return digits[chosen[bounds[:-1]]], ranges(sums, first, first + count - 1 + depth), first, count
+    first, count, chosen = window[bounds[:-1]], np.diff(bounds), chosen[bounds[:-1]]
+    # a window that starts d bytes before the sampled suffix needs d bytes on its left and the rest on its right
+    left = [np.maximum(chosen - k * head, 0) for k in range(3)]
+    right = [np.minimum(chosen + (k + 1) * head, len(raw)) for k in range(3)]
+    parts = [(ranges(sums, left[k], right[2 - k]) >> _U(56)).astype(np.uint8) for k in range(3)]
+    more = np.stack([count.astype(np.uint8), (chosen - first).astype(np.uint8), *parts], axis=1)
+    # the chosen digits are the low ones, so they are spread out again
+    return mix(digits[chosen]), ranges(sums, first, first + count - 1 + depth), first, more
 
 
 def merged(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,20 +96,21 @@ def _blobs(kind: int, bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatc
                            schema=_BLOB_SCHEMA)
 
 
-def _gathered(head, body, doc, pos, size, depth: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _gathered(head, body, doc, pos, more, depth: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """The earliest of a task's equal bodies go on; the others are removed here already."""
     order = np.lexsort((pos, doc, body))
-    head, body, doc, pos, size = (x[order] for x in (head, body, doc, pos, size))
+    head, body, doc, pos, more = (x[order] for x in (head, body, doc, pos, more))
     earliest = np.zeros(len(body), bool)
     earliest[group_bounds(body)[:-1]] = True
     keep = np.flatnonzero(earliest)
     keep = keep[np.lexsort((pos[keep], doc[keep]))]
-    yield _blobs(_SENT, bucket_of(head[keep], buckets), head[keep].astype(np.uint32), body[keep], doc[keep], pos[keep].astype(np.int32), size[keep].astype(np.int32))
+    low = head[keep].astype(np.uint32)
+    yield _blobs(_SENT, bucket_of(head[keep], buckets), low, body[keep], doc[keep], pos[keep].astype(np.int32), more[keep])
     later = _not_first(earliest, body, doc, pos)
-    d, first, last = merged(doc[later], pos[later], pos[later] + size[later] - 1 + depth)
+    d, first, last = merged(doc[later], pos[later], pos[later] + more[later, 0] - 1 + depth)
     where = bucket_of(d.astype(_U) * _U(0x9E3779B97F4A7C15), buckets)
-    none = np.zeros(len(d), np.uint32)
-    yield _blobs(_REMOVED, where, none, none.astype(_U), d, first.astype(np.int32), last.astype(np.int32))
+    none = np.zeros((len(d), 0), np.uint8)
+    yield _blobs(_REMOVED, where, none, last.astype(np.int32), d, first.astype(np.int32), none)
 
 
 def _not_first(earliest: np.ndarray, body: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -107,7 +120,7 @@ def _not_first(earliest: np.ndarray, body: np.ndarray, doc: np.ndarray, pos: np.
     return ~earliest & ((doc != doc[lead]) | (pos != pos[lead]))
 
 
-def _collected(pieces: Iterator[tuple[np.ndarray, ...]], depth: int, buckets: int, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def _collected(pieces: Iterator[tuple[np.ndarray, ...]], depth: int, buckets: int, flush: int = 250_000) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
     for piece in pieces:
         held.append(piece)
@@ -123,10 +136,10 @@ def _runs(depth: int, buckets: int):
     def pieces(batches):
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"))
-            for rows, raw, starts in chunks(batch.column("text")):
-                head, body, first, count = runs_of(raw, starts, depth)
+            for rows, raw, starts in chunks(batch.column("text"), CHUNK):
+                head, body, first, more = runs_of(raw, starts, depth)
                 row = np.searchsorted(starts, first, "right") - 1
-                yield head, body, ids[rows.start + row], first - starts[row], count
+                yield head, body, ids[rows.start + row], first - starts[row], more
 
     return lambda batches: _collected(pieces(batches), depth, buckets)
 
@@ -137,7 +150,7 @@ def _windows(depth: int, buckets: int):
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"))
             asked = batch.column("asked")
-            for rows, raw, starts in chunks(batch.column("text")):
+            for rows, raw, starts in chunks(batch.column("text"), CHUNK):
                 sums = running(raw, BYTES)
                 wanted = asked.slice(rows.start, len(rows))
                 n = np.asarray(wanted.value_lengths().fill_null(0))
@@ -147,7 +160,7 @@ def _windows(depth: int, buckets: int):
                 row = np.repeat(np.repeat(np.arange(len(rows)), n), count)
                 pos = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
                 body = ranges(sums, starts[row] + pos, starts[row] + pos + depth)
-                yield body, body, ids[rows.start + row], pos, np.ones(len(pos), np.int64)
+                yield body, body, ids[rows.start + row], pos, np.ones((len(pos), 1), np.uint8)
 
     return lambda batches: _collected(pieces(batches), depth, buckets)
 
@@ -158,73 +171,90 @@ def _grouped(depth: int, spread: bool):
         kind = np.asarray(table.column("kind"))
         sent, gone = table.filter(pa.array(kind == _SENT)), table.filter(pa.array(kind == _REMOVED))
         take = lambda t, c, k: unpacked(t.column(c).combine_chunks(), k)
-        head, body, doc, pos, size = (take(sent, c, k) for c, k in (("head", np.uint32), ("body", _U), ("doc", np.int64), ("pos", np.int32), ("size", np.int32)))
+        head, body, doc, pos = (take(sent, c, k) for c, k in (("head", np.uint32), ("body", _U), ("doc", np.int64), ("pos", np.int32)))
+        more = take(sent, "more", np.uint8).reshape(len(body), _MORE if spread else 1)
         order = np.lexsort((pos, doc, body, head))
-        head, body, doc, pos, size = head[order], body[order], doc[order], pos[order].astype(np.int64), size[order].astype(np.int64)
+        head, body, doc, pos, more = head[order], body[order], doc[order], pos[order].astype(np.int64), more[order].astype(np.int64)
         earliest = np.zeros(len(body), bool)
         earliest[group_bounds(head, body)[:-1]] = True
         later = _not_first(earliest, body, doc, pos)
-        first, last = np.concatenate([take(gone, "pos", np.int32), pos[later]]), np.concatenate([take(gone, "size", np.int32), pos[later] + size[later] - 1 + depth])
-        d, first, last = merged(np.concatenate([take(gone, "doc", np.int64), doc[later]]), first.astype(np.int64), last.astype(np.int64))
-        lead = np.flatnonzero(earliest)
-        bounds = group_bounds(head[lead])
-        opened = lead[np.repeat(np.diff(bounds) > 1, np.diff(bounds))] if spread else lead[:0]
-        return pa.table({"removed": pa.array(np.arange(len(d) + len(opened)) < len(d)), "doc_id": np.concatenate([d, doc[opened]]).astype(np.int64),
-                         "first": pa.array(np.concatenate([first, pos[opened]]), pa.int32()),
-                         "last": pa.array(np.concatenate([last, pos[opened] + size[opened]]), pa.int32())})
+        first = np.concatenate([take(gone, "pos", np.int32), pos[later]]).astype(np.int64)
+        last = np.concatenate([take(gone, "body", np.int32), pos[later] + more[later, 0] - 1 + depth]).astype(np.int64)
+        d, first, last = merged(np.concatenate([take(gone, "doc", np.int64), doc[later]]), first, last)
+        if spread:
+            lead = np.flatnonzero(earliest)
+            o, o_first, o_last = _open(head[lead], doc[lead], pos[lead], more[lead], depth)
+        else:
+            o, o_first, o_last = (np.zeros(0, np.int64),) * 3
+        return pa.table({"removed": pa.array(np.arange(len(d) + len(o)) < len(d)), "doc_id": np.concatenate([d, o]),
+                         "first": pa.array(np.concatenate([first, o_first]), pa.int32()), "last": pa.array(np.concatenate([last, o_last]), pa.int32())})
     return run
 
 
-def _rest(batches):
+def _open(head, doc, pos, more, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (document, first start, behind the last) whose part of a run shares its digits with another body."""
+    shift, place = more[:, 0], more[:, 1]
+    found = []
+    for k in range(3):
+        # a quarter of the depth before the sampled suffix belongs to part 0, the next to 1, the rest to 2
+        low = np.zeros_like(place) if k == 2 else np.maximum(place - (k + 1) * (depth // 4) + 1, 0)
+        high = np.minimum(place - k * (depth // 4) + 1, shift)
+        has = np.flatnonzero(low < high)
+        order = has[np.lexsort((more[has, 2 + k], head[has]))]
+        bounds = group_bounds(head[order], more[order, 2 + k])
+        shared = order[np.repeat(np.diff(bounds) > 1, np.diff(bounds))]
+        found.append((doc[shared], pos[shared] + low[shared], pos[shared] + high[shared]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _rest(with_bytes: bool):
     """What is left of each text."""
-    for batch in batches:
-        out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept")}
-        texts, spans = batch.column("text"), batch.column("spans")
-        for text, cut in zip(texts, spans):
-            raw = text.as_buffer() if text.is_valid else b""
-            data = bytes(raw)
-            found = sorted((s["first"], s["last"]) for s in cut.as_py() or [])
-            kept, at, removed, n_spans = [], 0, 0, 0
-            while found:
-                first, last = found.pop(0)
-                while found and found[0][0] <= last:
-                    last = max(last, found.pop(0)[1])
-                kept.append(data[at:first])
-                at, removed, n_spans = last, removed + last - first, n_spans + 1
-            kept.append(data[at:])
-            for c, v in (("n_bytes", len(data)), ("n_removed", removed), ("n_spans", n_spans), ("kept", b"".join(kept))):
-                out[c].append(v)
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()),
-                               "n_spans": pa.array(out["n_spans"], pa.int64()), "kept_sha256": [hashlib.sha256(k).hexdigest() for k in out["kept"]],
-                               "kept": pa.array(out["kept"], pa.binary())})
-
-
-def repeated_stretches(documents: DataFrame, depth: int = 100) -> DataFrame:
-    """doc_id, first, last: stretches of bytes (last not included) covered by ``depth`` bytes that also start earlier.
-
-    Stretches of one document may overlap. NULL doc_ids come as the largest number.
-    """
-    spark = documents.sparkSession
-    texts = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = bucket_count(spark, text_bytes(texts))
-    found = (texts.mapInArrow(_runs(depth, buckets), _BLOBS).groupBy("bucket").applyInArrow(_grouped(depth, True), _FOUND))
-    found = written(found, "suffix-runs", "removed")
-    asked = found.where("not removed").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("asked"))
-    single = (texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows(depth, buckets), _BLOBS)
-              .groupBy("bucket").applyInArrow(_grouped(depth, False), _FOUND))
-    return found.where("removed").unionByName(single).select("doc_id", "first", "last")
+    def run(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+                for text, cut in zip(part.column("text"), part.column("spans")):
+                    data = memoryview(text.as_buffer()) if text.is_valid else memoryview(b"")
+                    kept, at, removed, n_spans = hashlib.sha256(), 0, 0, 0
+                    pieces = []
+                    spans = sorted((s["first"], s["last"]) for s in cut.as_py() or [])
+                    for i, (first, last) in enumerate([*spans, (len(data), len(data))]):
+                        if first <= at and i and i < len(spans):  # goes on from the span before
+                            removed, at = removed + max(0, last - at), max(at, last)
+                            continue
+                        kept.update(data[at:first])
+                        if with_bytes:
+                            pieces.append(bytes(data[at:first]))
+                        if i < len(spans):
+                            removed, n_spans, at = removed + last - first, n_spans + 1, last
+                    for c, v in zip(out, (len(data), removed, n_spans, kept.hexdigest(), b"".join(pieces) if with_bytes else None)):
+                        out[c].append(v)
+                yield pa.record_batch({"doc_id": part.column("doc_id")} | {c: pa.array(v, t) for (c, v), t in zip(
+                    out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))})
+    return run
 
 
-def remove_repeats(documents: DataFrame, depth: int = 100) -> DataFrame:
+def remove_repeats(documents: DataFrame, depth: int = 100, with_bytes: bool = False) -> DataFrame:
     """Per row of documents(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept.
 
     Texts are UTF-8 bytes, NULL is empty. A byte goes if a string of ``depth`` bytes over it also starts earlier: in
     a document with a smaller doc_id, or further left in the same one; all texts are judged as they came, and
     strings never cross documents. Texts shorter than ``depth`` stay. A NULL doc_id counts as the largest.
-    Rows that repeat doc_id and text are one document and come as often as they are; a doc_id is taken to name one text.
-    Other columns are ignored; an empty table gives no rows.
+    kept holds the bytes left, if asked for. Rows that repeat doc_id and text are one document and come as often
+    as they are; a doc_id is taken to name one text. Other columns are ignored; an empty table gives no rows.
     """
-    spans = repeated_stretches(documents, depth).groupBy(F.col("doc_id").alias("place")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = texts.withColumn("place", F.coalesce("doc_id", F.lit(_LAST))).join(spans, "place", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_rest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    if not 8 <= depth <= 255:
+        raise ValueError("depth is a byte's worth of windows, 8 to 255")
+    spark = documents.sparkSession
+    texts = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    buckets = bucket_count(spark, text_bytes(texts))
+    found = texts.mapInArrow(_runs(depth, buckets), _BLOBS).groupBy("bucket").applyInArrow(_grouped(depth, True), _FOUND)
+    found = written(found, "suffix-runs", "removed")
+    asked = found.where("not removed").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("asked"))
+    # both joins read one exchange of the texts by doc_id
+    single = (texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows(depth, buckets), _BLOBS)
+              .groupBy("bucket").applyInArrow(_grouped(depth, False), _FOUND))
+    spans = (found.where("removed").unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
+    joined = texts.join(spans, "doc_id", "left").select(F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"), "text", "spans")
+    return joined.mapInArrow(_rest(with_bytes), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
