@@ -40,7 +40,7 @@ WHERE o_totalprice BETWEEN 50000 AND 400000 AND (o_orderpriority LIKE '%HIGH' OR
 
 @query("run_sql_limited", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000")
 def run_sql_limited(spark, sf):
-    return run_sql(spark, "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey",
+    return run_sql(spark, "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey", 1000,
                    orders=table(spark, sf, "orders"))
 
 
@@ -188,6 +188,17 @@ for _name, _groups in (("agg_rollup", "ROLLUP (l_returnflag, l_linestatus, l_lin
     _same_sql(_name, _GROUPED.format(groups=_groups), "lineitem")
 
 
+@query("agg_quantiles_tail", """
+SELECT 0.0001::DOUBLE AS probability, round(quantile_cont(v, 0.0001), 4) AS quantile FROM {v}
+UNION ALL SELECT 0.3, round(quantile_cont(v, 0.3), 4) FROM {v} UNION ALL SELECT 0.9999, round(quantile_cont(v, 0.9999), 4) FROM {v}""".format(
+    v="(SELECT CASE WHEN l_orderkey = 1 THEN 1e12::DOUBLE WHEN l_linenumber = 3 THEN 7.0::DOUBLE ELSE l_extendedprice END AS v FROM lineitem)"))
+def agg_quantiles_tail(spark, sf):
+    """A few values far out and one value in a seventh of the rows."""
+    value = F.when(F.col("l_orderkey") == 1, 1e12).when(F.col("l_linenumber") == 3, 7.0).otherwise(F.col("l_extendedprice"))
+    tail = quantiles(table(spark, sf, "lineitem").select(value.alias("v")), "v", [0.0001, 0.3, 0.9999])
+    return tail.withColumn("quantile", F.round("quantile", 4))
+
+
 @query("agg_quantiles", """
 SELECT l_returnflag, probability, round(CASE probability WHEN 0.05 THEN a WHEN 0.5 THEN b ELSE c END, 6) AS quantile FROM
  (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.05) AS a, quantile_cont(l_extendedprice, 0.5) AS b,

@@ -8,7 +8,7 @@ import uuid
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from steplake.conformance.registry import query, table
 from steplake.functions.sql import run_sql
@@ -19,7 +19,7 @@ from steplake.operators.nested import expand_json, flatten, infer_types, read_do
 from steplake.plans.workflow import Node, run_workflow
 from steplake.session import scratch_path
 from steplake.sources.catalog import list_tables, page
-from steplake.sources.files import read_any, read_csv, read_log_jsonl
+from steplake.sources.files import import_table, read_any, read_csv, read_json, read_log_jsonl, read_object_store
 from steplake.sources.sinks import export_csv, export_json, export_parquet, save_as_table, write_documents, write_files
 
 # ---- files
@@ -70,6 +70,34 @@ def parquet_round_trip(spark, sf):
     return read_any(spark, path)
 
 
+@query("json_documents", "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer")
+def json_documents(spark, sf):
+    """One JSON array per file: the customers of a nation, at most some thousands of them in a document."""
+    path, customer = scratch_path(spark, "arrays"), table(spark, sf, "customer").drop("c_acctbal")
+    part = F.floor(F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) / 5000).alias("part")
+    arrays = customer.select("*", part).groupBy("c_nationkey", "part").agg(F.to_json(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment"))))
+    arrays.write.partitionBy("c_nationkey", "part").text(path)
+    return read_json(spark, path).selectExpr("c_custkey", "c_name", "CAST(c_nationkey AS int) AS c_nationkey", "c_mktsegment")
+
+
+@query("import_table", "SELECT count(*) AS row_count, 5 AS column_count FROM customer")
+def imported_table(spark, sf):
+    name, path = "customer_" + uuid.uuid4().hex, scratch_path(spark, "import")
+    export_csv(table(spark, sf, "customer"), f"{path}.csv")
+    report = import_table(spark, f"{path}.csv", name, location=f"{path}/table").select("row_count", "column_count")
+    rows = report.collect()  # one row
+    spark.sql(f"DROP TABLE {name}")
+    return table(spark, sf, "customer").limit(1).select(
+        F.lit(rows[0].row_count).cast("bigint").alias("row_count"), F.lit(rows[0].column_count).alias("column_count"))
+
+
+@query("object_store", "SELECT * FROM customer")
+def object_store(spark, sf):
+    path = scratch_path(spark, "object") + ".parquet"
+    export_parquet(table(spark, sf, "customer"), path)
+    return read_object_store(spark, path)
+
+
 @query("export_capped", "SELECT least(500, count(*)) AS n FROM customer")
 def export_capped(spark, sf):
     path = scratch_path(spark, "capped")
@@ -194,7 +222,7 @@ def append_overwrite_counts(spark, sf):
                         (partitioned.overwrite, orders.filter("o_orderstatus = 'F'"))):
         write(rows, path, ["o_orderpriority"])
         counts.append(partitioned.read_table(spark, path, orders.schema).count())
-    return orders.select(*[F.lit(n).alias(name) for n, name in zip(counts, ("first", "second", "third"))]).limit(1)
+    return orders.select(*[F.lit(n).cast("bigint").alias(name) for n, name in zip(counts, ("first", "second", "third"))]).limit(1)
 
 
 def _three_snapshots(spark, sf):
@@ -407,3 +435,37 @@ def user_script(spark, sf):
         return made["result"]
     run_script(context, script)
     return made["result"]
+
+
+@query("user_tables", """
+SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2""")
+def user_tables(spark, sf):
+    """A script reads a table, writes one, adds to it and reads it back."""
+    context = Context(spark, {"orders": table(spark, sf, "orders")}, location=scratch_path(spark, "script"))
+    name = "counts_" + uuid.uuid4().hex
+
+    def script(ctx):
+        for status, mode in (("F", "overwrite"), ("O", "append")):
+            counted = ctx.read_table("orders").filter(F.col("o_orderstatus") == status).groupBy("o_orderpriority", "o_orderstatus")
+            ctx.write_table(name, counted.agg(F.count(F.lit(1)).alias("n")), mode)
+    run_script(context, script)
+    rows = context.read_table(name)
+    rows.schema  # resolved before the name goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
+@query("workflow_python", """
+SELECT event_id, value * 2 AS doubled FROM events WHERE value > 3 UNION ALL SELECT event_id, value * 2 FROM events WHERE value > 3""")
+def workflow_python(spark, sf):
+    """A node in Python, and a destination that is added to by a second run."""
+    path = scratch_path(spark, "workflow") + ".parquet"
+    nodes = [Node("events", "source", {"table": "events"}),
+             Node("double", "python", {"function": lambda df, least: df.filter(F.col("value") > least).select(
+                 "event_id", (F.col("value") * 2).alias("doubled")), "params": {"least": 3}}),
+             Node("out", "destination", {"path": path, "mode": "append"})]
+    for _ in range(2):
+        result = run_workflow(spark, nodes, [("events", "double"), ("double", "out")], {"events": table(spark, sf, "events")})
+        if not result.success:
+            raise RuntimeError(result.error)
+    return spark.read.parquet(path)

@@ -14,8 +14,10 @@ from steplake.session import ensure_checkpoint_dir
 _ACCURACY = 10_000
 # ... so this margin on either side holds the wanted rank.
 _MARGIN = 5 / _ACCURACY
-# A bracket is cut into this many cells, and only the cell with the wanted rank is sorted.
-_CELLS = 1000
+# Brackets with more rows than this are narrowed before their values are sorted.
+_SORTED_ROWS = 100_000
+# A narrowing cuts a bracket into this many parts of equal size and keeps a few.
+_PARTS = 100
 # Brackets of so many groups are a few megabytes.
 _BROADCAST_GROUPS = 5000
 
@@ -32,135 +34,147 @@ def quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
     """Exact interpolated quantiles: one row per group and probability. NULL and NaN do not count.
 
     Spark's ``percentile`` keeps every distinct value of a group in one task.
-    Here a sketch brackets each quantile by two values, a pass over the table
-    counts the rows below the bracket and in each of its cells, and only the rows
-    of the one cell that holds the wanted rank are sorted: about one in a
-    million of a group, however large the group is. Both passes combine on the
-    map side. Should a bracket miss its rank, it is widened to the whole group.
+    Here a sketch brackets each quantile by two values and a pass over the table
+    counts the rows below and inside. A bracket with many rows is narrowed by a sketch of
+    the rows inside, as often as needed, whatever the values' distribution; then the few
+    distinct values left in it are sorted. All passes combine on the map side. A bracket
+    that misses its rank is widened to the whole group and narrowed again.
     """
-    return _quantiles(df, value, probabilities, group_by)[0]
+    found, _ = _quantiles(df, [value], probabilities, group_by)
+    return found.drop("measure")
 
 
-def _quantiles(df: DataFrame, value: str, probabilities: Sequence[float], group_by: Sequence[str],
-               extra: Sequence[Column] = ()) -> tuple[DataFrame, DataFrame]:
-    """The quantiles, and what the sketch's pass found per group: ``total, least, most`` and the extra
-    aggregates of ``v``."""
-    require_columns(df, [value, *group_by])
+def _quantiles(df: DataFrame, values: Sequence[str], probabilities: Sequence[float], group_by: Sequence[str],
+               extra: Sequence = ()) -> tuple[DataFrame, DataFrame]:
+    """Quantiles of several columns at once (group, measure, probability, quantile), and one row per group with
+    ``total, least, most`` and the extra aggregates of each column, numbered by its place."""
+    require_columns(df, [*values, *group_by])
     keys = [f"__g{i}" for i in range(len(group_by))] or ["__g0"]
     named = [quoted(c).alias(k) for c, k in zip(group_by, keys)] or [F.lit(0).alias("__g0")]
-    number = quoted(value).cast("double")
-    base = df.filter(number.isNotNull() & ~F.isnan(number)).select(*named, number.alias("v"))
+    numbers = [quoted(c).cast("double") for c in values]
+    base = df.select(*named, *[F.when(~F.isnan(n), n).alias(f"v{m}") for m, n in enumerate(numbers)])
+    spots = [(m, i, p) for m in range(len(values)) for i, p in enumerate(probabilities)]
 
     edges = [max(p - _MARGIN, 0.0) for p in probabilities] + [min(p + _MARGIN, 1.0) for p in probabilities]
-    sketch = base.groupBy(*keys).agg(
-        F.percentile_approx("v", edges, _ACCURACY).alias("e"), F.count("v").alias("total"),
-        F.min("v").alias("least"), F.max("v").alias("most"), *extra)
-    known = [c for c in sketch.columns if c not in (*keys, "e")]
-    n = len(probabilities)
-    brackets = sketch.select(*keys, *known, F.array(*[
-        F.struct(F.lit(p).alias("p"),
-                 (F.col("least") if p - _MARGIN <= 0 else F.col("e")[i]).alias("low"),
-                 (F.col("most") if p + _MARGIN >= 1 else F.col("e")[n + i]).alias("high"))
-        for i, p in enumerate(probabilities)]).alias("brackets"))
+    parts = []
+    for m in range(len(values)):
+        v = F.col(f"v{m}")
+        parts += [F.percentile_approx(v, edges, _ACCURACY).alias(f"e{m}"), F.count(v).alias(f"total{m}"), F.min(v).alias(f"least{m}"),
+                  F.max(v).alias(f"most{m}"), *[make(v).alias(f"{name}{m}") for name, make in extra]]
+    sketch = base.groupBy(*keys).agg(*parts)
+    known = [c for c in sketch.columns if not c.startswith("e") and c not in keys]
+    brackets = sketch.select(*keys, *known, *[c for m, i, p in spots for c in (
+        (F.col(f"least{m}") if p <= _MARGIN else F.col(f"e{m}")[i]).alias(f"low{m}_{i}"),
+        (F.col(f"most{m}") if p >= 1 - _MARGIN else F.col(f"e{m}")[len(probabilities) + i]).alias(f"high{m}_{i}"))])
     # A sketch may come out differently when it is computed again, so it is kept.
     ensure_checkpoint_dir(df.sparkSession)
     brackets = brackets.checkpoint()
     few = brackets.count() <= _BROADCAST_GROUPS
-    bracketed = _bracketed(base, keys, brackets, n, few)
-    located = _locate(bracketed, keys, brackets, probabilities)
-    missed = located.filter("range IS NULL").select(*keys, "p").distinct()
-    if not missed.isEmpty():
-        wide = F.transform("brackets", lambda b: F.when(
-            F.array_contains("missed", b["p"]), F.struct(b["p"].alias("p"), F.col("least").alias("low"), F.col("most").alias("high")))
-            .otherwise(b))
-        failed = missed.groupBy(*keys).agg(F.collect_set("p").alias("missed"))
-        brackets = (_null_safe(brackets, failed, keys, "left")
-                    .withColumn("brackets", F.when(F.col("missed").isNotNull(), wide).otherwise(F.col("brackets")))
-                    .drop("missed").checkpoint())
-        bracketed = _bracketed(base, keys, brackets, n, few)
-        located = _locate(bracketed, keys, brackets, probabilities)
-
-    needed = located.select(*keys, "p", F.col("range").alias("cell")).distinct()
-    inside = [F.col("v").between(F.col(f"low{i}"), F.col(f"high{i}")) for i in range(n)]
-    in_brackets = bracketed.filter(functools.reduce(Column.__or__, inside)).select(
-        *keys, "v", F.inline(F.array(*[F.struct(F.lit(p).alias("p"), _cell(i).alias("cell"))
-                                       for i, p in enumerate(probabilities)])))
-    values = (_null_safe(in_brackets, F.broadcast(needed) if few else needed, [*keys, "p", "cell"], "left_semi")
-              .groupBy(*keys, "p", "cell", "v").agg(F.count(F.lit(1)).alias("n")))
-    order = Window.partitionBy(*keys, "p", "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    sorted_cells = values.withColumn("upto", F.sum("n").over(order))
-    # at most two ranks per group and probability
-    found = _null_safe(sorted_cells, located.withColumnRenamed("range", "cell"), [*keys, "p", "cell"], "inner").filter(
-        (F.col("rank") >= F.col("before") + F.col("upto") - F.col("n")) & (F.col("rank") < F.col("before") + F.col("upto")))
-    low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
-    fraction = F.max("position") - F.min("rank")
+    summary = brackets.select(*[F.col(k).alias(c) for c, k in zip(group_by, keys)], *known)
+
+    rounds = 0
+    while True:
+        rounds += 1
+        counted = _counted(base, keys, brackets, spots, few)
+        # per bracket: missed, too large, or ready
+        states = counted.select(F.inline(F.array(*[F.struct(_missed(m, i, p).alias("missed"), _crowded(m, i).alias("crowded"))
+                                                   for m, i, p in spots])))
+        worst = states.agg(F.max("missed"), F.max("crowded")).first()
+        # a bracket shrinks at least tenfold a round, so many rounds mean a sketch that fails
+        if not worst[0] and (not worst[1] or rounds > 30):
+            break
+        brackets = _narrowed(base, keys, counted, spots, few).checkpoint()
+
+    inside = [F.col(f"v{m}").between(F.col(f"low{m}_{i}"), F.col(f"high{m}_{i}")) for m, i, _ in spots]
+    rows = _beside(base, keys, brackets, spots, few).filter(functools.reduce(Column.__or__, inside)).select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), F.when(at, F.col(f"v{m}")).alias("v")) for (m, i, _), at in zip(spots, inside)])))
+    distinct = rows.filter("v IS NOT NULL").groupBy(*keys, "m", "i", "v").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*keys, "m", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = distinct.withColumn("upto", F.sum("n").over(order))
+    wanted = counted.select(*keys, F.inline(F.array(*[F.struct(
+        F.lit(m).alias("m"), F.lit(i).alias("i"), F.lit(p).alias("p"), _position(m, p).alias("position"), F.col(f"below{m}_{i}").alias("below"))
+        for m, i, p in spots])))
+    hit = _null_safe(ranked, wanted, [*keys, "m", "i"], "inner")
+    first, last = F.col("below") + F.col("upto") - F.col("n"), F.col("below") + F.col("upto") - 1
+    # the value at a rank is the one whose first and last rank hold it
+    low = F.max(F.when((F.floor("position") >= first) & (F.floor("position") <= last), F.col("v")))
+    high = F.max(F.when((F.ceil("position") >= first) & (F.ceil("position") <= last), F.col("v")))
+    fraction = F.max("position") - F.floor(F.max("position"))
     # low + 0 * (inf - inf) would be NaN
     result = F.when(low == high, low).otherwise(low + (high - low) * fraction)
-    groups = [F.col(k).alias(c) for c, k in zip(group_by, keys)]
-    return (found.groupBy(*keys, "p").agg(result.alias("quantile")).select(
-        *groups, F.col("p").alias("probability"), "quantile"), brackets.select(*groups, *known))
+    out = hit.groupBy(*keys, "m", "p").agg(result.alias("quantile")).select(
+        *[F.col(k).alias(c) for c, k in zip(group_by, keys)], F.col("m").alias("measure"), F.col("p").alias("probability"), "quantile")
+    return out, summary
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join on keys where NULL equals NULL; the keys appear once, from the left."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     joined = left.join(renamed, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys], how)
-    return joined if how == "left_semi" else joined.drop(*[f"__r_{k}" for k in keys])
+    return joined.drop(*[f"__r_{k}" for k in keys])
 
 
-def _bracketed(base: DataFrame, keys: Sequence[str], brackets: DataFrame, n: int, few: bool) -> DataFrame:
+def _position(m: int, p: float) -> Column:
+    """Where the quantile lies among the ranks 0 .. total - 1."""
+    return (F.col(f"total{m}") - 1) * F.lit(p)
+
+
+def _beside(base: DataFrame, keys: Sequence[str], brackets: DataFrame, spots, few: bool) -> DataFrame:
     """Each value beside the brackets of its group."""
-    limits = []
-    for i in range(n):
-        low, high = F.col("brackets")[i]["low"], F.col("brackets")[i]["high"]
-        limits += [low.alias(f"low{i}"), high.alias(f"high{i}"),
-                   F.when(high > low, F.lit(float(_CELLS)) / (high - low)).otherwise(0.0).alias(f"scale{i}")]
-    side = brackets.select(*keys, *limits)
+    side = brackets.select(*keys, *[F.col(f"{e}{m}_{i}") for m, i, _ in spots for e in ("low", "high")])
     return _null_safe(base, F.broadcast(side) if few else side, keys, "inner")
 
 
-def _cell(i: int) -> Column:
-    """A value's place in a bracket: -1 below, 0.. a cell of it, ``_CELLS`` above."""
-    v, low = F.col("v"), F.col(f"low{i}")
-    part = F.least(F.floor((v - low) * F.col(f"scale{i}")), F.lit(_CELLS - 1))
-    return F.when(v < low, -1).when(v <= F.col(f"high{i}"), part).otherwise(_CELLS).cast("int")
-
-
-def _locate(bracketed: DataFrame, keys: Sequence[str], brackets: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """Per group, probability and wanted rank: the cell that holds it and the rows before that cell."""
-    labels = [f"c{i}" for i in range(len(probabilities))]
-    labelled = bracketed.select(*keys, *[_cell(i).alias(c) for i, c in enumerate(labels)])
-    # a few thousand rows per group from here on
-    together = labelled.groupBy(*keys, *labels).agg(F.count(F.lit(1)).alias("n"))
-    sizes = together.select(*keys, "n", F.inline(F.array(*[
-        F.struct(F.lit(p).alias("p"), F.col(c).alias("cell")) for p, c in zip(probabilities, labels)]))
-    ).groupBy(*keys, "p", "cell").agg(F.sum("n").alias("size"))
-    # one row per cell
-    earlier = Window.partitionBy(*keys, "p").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = sizes.withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
-    position = (F.col("total") - 1) * F.col("b.p")
-    wanted = brackets.select(*keys, "total", F.explode("brackets").alias("b")).select(
-        *keys, F.col("b.p").alias("p"), position.alias("position"),
-        F.explode(F.array_distinct(F.array(F.floor(position), F.ceil(position)))).alias("rank"))
-    hit = _null_safe(wanted, ranges, [*keys, "p"], "inner").filter(
-        F.col("cell").between(0, _CELLS - 1) & (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size")))
-    hit = hit.select(*keys, "p", "rank", F.col("cell").alias("range"), "before")
-    return _null_safe(wanted, hit, [*keys, "p", "rank"], "left").checkpoint()
+def _counted(base: DataFrame, keys: Sequence[str], brackets: DataFrame, spots, few: bool) -> DataFrame:
+    """The brackets with the rows below and inside each."""
+    counts = _beside(base, keys, brackets, spots, few).groupBy(*keys).agg(*[c for m, i, _ in spots for c in (
+        F.count_if(F.col(f"v{m}") < F.col(f"low{m}_{i}")).alias(f"below{m}_{i}"),
+        F.count_if(F.col(f"v{m}").between(F.col(f"low{m}_{i}"), F.col(f"high{m}_{i}"))).alias(f"inside{m}_{i}"))])
+    return _null_safe(brackets, counts, keys, "inner").checkpoint()
+
+
+def _missed(m: int, i: int, p: float) -> Column:
+    below, inside = F.col(f"below{m}_{i}"), F.col(f"inside{m}_{i}")
+    out = (F.floor(_position(m, p)) < below) | (F.ceil(_position(m, p)) >= below + inside)
+    return F.coalesce((F.col(f"total{m}") > 0) & out, F.lit(False))
+
+
+def _crowded(m: int, i: int) -> Column:
+    """Many rows and more than one value."""
+    return F.coalesce((F.col(f"inside{m}_{i}") > _SORTED_ROWS) & (F.col(f"low{m}_{i}") < F.col(f"high{m}_{i}")), F.lit(False))
+
+
+def _narrowed(base: DataFrame, keys: Sequence[str], counted: DataFrame, spots, few: bool) -> DataFrame:
+    """Smaller brackets where there are many rows, whole groups where the rank was missed."""
+    shares = [j / _PARTS for j in range(_PARTS + 1)]
+    sketched = _beside(base, keys, counted, spots, few).groupBy(*keys).agg(*[F.percentile_approx(
+        F.when(F.col(f"v{m}").between(F.col(f"low{m}_{i}"), F.col(f"high{m}_{i}")), F.col(f"v{m}")), shares, _ACCURACY).alias(f"s{m}_{i}")
+        for m, i, _ in spots])
+    both = _null_safe(counted, sketched, keys, "inner")
+    limits = []
+    for m, i, p in spots:
+        low, high, cuts = F.col(f"low{m}_{i}"), F.col(f"high{m}_{i}"), F.col(f"s{m}_{i}")
+        share = (_position(m, p) - F.col(f"below{m}_{i}")) / F.col(f"inside{m}_{i}") * _PARTS
+        # one part more on either side than the sketch's error asks for
+        left, right = F.greatest(F.floor(share) - 1, F.lit(0)).cast("int"), F.least(F.ceil(share) + 1, F.lit(_PARTS)).cast("int")
+        missed, crowded = _missed(m, i, p), _crowded(m, i)
+        limits += [F.when(missed, F.col(f"least{m}")).when(crowded & (left > 0), cuts[left]).otherwise(low).alias(f"low{m}_{i}"),
+                   F.when(missed, F.col(f"most{m}")).when(crowded & (right < _PARTS), cuts[right]).otherwise(high).alias(f"high{m}_{i}")]
+    kept = [c for c in counted.columns if not c.startswith(("low", "high", "below", "inside"))]
+    return both.select(*kept, *limits)
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, standard deviation, minimum, quartiles and maximum of numeric columns."""
     names = list(columns or [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)])
     require_columns(df, names)
-    long = df.select(*[quoted(c).cast("double").alias(c) for c in names]).unpivot(
-        [], [quoted(c) for c in names], "column", "value")
-    points, moments = _quantiles(long, "value", [0.25, 0.5, 0.75], ["column"],
-                                 [F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")])
-    # three rows per column
-    quartiles = points.groupBy("column").agg(*[
-        F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(name)
-        for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
-    listed = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
-    return listed.join(moments, "column", "left").join(quartiles, "column", "left").select(
-        "column", F.coalesce("total", F.lit(0)).alias("count"), "mean", "std", F.col("least").alias("min"), "q25", "q50", "q75",
-        F.col("most").alias("max"))
+    shown = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
+    points, moments = _quantiles(df, names, list(shown), (), [("mean", F.avg), ("std", F.stddev_samp)])
+    # one row per column from here on
+    listed = moments.select(F.inline(F.array(*[F.struct(
+        F.lit(m).alias("measure"), F.lit(c).alias("column"), F.col(f"total{m}").alias("count"), F.col(f"mean{m}").alias("mean"),
+        F.col(f"std{m}").alias("std"), F.col(f"least{m}").alias("min"), F.col(f"most{m}").alias("max")) for m, c in enumerate(names)])))
+    quartiles = points.groupBy("measure").agg(*[F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(name) for p, name in shown.items()])
+    made = listed.join(quartiles, "measure", "left").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    every = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
+    return every.join(made, "column", "left").withColumn("count", F.coalesce("count", F.lit(0)))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# The fields of a run record.
 RUN = """id string, schedule_id string, target_type string, target_id string, target_name string, trigger string,
 status string, write_mode string, started_at timestamp_ntz, finished_at timestamp_ntz, duration_sec int,
 rows_processed bigint, error_message string,

@@ -18,6 +18,7 @@ from steplake.plans.step_list import Step, run_steps
 from steplake.session import ensure_checkpoint_dir
 from steplake.sources.sinks import save_as_table, write_files
 
+# The kinds of nodes.
 KINDS = ("source", "filter", "steps", "transform_sql", "quality_assert", "python", "destination")
 
 

@@ -101,8 +101,18 @@ def stream_quality(df: DataFrame, rules: Sequence[Rule], path: str, checkpoint:
     return each_batch(df, judge, checkpoint)
 
 
-def latest_totals(df: DataFrame, path: str, checkpoint: str):
-    """Write the whole result of a streaming aggregate after every micro-batch, one folder per batch."""
+def changed_totals(df: DataFrame, path: str, checkpoint: str, once: bool = True):
+    """Write the rows of a streaming aggregate that a micro-batch changed, one folder per batch, so a repeat replaces its own.
+
+    Intervals behind the watermark leave the state; what was written of them stays. See :func:`newest_totals`.
+    """
     def write(rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-    return each_batch(df, write, checkpoint, output_mode="complete")
+    return each_batch(df, write, checkpoint, once, output_mode="update")
+
+
+def newest_totals(written: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The last value of each interval among all that micro-batches wrote."""
+    rest = [c for c in written.columns if c not in (*by, "batch_id")]
+    newest = written.groupBy(*map(quoted, by)).agg(F.max_by(F.struct(*map(quoted, rest)), "batch_id").alias("__last"))
+    return newest.select(*map(quoted, by), *[F.col("__last")[c].alias(c) for c in rest])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -61,6 +62,18 @@ def peek(messages: DataFrame, partition: int | None = None, limit: int = 20) ->
     return chosen.orderBy("offset", "partition").limit(limit)
 
 
+def peek_topic(spark: SparkSession, servers: str, topic: str, start: dict[int, int], limit: int = 20) -> DataFrame:
+    """The next ``limit`` messages of each partition from the offset in ``start`` on; nothing else is read."""
+    return as_envelope(spark.read.format("kafka").options(**peek_options(servers, topic, start, limit)).load())
+
+
+def peek_options(servers: str, topic: str, start: dict[int, int], limit: int = 20) -> dict[str, str]:
+    """Reader options that bound a read of a topic on both sides, partition by partition."""
+    ends = {p: o + limit for p, o in start.items()}
+    options = topic_options(servers, topic, *(json.dumps({topic: {str(p): o for p, o in offsets.items()}}) for offsets in (start, ends)))
+    return options | {"failOnDataLoss": "false"}  # an end behind the last message is cut
+
+
 def parse_values(messages: DataFrame, schema: T.StructType | str, keep: Sequence[str] = ("offset", "partition", "timestamp")
                  ) -> DataFrame:
     """Typed columns of the JSON value beside the envelope; text that does not parse goes to ``_corrupt``."""
@@ -100,6 +113,18 @@ def to_messages(df: DataFrame, key: str | None = None, partition: str | None = N
     return df.select(*columns)
 
 
+def write_message_files(df: DataFrame, path: str, key: str | None = None, partition: str | None = None,
+                        offset: str | None = None, timestamp: str | None = None, mode: str = "append") -> None:
+    """Land rows as messages in JSON lines, with the columns of a topic, where no broker is at hand."""
+    require_columns(df, [c for c in (key, partition, offset, timestamp) if c])
+    fields = [c for c in df.columns if c not in (partition, offset, timestamp)]
+    given = {"offset": offset, "partition": partition, "timestamp": timestamp, "key": key}
+    columns = [(quoted(c) if c else F.lit(None)).cast(ENVELOPE[name].dataType).alias(name) for name, c in given.items()]
+    messages = df.select(*columns, F.to_json(F.struct(*map(quoted, fields))).alias("value"),
+                         F.lit(None).cast(ENVELOPE["headers"].dataType).alias("headers"))
+    messages.write.mode(mode).json(path)
+
+
 def write_topic(df: DataFrame, servers: str, topic: str, key: str | None = None, partition: str | None = None,
                 checkpoint: str | None = None, read_only: bool = False):
     """Produce rows to a topic: a batch at once, or a stream that returns its running query."""

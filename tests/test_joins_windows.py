@@ -138,7 +138,22 @@ def test_full_join(spark):
 
 def test_quantiles_of_whole_table(spark):
     got = quantiles(spark.range(101), "id", [0.5, 0.905]).collect()
-    assert sorted((r.probability, r.quantile) for r in got) == [(0.5, 50.0), (0.905, pytest.approx(90.5))]
+    assert sorted((r.probability, r.quantile) for r in got) == [(0.5, 50.0), (0.905, 90.5)]
+
+
+def test_quantiles_of_a_heavy_tail(spark, monkeypatch):
+    """Narrowed again and again, with one value in a third of the rows, values far out and infinite ones."""
+    monkeypatch.setattr(summary, "_SORTED_ROWS", 40)
+    rng = random.Random(8)
+    values = [rng.random() for _ in range(4000)] + [0.5] * 2000 + [1e12, -1e12, float("inf"), float("-inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    wanted = [0.0, 0.0002, 0.1, 0.3333, 0.5, 0.97, 0.9999, 1.0]
+    got = {r.probability: r.quantile for r in quantiles(df, "v", wanted).collect()}
+    ordered = sorted(values)
+    for p in wanted:
+        at = (len(values) - 1) * p
+        low, high = ordered[int(at)], ordered[min(int(at) + 1, len(values) - 1)] if at > int(at) else ordered[int(at)]
+        assert got[p] == (low if low == high else pytest.approx(low + (high - low) * (at - int(at)))), p
 
 
 def test_describe_and_ratio(spark):
