@@ -107,6 +107,7 @@ def _search(width: int, k: int, rotation: np.ndarray):
             bound = turned[:reach, :lead] @ turned_q[i, :lead] + rest[:reach] * rest_q[i]
             left = np.flatnonzero((bound >= low) & (ids[:reach] != ids_q[i]))
             scores = (exact[left] @ query).astype(np.int64)
+            left, scores = left[scores >= least[i]], scores[scores >= least[i]]
             if len(left) > k:
                 kth = np.partition(scores, len(left) - k)[len(left) - k]
                 left, scores = left[scores >= kth], scores[scores >= kth]
