@@ -15,7 +15,7 @@ _ACCURACY = 10_000
 # ... so this margin on either side holds the wanted rank.
 _MARGIN = 5 / _ACCURACY
 # Brackets with more rows than this are narrowed before their values are sorted.
-_SORTED_ROWS = 100_000
+_SORTED_ROWS = 1_000_000
 # A narrowing cuts a bracket into this many parts of equal size and keeps a few.
 _PARTS = 100
 # Brackets of so many groups are a few megabytes.
@@ -72,17 +72,17 @@ def _quantiles(df: DataFrame, values: Sequence[str], probabilities: Sequence[flo
     few = brackets.count() <= _BROADCAST_GROUPS
     summary = brackets.select(*[F.col(k).alias(c) for c, k in zip(group_by, keys)], *known)
 
-    rounds = 0
+    left = float("inf")
     while True:
-        rounds += 1
         counted = _counted(base, keys, brackets, spots, few)
         # per bracket: missed, too large, or ready
-        states = counted.select(F.inline(F.array(*[F.struct(_missed(m, i, p).alias("missed"), _crowded(m, i).alias("crowded"))
-                                                   for m, i, p in spots])))
-        worst = states.agg(F.max("missed"), F.max("crowded")).first()
-        # a bracket shrinks at least tenfold a round, so many rounds mean a sketch that fails
-        if not worst[0] and (not worst[1] or rounds > 30):
+        states = counted.select(F.inline(F.array(*[F.struct(
+            _missed(m, i, p).alias("missed"), F.when(_crowded(m, i), F.col(f"inside{m}_{i}")).alias("inside")) for m, i, p in spots])))
+        worst = states.agg(F.max("missed"), F.coalesce(F.max("inside"), F.lit(0))).first()
+        # where one value has nearly all rows a bracket may not get smaller; its other values are sorted then
+        if not worst[0] and (not worst[1] or worst[1] > 0.9 * left):
             break
+        left = worst[1] or left
         brackets = _narrowed(base, keys, counted, spots, few).checkpoint()
 
     inside = [F.col(f"v{m}").between(F.col(f"low{m}_{i}"), F.col(f"high{m}_{i}")) for m, i, _ in spots]
@@ -129,7 +129,7 @@ def _counted(base: DataFrame, keys: Sequence[str], brackets: DataFrame, spots, f
     """The brackets with the rows below and inside each."""
     counts = _beside(base, keys, brackets, spots, few).groupBy(*keys).agg(*[c for m, i, _ in spots for c in (
         F.count_if(F.col(f"v{m}") < F.col(f"low{m}_{i}")).alias(f"below{m}_{i}"),
-        F.count_if(F.col(f"v{m}").between(F.col(f"low{m}_{i}"), F.col(f"high{m}_{i}"))).alias(f"inside{m}_{i}"))])
+        F.count_if(_inside(m, i)).alias(f"inside{m}_{i}"))])
     return _null_safe(brackets, counts, keys, "inner").checkpoint()
 
 
@@ -139,6 +139,10 @@ def _missed(m: int, i: int, p: float) -> Column:
     return F.coalesce((F.col(f"total{m}") > 0) & out, F.lit(False))
 
 
+def _inside(m: int, i: int) -> Column:
+    return F.col(f"v{m}").between(F.col(f"low{m}_{i}"), F.col(f"high{m}_{i}"))
+
+
 def _crowded(m: int, i: int) -> Column:
     """Many rows and more than one value."""
     return F.coalesce((F.col(f"inside{m}_{i}") > _SORTED_ROWS) & (F.col(f"low{m}_{i}") < F.col(f"high{m}_{i}")), F.lit(False))
