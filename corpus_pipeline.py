@@ -17,6 +17,8 @@ from steplake.llm.pseudonyms import replace_values
 from steplake.llm.queries import PSEUDONYM_KEY, held_out
 from steplake.llm.shared import written
 
+NEAR_WORDS, NEAR_PERCENT = 5, 80  # near copies: shingles of so many words, shared in at least so much of the union
+
 # Learned scores, pseudonyms and drawn blocks are not SQL; tests compare the stages with plain Python.
 ORACLE_SQL = None
 
@@ -27,8 +29,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by links the one with the smallest doc_id stays, and one of rows that repeat a doc_id."""
-    found = written(jaccard_components(docs).select("doc_id", "component_id"), "pipeline-groups")
+    """Of documents connected by links (NEAR_WORDS, NEAR_PERCENT) the one with the smallest doc_id stays, and one of rows that repeat a doc_id."""
+    found = written(jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT).select("doc_id", "component_id"), "pipeline-groups")
     goes = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")

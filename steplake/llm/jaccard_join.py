@@ -54,9 +54,22 @@ class Cut:
         self.low = np.array(lows, np.int64)
         self.high = np.append(self.low[1:], largest * 2) - 1
         self.differ = self.high * (100 - percent) // percent
-        self.spare = 2 + self.differ // 16
+        self.spare = self._room(2 + self.differ // 16)
         self.fragments = self.differ + 1 + self.spare
 
+    def _room(self, spare: np.ndarray) -> np.ndarray:
+        """Spare fragments, so many more that the smallest sets of a class rarely have more empty ones: those
+        are keys of nearly any such set. At 90 percent nothing is added."""
+        while True:
+            fragments = self.differ + 1 + spare
+            load = self.low / fragments
+            full = fragments * -np.expm1(-load)
+            spread = np.sqrt(np.maximum(fragments * (np.exp(-load) - (1 + load) * np.exp(-2 * load)), 0))
+            crowded = (full - 3 * spread < self.differ) & (fragments < self.low)
+            if not crowded.any():
+                return spare
+            spare = spare + crowded * (1 + spare // 16)
+
     def keys(self, hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Key and row of every fragment. Sets below the first class link with equal sets only."""
         own = np.searchsorted(self.low, sizes, "right") - 1
