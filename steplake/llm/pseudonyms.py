@@ -27,11 +27,15 @@ def permuted(key: bytes, kind: str, value: int, size: int, back: bool = False) -
     """The place of ``value`` in the keyed permutation of 0..size-1 of this kind; ``back`` undoes it."""
     half = max(1, -(-(size - 1).bit_length() // 2))
     mask = (1 << half) - 1
-    label = kind.encode()[:8].ljust(8) + size.to_bytes(32, "big")
+    width = max(32, -(-size.bit_length() // 8))
+    label = kind.encode()[:8].ljust(8) + size.to_bytes(width, "big")
 
     def scramble(turn: int, part: int) -> int:
-        block = hashlib.blake2b(label + bytes([turn]) + part.to_bytes(32, "big"), key=key, digest_size=32).digest()
-        return int.from_bytes(block, "big") & mask
+        block = label + bytes([turn]) + part.to_bytes(width, "big")
+        out = hashlib.blake2b(block, key=key, digest_size=32).digest()
+        for more in range(1, -(-half // 256)):  # long tokens
+            out = hashlib.blake2b(block + bytes([more]), key=key, digest_size=32).digest() + out
+        return int.from_bytes(out, "big") & mask
 
     while True:
         left, right = value >> half, value & mask
@@ -105,8 +109,18 @@ def _security_number(key, text):
     return _laid_out(text, f"{area:03}{group + 1:02}{serial + 1:04}")
 
 
+# How long the account numbers of a country are.
+IBAN_LENGTHS = {country: length for length, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
+
+
 def _account(key, text):
     plain = re.sub(r"\s", "", text)
+    if len(plain) != IBAN_LENGTHS.get(plain[:2], len(plain)):
+        return None
     if len(plain) > 34 or int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 != 1:
         return None
     body = plain[4:]
@@ -165,7 +179,15 @@ def _mail(key, text):
 
 
 def _token(key, text):
-    return _letters(key, "hex", text, ("0123456789abcdef",)) if len(text) <= 256 and re.search("[a-f]", text) and re.search("[0-9]", text) else None
+    low = text.lower()
+    if len(text) > 256 or not re.search("[a-f]", low) or not re.search("[0-9]", low):
+        return None
+    new = _letters(key, "hex", low, ("0123456789abcdef",))
+    if text == low:
+        return new
+    if text == text.upper():
+        return new.upper()
+    return "".join(n.upper() if c.isupper() else n for c, n in zip(text, new))
 
 
 def _access_key(key, text):
@@ -173,20 +195,40 @@ def _access_key(key, text):
 
 
 _FREE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
-# In order of preference where several start at the same place.
+# In order of preference where several start at the same place. A pattern takes the longest candidate;
+# where its check fails, shorter ends are tried.
 KINDS = {
-    "date": (rf"{_FREE}(?<![-./])(?:\d{{4}}-\d\d-\d\d|\d{{4}}/\d\d/\d\d|\d\d?/\d\d?/\d{{4}}|\d\d?\.\d\d?\.\d{{4}}){_END}(?![-./]\d)", _date),
+    "date": (rf"{_FREE}(?<![-./])(?:\d{{4}}-\d\d-\d\d|\d{{4}}/\d\d/\d\d|\d\d?/\d\d?/\d{{4}}|\d\d?\.\d\d?\.\d{{4}})(?:(?=[Tt]\d)|{_END})(?![-./]\d)", _date),
     "ipv4": (rf"{_FREE}(?<!\d\.)\d{{1,3}}(?:\.\d{{1,3}}){{3}}{_END}(?!\.\d)", _address),
     "iban": (rf"{_FREE}[A-Z]{{2}}\d\d(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}", _account),
-    "card": (rf"{_FREE}\d{{4}}(?:[ -]?\d{{4}}){{2}}[ -]?\d{{1,7}}{_END}|{_FREE}\d{{13,19}}{_END}|{_FREE}3\d{{3}}[ -]\d{{6}}[ -]\d{{5}}{_END}", _card),
+    "card": (rf"{_FREE}\d{{4}}(?:[ -]?\d{{4}}){{2}}[ -]?(?:\d{{4}}[ -]?\d{{3}}|\d{{1,7}}){_END}|{_FREE}\d{{13,19}}{_END}|{_FREE}3\d{{3}}[ -]\d{{6}}[ -]\d{{5}}{_END}", _card),
     "ssn": (rf"{_FREE}\d{{3}}-\d\d-\d{{4}}{_END}(?!-\d)", _security_number),
     "phone": (rf"(?:(?<![0-9A-Za-z+])\+?1[ .-]?)?(?:(?<![0-9A-Za-z])|(?<=[ .-])|(?<=1))(?:\(\d{{3}}\) ?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}{_END}", _phone),
-    "token": (rf"{_FREE}[0-9a-f]{{32,}}{_END}", _token),
+    "token": (rf"{_FREE}[0-9A-Fa-f]{{32,}}{_END}", _token),
     "access": (rf"{_FREE}AKIA[A-Z0-9]{{16}}{_END}", _access_key),
     "mail": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _mail),
 }
 _PATTERNS = {kind: (re.compile(pattern, re.ASCII), make) for kind, (pattern, make) in KINDS.items()}
 HAS_CANDIDATE = r"[0-9@]"  # every kind has a digit or an @
+_GROUPED = ("iban", "card")  # kinds that may be followed by what looks like one more group
+
+
+def _values(kind, pattern, make, key, text):
+    """(start, end, pseudonym) of the valid values of a kind. A candidate without a valid end hides none that starts in it."""
+    at = 0
+    while m := pattern.search(text, at):
+        start, end = m.span()
+        new, at = make(key, m[0]), end
+        if new is None:
+            at = start + 1
+            ends = [start + i for i, c in enumerate(m[0]) if c in " -"] if kind in _GROUPED else []
+            for end in reversed(ends):
+                # the pattern again, as if the text ended here; no letter or digit follows
+                if pattern.fullmatch(text, start, end) and (new := make(key, text[start:end])) is not None:
+                    at = end
+                    break
+        if new is not None:
+            yield start, end, new
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, int]:
@@ -196,10 +238,7 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, int]:
         # cheap to ask first
         if kind == "mail" and "@" not in text or kind == "access" and "AKIA" not in text:
             continue
-        for m in pattern.finditer(text):
-            new = make(key, m[0])
-            if new is not None:
-                found.append((m.start(), rank, m.end(), new))
+        found += [(start, rank, end, new) for start, end, new in _values(kind, pattern, make, key, text)]
     out, at, n = [], 0, 0
     for start, _, end, new in sorted(found):
         if start >= at:
