@@ -28,23 +28,38 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return keep_identified(docs, learn(docs.where(~held_out(4, 2))))
 
 
+ROW = "_pipeline_row"
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """docs with a key of doc_id and text: decisions are joined by it, so NULL and repeated ids are judged by their own text."""
+    return docs.withColumn(ROW, F.xxhash64("doc_id", "text"))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by links (NEAR_WORDS, NEAR_PERCENT) the one with the smallest doc_id stays, and one of rows that repeat a doc_id."""
-    found = written(jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT).select("doc_id", "component_id"), "pipeline-groups")
-    goes = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(
-        kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """Of rows connected by links (NEAR_WORDS, NEAR_PERCENT) the one with the smallest doc_id stays, NULL being the largest, and
+    one of rows that repeat doc_id and text. Rows that share a doc_id but not the text are different rows. Rows without words stay."""
+    marked = _marked(docs)
+    texts = marked.select(F.col(ROW).alias("doc_id"), "text")
+    found = written(jaccard_components(texts, NEAR_WORDS, NEAR_PERCENT).withColumnRenamed("doc_id", ROW), "pipeline-groups")
+    worded = found.where("n_shingles > 0")
+    ids = marked.select(ROW, F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", ROW).alias("place"))
+    stays = (worded.select(ROW, "component_id").distinct().join(ids, ROW).groupBy("component_id").agg(F.min("place").alias("place"))
+             .select(F.col(f"place.{ROW}").alias(ROW)))
+    kept = marked.join(stays.unionByName(found.where("n_shingles = 0").select(ROW)), ROW, "left_semi")
+    again = worded.groupBy(ROW).count().where("count > 1").select(ROW)
+    if not again.isEmpty():
+        kept = kept.join(again, ROW, "left_anti").select(*kept.columns).unionByName(
+            kept.join(again, ROW, "left_semi").select(*kept.columns).dropDuplicates([ROW]))
+    return kept.select(*docs.columns)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; documents with a few hit words stay as they are."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    goes = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    """Contaminated rows go, whatever their doc_id; documents with a few hit words stay as they are."""
+    marked = _marked(docs)
+    found = contamination(marked.select(F.col(ROW).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    goes = found.where("contaminated").select(F.col("doc_id").alias(ROW)).distinct()
+    return marked.join(goes, ROW, "left_anti").select(*docs.columns)
 
 
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,23 @@ def test_near_copies_by_five_words_and_80_percent(spark):
     assert sorted(got) == sorted(d for d, c in near(docs).items() if c == d)
 
 
+def test_null_and_repeated_ids_are_judged_by_their_own_text(spark):
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(1000)}" for _ in range(n)]
+    one, two, three, four = (words(100) for _ in range(4))
+    rows = [(1, one, "a"), (None, [*one, "end"], "b"), (2, two, "c"), (2, three, "d"), (2, two, "e"), (None, four, "f"), (None, [*four, "x"], "g"),
+            (None, four, "h"), (3, [], "i"), (None, [], "j"), (5, [*three, "end"], "k")]
+    docs = spark.createDataFrame([(i, " ".join(t), m) for i, t, m in rows], "doc_id bigint, text string, mark string")
+    got = sorted(r.mark for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect())
+    assert [m for m in got if m not in "cefgh"] == ["a", "d", "i", "j"]
+    assert sum(m in "ce" for m in got) == sum(m in "fgh" for m in got) == 1
+
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(brute.WORDS.findall(r.text or "")) >= 13)
+    rows = [(None, item, "dirty"), (None, "clean words", "a"), (4, item, "dirty"), (4, "other clean words", "b"), (None, None, "c"), (4, None, "d")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, mark string")
+    assert sorted(r.mark for r in corpus_pipeline.without_benchmarks(spark, docs, SF).collect()) == ["a", "b", "c", "d"]
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_fragments_lose_no_link_and_empty_ones_are_rare(percent):
     rng = np.random.default_rng(11)
