@@ -2,8 +2,8 @@
 
 The global n-gram order is the order of the n-grams' hashes. For a class of set sizes it is
 cut into equal fragments, more than two linked sets can differ in, so linked sets agree on at
-least one whole fragment. Documents that share a fragment are candidates; for them overlaps
-are counted fragment by fragment and summed per pair.
+least one whole fragment. Documents that share a fragment are candidates; the overlap of a
+candidate pair is counted over both whole sets.
 
 Steps, all on Spark's partitions:
 
@@ -16,7 +16,8 @@ Steps, all on Spark's partitions:
    shared keys, then with the closest class of another component under each key. What links is
    one component, so a large group of copies costs a few comparisons a copy; only then are
    all pairs compared that share a key and are still unconnected.
-5. Pairs that pass the bound are counted exactly, fragment sums over whole sets.
+5. Pairs that pass the bound are counted exactly: both whole sets meet in one row. Partial overlaps,
+   summed per pair, would send one row for each pair and fragment that both have n-grams in.
 """
 
 from __future__ import annotations
