@@ -279,16 +279,8 @@ def _crossing_pairs(keys: DataFrame, sets: DataFrame, linked: DataFrame, percent
     return held.groupBy("part").applyInArrow(_crossing(percent, closest), "a bigint, b bigint").distinct()
 
 
-def jaccard_components(documents: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """Per row of documents(doc_id, text): doc_id, n_shingles, component_id.
-
-    Two documents link when their sets of distinct ``size``-word shingles overlap in at least ``percent``
-    of the union; component_id is the smallest doc_id that links lead to, the own one included.
-    Texts of fewer words are one shingle; NULL texts and texts without words have size 0 and no
-    links. Repeated rows stay and are copies of each other. A row with a NULL doc_id belongs to the
-    component of an equal text that has one; without such a text its component_id is NULL, and it links
-    nothing. Other columns are ignored; an empty table gives no rows.
-    """
+def _prepared(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows with their classes, the classes' smallest doc_id, the keys that classes share, and the sets of those classes."""
     spark = documents.sparkSession
     cut = Cut(percent)
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -302,7 +294,20 @@ def jaccard_components(documents: DataFrame, size: int = 3, percent: int = 90) -
     members = classes.join(keys.select("class").distinct(), "class", "left_semi").select(F.col("first").alias("doc_id"))
     sets = written(texts.join(members, "doc_id", "left_semi").mapInArrow(_sets(size), "class bigint, n bigint, counts binary, grams binary")
                    .dropDuplicates(["class"]), "jaccard-sets")
+    return rows, classes, keys, sets
 
+
+def jaccard_components(documents: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """Per row of documents(doc_id, text): doc_id, n_shingles, component_id.
+
+    Two documents link when their sets of distinct ``size``-word shingles overlap in at least ``percent``
+    of the union; component_id is the smallest doc_id that links lead to, the own one included.
+    Texts of fewer words are one shingle; NULL texts and texts without words have size 0 and no
+    links. Repeated rows stay and are copies of each other. A row with a NULL doc_id belongs to the
+    component of an equal text that has one; without such a text its component_id is NULL, and it links
+    nothing. Other columns are ignored; an empty table gives no rows.
+    """
+    rows, classes, keys, sets = _prepared(documents, size, percent)
     mixed = F.xxhash64("class")
     hubs = keys.groupBy("key").agg(F.min("class").alias("h0"), F.max("class").alias("h1"), F.min(F.struct(mixed, "class"))["class"].alias("h2"))
     seen = keys.join(hubs, "key")
@@ -322,3 +327,15 @@ def jaccard_components(documents: DataFrame, size: int = 3, percent: int = 90) -
     named = classes.join(components(links).withColumnRenamed("node", "first"), "first", "left").select("class", F.coalesce("label", "first").alias("component_id"))
     return (rows.join(named, "class", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def jaccard_links(documents: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
+    """All links, between classes of equal sets: members (doc_id, n_shingles, class) and links (a, b) of classes, a < b.
+
+    Two documents link if they are of one class or their classes link; a document without words has no class, and a
+    class whose doc_ids are all NULL has no links. Every pair that shares a key is looked at, so
+    a large group of near copies costs the square of its different texts; ``jaccard_components`` is the cheaper form.
+    """
+    rows, _, keys, sets = _prepared(documents, size, percent)
+    none = documents.sparkSession.createDataFrame([], "a bigint, b bigint")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "class"), _links(_crossing_pairs(keys, sets, none, percent, False), sets, percent)
