@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steplake.llm.decontaminate import contamination
+from steplake.llm.hard_negatives import mine_hard_negatives
 from steplake.llm.jaccard_join import jaccard_components
 from steplake.llm.language_id import identify, learn
 from steplake.llm.mix_sources import Mix
+from steplake.llm.periodic_runs import find_runs
 from steplake.llm.pseudonyms import replace_values
 from steplake.llm.quality import grade
 from steplake.llm.suffix_dedup import remove_repeats
 from steplake.llm.top_k import top_inner_products
 from steplake.llm.toxicity import score_toxicity
 from steplake.llm.url_filter import filter_urls, host_of
+from steplake.llm.window_doubling import remove_repeated_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -213,3 +216,108 @@ PSEUDONYM_KEY = b"steplake example key"  # a deployment hands over its own secre
 @query("op8_pseudonyms")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_values(table(spark, sf_dir, "documents"), PSEUDONYM_KEY).select("doc_id", "n_values", "text")
+
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+DOUBLING_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, hash(g) AS a, hash('x' || g) AS b FROM wins) QUALIFY count(*) OVER (PARTITION BY a, b) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM again),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (
+  SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.p) AS text, count(*) AS n
+  FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.p = w.p WHERE g.p IS NULL GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+
+@query("op12_window_doubling", DOUBLING_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_windows(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+# crc32 by its table, byte by byte of the decimal doc_id; words that agree a period apart make islands, and equal islands keep their smallest period.
+RUNS_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT b::BIGINT AS b, b::BIGINT AS c, 0 AS k FROM range(256) t(b)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc_table AS (SELECT b, c FROM bits WHERE k = 8),
+crc AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS t, 1 AS i, 4294967295::BIGINT AS c FROM documents
+  UNION ALL
+  SELECT r.doc_id, t, i + 1, xor(r.c >> 8, x.c) FROM crc r JOIN crc_table x ON x.b = xor(r.c & 255, ascii(t[i])) WHERE i <= length(t)),
+hashes AS (SELECT doc_id, xor(c, 4294967295) AS h FROM crc WHERE i = length(t) + 1),
+raw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+planned AS (SELECT r.doc_id, w, len(w) AS n, h, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM raw r JOIN hashes h ON h.doc_id = r.doc_id),
+d AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1]
+    ELSE w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END) END AS w FROM planned),
+words AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM same),
+found AS (SELECT doc_id, min(i) AS s, q, count(*) + q AS l FROM islands GROUP BY doc_id, q, g HAVING count(*) >= greatest(24 - q, 2 * q)),
+runs AS (SELECT doc_id, s, l, min(q) AS q FROM found GROUP BY doc_id, s, l),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(s, ',', l, ',', q, chr(10)), '' ORDER BY s, q) AS t FROM runs GROUP BY doc_id),
+beaten AS (SELECT DISTINCT x.doc_id, x.s, x.q FROM runs x JOIN runs y ON x.doc_id = y.doc_id
+  AND (y.l * x.q > x.l * y.q OR (y.l * x.q = x.l * y.q AND (y.s < x.s OR (y.s = x.s AND y.q < x.q))))),
+best AS (SELECT x.* FROM runs x ANTI JOIN beaten b ON b.doc_id = x.doc_id AND b.s = x.s AND b.q = x.q),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS t FROM words w ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period, 1000 * b.l // b.q AS exponent_milli,
+       sha256(coalesce(l.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed l ON l.doc_id = d.doc_id LEFT JOIN best b ON b.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+
+def with_planted_runs(documents: DataFrame) -> DataFrame:
+    """Every tenth text, by the checksum of its doc_id, repeats a stretch of itself from some word on; a NULL doc_id has none."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    w = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    marked = documents.withColumn("_g", F.when(h % 10 == 0, F.floor(h / 10))).withColumn("_w", F.when(F.col("_g").isNotNull(), w))
+    n, g = F.size("_w"), F.col("_g")
+    a = F.pmod(g, n)
+    p = F.floor((n - a) / (3 + g % 8)) + 1
+    again = F.transform("_w", lambda x, i: F.when(i < a, x).otherwise(F.element_at("_w", (a + (i - a) % p + 1).cast("int"))))
+    return marked.withColumn("text", F.when(n > 0, F.array_join(again, " ")).otherwise(F.col("text"))).select("doc_id", "text")
+
+
+@query("op13_periodic_runs", RUNS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    # runs come by start and period, so of equal exponents the first stays
+    best = F.reduce("runs", F.element_at("runs", 1), lambda top, r: F.when(
+        r["length"].cast("bigint") * top["period"] > top["length"].cast("bigint") * r["period"], r).otherwise(top))
+    found = found.withColumn("_best", F.when(F.size("runs") > 0, best))
+    top = {c: F.col("_best")[c].cast("bigint") for c in ("start", "length", "period")}
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), *[x.alias(c) for c, x in top.items()],
+                        F.expr("(1000L * _best.length) div _best.period").alias("exponent_milli"),
+                        F.sha2(F.concat_ws("", lines).cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))

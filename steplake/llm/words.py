@@ -69,8 +69,13 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[range, n
 
 def running(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Running sums from which ``ranges`` takes hashes."""
-    sums = np.zeros(len(raw) + 1, _U)
-    np.cumsum(table[raw] * _power("up", len(raw)), out=sums[1:])
+    return running_sums(table[raw])
+
+
+def running_sums(values: np.ndarray) -> np.ndarray:
+    """The same over any 64-bit values, such as words' hashes."""
+    sums = np.zeros(len(values) + 1, _U)
+    np.cumsum(values * _power("up", len(values)), out=sums[1:])
     return sums
 
 

@@ -1,7 +1,9 @@
 """The contracts in plain Python, without any of the operators' methods."""
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -15,9 +17,9 @@ def shingles(text, size=3):
     return set(zip(*[words[i:] for i in range(size)]))
 
 
-def components(docs, percent=90):
+def components(docs, percent=90, size=3):
     """docs: {doc_id: text} -> {doc_id: (set size, smallest linked doc_id)}"""
-    sets = {d: shingles(t) for d, t in docs.items()}
+    sets = {d: shingles(t, size) for d, t in docs.items()}
     parent = {d: d for d in docs}
 
     def root(d):
@@ -88,3 +90,52 @@ def targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
         for s in free:
             target[s] += excess * weight[s] / sum(weight[f] for f in free)
     return target
+
+
+def without_windows(rows, window=35):
+    """rows: [(doc_id, text)] -> [(doc_id, words, removed, spans, kept)] in the same order"""
+    texts = [SPACED.findall(t or "") for _, t in rows]
+    count = Counter(tuple(w[i:i + window]) for w in texts for i in range(len(w) - window + 1))
+    out = []
+    for (d, _), w in zip(rows, texts):
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            if count[tuple(w[i:i + window])] > 1:
+                gone[i:i + window] = [True] * window
+        edges = [i for i in range(len(w) + 1) if (i > 0 and gone[i - 1]) != (i < len(w) and gone[i])]
+        out.append((d, len(w), sum(gone), list(zip(edges[::2], edges[1::2])), " ".join(x for x, g in zip(w, gone) if not g)))
+    return out
+
+
+def runs(words, shortest=24, repeats=3):
+    """[(start, length, period)] of maximal runs, by trying every period"""
+    found = {}
+    for q in range(1, len(words) // repeats + 1):
+        i = 0
+        while i + q < len(words):
+            s = i
+            while i + q < len(words) and words[i] == words[i + q]:
+                i += 1
+            if i > s and i - s + q >= max(shortest, repeats * q):
+                found.setdefault((s, i - s + q), q)
+            i += 1
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def collapsed(words, found):
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def hard_negatives(rows, is_anchor, low=50, high=95, scale=256):
+    """rows: [(vec_id, components, label)] -> sorted [(anchor, positive, rank, negative, positive's score, negative's score)]"""
+    usable = [(i, label, [math.floor(scale * x) for x in v]) for i, v, label in rows
+              if i is not None and label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = set()
+    for i, label, v in usable:
+        if is_anchor(i):
+            others = sorted((-sum(x * y for x, y in zip(v, w)), j, l) for j, l, w in usable if j != i)
+            for s, j, _ in [o for o in others if o[2] == label][:5]:
+                fits = [o for o in others if o[2] != label and low * -s <= 100 * -o[0] <= high * -s]
+                out |= {(i, j, r, o[1], -s, -o[0]) for r, o in enumerate(fits[:3], 1)}
+    return sorted(out)

@@ -18,7 +18,7 @@ def duck():
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -67,7 +67,7 @@ def test_pipeline(spark, folder):
             assert docs.columns == kept[0].columns
     rows = [{r.doc_id: r for r in d.collect()} for d in kept]
     assert set(rows[1]) == {d for d, r in rows[0].items() if any(c.isalpha() for c in r.text or "")}
-    parts = brute.components({d: r.text for d, r in rows[1].items()})
+    parts = brute.components({d: r.text for d, r in rows[1].items()}, corpus_pipeline.NEAR_PERCENT, corpus_pipeline.NEAR_WORDS)
     assert set(rows[2]) == {d for d, (_, c) in parts.items() if c == d}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     dirty = brute.contamination({d: r.text for d, r in rows[2].items()}, items)
