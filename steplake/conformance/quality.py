@@ -3,9 +3,12 @@
 from pyspark.sql import functions as F
 
 from steplake.conformance.registry import query, table
+from steplake.operators import partitioned
 from steplake.operators.profile import histogram, profile, sampled_profile, suggest_rules
 from steplake.operators.quality import (Rule, breach_trend, evaluate, flag_rows, quality_overview, quarantine,
                                         sample_violations, table_report)
+from steplake.operators.sketches import read_sketches, refresh_sketches, sketch, sketched_profile
+from steplake.session import scratch_path
 
 _NULLED = """SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus, o_totalprice,
   o_orderpriority, o_custkey % 2 = 0 AS even_customer FROM {orders}"""
@@ -224,3 +227,41 @@ def trend(spark, sf):
     history = events.selectExpr("event_type AS rule_id", "ts AS evaluated_at", "user_id % 5 AS failed_rows")
     out = breach_trend(history, events.agg(F.max("ts")).scalar())
     return out.select("rule_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "failed_rows")
+
+
+_SKETCHED_SQL = """SELECT {position} AS position, '{column}' AS name, count(*) AS total_rows, count(*) - count({value}) AS null_count,
+  count(DISTINCT {value}) AS distinct_count, CAST(min({value}) AS VARCHAR) AS min_value, CAST(max({value}) AS VARCHAR) AS max_value FROM ({source})"""
+# the first priority was loaded twice
+_LOADED = """SELECT nullif(o_orderstatus, 'P') AS status, month(o_orderdate) AS month, o_orderpriority FROM orders
+UNION ALL SELECT nullif(o_orderstatus, 'P'), month(o_orderdate), o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT'"""
+
+
+@query("profile_sketched", "\nUNION ALL ".join(
+    _SKETCHED_SQL.format(position=i, column=c, value=c, source=_LOADED) + " WHERE o_orderpriority IN ('1-URGENT', '5-LOW')"
+    for i, c in enumerate(["status", "month"])))
+def profile_sketched(spark, sf):
+    """Sketches kept beside a partitioned table are refreshed after a load, which reads the loaded partition alone; two
+    partitions' sketches merge into their profile. Few values are counted exactly by a sketch."""
+    path, kept = scratch_path(spark, "profiled"), scratch_path(spark, "sketches")
+    rows = table(spark, sf, "orders").selectExpr("nullif(o_orderstatus, 'P') AS status", "month(o_orderdate) AS month", "o_orderpriority")
+    partitioned.append(rows, path, ["o_orderpriority"])
+    first = refresh_sketches(spark.read.parquet(path), kept, ["o_orderpriority"])
+    partitioned.append(rows.filter("o_orderpriority = '1-URGENT'"), path, ["o_orderpriority"])
+    again = refresh_sketches(spark.read.parquet(path), kept, ["o_orderpriority"])
+    if again != 1 or refresh_sketches(spark.read.parquet(path), kept, ["o_orderpriority"]) != 0 or first < again:
+        raise RuntimeError("partitions without new files were read again")
+    chosen = read_sketches(spark, kept).filter("o_orderpriority IN ('1-URGENT', '5-LOW')")
+    return sketched_profile(chosen).select("position", "name", "total_rows", "null_count", "distinct_count", "min_value", "max_value")
+
+
+@query("profile_sketch_ranks", """
+SELECT 'l_extendedprice' AS name, count(*) AS total_rows, true AS q25_near, true AS q50_near, true AS q75_near, true AS count_near FROM lineitem""")
+def profile_sketch_ranks(spark, sf):
+    """Quartiles and the distinct count of merged sketches, by how far they lie from the exact ones."""
+    lines = table(spark, sf, "lineitem").select("l_extendedprice", "l_returnflag")
+    found = sketched_profile(sketch(lines, ["l_returnflag"])).filter("name = 'l_extendedprice'").first()
+    price = F.col("l_extendedprice")
+    return lines.agg(
+        F.lit(found["name"]).alias("name"), F.count(F.lit(1)).alias("total_rows"),
+        *[(F.abs(F.count_if(price <= found[q]) / F.count(price) - share) < 0.02).alias(f"{q}_near") for q, share in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))],
+        (F.abs(found["distinct_count"] / F.count_distinct(price) - 1) < 0.04).alias("count_near"))

@@ -6,6 +6,7 @@ from steplake.conformance.registry import query, table
 from steplake.functions.sql import run_sql
 from steplake.operators.joins import as_of_join, full_join, range_join
 from steplake.operators.steps import deduplicate, sample_rows
+from steplake.operators.stretches import ROWS
 from steplake.operators.summary import quantiles
 from steplake.operators.windows import framed, running
 
@@ -144,7 +145,7 @@ def _as_of(spark, sf, key):
     left = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts", (F.col("user_id") % 2).alias("half"))
     right = (events.filter("event_type = 'view'").withColumn("half", F.col("user_id") % 2)
              .groupBy(key, F.col("ts").alias("view_ts")).agg(F.max("event_id").alias("view_id")))
-    return as_of_join(left, right, "ts", [key], 3600, "view_ts").select("event_id", key, "view_id")
+    return as_of_join(left, right, "ts", [key], right_on="view_ts").select("event_id", key, "view_id")
 
 
 def _as_of_sql(key):
@@ -217,8 +218,8 @@ SELECT event_id, event_type, row_number() OVER w AS position, rank() OVER (PARTI
 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
 def win_rank(spark, sf):
     events = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
-    ranked = running(events, ["event_type"], ["value"], "floor(value * 10)", rank="place", dense_rank="level")
-    out = running(ranked, ["event_type"], ["ts", "event_id"], "date_trunc('HOUR', ts)", row_number="position")
+    ranked = running(events, ["event_type"], ["value"], rank="place", dense_rank="level")
+    out = running(ranked, ["event_type"], ["ts", "event_id"], row_number="position")
     return out.drop("ts", "value")
 
 
@@ -227,7 +228,7 @@ SELECT event_id, lag(value) OVER w AS before, lead(value) OVER w AS after, lag(e
 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
 def win_lag_lead(spark, sf):
     events = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
-    return running(events, ["event_type"], ["ts", "event_id"], "date_trunc('HOUR', ts)",
+    return running(events, ["event_type"], ["ts", "event_id"],
                    lags={"before": "value", "before_id": "event_id"}, leads={"after": "value"}).select(
         "event_id", "before", "after", "before_id")
 
@@ -237,7 +238,7 @@ SELECT event_id, CAST(sum(CAST(value AS DECIMAL(12,2))) OVER (PARTITION BY event
   ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS upto FROM events""")
 def win_running_sum(spark, sf):
     events = table(spark, sf, "events").selectExpr("event_id", "event_type", "ts", "CAST(value AS DECIMAL(12,2)) AS value")
-    out = running(events, ["event_type"], ["ts", "event_id"], "date_trunc('HOUR', ts)", sums={"upto": "value"})
+    out = running(events, ["event_type"], ["ts", "event_id"], sums={"upto": "value"})
     return out.select("event_id", F.col("upto").cast("double").alias("upto"))
 
 
@@ -246,11 +247,56 @@ SELECT event_id, round(avg(value) OVER w, 6) AS smooth, max(value) OVER w AS top
 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)""")
 def win_frame(spark, sf):
     events = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
-    out = framed(events, ["event_type"], ["ts", "event_id"], "date_trunc('HOUR', ts)", 2, 1, {
+    out = framed(events, ["event_type"], ["ts", "event_id"], None, 2, 1, {
         "smooth": F.avg("value"), "top": F.max("value"), "n": F.count(F.lit(1))})
     return out.select("event_id", F.round("smooth", 6).alias("smooth"), "top", "n")
 
 
+# a third of the rows has one key and comes in one second, and every tenth has no time
+_BURST_SQL = """(SELECT event_id, value, CASE WHEN event_id % 3 = 0 THEN 'busy' ELSE event_type END AS k,
+  CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-02 03:04:05' ELSE ts END AS moment,
+  CASE WHEN event_id % 3 = 0 THEN 5.0 ELSE value END AS level FROM events)"""
+
+
+def _burst(spark, sf):
+    """The events with a busy key, and how many rows a stretch gets so that even small tables are cut."""
+    events = table(spark, sf, "events").selectExpr(
+        "event_id", "value", "CASE WHEN event_id % 3 = 0 THEN 'busy' ELSE event_type END AS k",
+        "CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 3 = 0 THEN TIMESTAMP_NTZ '2024-01-02 03:04:05' ELSE ts END AS moment",
+        "CASE WHEN event_id % 3 = 0 THEN 5.0D ELSE value END AS level")
+    return events, min(ROWS, 1 + events.count() // 16)
+
+
+@query("win_burst", f"""
+SELECT event_id, row_number() OVER w AS position, CAST(sum(CAST(value AS DECIMAL(12,2))) OVER w AS DOUBLE) AS upto,
+  lag(event_id) OVER w AS before_id, lead(value) OVER w AS after
+FROM {_BURST_SQL} WINDOW w AS (PARTITION BY k ORDER BY moment NULLS LAST, event_id)""")
+def win_burst(spark, sf):
+    events, rows = _burst(spark, sf)
+    events = events.withColumn("amount", F.col("value").cast("decimal(12,2)"))
+    out = running(events, ["k"], ["moment", "event_id"], row_number="position", sums={"upto": "amount"}, lags={"before_id": "event_id"},
+                  leads={"after": "value"}, rows=rows)
+    return out.select("event_id", "position", F.col("upto").cast("double").alias("upto"), "before_id", "after")
+
+
+@query("win_rank_burst", f"""
+SELECT event_id, rank() OVER w AS place, dense_rank() OVER w AS step FROM {_BURST_SQL} WINDOW w AS (PARTITION BY k ORDER BY level)""")
+def win_rank_burst(spark, sf):
+    events, rows = _burst(spark, sf)
+    return running(events, ["k"], ["level"], rank="place", dense_rank="step", rows=rows).select("event_id", "place", "step")
+
+
+@query("join_as_of_burst", f"""
+SELECT l.event_id, max(r.event_id) AS last_id FROM (SELECT * FROM {_BURST_SQL} WHERE event_id % 2 = 1) l
+ASOF LEFT JOIN (SELECT k, moment, max(event_id) AS event_id FROM {_BURST_SQL} WHERE event_id % 2 = 0 AND moment IS NOT NULL GROUP BY k, moment) r
+  ON l.k = r.k AND l.moment >= r.moment GROUP BY l.event_id""")
+def join_as_of_burst(spark, sf):
+    events, rows = _burst(spark, sf)
+    left = events.filter("event_id % 2 = 1").select("event_id", "k", "moment")
+    right = events.filter("event_id % 2 = 0").select("k", F.col("moment").alias("r_at"), F.col("event_id").alias("last_id"))
+    return as_of_join(left, right, "moment", ["k"], right_on="r_at", rows=rows).select("event_id", "last_id")
+
+
 _same_sql("win_frame_sql", """SELECT o_orderkey, round(avg(o_totalprice) OVER w, 6) AS smooth, CAST(ntile(2) OVER w2 AS BIGINT) AS half,
   first_value(o_orderkey) OVER w2 AS first_key, round(percent_rank() OVER w2, 6) AS pct
 FROM orders

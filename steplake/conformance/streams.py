@@ -151,6 +151,21 @@ def stream_dedup(spark, sf):
     return spark.read.parquet(path).select("event_id", "user_id")
 
 
+@query("stream_first_rows", "SELECT event_id, user_id, 10 * (event_id % 4) + 1 AS version FROM events")
+def stream_first_rows(spark, sf):
+    """Every event comes in up to four loads, three versions in each, in any order. The stream is started anew from its
+    checkpoint for each load and keeps the lowest version of an event's first load."""
+    events = table(spark, sf, "events").select("event_id", "user_id")
+    landed, path, checkpoint = (scratch_path(spark, name) for name in ("loads", "first", "offsets"))
+    for load in range(4):
+        versions = F.explode(F.array(*[F.lit(10 * load + v) for v in (3, 1, 2)]))
+        (events.filter(F.col("event_id") % 4 <= load).withColumn("version", versions)
+         .withColumn("version", F.col("version").cast("bigint")).write.mode("append").parquet(landed))
+        stream = spark.readStream.schema("event_id bigint, user_id bigint, version bigint").parquet(landed)
+        streams.drop_repeats(stream, ["event_id"], path, checkpoint, order_by=["version"])
+    return spark.read.parquet(path).select("event_id", "user_id", "version")
+
+
 @query("stream_parse", _PARSED)
 def stream_parse(spark, sf):
     path = scratch_path(spark, "parsed")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steplake.operators.steps import quoted, require_columns
+from steplake.operators.stretches import ROWS, nulls_last, tie_breaker, with_stretch
 
 
 def hot_keys(counted: DataFrame, count: str, share: int = 1000) -> DataFrame:
@@ -29,15 +30,16 @@ def _axis(df: DataFrame, name: str) -> Column:
     return _number(quoted(name)) if kind.startswith(("timestamp", "date")) else quoted(name).cast("double")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], width: float,
-               right_on: str | None = None) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], width: float | None = None,
+               right_on: str | None = None, rows: int = ROWS) -> DataFrame:
     """Each left row with the last right row at or before it (per ``by`` key), NULLs when there is none.
 
-    The axis ``on`` is cut into stretches of ``width`` (seconds for times). Within
+    Beyond ``rows`` rows a key's axis is cut at sampled rows of both sides, so that a stretch holds about so many,
+    whether the rows are spread out or come in one burst; ``width`` (seconds for times) cuts it into even parts instead. Within
     a key and a stretch a window carries the last right row forward; the last
     right row of earlier stretches comes from a second window over one row per
     key and stretch. So a key with a third of all rows is sorted in many small
-    parts, and nothing is paired up before it is known to match.
+    parts, and nothing is paired up before it is known to match. Of right rows at the same time the largest is taken.
     """
     right_on = right_on or on
     require_columns(left, [on, *by])
@@ -49,11 +51,9 @@ def as_of_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], wi
     keys = [f"__k{i}" for i in range(len(by))]
 
     def tagged(df, at, side, left_part, right_part):
-        # one struct per key and stretch, so that all steps below share one shuffle of the rows
-        cell = F.struct(*[quoted(c).alias(k) for c, k in zip(by, keys)],
-                        F.floor(_axis(df, at) / F.lit(float(width))).alias("s"))
-        return df.select(cell.alias("__cell"), quoted(at).alias("__at"), F.lit(side).alias("__side"),
-                         left_part.alias("__l"), right_part.alias("__r"))
+        even = [F.floor(_axis(df, at) / F.lit(float(width))).alias("__stretch")] if width is not None else []
+        return df.select(*[quoted(c).alias(k) for c, k in zip(by, keys)], quoted(at).alias("__at"), F.lit(side).alias("__side"),
+                         left_part.alias("__l"), right_part.alias("__r"), *even)
 
     left_row = F.struct(*map(quoted, left.columns))
     right_row = F.struct(*map(quoted, payload))
@@ -66,6 +66,14 @@ def as_of_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], wi
         known = known & quoted(c).isNotNull()
     rights = tagged(right.filter(known), right_on, 0, F.lit(None).cast(left_type), right_row)
     both = lefts.unionByName(rights)
+    if width is None:
+        total = left.count() + right.count()
+        # left rows at one time differ by what they hold; right rows keep the order in which the last one is taken
+        tie = F.when(F.col("__side") == 1, tie_breaker(left.select(left_row.alias("__l"))))
+        order = F.struct(*nulls_last([F.col("__at")]), "__side", "__r", tie)
+        both = with_stretch(both, [F.col(k) for k in keys], order, "__stretch", rows, total)
+    # one struct per key and stretch, so that all steps below share one shuffle of the rows
+    both = both.select(F.struct(*keys, F.col("__stretch").alias("s")).alias("__cell"), "__at", "__side", "__l", "__r")
 
     inside = Window.partitionBy("__cell").orderBy("__at", "__side", "__r").rowsBetween(Window.unboundedPreceding, 0)
     local = both.withColumn("__near", F.last("__r", ignorenulls=True).over(inside)).filter("__side = 1")

@@ -43,9 +43,17 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
 
 
 def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """New rows in place of all old ones. ``df`` must not read ``path``."""
-    storage.remove(df.sparkSession, path)
-    _write(df, path, partition_by, "overwrite")
+    """New rows in place of all old ones, which go when the new ones are complete. ``df`` may read ``path``."""
+    spark, old, new = df.sparkSession, f"{path.rstrip('/')}.old", f"{path.rstrip('/')}.new"
+    if not storage.exists(spark, path) and storage.exists(spark, old):
+        storage.rename(spark, old, path)  # an earlier call stopped between its two renames
+    for left_over in (old, new):
+        storage.remove(spark, left_over)
+    _write(df, new, partition_by, "overwrite")
+    if storage.exists(spark, path):
+        storage.rename(spark, path, old)
+    storage.rename(spark, new, path)
+    storage.remove(spark, old)
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
@@ -62,10 +70,9 @@ def _staged(df: DataFrame, path: str, part: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(stage)
 
 
-def _folder(names: Sequence[str]) -> Column:
-    """The folder of a partition, as Spark names it for plain values."""
-    return F.concat_ws("/", *[F.concat(F.lit(f"{n}="), F.coalesce(quoted(n).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
-                              for n in names])
+def _with_folder(df: DataFrame) -> DataFrame:
+    """Rows of a table with the folder their file lies in, as the file system names it, whatever the partition's value."""
+    return df.select("*", F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("__folder"))
 
 
 def _swap(staged: DataFrame, path: str, partition_by: Sequence[str], emptied: DataFrame | None = None) -> None:
@@ -74,7 +81,8 @@ def _swap(staged: DataFrame, path: str, partition_by: Sequence[str], emptied: Da
     _write(staged, path, partition_by, "overwrite")
     if emptied is not None:
         for row in emptied.toLocalIterator():
-            storage.remove(spark, f"{path}/{row.folder}")
+            if not storage.remove_uri(spark, row.folder):
+                raise OSError(f"could not remove {row.folder}, whose rows have moved")
     for part in ("stage", "emptied"):
         storage.remove(spark, f"{path.rstrip('/')}.{part}")
 
@@ -97,17 +105,17 @@ def merge(df: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[
     if not storage.exists(spark, path):
         _write(df, path, partition_by, "overwrite")
         return
-    target, incoming, names = read_table(spark, path, df.schema), df.select(*map(quoted, keys)).distinct(), list(partition_by)
+    target, incoming, names = _with_folder(read_table(spark, path, df.schema)), df.select(*map(quoted, keys)).distinct(), list(partition_by)
     if not names:
         rest = target.join(incoming, list(keys), "left_anti").select(*map(quoted, df.columns))
         _swap(_staged(rest.unionByName(df), path), path, ())
         return
-    hit = target.join(incoming, list(keys), "left_semi").select(*map(quoted, names)).distinct()
-    touched = _aside(hit.unionByName(df.select(*map(quoted, names))).distinct(), names)
+    hit = target.join(incoming, list(keys), "left_semi").select(*map(quoted, names), "__folder").distinct()
+    touched = _aside(hit.drop("__folder").unionByName(df.select(*map(quoted, names))).distinct(), names)
     rest = target.join(touched, _same(target, names), "left_semi").join(incoming, list(keys), "left_anti")
     staged = _staged(rest.select(*map(quoted, df.columns)).unionByName(df), path)
     filled = _aside(staged.select(*map(quoted, names)).distinct(), names)
-    emptied = hit.join(filled, _same(hit, names), "left_anti").select(_folder(names).alias("folder"))
+    emptied = hit.join(filled, _same(hit, names), "left_anti").select(F.col("__folder").alias("folder"))
     _swap(staged, path, names, _staged(emptied, path, "emptied"))
 
 
@@ -135,10 +143,13 @@ def backfill(df: DataFrame, path: str, date_column: str, start: str, end: str, p
     chosen = df.filter(day.between(start, end))
     days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day")).select(
         F.col("day").cast("string").alias("backfill_date"))
-    # the days themselves go first, so a day without rows ends up empty
-    for row in days.toLocalIterator():
-        storage.remove(spark, f"{path}/{date_column}={row.backfill_date}")
-    _write(chosen, path, names, "append")
+    # new rows are complete before any old one goes; then partitions of these days that have none are emptied
+    staged, emptied = _staged(chosen, path), None
+    if storage.exists(spark, path):
+        known = _with_folder(read_table(spark, path, df.schema)).filter(day.between(start, end)).select(*map(quoted, names), "__folder").distinct()
+        gone = known.join(_aside(staged.select(*map(quoted, names)).distinct(), names), _same(known, names), "left_anti")
+        emptied = _staged(gone.select(F.col("__folder").alias("folder")), path, "emptied")
+    _swap(staged, path, names, emptied)
     rows = (read_table(spark, path, df.schema).filter(day.between(start, end))
             .groupBy(day.alias("backfill_date")).agg(F.count(F.lit(1)).alias("rows")))
     name = path.rstrip("/").rsplit("/", 1)[-1]
@@ -174,8 +185,8 @@ def compact(spark: SparkSession, path: str, schema: T.StructType | str, partitio
         rows = rows.join(crowded.select(*[quoted(n).alias(f"__{n}") for n in names], "__wanted"), _same(rows, names))
     else:
         rows = rows.withColumn("__wanted", F.lit(wanted))
-    # rows are dealt to as many files as their partition needs
-    part = F.pmod(F.xxhash64(*map(quoted, kind.names)), F.col("__wanted"))
+    # rows are dealt to as many files as their partition needs, in turn, whatever their columns hold
+    part = F.pmod(F.monotonically_increasing_id(), F.col("__wanted"))
     stage = _staged(rows.select(*map(quoted, kind.names), part.alias("__part")), path)
     dealt = stage.repartition(math.ceil(wanted), *map(quoted, names), "__part").select(*map(quoted, kind.names))
     _write(dealt, path, names, "overwrite", rebalance=False)

@@ -96,9 +96,11 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool =
                  F.col(f"lo{i}").cast("string").alias("min_value"), F.col(f"hi{i}").cast("string").alias("max_value"))
         for i, c in enumerate(names)])
     limits = values.agg(*parts).select(F.inline(rows))
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    different = values.agg(*[distinct(f"c{i}").alias(f"d{i}") for i in range(len(names))]).select(
-        F.posexplode(F.array(*[F.col(f"d{i}") for i in range(len(names))])).alias("position", "distinct_count"))
+    if approx:
+        different = values.agg(*[F.approx_count_distinct(f"c{i}").alias(f"d{i}") for i in range(len(names))]).select(
+            F.posexplode(F.array(*[F.col(f"d{i}") for i in range(len(names))])).alias("position", "distinct_count"))
+    else:
+        different = distinct_counts(values, values.columns)
     # one row per column on both sides
     result = limits.join(different, "position").withColumn("null_pct", F.when(
         F.col("total_rows") > 0, F.round(F.col("null_count") * 100.0 / F.col("total_rows"), 1).cast("double")
@@ -116,6 +118,20 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool =
                          "distinct_count", "min_value", "max_value", "histogram")
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """position, distinct_count of each column, NULL left out, through one shuffle.
+
+    A value is two independent 64-bit hashes, so that what is shuffled is small and of one type for all columns; map tasks
+    send each pair once. Two of ten thousand billion values agree in both with a probability below 10**-12.
+    """
+    marks = F.array(*[F.struct(F.lit(i).alias("position"), F.xxhash64(quoted(c)).alias("a"), F.xxhash64(F.lit(7), quoted(c)).alias("b"),
+                               quoted(c).isNotNull().alias("filled")) for i, c in enumerate(columns)])
+    pairs = df.select(F.inline(marks)).filter("filled").groupBy("position", "a", "b").agg(F.lit(1).alias("one"))
+    counted = pairs.groupBy("position").agg(F.count(F.lit(1)).alias("n"))
+    places = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("position"))
+    return places.join(counted, "position", "left").select("position", F.coalesce("n", F.lit(0)).alias("distinct_count"))
+
+
 def _comparable(column, data_type):
     """Maps and variants have no order; their JSON text has."""
     if isinstance(data_type, (T.MapType, T.VariantType)):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from steplake.sources import storage
+from steplake.sources.quoted_csv import read_quoted_csv
 
 Schema = StructType | str | None
 
@@ -30,13 +31,13 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, header: boo
 
     An empty field is NULL, a quoted empty field is ''.
 
-    ``multiline`` reads line breaks inside quotes, at the price that one file is
-    read by one task.
+    ``multiline`` reads line breaks inside quotes; large files are still read by many tasks, see :mod:`steplake.sources.quoted_csv`.
     """
     if sep is None:
         sep = "\t" if _suffix(path) == ".tsv" else ","
+    if multiline:
+        return read_quoted_csv(spark, path, sep, header, schema)
     reader = (spark.read.option("header", header).option("sep", sep).option("quote", '"').option("escape", '"')
-              .option("multiLine", multiline)
               # a text no file holds: Spark reads '' as NULL when it is the mark for NULL
               .option("nullValue", "\x00"))
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)

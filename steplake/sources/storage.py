@@ -29,3 +29,16 @@ def remove(spark: SparkSession, path: str) -> bool:
     """Delete a file, or a folder with all it holds; False if there is none."""
     fs, hadoop_path = _open(spark, path)
     return fs.delete(hadoop_path, True)
+
+
+def remove_uri(spark: SparkSession, uri: str) -> bool:
+    """Delete what a file's metadata names; such addresses are encoded as URIs, paths are not."""
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    fs, hadoop_path = _open(spark, path)
+    if not fs.rename(hadoop_path, _open(spark, to)[1]):
+        raise OSError(f"could not rename {path} to {to}")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import contextlib
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from steplake.operators.quality import Rule, evaluate
 from steplake.operators.steps import quoted
@@ -12,6 +16,9 @@ from steplake.plans.step_list import Step, run_steps
 
 # step kinds whose result does not depend on rows of other micro-batches
 ROW_STEPS = ("filter", "drop_null", "derive", "rename", "cast")
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_time(df: DataFrame, column: str) -> DataFrame:
@@ -38,28 +45,84 @@ def stream_steps(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     return run_steps(df, steps)
 
 
-def drop_repeats(df: DataFrame, keys: Sequence[str], path: str, checkpoint: str, buckets: int = 64, once: bool = True):
-    """Write the first row seen of every key; a key is never forgotten, so late rows with a new key stay.
-
-    Each micro-batch is reduced to one row per key and compared with the keys that earlier
-    batches have written, which lie in folders by a hash of the key. Results go to one
-    folder per batch, so a repeated batch replaces its own. NULL is a key like any other.
+@contextlib.contextmanager
+def keyed_state(spark, by_clock: bool = False):
+    """Streams started inside keep their state in RocksDB: on disk, changed keys only, however many there are.
+    A restarted stream keeps the store its checkpoint names. State that ends ``by_clock`` would call for batches
+    without rows forever, so there are none: what has ended leaves with the next rows."""
+    settings = {_STORE: _ROCKSDB} | ({_EMPTY_BATCHES: "false"} if by_clock else {})
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def _place(row, order_by: Sequence[str]) -> list:
+    """Sort key of a row; NULLs come last."""
+    return [(row[c] is None, 0 if row[c] is None else row[c]) for c in order_by]
+
+
+class _FirstRow(StatefulProcessor):
+    """Lets the first row of a key pass, and remembers the key."""
+
+    def __init__(self, order_by: Sequence[str], ttl_millis: int | None):
+        self.order_by, self.ttl_millis = list(order_by), ttl_millis
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean", self.ttl_millis)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        first = min(rows, key=lambda row: _place(row, self.order_by))
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield first
+
+    def close(self) -> None:
+        pass
+
+
+def _thinned(keys: Sequence[str], order_by: Sequence[str]):
+    """Of a key's rows in one Arrow batch only the first goes on, so a busy key costs the shuffle a row a batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in order_by], null_placement="at_end")
+            place = pa.array(range(len(order)), pa.int64())
+            sorted_keys = table.select(list(dict.fromkeys(keys))).take(order).append_column("__place", place)
+            first = sorted_keys.group_by(list(dict.fromkeys(keys)), use_threads=False).aggregate([("__place", "min")])["__place_min"]
+            yield from table.take(order.take(first)).to_batches()
+    return run
+
+
+def drop_repeats(df: DataFrame, keys: Sequence[str], path: str, checkpoint: str, order_by: Sequence[str] = (),
+                 forget_after_millis: int | None = None, once: bool = True):
+    """Write the first row of every key, one folder per micro-batch, so a repeated batch replaces its own.
+
+    Which keys were seen is state of the stream, a key each in RocksDB: a micro-batch looks up its own keys and reads
+    nothing that earlier ones have written, so its cost does not grow with the history. NULL is a key like any other.
+    A key is never forgotten, so late rows with a new key stay and late copies go; ``forget_after_millis`` lets a key go so long after its first row,
+    by the clock. Without ``order_by`` any of a key's rows in its first batch is kept; with it the first in that order (NULLs last), so the
+    result depends on the batches alone. Rows equal in keys and order are taken for the same row.
     """
     names = list(keys)
+    if order_by or forget_after_millis is not None:
+        thin = df.mapInArrow(_thinned(names, order_by), df.schema) if order_by else df
+        fresh = thin.groupBy(*map(quoted, names)).transformWithState(
+            _FirstRow(order_by, forget_after_millis), df.schema, "append", "ProcessingTime" if forget_after_millis is not None else "None")
+    else:
+        fresh = df.dropDuplicates(names)
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        bucket = F.pmod(F.xxhash64(*map(quoted, names)), F.lit(buckets)).cast("int")
-        fresh = rows.dropDuplicates(names).withColumn("key_bucket", bucket)
-        if batch_id > 0:
-            written = rows.sparkSession.read.schema(fresh.schema.add("batch_id", "long")).parquet(path)
-            seen = written.filter(F.col("batch_id") < batch_id).select(
-                F.col("key_bucket").alias("__bucket"), *[quoted(k).alias(f"__k{i}") for i, k in enumerate(names)])
-            same = F.col("key_bucket") == F.col("__bucket")
-            for i, k in enumerate(names):
-                same = same & quoted(k).eqNullSafe(F.col(f"__k{i}"))
-            fresh = fresh.join(seen, same, "left_anti")
-        fresh.write.mode("overwrite").partitionBy("key_bucket").parquet(f"{path}/batch_id={batch_id}")
-    return each_batch(df, write, checkpoint, once)
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    with keyed_state(df.sparkSession, forget_after_millis is not None):
+        return each_batch(fresh, write, checkpoint, once)
 
 
 def append_stream(df: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = (), fmt: str = "parquet",

@@ -105,3 +105,59 @@ def test_snapshots(spark, folder):
         P.read_snapshot(spark, path, schema, 2)
     with pytest.raises(ValueError, match="at least one"):
         P.drop_snapshots(spark, path, 0)
+
+
+def test_merge_on_partition_values_with_any_character(spark, folder):
+    """Rows that move away leave nothing behind, however the file system spells the folder."""
+    path = f"{folder}/odd values"
+    values = ["a:b", "a/b", "a b", "", None, "100%", "x=y", "ä", "b"]
+    P.overwrite(rows(spark, *[(str(i), "t", 1.0, v) for i, v in enumerate(values)]), path, ["day"])
+    P.merge(rows(spark, *[(str(i), "t", 2.0, "b") for i in range(len(values))]), path, ["id"], ["day"])
+    assert contents(spark, path) == sorted([(str(i), "t", 2.0, "b") for i in range(len(values))], key=str)
+
+
+def test_merge_on_timestamps(spark, folder):
+    path, schema = f"{folder}/times", "id int, at timestamp_ntz"
+    first = spark.sql("SELECT id, TIMESTAMP_NTZ '2024-01-01 10:20:30' AS at FROM VALUES (1), (2) t(id)")
+    P.overwrite(first, path, ["at"])
+    P.merge(first.selectExpr("id", "at + INTERVAL 1 HOUR AS at"), path, ["id"], ["at"])
+    assert [r[1].hour for r in contents(spark, path, schema)] == [11, 11]
+
+
+def _failing(frame):
+    return frame.withColumn("town", F.when(F.col("id") == "bad", F.raise_error(F.lit("broken row"))).otherwise(F.col("town")))
+
+
+@pytest.mark.parametrize("partition_by", [["day"], []])
+def test_a_failing_write_leaves_the_old_rows(spark, folder, partition_by):
+    path = f"{folder}/kept"
+    P.overwrite(rows(spark, ("a", "Oslo", 1.0, "2025-06-01"), ("b", "Bergen", 2.0, "2025-06-02")), path, partition_by)
+    before = contents(spark, path)
+    bad = _failing(rows(spark, ("c", "x", 1.0, "2025-06-01"), ("bad", "x", 1.0, "2025-06-02")))
+    writes = [lambda: P.overwrite(bad, path, partition_by), lambda: P.merge(bad, path, ["id"], partition_by)]
+    if partition_by:
+        writes += [lambda: P.overwrite_partitions(bad, path, partition_by), lambda: P.backfill(bad, path, "day", "2025-06-01", "2025-06-03")]
+    for write in writes:
+        with pytest.raises(Exception, match="broken row"):
+            write()
+        assert contents(spark, path) == before
+    P.overwrite(P.read_table(spark, path, SCHEMA).filter("id = 'a'"), path, partition_by)  # made from its own rows
+    assert [r[0] for r in contents(spark, path)] == ["a"]
+
+
+def test_backfill_empties_partitions_below_a_day(spark, folder):
+    path = f"{folder}/towns"
+    P.overwrite(rows(spark, ("a", "x:y", 1.0, "2025-06-01"), ("b", "z", 1.0, "2025-06-01"), ("c", "x:y", 1.0, "2025-06-05")), path, ["day", "town"])
+    P.backfill(rows(spark, ("n", "z", 1.0, "2025-06-01")), path, "day", "2025-06-01", "2025-06-02", ["day", "town"])
+    assert sorted(r[0] for r in contents(spark, path)) == ["c", "n"]
+
+
+def test_compact_a_table_with_maps_and_equal_rows(spark, folder):
+    path, schema = f"{folder}/maps", "id bigint, m map<string,bigint>, k int"
+    wide = spark.range(6000).select((F.col("id") * 0).alias("id"), F.create_map(F.lit("a"), F.col("id") * 0).alias("m"), F.lit(1).alias("k"))
+    for _ in range(6):
+        P.append(wide, path, ["k"])
+    total = P.files(spark, path, schema, ["k"]).agg(F.sum("bytes")).first()[0]
+    P.compact(spark, path, schema, ["k"], target_file_size_mb=total / 3 / 1024 / 1024)
+    files = [r["rows"] for r in P.files(spark, path, schema, ["k"]).collect()]
+    assert sum(files) == 36_000 and 2 <= len(files) < 6 and max(files) < 30_000

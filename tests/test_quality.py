@@ -148,3 +148,19 @@ def test_sampled_profile(loans):
     row = sampled_profile(loans, 0.5).first()
     assert row.table_rows == 15 and row.sample_rows <= 15
     assert sampled_profile(loans, 1.0, keys=["loan"]).first().sample_rows == 15
+
+
+def test_rules_that_share_an_id_all_count(spark):
+    rows = spark.createDataFrame([(None, 1), (2, None), (3, 3)], "a int, b int")
+    rules = [Rule("r", "not_null", "a"), Rule("r", "not_null", "b")]
+    good, bad = quarantine(rows, rules)
+    assert [tuple(r) for r in good.collect()] == [(3, 3)] and sorted(r.broken_rules for r in bad.collect()) == [["r"], ["r"]]
+
+
+def test_long_values_are_flagged_like_short_ones(spark):
+    long = "x" * 5000
+    rows = spark.createDataFrame([(long,)] * 400 + [(long + "y",)] + [(f"v{i % 300}",) for i in range(400)] + [(None,)], "t string")
+    flagged = flag_rows(rows, [Rule("u", "unique", "t")])
+    got = {r.t: r.broken_rules for r in flagged.distinct().collect()}
+    assert got[long] == ["u"] and got[long + "y"] == [] and got["v5"] == ["u"] and got["v200"] == [] and got[None] == []
+    assert flagged.count() == rows.count()
