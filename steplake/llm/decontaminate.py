@@ -68,6 +68,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     rows that repeat doc_id with other texts stay apart. Other columns are ignored; an empty
     benchmark hits nothing, an empty table gives no rows.
     """
+    return _contaminated(documents, benchmark, window).drop("text_hash")
+
+
+def _contaminated(documents: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     texts = documents.select("doc_id", words_of(F.col("text").cast("string")).alias("w"))
     texts = texts.select("doc_id", F.xxhash64("w").alias("text_hash"), F.size("w").cast("bigint").alias("n_words"), "w")
     found = find_windows(texts, item_windows(benchmark, window))
@@ -83,21 +87,25 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         .otherwise(F.concat(done, F.array(F.struct(s["win_start"].alias("first"), s["win_words"].alias("words"))))))
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["words"])
     return spans.withColumn("hit_spans", joined).withColumn("n_hit", n_hit).select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        "doc_id", "text_hash", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "hit_spans")
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with hit words cut out of their texts, each with what follows it up to the next word;
-    texts without hits stay as they are. All other columns stay."""
-    found = contamination(documents, benchmark, window).where("n_hit > 0").select("doc_id", "hit_spans")
-    joined = documents.join(found, "doc_id", "left")
-    words = F.expr(rf"regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0)")
-    gaps = F.expr(rf"split(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', -1)")
-    cut = F.array_join(F.transform("words", lambda x, i: F.when(
-        F.exists("hit_spans", lambda s: (s["first"] <= i + 1) & (i + 1 < s["first"] + s["words"])), F.lit(""))
-        .otherwise(F.concat(x, F.element_at("gaps", i + 2)))), "")
-    joined = joined.withColumn("words", words).withColumn("gaps", gaps)
-    text = F.when(F.col("hit_spans").isNull(), F.col("text")).otherwise(F.concat(F.element_at("gaps", 1), cut))
-    return joined.withColumn("text", text).select(*documents.columns)
+    texts without hits stay as they are. All other columns stay, whatever their names. Each row is cut by the spans of its own doc_id
+    and text, so NULL and repeated doc_ids are no trouble and every row comes once.
+    """
+    at = {c: f"_steplake_{c}" for c in ("id", "hash", "here", "spans", "words", "gaps")}  # names of helper columns
+    found = _contaminated(documents, benchmark, window).where("n_hit > 0").select(
+        F.col("doc_id").alias(at["id"]), F.col("text_hash").alias(at["hash"]), F.col("hit_spans").alias(at["spans"]))
+    marked = documents.withColumn(at["here"], F.xxhash64(words_of(F.col("text").cast("string"))))
+    joined = marked.join(found, F.col("doc_id").eqNullSafe(F.col(at["id"])) & (F.col(at["here"]) == F.col(at["hash"])), "left")
+    word = r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+    joined = joined.withColumns({at["words"]: F.expr(f"regexp_extract_all(text, '{word}', 0)"), at["gaps"]: F.expr(f"split(text, '{word}', -1)")})
+    cut = F.array_join(F.transform(at["words"], lambda x, i: F.when(
+        F.exists(at["spans"], lambda s: (s["first"] <= i + 1) & (i + 1 < s["first"] + s["words"])), F.lit(""))
+        .otherwise(F.concat(x, F.element_at(at["gaps"], i + 2)))), "")
+    text = F.when(F.col(at["spans"]).isNull(), F.col("text")).otherwise(F.concat(F.element_at(at["gaps"], 1), cut))
+    return joined.withColumn("text", text).select(*[f"`{c}`" for c in documents.columns])

@@ -25,7 +25,8 @@ MAX_LANGUAGES = 500
 SWITCH = 12.0  # log-probability a change of language has to win
 USED = 0.001  # share of a language's letters from which on it uses a script
 FOREIGN = -30.0  # score of a word in a language that does not use its script
-PATH_CELLS = 8_000_000  # words times languages on the best path at a time
+PATH_CELLS = 2_000_000  # words times languages on the best path at a time
+CHUNK = 1 << 18  # bytes of texts whose letters are scored at a time
 _U = np.uint64
 
 # Scripts by ranges of code points.
@@ -99,7 +100,7 @@ def _counted(batches):
     """Per language the counts of trigrams, words and scripts, as numbers with counts."""
     for batch in batches:
         lang = np.asarray(pc.index_in(batch.column("lang"), names := pc.unique(batch.column("lang"))))
-        for rows, raw, starts in chunks(batch.column("text")):
+        for rows, raw, starts in chunks(batch.column("text"), CHUNK):
             points, begin, end, row, script, _ = words_of(raw, starts)
             gram, word, whole = _features(points, begin, end)
             of = lang[rows.start + row]
@@ -203,7 +204,7 @@ def best_path(scores: np.ndarray, row: np.ndarray, n_rows: int, switch: float =
 SPANS = "array<struct<first:int,last:int,lang:string>>"
 
 
-def _identified(model: Model):
+def _identified(model: Model, with_spans: bool = True):
     languages = np.array(model.languages, object)
     kinds = len(languages)
 
@@ -217,22 +218,24 @@ def _identified(model: Model):
         share = np.bincount(row * max(kinds, 1) + label, weights=letters, minlength=n * max(kinds, 1)).reshape(n, -1)
         total = share.sum(axis=1)
         top = share.argmax(axis=1)
+        named = {"doc_id": ids, "lang_pred": pa.array([languages[t] if s > 0 else "und" for t, s in zip(top, total)], pa.string()),
+                 "score": pa.array(np.where(total > 0, share[np.arange(n), top] / np.maximum(total, 1), 0.0))}
+        if not with_spans:
+            return pa.record_batch(named)
         cut = group_bounds(row, label)
         of = row[cut[:-1]]
         spans = pa.StructArray.from_arrays([pa.array(begin[cut[:-1]], pa.int32()), pa.array(end[cut[1:] - 1], pa.int32()),
                                             pa.array(languages[label[cut[:-1]]] if kinds else [], pa.string())], ["first", "last", "lang"])
         offsets = np.searchsorted(of, np.arange(n + 1))
-        return pa.record_batch({"doc_id": ids, "lang_pred": pa.array([languages[t] if s > 0 else "und" for t, s in zip(top, total)], pa.string()),
-                                "score": pa.array(np.where(total > 0, share[np.arange(n), top] / np.maximum(total, 1), 0.0)),
-                                "spans": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)})
+        return pa.record_batch(named | {"spans": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)})
 
     def run(batches):
         for batch in batches:
             held, first, cells, done = [], 0, 0, 0
-            for rows, raw, starts in chunks(batch.column("text")):
+            for rows, raw, starts in chunks(batch.column("text"), CHUNK):
                 points, begin, end, row, script, begins = words_of(raw, starts)
                 scores = model.word_scores(points, begin, end, script) if kinds else np.zeros((len(row), 0), np.float32)
-                held.append((scores, row + rows.start - first, begin - begins[row], end - begins[row], (end - begin).astype(float)))
+                held.append((scores, row + rows.start - first, *(x.astype(np.int32) for x in (begin - begins[row], end - begins[row], end - begin))))
                 cells, done = cells + scores.size, rows.stop
                 if cells > PATH_CELLS:
                     yield emit(held, batch.column("doc_id").slice(first, done - first))
@@ -258,7 +261,7 @@ def keep_identified(documents: DataFrame, model: Model, least: float = 0.0) -> D
     """The rows of documents whose language is known with a score of at least ``least``; all columns stay, whatever their names."""
     columns = documents.columns
     at = columns.index("text")
-    label = _identified(model)
+    label = _identified(model, with_spans=False)
 
     def run(batches):
         for batch in batches:

@@ -21,11 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from steplake.llm.shared import bucket_count, bucket_of, group_bounds, packed, text_bytes, unpacked, written
-from steplake.llm.words import BYTES, chunks, mix, ranges, running
+from steplake.llm.words import BYTES, chunks, mix, ranges
+from steplake.llm.words import running as running_sum
+from steplake.operators.windows import running
 
 _U = np.uint64
 _LAST = (1 << 63) - 1  # stands for a NULL doc_id: after all others
@@ -47,7 +49,7 @@ def runs_of(raw: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray
     n = len(raw) - depth + 1
     if n <= 0:
         return np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros((0, _MORE), np.uint8)
-    sums = running(raw, BYTES)
+    sums = running_sum(raw, BYTES)
     at = np.arange(len(raw) - head + 1)
     digits = ranges(sums, at, at + head)
     low = (digits & ~_LOW) | at.astype(_U)  # equal digits: the one further left
@@ -151,7 +153,7 @@ def _windows(depth: int, buckets: int):
             ids = np.asarray(batch.column("doc_id"))
             asked = batch.column("asked")
             for rows, raw, starts in chunks(batch.column("text"), CHUNK):
-                sums = running(raw, BYTES)
+                sums = running_sum(raw, BYTES)
                 wanted = asked.slice(rows.start, len(rows))
                 n = np.asarray(wanted.value_lengths().fill_null(0))
                 flat = wanted.flatten()
@@ -235,6 +237,22 @@ def _rest(with_bytes: bool):
     return run
 
 
+def _numbered(texts: DataFrame) -> tuple[DataFrame, Column]:
+    """Texts by a doc_id that is never NULL and names one text, and the column that gives back the one they came with.
+
+    Where a doc_id does not do so, documents are numbered by doc_id, NULL last, and the hash of their text.
+    """
+    plain = texts.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text")
+    marks = plain.select("doc_id", F.xxhash64("text").alias("mark")).groupBy("doc_id").agg(F.min("mark").alias("a"), F.max("mark").alias("b"))
+    if marks.where("a <> b").isEmpty():
+        return plain, F.nullif("doc_id", F.lit(_LAST))
+    ids = texts.select("doc_id", F.xxhash64("text").alias("mark")).distinct()
+    numbers = running(ids, [], ["doc_id", "mark"], row_number="number").select(F.col("doc_id").alias("came"), "mark", F.col("number").cast("bigint").alias("number"))
+    numbers = written(numbers, "suffix-documents")
+    joined = texts.withColumn("here", F.xxhash64("text")).join(numbers, F.col("doc_id").eqNullSafe(F.col("came")) & (F.col("here") == F.col("mark")))
+    return joined.select(F.col("number").alias("doc_id"), "text", "came"), F.col("came")
+
+
 def remove_repeats(documents: DataFrame, depth: int = 100, with_bytes: bool = False) -> DataFrame:
     """Per row of documents(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept.
 
@@ -242,12 +260,13 @@ def remove_repeats(documents: DataFrame, depth: int = 100, with_bytes: bool = Fa
     a document with a smaller doc_id, or further left in the same one; all texts are judged as they came, and
     strings never cross documents. Texts shorter than ``depth`` stay. A NULL doc_id counts as the largest.
     kept holds the bytes left, if asked for. Rows that repeat doc_id and text are one document and come as often
-    as they are; a doc_id is taken to name one text. Other columns are ignored; an empty table gives no rows.
+    as they are. Rows that repeat a doc_id, or have none, with different texts are different documents, in the order of their
+    texts' hashes. Other columns are ignored; an empty table gives no rows.
     """
     if not 8 <= depth <= 255:
         raise ValueError("depth is a byte's worth of windows, 8 to 255")
     spark = documents.sparkSession
-    texts = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts, named = _numbered(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
     buckets = bucket_count(spark, text_bytes(texts))
     found = texts.mapInArrow(_runs(depth, buckets), _BLOBS).groupBy("bucket").applyInArrow(_grouped(depth, True), _FOUND)
     found = written(found, "suffix-runs", "removed")
@@ -256,5 +275,5 @@ def remove_repeats(documents: DataFrame, depth: int = 100, with_bytes: bool = Fa
     single = (texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_windows(depth, buckets), _BLOBS)
               .groupBy("bucket").applyInArrow(_grouped(depth, False), _FOUND))
     spans = (found.where("removed").unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
-    joined = texts.join(spans, "doc_id", "left").select(F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"), "text", "spans")
+    joined = texts.join(spans, "doc_id", "left").select(named.alias("doc_id"), "text", "spans")
     return joined.mapInArrow(_rest(with_bytes), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")

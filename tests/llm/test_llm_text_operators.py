@@ -158,3 +158,36 @@ def test_remove_repeats_odd_rows(odd_documents, no_documents):
     assert got[8].n_bytes - got[8].n_removed == 3 and bytes(got[8].kept) == b"end"
     assert got[10].n_removed == 4999 and got[10].n_spans == 1
     assert remove_repeats(no_documents).count() == 0
+
+
+def _odd_ids(texts):
+    """Two different rows without doc_id, one doc_id twice with different texts, repeated rows, helper names as columns."""
+    a, b, c = texts
+    return [(None, a, 1), (None, b, 2), (3, c, 3), (3, a, 4), (3, a, 5), (4, b, 6), (None, None, 7), (3, None, 8), (None, a, 9)]
+
+
+def test_remove_repeats_of_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    make = lambda n: " ".join(f"w{rng.randrange(1000)}" for _ in range(n))
+    shared = make(60)
+    rows = _odd_ids([make(50) + shared, shared + make(90), make(40) + shared + make(3)])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, number int")
+    marked = docs.withColumn("mark", F.xxhash64("text")).collect()
+    # one document per doc_id and text, in the order of doc_id, NULL last, and hash
+    order = {key: i for i, key in enumerate(sorted({(r.doc_id is None, r.doc_id or 0, r.mark) for r in marked}))}
+    place = lambda r: order[r.doc_id is None, r.doc_id or 0, r.mark]
+    want = brute.without_repeats({place(r): r.text for r in marked})
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs).collect()]
+    assert sorted(map(repr, got)) == sorted(repr((r.doc_id, *want[place(r)])) for r in marked)
+    assert sum(r[2] > 0 for r in got) >= 3
+
+
+def test_remove_spans_of_null_and_repeated_ids(spark):
+    items = spark.createDataFrame([(1, "red green blue")], "item_id bigint, text string")
+    rows = _odd_ids(["Say: RED, green-blue! and on", "red green", "more red green blue"])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, words int").withColumn("gaps", F.lit("kept")).withColumn("hit_spans", F.lit(1))
+    cut = {"Say: RED, green-blue! and on": "Say: and on", "more red green blue": "more ", "red green": "red green", None: None}
+    got = remove_spans(docs, items)
+    assert got.columns == docs.columns
+    assert sorted(((r.words, r.doc_id, r.text, r.gaps, r.hit_spans) for r in got.collect()), key=str) == sorted(
+        ((n, i, cut[t], "kept", 1) for i, t, n in rows), key=str)
