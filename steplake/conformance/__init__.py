@@ -4,7 +4,7 @@ from importlib import import_module
 
 from steplake.conformance.registry import ORACLE, QUERIES
 
-MODULES = ["steps", "quality", "relational", "tables", "streams"]
+MODULES = ["steps", "quality", "relational", "tables", "streams", "functions"]
 
 
 def load_all():

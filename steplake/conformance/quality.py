@@ -7,6 +7,7 @@ from steplake.operators import partitioned
 from steplake.operators.profile import histogram, profile, sampled_profile, suggest_rules
 from steplake.operators.quality import (Rule, breach_trend, evaluate, flag_rows, quality_overview, quarantine,
                                         sample_violations, table_report)
+from steplake.operators.quality_state import add_load, breach_history, whole_results
 from steplake.operators.sketches import read_sketches, refresh_sketches, sketch, sketched_profile
 from steplake.session import scratch_path
 
@@ -265,3 +266,36 @@ def profile_sketch_ranks(spark, sf):
         F.lit(found["name"]).alias("name"), F.count(F.lit(1)).alias("total_rows"),
         *[(F.abs(F.count_if(price <= found[q]) / F.count(price) - share) < 0.02).alias(f"{q}_near") for q, share in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))],
         (F.abs(found["distinct_count"] / F.count_distinct(price) - 1) < 0.04).alias("count_near"))
+
+
+_LOADED_RULES = [Rule("r1", "not_null", "status"), Rule("r2", "unique", "o_custkey"), Rule("r3", "range", "o_totalprice", {"min": 5000}),
+                 Rule("r4", "unique", "o_orderkey"), Rule("r5", "row_count_min", params={"min_count": 10**12}), Rule("r6", "regex", "status", {"pattern": "^[FO]$"})]
+_LOADED_RULES_SQL = """SELECT {id} AS rule_id, count(*) AS total_rows, CAST({failed} AS BIGINT) AS failed_rows
+  FROM (SELECT *, nullif(o_orderstatus, 'P') AS status FROM orders) {where}"""
+
+
+def _loaded_rules_sql(where=""):
+    failed = {"r1": "count(*) - count(status)", "r2": "count(o_custkey) - count(DISTINCT o_custkey)", "r3": "count(*) FILTER (WHERE o_totalprice < 5000)",
+              "r4": "0", "r5": "1000000000000 - count(*)", "r6": "0"}
+    return "\nUNION ALL ".join(_LOADED_RULES_SQL.format(id=f"'{i}'", failed=f, where=where) for i, f in failed.items())
+
+
+def _judged_loads(spark, sf):
+    """Three loads, the second one judged twice."""
+    path = scratch_path(spark, "loads")
+    orders = table(spark, sf, "orders").withColumn("status", F.expr("nullif(o_orderstatus, 'P')"))
+    for load in (0, 1, 1, 2):
+        add_load(orders.filter(F.col("o_orderkey") % 3 == load), _LOADED_RULES, path, load)
+    return path
+
+
+@query("quality_whole_table", _loaded_rules_sql())
+def quality_whole_table(spark, sf):
+    """What three loads have left adds up to the results for all rows, the unique rules included."""
+    return whole_results(spark, _LOADED_RULES, _judged_loads(spark, sf)).select("rule_id", "total_rows", "failed_rows")
+
+
+@query("quality_load_history", "\nUNION ALL ".join(
+    f"SELECT *, '{load}' AS load FROM ({_loaded_rules_sql(f'WHERE o_orderkey % 3 = {load}')})" for load in range(3)))
+def quality_load_history(spark, sf):
+    return breach_history(spark, _LOADED_RULES, _judged_loads(spark, sf))

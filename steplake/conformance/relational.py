@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from steplake.conformance.registry import query, table
 from steplake.functions.sql import run_sql
-from steplake.operators.joins import as_of_join, full_join, range_join
+from steplake.operators.bags import except_all, intersect_all
+from steplake.operators.joins import as_of_join, full_join, overlap_join, range_join
 from steplake.operators.steps import deduplicate, sample_rows
 from steplake.operators.stretches import ROWS
 from steplake.operators.summary import quantiles
@@ -140,6 +141,25 @@ def join_range(spark, sf):
     return pairs.select("event_id", "user_id", F.date_format("span_day", "yyyy-MM-dd").alias("span_day"))
 
 
+_SESSIONS_SQL = """(SELECT user_id, event_id, ts AS {p}_start, ts + to_minutes(CAST({length} AS BIGINT)) AS {p}_end FROM events WHERE event_type = '{kind}')"""
+
+
+@query("join_overlap", f"""
+SELECT l.event_id, r.event_id AS other_id FROM {_SESSIONS_SQL.format(p="l", length="30 + event_id % 200", kind="purchase")} l
+JOIN {_SESSIONS_SQL.format(p="r", length="CASE WHEN event_id % 50 = 0 THEN 9000 ELSE event_id % 90 END", kind="view")} r
+  ON l.user_id % 2 = r.user_id % 2 AND l.l_start <= r.r_end AND r.r_start <= l.l_end""")
+def join_overlap(spark, sf):
+    """Intervals of two kinds, some very long, by half of the users; small cells, so that even small tables are cut."""
+    events = table(spark, sf, "events").withColumn("half", F.col("user_id") % 2)
+    left = events.filter("event_type = 'purchase'").selectExpr(
+        "event_id", "half", "ts AS l_start", "ts + make_dt_interval(0, 0, CAST(30 + event_id % 200 AS int)) AS l_end")
+    right = events.filter("event_type = 'view'").selectExpr(
+        "event_id AS other_id", "half", "ts AS r_start",
+        "ts + make_dt_interval(0, 0, CAST(CASE WHEN event_id % 50 = 0 THEN 9000 ELSE event_id % 90 END AS int)) AS r_end")
+    rows = min(ROWS, 1 + events.count() // 16)
+    return overlap_join(left, right, "l_start", "l_end", "r_start", "r_end", ["half"], rows).select("event_id", "other_id")
+
+
 def _as_of(spark, sf, key):
     events = table(spark, sf, "events")
     left = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts", (F.col("user_id") % 2).alias("half"))
@@ -331,6 +351,25 @@ def top_orders(spark, sf):
 
 # ---- sets and subqueries
 
+# one value holds a third of the rows of either side, NULL another part
+_BAGS = {side: f"""SELECT CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_linenumber % 2 = {p} THEN 'busy' ELSE concat('s', l_suppkey) END AS k,
+  l_linenumber % 2 AS n FROM {{lineitem}} WHERE l_partkey % 4 <> {p}""" for p, side in enumerate("lr")}
+
+
+def _bags(spark, sf):
+    return [spark.sql(text, lineitem=table(spark, sf, "lineitem")) for text in _BAGS.values()]
+
+
+@query("set_intersect_all", " INTERSECT ALL ".join(text.format(lineitem="lineitem") for text in _BAGS.values()))
+def set_intersect_all(spark, sf):
+    return intersect_all(*_bags(spark, sf))
+
+
+@query("set_except_all", " EXCEPT ALL ".join(text.format(lineitem="lineitem") for text in _BAGS.values()))
+def set_except_all(spark, sf):
+    return except_all(*_bags(spark, sf))
+
+
 _same_sql("set_union", """SELECT c_nationkey AS nkey FROM customer UNION SELECT s_nationkey FROM supplier
 UNION ALL SELECT n_nationkey FROM nation """, "customer", "supplier", "nation")
 _same_sql("set_intersect", """SELECT o_custkey AS custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT

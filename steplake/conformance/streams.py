@@ -3,13 +3,14 @@
 from pyspark.sql import functions as F
 
 from steplake.conformance.registry import query, table
+from steplake.operators import quality_state
 from steplake.operators.nested import infer_value_schema
 from steplake.operators.quality import Rule
 from steplake.plans import runlog
 from steplake.plans.step_list import Step
 from steplake.session import scratch_path
 from steplake.sources import storage
-from steplake.streaming import streams, topics
+from steplake.streaming import streams, topic_files, topics
 
 # ---- the events table as a topic with three partitions; offsets have gaps, as in a compacted topic
 
@@ -99,6 +100,43 @@ def topic_round_trip(spark, sf):
     return topics.parse_values(messages, "event_type string, value double", ["offset", "partition", "key"]).drop("_corrupt")
 
 
+# ---- the events as a topic kept in files
+
+_NUMBERED_SQL = """SELECT CAST(user_id % 3 AS INTEGER) AS "partition", row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1 AS "offset",
+  CAST(user_id AS VARCHAR) AS key, event_type, value FROM events"""
+
+
+def _landed_topic(spark, sf):
+    """Tasks write in the order of event_id, and offsets follow it."""
+    path = scratch_path(spark, "topic")
+    rows = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", (F.col("user_id") % 3).alias("p"), "ts").orderBy("event_id")
+    topic_files.append_topic_files(topic_files.as_messages(rows, "user_id", "p", "ts"), path)
+    return path
+
+
+@query("topic_files_round_trip", _NUMBERED_SQL)
+def topic_files_round_trip(spark, sf):
+    messages = topic_files.read_topic_files(spark, _landed_topic(spark, sf))
+    return topics.parse_values(messages, "event_type string, value double", ["partition", "offset", "key"]).drop("_corrupt")
+
+
+@query("peek_from_offset", f"""SELECT "offset", key FROM ({_NUMBERED_SQL}) WHERE "partition" = 1 AND "offset" >= 30 AND "offset" < 50""")
+def peek_from_offset(spark, sf):
+    """Twenty messages from an offset on; the source opens only what holds them."""
+    return topic_files.peek_files(spark, _landed_topic(spark, sf), 1, 30).select("offset", "key")
+
+
+@query("topic_files_lag", """
+SELECT CAST(user_id % 3 AS INTEGER) AS "partition", count(*) AS current_offset, 2 * count(*) AS high_watermark, count(*) AS lag FROM events GROUP BY 1""")
+def topic_files_lag(spark, sf):
+    """A stream has copied all messages when as many again are landed: its lag comes from its checkpoint and the files' names."""
+    path, copy, checkpoint = _landed_topic(spark, sf), scratch_path(spark, "copy"), scratch_path(spark, "offsets")
+    stream = topic_files.read_topic_files(spark, path, streaming=True).select("partition", "key", "value")
+    topic_files.stream_to_topic_files(stream, copy, checkpoint, "lag")
+    topic_files.append_topic_files(topic_files.read_topic_files(spark, copy).select("partition", "key", "value"), path)
+    return topics.consumer_lag(topic_files.committed_offsets(spark, checkpoint), topic_files.end_offsets(spark, path))
+
+
 @query("throughput_minute", """
 SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS messages
 FROM events GROUP BY 1, 2""")
@@ -185,6 +223,20 @@ def stream_quality(spark, sf):
                                                            F.sum("failed_rows").alias("failed_rows"))
 
 
+@query("stream_whole_quality", """
+SELECT 's1' AS rule_id, count(*) AS total_rows, count(*) FILTER (WHERE value > 20) AS failed_rows FROM events
+UNION ALL SELECT 's2', count(*), count(user_id) - count(DISTINCT user_id) FROM events""")
+def stream_whole_quality(spark, sf):
+    """Each micro-batch is judged once; the whole table's results, repeats across batches included, come from what they left."""
+    landed, path = scratch_path(spark, "landed"), scratch_path(spark, "judged")
+    events = table(spark, sf, "events").select("event_id", "user_id", "value")
+    events.repartitionById(4, F.pmod(F.xxhash64("event_id"), F.lit(4)).cast("int")).write.parquet(landed)
+    rules = [Rule("s1", "range", "value", {"max": 20}), Rule("s2", "unique", "user_id")]
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    quality_state.stream_whole_quality(stream, rules, path, scratch_path(spark, "offsets"))
+    return quality_state.whole_results(spark, rules, path).select("rule_id", "total_rows", "failed_rows")
+
+
 # ---- the events table as a run log
 
 _RUNS = """SELECT CAST(event_id AS {text}) AS id, user_id AS target_id, concat('Target-', user_id) AS target_name,

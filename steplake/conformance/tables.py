@@ -14,7 +14,7 @@ from steplake.conformance.registry import query, table
 from steplake.functions.sql import run_sql
 from steplake.functions.user import Context, combine_groups, map_batches, map_groups, map_groups_arrow, run_script
 from steplake.operators import partitioned
-from steplake.operators.guards import estimate_scan, require_partition_filter
+from steplake.operators.guards import analyze_columns, estimate_rows, estimate_scan, require_partition_filter
 from steplake.operators.nested import expand_json, flatten, infer_types, read_documents
 from steplake.plans.workflow import Node, run_workflow
 from steplake.session import scratch_path
@@ -323,6 +323,27 @@ def scan_estimate(spark, sf):
     return spark.createDataFrame([(estimate.rows, estimate.size_bytes > 0)], "n bigint, some_bytes boolean")
 
 
+@query("estimate_rows", """
+SELECT count(*) FILTER (WHERE l_quantity > 40 AND l_shipdate < DATE '1996-01-01') AS n, true AS range_near, true AS join_near FROM lineitem""")
+def rows_estimate(spark, sf):
+    """The optimiser's row counts by column histograms lie within a factor of two of the true ones, without a file list or a run."""
+    name, path = "lines_" + uuid.uuid4().hex, scratch_path(spark, "analysed")
+    save_as_table(table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", F.to_date("l_shipdate").alias("l_shipdate")), name, path=path)
+    save_as_table(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), f"{name}_o", path=f"{path}-orders")
+    analyze_columns(spark, name, ["l_orderkey", "l_quantity", "l_shipdate"])
+    analyze_columns(spark, f"{name}_o", ["o_orderkey", "o_totalprice"])
+    chosen = spark.table(name).filter("l_quantity > 40 AND l_shipdate < DATE '1996-01-01'")
+    joined = spark.table(name).join(spark.table(f"{name}_o").filter("o_totalprice > 200000"), F.col("l_orderkey") == F.col("o_orderkey"))
+    near = []
+    for query_ in (chosen, joined):
+        estimate, true = estimate_rows(query_), query_.count()
+        near.append(estimate is not None and true / 2 <= estimate <= 2 * max(true, 1))
+    out = chosen.agg(F.count(F.lit(1)).alias("n"), F.lit(near[0]).alias("range_near"), F.lit(near[1]).alias("join_near")).first()
+    for suffix in ("", "_o"):
+        spark.sql(f"DROP TABLE {name}{suffix}")
+    return spark.createDataFrame([tuple(out)], "n bigint, range_near boolean, join_near boolean")
+
+
 @query("partition_guard", f"""
 SELECT count(*) AS n, true AS fine, true AS joined, false AS loose, false AS other FROM ({_DAILY}) WHERE day = '2024-01-05'""")
 def partition_guard(spark, sf):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steplake.operators.steps import quoted, require_columns
-from steplake.operators.stretches import ROWS, nulls_last, tie_breaker, with_stretch
+from steplake.operators.stretches import ROWS, beside_cuts, nulls_last, place_among, sampled_cuts, tie_breaker, with_stretch
 
 
 def hot_keys(counted: DataFrame, count: str, share: int = 1000) -> DataFrame:
@@ -117,11 +118,56 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, start: str,
         return F.floor(axis / (size * F.pow(F.lit(2.0), F.col("__level"))))
 
     spread = sized.withColumn("__stretch", F.explode(F.sequence(cell(first), cell(last))))
-    cut = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)))).withColumn("__stretch", cell(_axis(points, point)))
+    if len(levels) == 1:  # points stay as they are
+        level_of = F.lit(levels[0])
+    else:
+        level_of = F.explode(F.array(*map(F.lit, levels)))
+    cut = points.withColumn("__level", level_of).withColumn("__stretch", cell(_axis(points, point)))
     joined = cut.join(spread, [*by, "__level", "__stretch"])
     return joined.filter((quoted(point) >= quoted(start)) & (quoted(point) <= quoted(end))).drop("__level", "__stretch")
 
 
+def overlap_join(left: DataFrame, right: DataFrame, left_start: str, left_end: str, right_start: str, right_end: str,
+                 by: Sequence[str] = (), rows: int = ROWS) -> DataFrame:
+    """Pairs of intervals that share a point, ends included (and the ``by`` columns agree), without a nested loop or a distinct.
+
+    The axis of a key is cut at sampled starts of both sides, into cells of about ``rows`` starts. An interval stands in every cell it touches, and a
+    pair is taken in one cell only, where the later of its two starts lies, so none comes twice. A key with few rows is one cell. Intervals
+    without both ends, or that end before they start, overlap nothing.
+    """
+    require_columns(left, [left_start, left_end, *by])
+    require_columns(right, [right_start, right_end, *by])
+    clash = [c for c in right.columns if c in left.columns and c not in by]
+    if clash:
+        raise ValueError(f"rename the columns on one side first: {', '.join(clash)}")
+    keys = [f"__k{i}" for i in range(len(by))]
+
+    def ends(df, start, end, side):
+        known = functools.reduce(Column.__and__, [quoted(c).isNotNull() for c in by], quoted(start) <= quoted(end))
+        return df.filter(known).select(*[quoted(c).alias(k) for c, k in zip(by, keys)], F.lit(side).alias("__side"), F.struct(*map(quoted, df.columns)).alias("__row"),
+                                       _axis(df, start).alias("__from"), _axis(df, end).alias("__to"))
+
+    one, two = ends(left, left_start, left_end, 0), ends(right, right_start, right_end, 1)
+    axis = one.select(*keys, "__from").unionByName(two.select(*keys, "__from"))
+    cuts = sampled_cuts(axis, [F.col(k) for k in keys], F.struct("__from"), rows)
+
+    def placed(df, name):
+        touched = df
+        if cuts is None:
+            touched = df.withColumns({"__first": F.lit(0), "__cell": F.lit(0)})
+        else:
+            touched = beside_cuts(df, cuts, [F.col(k) for k in keys])
+            cell = lambda c: F.when(F.col("__cuts").isNull(), 0).otherwise(place_among(F.col("__cuts"), F.struct(F.col(c).alias("__from"))))
+            touched = touched.withColumns({"__first": cell("__from"), "__last": cell("__to")}).drop("__cuts")
+            touched = touched.withColumn("__cell", F.explode(F.sequence("__first", "__last")))
+        return touched.select(*keys, "__cell", F.col("__first").alias(f"{name}first"), F.col("__row").alias(f"{name}row"),
+                              F.col("__from").alias(f"{name}from"), F.col("__to").alias(f"{name}to"))
+
+    met = placed(one, "__l").join(placed(two, "__r"), [*keys, "__cell"])
+    met = met.filter((F.col("__lfrom") <= F.col("__rto")) & (F.col("__rfrom") <= F.col("__lto")) & (F.greatest("__lfirst", "__rfirst") == F.col("__cell")))
+    return met.select(*[F.col("__lrow")[c].alias(c) for c in left.columns], *[F.col("__rrow")[c].alias(c) for c in right.columns if c not in by])
+
+
 def full_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str]) -> DataFrame:
     """All rows of both sides, paired where the keys agree.
 

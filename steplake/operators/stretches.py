@@ -33,7 +33,7 @@ def _hashable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.VariantType))
 
 
-def _search(cuts: Column, at: Column) -> Column:
+def place_among(cuts: Column, at: Column) -> Column:
     """How many of the ascending cuts are not behind ``at``, by halving."""
     steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(cuts) + 1.0)).cast("int") + 1)
     half = lambda s: F.shiftright(s["lo"] + s["hi"], 1)
@@ -42,25 +42,39 @@ def _search(cuts: Column, at: Column) -> Column:
         F.get(cuts, half(s)) <= at, pair(half(s) + 1, s["hi"])).otherwise(pair(s["lo"], half(s))), lambda s: s["lo"])
 
 
-def with_stretch(df: DataFrame, by: Sequence[Column], order: Column, name: str, rows: int = ROWS, total: int | None = None) -> DataFrame:
-    """The rows with the number of their stretch within the ``by`` group; the number never falls as ``order``, a struct, rises.
+def _key(by: Sequence[Column]) -> Column:
+    return F.struct(F.lit(0).alias("k"), *[c.alias(f"k{i}") for i, c in enumerate(by)])
 
-    Cuts are every SAMPLED-th of a group's sampled rows in order, so a stretch holds about ``rows`` rows whatever the values'
-    distribution: a busy key is cut often, one with few rows not at all, and a burst is cut wherever the order tells its
-    rows apart. They are computed once and kept. An equal order is never parted.
-    """
+
+def sampled_cuts(df: DataFrame, by: Sequence[Column], order: Column, rows: int, total: int | None = None) -> DataFrame | None:
+    """(__of, __cuts): every SAMPLED-th of a group's sampled rows in order; None for a table of no more than ``rows`` rows."""
     if (df.count() if total is None else total) <= rows:
-        return df.withColumn(name, F.lit(0))
-    key = F.struct(F.lit(0).alias("k"), *[c.alias(f"k{i}") for i, c in enumerate(by)])
-    sampled = df.select(key.alias("__of"), order.alias("__cut")).sample(fraction=min(1.0, SAMPLED / rows), seed=_SEED)
+        return None
+    sampled = df.select(_key(by).alias("__of"), order.alias("__cut")).sample(fraction=min(1.0, SAMPLED / rows), seed=_SEED)
     place = F.row_number().over(Window.partitionBy("__of").orderBy("__cut"))
     cuts = (sampled.withColumn("__place", place).filter(F.col("__place") % SAMPLED == 0)
             .groupBy("__of").agg(F.sort_array(F.collect_list("__cut")).alias("__cuts")))
     # a sample may come out differently when it is drawn again, so its cuts are kept
     ensure_checkpoint_dir(df.sparkSession)
-    cuts = cuts.checkpoint()
+    return cuts.checkpoint()
+
+
+def beside_cuts(df: DataFrame, cuts: DataFrame, by: Sequence[Column]) -> DataFrame:
+    """The rows with the cuts of their group, NULL for a group without."""
     few = (cuts.agg(F.sum(F.size("__cuts"))).first()[0] or 0) <= _BROADCAST_CUTS
-    keyed = df.withColumns({"__key": key, "__order": order})
-    joined = keyed.join(F.broadcast(cuts) if few else cuts, F.col("__key") == F.col("__of"), "left")
-    number = F.when(F.col("__cuts").isNull(), 0).otherwise(_search(F.col("__cuts"), F.col("__order")))
-    return joined.withColumn(name, number).drop("__key", "__order", "__of", "__cuts")
+    keyed = df.withColumn("__key", _key(by))
+    return keyed.join(F.broadcast(cuts) if few else cuts, F.col("__key") == F.col("__of"), "left").drop("__key", "__of")
+
+
+def with_stretch(df: DataFrame, by: Sequence[Column], order: Column, name: str, rows: int = ROWS, total: int | None = None) -> DataFrame:
+    """The rows with the number of their stretch within the ``by`` group; the number never falls as ``order``, a struct, rises.
+
+    A stretch holds about ``rows`` rows whatever the values' distribution: a busy key is cut often, one with few rows not
+    at all, and a burst is cut wherever the order tells its rows apart. Cuts are computed once and kept. An equal order is never parted.
+    """
+    cuts = sampled_cuts(df, by, order, rows, total)
+    if cuts is None:
+        return df.withColumn(name, F.lit(0))
+    joined = beside_cuts(df.withColumn("__order", order), cuts, by)
+    number = F.when(F.col("__cuts").isNull(), 0).otherwise(place_among(F.col("__cuts"), F.col("__order")))
+    return joined.withColumn(name, number).drop("__order", "__cuts")

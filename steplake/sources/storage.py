@@ -42,3 +42,13 @@ def rename(spark: SparkSession, path: str, to: str) -> None:
     fs, hadoop_path = _open(spark, path)
     if not fs.rename(hadoop_path, _open(spark, to)[1]):
         raise OSError(f"could not rename {path} to {to}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The content of a small file."""
+    fs, hadoop_path = _open(spark, path)
+    stream = fs.open(hadoop_path)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
