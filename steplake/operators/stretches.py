@@ -61,6 +61,8 @@ def sampled_cuts(df: DataFrame, by: Sequence[Column], order: Column, rows: int,
 
 def beside_cuts(df: DataFrame, cuts: DataFrame, by: Sequence[Column]) -> DataFrame:
     """The rows with the cuts of their group, NULL for a group without."""
+    if not by:  # one group, so one row of cuts
+        return df.withColumn("__cuts", cuts.select("__cuts").scalar())
     few = (cuts.agg(F.sum(F.size("__cuts"))).first()[0] or 0) <= _BROADCAST_CUTS
     keyed = df.withColumn("__key", _key(by))
     return keyed.join(F.broadcast(cuts) if few else cuts, F.col("__key") == F.col("__of"), "left").drop("__key", "__of")
