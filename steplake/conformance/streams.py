@@ -149,6 +149,26 @@ def throughput_minute(spark, sf):
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "messages")
 
 
+@query("throughput_expiring", """
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, count(*) AS messages FROM events GROUP BY 1""")
+def throughput_expiring(spark, sf):
+    """Loads come in the order of time, so hours leave the state soon after they end; what was written of them stays."""
+    landed, path, checkpoint = (scratch_path(spark, name) for name in ("loads", "hours", "offsets"))
+    events = table(spark, sf, "events").select("ts")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    part = F.least(F.floor(4 * (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp")))
+                           / F.greatest(F.unix_micros(F.lit(last).cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp")), F.lit(1))), F.lit(3))
+    for load in range(4):
+        events.filter(part == load).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(events.schema).parquet(landed)
+        running = streams.changed_totals(streams.throughput(stream, "ts", "1 hour", lateness="2 hours"), path, checkpoint)
+    kept = running.lastProgress["stateOperators"][0]
+    newest = streams.newest_totals(spark.read.parquet(path), ["window_start", "window_end"])
+    if kept["numRowsTotal"] * 2 > newest.count() + 10 or kept["numRowsDroppedByWatermark"]:
+        raise RuntimeError(f"hours that have ended stay in the state, or rows were late: {kept}")
+    return newest.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "messages")
+
+
 @query("throughput_batch", """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, count(*) AS messages FROM events GROUP BY 1""")
 def throughput_batch(spark, sf):

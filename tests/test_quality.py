@@ -164,3 +164,14 @@ def test_long_values_are_flagged_like_short_ones(spark):
     got = {r.t: r.broken_rules for r in flagged.distinct().collect()}
     assert got[long] == ["u"] and got[long + "y"] == [] and got["v5"] == ["u"] and got["v200"] == [] and got[None] == []
     assert flagged.count() == rows.count()
+
+
+def test_several_unique_rules_do_not_repeat_rows(spark):
+    rows = spark.createDataFrame([(i % 7, f"t{i % 40}" if i % 3 else None, i) for i in range(90)], "a int, b string, c int")
+    rules = [Rule("1", "unique", "a"), Rule("2", "unique", "b"), Rule("3", "unique", "c"), Rule("4", "unique", "a"), Rule("5", "not_null", "b"), Rule("6", "unique", "none")]
+    report = evaluate(rows, rules)
+    got = {r.rule_id: (r.failed_rows, r.status) for r in report.collect()}
+    filled = [r.b for r in rows.collect() if r.b is not None]
+    assert got == {"1": (83, "failed"), "2": (len(filled) - len(set(filled)), "failed"), "3": (0, "passed"), "4": (83, "failed"), "5": (30, "failed"), "6": (0, "error")}
+    assert "Expand" not in report._jdf.queryExecution().executedPlan().toString()
+    assert {r.rule_id: r.failed_rows for r in evaluate(rows.limit(0), rules).collect()} == dict.fromkeys("123456", 0)
