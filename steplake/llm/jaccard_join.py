@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steplake.llm.components import components
-from steplake.llm.shared import bucket_count, bucket_of, group_bounds, packed, text_bytes, unpacked, written
+from steplake.llm.shared import bucket_count, bucket_of, group_bounds, packed, release, text_bytes, unpacked, written
 from steplake.llm.shingles import shingle_sets
 from steplake.llm.words import chunks, mix
+from steplake.session import scratch_path
+from steplake.sources import storage
 
 _U = np.uint64
 FINE = 256  # fragments of the bound
@@ -183,14 +185,24 @@ def _shared_keys(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def _sets(size: int):
+    """Sets with their classes. Rows that repeat a doc_id follow each other, and of equal sets one comes."""
     def run(batches):
+        last, seen = None, set()
         for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
             for rows, hashes, owner, sizes, prints in _rows(batch, size):
                 bounds = np.append(0, np.cumsum(sizes))
                 counts = fine_counts(hashes, owner, len(rows))
-                yield pa.record_batch({"class": prints.view(np.int64), "n": pa.array(sizes, pa.int64()),
-                                       "counts": pa.array([c.tobytes() for c in counts], pa.binary()),
-                                       "grams": pa.array([hashes[b:e].tobytes() for b, e in zip(bounds[:-1], bounds[1:])], pa.binary())})
+                new = []
+                for i, c in enumerate(prints.tolist()):
+                    if ids[rows.start + i] != last:
+                        last, seen = ids[rows.start + i], set()
+                    if c not in seen:
+                        new.append(i)
+                    seen.add(c)
+                yield pa.record_batch({"class": prints.view(np.int64)[new], "n": pa.array(sizes[new], pa.int64()),
+                                       "counts": pa.array([counts[i].tobytes() for i in new], pa.binary()),
+                                       "grams": pa.array([hashes[bounds[i]:bounds[i + 1]].tobytes() for i in new], pa.binary())})
     return run
 
 
@@ -259,7 +271,11 @@ def _both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    near = _both(pairs, sets, "n", "counts").mapInArrow(_bounded(percent), "a bigint, b bigint")
+    """Pairs are written before counts and before whole sets are put beside them, so that each step's shuffles can go before the next."""
+    pairs = written(pairs, "jaccard-pairs")
+    release(sets.sparkSession)
+    near = written(_both(pairs, sets, "n", "counts").mapInArrow(_bounded(percent), "a bigint, b bigint"), "jaccard-near")
+    release(sets.sparkSession)
     return _both(near, sets, "grams").mapInArrow(_linked(percent), "a bigint, b bigint")
 
 
@@ -285,15 +301,20 @@ def _prepared(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame,
     cut = Cut(percent)
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = bucket_count(spark, text_bytes(texts))
-    swept = written(texts.mapInArrow(_swept(cut, size, buckets), SWEPT), "jaccard-swept", "kind")
+    path = scratch_path(spark, "jaccard-swept")
+    texts.mapInArrow(_swept(cut, size, buckets), SWEPT).write.partitionBy("kind").parquet(path)
+    swept = spark.read.schema(SWEPT).parquet(path)
     rows = swept.where(F.col("kind") == _DOCUMENT).select("doc_id", "n", "class")
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
     keys = (swept.where(F.col("kind") > _DOCUMENT).select("bucket", "x", "y")
             .groupBy("bucket").applyInArrow(_shared_keys, "key bigint, class bigint"))
     keys = written(keys, "jaccard-keys")
+    for kind in (_KEYS, _SHARED):  # what keys were made from
+        storage.remove(spark, f"{path}/kind={kind}")
+    release(spark)
     members = classes.join(keys.select("class").distinct(), "class", "left_semi").select(F.col("first").alias("doc_id"))
-    sets = written(texts.join(members, "doc_id", "left_semi").mapInArrow(_sets(size), "class bigint, n bigint, counts binary, grams binary")
-                   .dropDuplicates(["class"]), "jaccard-sets")
+    sets = written(texts.join(members, "doc_id", "left_semi").mapInArrow(_sets(size), "class bigint, n bigint, counts binary, grams binary"), "jaccard-sets")
+    release(spark)
     return rows, classes, keys, sets
 
 
@@ -317,9 +338,10 @@ def jaccard_components(documents: DataFrame, size: int = 3, percent: int = 90) -
                  .groupBy("class").agg(F.max_by(hub, "count").alias("hub"))
                  .select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")))
         first = tried if first is None else first.unionByName(tried)
-    linked = written(_links(first.distinct(), sets, percent), "jaccard-links")
+    linked = written(_links(first.distinct(), sets, percent).distinct(), "jaccard-links")
 
     for closest in (True, False):
+        release(documents.sparkSession)
         linked = written(linked.unionByName(_links(_crossing_pairs(keys, sets, linked, percent, closest), sets, percent)).distinct(), "jaccard-links")
 
     first_of = {side: classes.select(F.col("class").alias(side), F.col("first").alias(f"first_{side}")) for side in "ab"}

@@ -21,6 +21,11 @@ def written(frame: DataFrame, name: str, *partitions: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames nobody holds any more; it does so when the driver collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucket_count(spark: SparkSession, n_bytes: int) -> int:
     """Buckets of a packed shuffle: a few for each task, and of bounded size however large the input."""
     return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET_BYTES + 1)
