@@ -20,7 +20,8 @@ QUERY_BLOCK = 512
 GROUP = 16  # query blocks that meet a candidate block in one task
 LEADING = 0.25  # of the rotated coordinates are summed before pruning
 
-_PACKED = "block bigint, norm double, ids binary, vectors binary, least binary"
+_PACKED = "block bigint, norm double, ids binary, vectors binary, least binary, last binary"
+_LAST = (1 << 63) - 1
 
 
 def whole_numbers(vectors: DataFrame, scale: int) -> DataFrame:
@@ -68,14 +69,15 @@ def _packed(width: int, size: int):
     def run(batches):
         from pyspark import TaskContext
 
-        ids, rows, least = [], [], []
+        ids, rows, least, last = [], [], [], []
         for batch in batches:
             ids.append(np.asarray(batch.column("vec_id")))
             rows.append(_matrix(batch.column("v"), width))
             least.append(np.asarray(batch.column("least")))
+            last.append(np.asarray(batch.column("last")))
         if not ids:
             return
-        ids, rows, least = np.concatenate(ids), np.concatenate(rows), np.concatenate(least)
+        ids, rows, least, last = (np.concatenate(x) for x in (ids, rows, least, last))
         norms = np.sqrt((rows.astype(float) ** 2).sum(axis=1))
         order = np.lexsort((ids, -norms))
         first = TaskContext.get().partitionId() << 20
@@ -83,15 +85,16 @@ def _packed(width: int, size: int):
             part = order[at:at + size]
             yield pa.record_batch({"block": pa.array([first + i], pa.int64()), "norm": [float(norms[part[0]])],
                                    "ids": pa.array([ids[part].tobytes()], pa.binary()), "vectors": pa.array([rows[part].tobytes()], pa.binary()),
-                                   "least": pa.array([least[part].tobytes()], pa.binary())})
+                                   "least": pa.array([least[part].tobytes()], pa.binary()), "last": pa.array([last[part].tobytes()], pa.binary())})
     return run
 
 
 def _search(width: int, k: int, rotation: np.ndarray):
-    """The best k candidates of a block for every query of the query blocks, none that is surely too low."""
+    """The best k candidates of a block for every query of the query blocks, none that is surely too low: behind (least, last),
+    the score and vec_id of a query's k-th row so far."""
     lead = max(1, int(width * LEADING))
 
-    def best(queries, ids_q, least, vectors, ids, found):
+    def best(queries, ids_q, least, last, vectors, ids, found):
         small = max(int(np.abs(queries).max(initial=0)), int(np.abs(vectors).max(initial=0))) ** 2 * width < 2 ** 53
         exact = vectors.astype(float) if small else vectors
         turned_q, turned = queries @ rotation, vectors @ rotation
@@ -107,11 +110,15 @@ def _search(width: int, k: int, rotation: np.ndarray):
             bound = turned[:reach, :lead] @ turned_q[i, :lead] + rest[:reach] * rest_q[i]
             left = np.flatnonzero((bound >= low) & (ids[:reach] != ids_q[i]))
             scores = (exact[left] @ query).astype(np.int64)
-            left, scores = left[scores >= least[i]], scores[scores >= least[i]]
+            # beyond 2**53 a float tells neighbouring scores apart no more, so nothing equal is dropped
+            before = (scores > least[i]) | ((scores == least[i]) & ((ids[left] < last[i]) | (abs(least[i]) >= 2 ** 53)))
+            left, scores = left[before], scores[before]
             if len(left) > k:
                 kth = np.partition(scores, len(left) - k)[len(left) - k]
                 left, scores = left[scores >= kth], scores[scores >= kth]
             order = np.lexsort((ids[left], -scores))[:k]
+            if len(order) == k:  # the task's next blocks need only what comes before
+                least[i], last[i] = scores[order[-1]], ids[left[order[-1]]]
             found.append((np.full(len(order), ids_q[i]), ids[left[order]], scores[order]))
 
     def exact_rows(queries, small):
@@ -119,12 +126,13 @@ def _search(width: int, k: int, rotation: np.ndarray):
 
     def run(key: tuple[pa.Scalar, ...], queries: pa.Table, blocks: pa.Table) -> pa.Table:
         found = []
-        for c in blocks.to_pylist():
+        asked = [(q, np.frombuffer(q["ids"], np.int64), np.frombuffer(q["least"], float).copy(), np.frombuffer(q["last"], np.int64).copy())
+                 for q in queries.to_pylist()]
+        for c in sorted(blocks.to_pylist(), key=lambda c: -c["norm"]):
             ids = np.frombuffer(c["ids"], np.int64)
             vectors = np.frombuffer(c["vectors"], np.int64).reshape(len(ids), width)
-            for q in queries.to_pylist():
-                ids_q = np.frombuffer(q["ids"], np.int64)
-                best(np.frombuffer(q["vectors"], np.int64).reshape(len(ids_q), width), ids_q, np.frombuffer(q["least"], float), vectors, ids, found)
+            for q, ids_q, least, last in asked:
+                best(np.frombuffer(q["vectors"], np.int64).reshape(len(ids_q), width), ids_q, least, last, vectors, ids, found)
         a, b, s = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
         return pa.table({"query_id": a, "vec_id": b, "score": s})
     return run
@@ -152,8 +160,8 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 20, scale:
     rotation = _rotation(rows, width)
     squares = F.aggregate("v", F.lit(0.0), lambda n, x: n + x.cast("double") * x.cast("double"))
     slices = -(-facts["n"] // (4 * BLOCK))
-    none = F.lit(float("-inf"))
-    candidates = written(rows.withColumn("least", none).repartitionByRange(slices, squares.desc(), F.col("vec_id"))
+    none, behind = F.lit(float("-inf")), F.lit(_LAST)
+    candidates = written(rows.withColumns({"least": none, "last": behind}).repartitionByRange(slices, squares.desc(), F.col("vec_id"))
                          .mapInArrow(_packed(width, BLOCK), _PACKED), "topk-blocks")
     asked = rows.where(is_query)
     n_queries = asked.count()
@@ -171,10 +179,10 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 20, scale:
 
     # the longest vectors first: they give each query a score to reach
     longest = candidates.orderBy(F.col("norm").desc(), "block").select("block").first()["block"]
-    first = written(searched(query_blocks(asked.withColumn("least", none)), candidates.where(F.col("block") == longest), 1), "topk-first")
-    least = _ranked(first, k).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("least"))
+    first = written(searched(query_blocks(asked.withColumns({"least": none, "last": behind})), candidates.where(F.col("block") == longest), 1), "topk-first")
+    least = _ranked(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("least"), F.col("vec_id").alias("last"))
     # then all other blocks, in which only what may reach that score is multiplied out
-    aimed = asked.join(least.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("least", F.coalesce("least", none))
+    aimed = asked.join(least, "vec_id", "left").withColumns({"least": F.coalesce("least", none), "last": F.coalesce("last", behind)})
     second = searched(query_blocks(aimed), candidates.where(F.col("block") != longest), n_sets)
     return _ranked(first.unionByName(second), k).select("query_id", "rank", "vec_id", "score")
 
