@@ -133,7 +133,7 @@ _SWEPT = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64(
 _DOCUMENT, _KEYS, _SHARED = 0, 1, 2
 
 
-def _swept(cut: Cut, size: int, buckets: int, flush: int = 2_000_000):
+def _swept(cut: Cut, size: int, buckets: int, flush: int = 500_000):
     """Per document its class; per task and bucket one row per key, and all rows of keys shared within the task."""
     def grouped(keys, classes):
         order = np.lexsort((classes, keys))
@@ -166,6 +166,7 @@ def _swept(cut: Cut, size: int, buckets: int, flush: int = 2_000_000):
                 if n_held > flush:
                     yield grouped(*map(np.concatenate, zip(*held)))
                     held, n_held, seen = [], 0, set()
+            pa.default_memory_pool().release_unused()
         if n_held:
             yield grouped(*map(np.concatenate, zip(*held)))
     return run

@@ -25,7 +25,7 @@ MAX_LANGUAGES = 500
 SWITCH = 12.0  # log-probability a change of language has to win
 USED = 0.001  # share of a language's letters from which on it uses a script
 FOREIGN = -30.0  # score of a word in a language that does not use its script
-PATH_CELLS = 2_000_000  # words times languages on the best path at a time
+PATH_CELLS = 1_000_000  # words times languages on the best path at a time
 CHUNK = 1 << 18  # bytes of texts whose letters are scored at a time
 _U = np.uint64
 
@@ -242,6 +242,7 @@ def _identified(model: Model, with_spans: bool = True):
                     held, first, cells = [], done, 0
             if held:
                 yield emit(held, batch.column("doc_id").slice(first, done - first))
+            pa.default_memory_pool().release_unused()  # a worker keeps what it does not give back
     return run
 
 
