@@ -18,19 +18,23 @@ Steps, all on Spark's partitions:
    all pairs compared that share a key and are still unconnected.
 5. Pairs that pass the bound are counted exactly: both whole sets meet in one row. Partial overlaps,
    summed per pair, would send one row for each pair and fragment that both have n-grams in.
+   Only classes of such pairs have their whole sets written, made from their texts again for each step 4.
+
+Tables between the steps are removed as soon as the next one is there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steplake.llm.components import components
-from steplake.llm.shared import bucket_count, bucket_of, group_bounds, packed, release, text_bytes, unpacked, written
+from steplake.llm.shared import bucket_count, bucket_of, group_bounds, packed, release, text_bytes, unpacked
 from steplake.llm.shingles import shingle_sets
 from steplake.llm.words import chunks, mix
 from steplake.session import scratch_path
@@ -39,6 +43,9 @@ from steplake.sources import storage
 _U = np.uint64
 FINE = 256  # fragments of the bound
 BLOCK = 256  # rows of a frequent key that are compared with each other at once
+CHUNK = 1 << 18  # bytes of texts whose sets are made at a time
+BATCH = 2 << 20  # bytes of rows a Python worker is handed at a time
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 class Cut:
@@ -122,7 +129,7 @@ def _fingerprints(hashes, owner, n):
 
 def _rows(batch: pa.RecordBatch, size: int):
     """(rows, hashes, owner, sizes, fingerprints) of the documents of a batch, bit by bit."""
-    for rows, raw, starts in chunks(batch.column("text")):
+    for rows, raw, starts in chunks(batch.column("text"), CHUNK):
         hashes, owner = shingle_sets(raw, starts, size)
         yield rows, hashes, owner, np.bincount(owner, minlength=len(rows)), _fingerprints(hashes, owner, len(rows))
 
@@ -185,15 +192,13 @@ def _shared_keys(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"key": keys, "class": classes[shared].view(np.int64)})
 
 
-def _sets(size: int):
-    """Sets with their classes. Rows that repeat a doc_id follow each other, and of equal sets one comes."""
+def _sets(size: int, whole: bool):
+    """Classes with their whole sets, or with sizes and fine counts. Rows that repeat a doc_id follow each other, and of equal sets one comes."""
     def run(batches):
         last, seen = None, set()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for rows, hashes, owner, sizes, prints in _rows(batch, size):
-                bounds = np.append(0, np.cumsum(sizes))
-                counts = fine_counts(hashes, owner, len(rows))
                 new = []
                 for i, c in enumerate(prints.tolist()):
                     if ids[rows.start + i] != last:
@@ -201,9 +206,14 @@ def _sets(size: int):
                     if c not in seen:
                         new.append(i)
                     seen.add(c)
-                yield pa.record_batch({"class": prints.view(np.int64)[new], "n": pa.array(sizes[new], pa.int64()),
-                                       "counts": pa.array([counts[i].tobytes() for i in new], pa.binary()),
-                                       "grams": pa.array([hashes[bounds[i]:bounds[i + 1]].tobytes() for i in new], pa.binary())})
+                if whole:
+                    bounds = np.append(0, np.cumsum(sizes))
+                    columns = {"grams": pa.array([hashes[bounds[i]:bounds[i + 1]].tobytes() for i in new], pa.binary())}
+                else:
+                    counts = fine_counts(hashes, owner, len(rows))
+                    columns = {"n": pa.array(sizes[new], pa.int64()), "counts": pa.array([counts[i].tobytes() for i in new], pa.binary())}
+                yield pa.record_batch({"class": prints.view(np.int64)[new], **columns})
+            pa.default_memory_pool().release_unused()
     return run
 
 
@@ -271,52 +281,90 @@ def _both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs are written before counts and before whole sets are put beside them, so that each step's shuffles can go before the next."""
-    pairs = written(pairs, "jaccard-pairs")
-    release(sets.sparkSession)
-    near = written(_both(pairs, sets, "n", "counts").mapInArrow(_bounded(percent), "a bigint, b bigint"), "jaccard-near")
-    release(sets.sparkSession)
-    return _both(near, sets, "grams").mapInArrow(_linked(percent), "a bigint, b bigint")
-
-
-def _crossing_pairs(keys: DataFrame, sets: DataFrame, linked: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """Pairs (a, b) of classes that share a key, are not connected yet and may link."""
-    labelled = sets.select("class", "n", "counts").join(components(linked).withColumnRenamed("node", "class"), "class", "left")
-    held = keys.join(labelled.withColumn("label", F.coalesce("label", "class")), "class")
-    spread = (held.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("rows"))
-              .where("least <> most").select("key", F.ceil(F.col("rows") / BLOCK).alias("blocks")))
-    held = held.join(spread, "key").withColumn("block", F.pmod(F.xxhash64("class", F.lit(7)), "blocks"))
-    # a row meets its own block (side 0) and, as side 1 or 2, each other block of its key
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    own = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    parts = 8 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = held.select(own.alias("key"), "class", "n", "counts", "label", side.alias("side")).withColumn("part", F.pmod("key", F.lit(parts)))
-    return held.groupBy("part").applyInArrow(_crossing(percent, closest), "a bigint, b bigint").distinct()
-
-
-def _prepared(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The rows with their classes, the classes' smallest doc_id, the keys that classes share, and the sets of those classes."""
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Python workers are handed BATCH bytes at a time, not 10,000 rows of any length."""
+    before = spark.conf.get(_BATCH_BYTES, None)
+    spark.conf.set(_BATCH_BYTES, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH_BYTES) if before is None else spark.conf.set(_BATCH_BYTES, before)
+
+
+class _Tables:
+    """The tables of a join in the shared folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, list[str]] = {}
+
+    def write(self, frame: DataFrame, name: str, *partitions: str) -> DataFrame:
+        """The frame, written and read again; the shuffles it needed can go."""
+        path = scratch_path(self.spark, f"jaccard-{name}")
+        with _small_batches(self.spark):
+            (frame.write.partitionBy(*partitions) if partitions else frame.write).parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        out = self.spark.read.schema(frame.schema).parquet(path)
+        del frame
+        release(self.spark)
+        return out
+
+    def remove(self, *names: str) -> None:
+        for path in (path for name in names for path in self.paths.pop(name, [])):
+            storage.remove(self.spark, path)
+
+
+class _Classes:
+    """What is known of the classes that share keys: keys (key, class), sets (class, n, counts), and the texts to make whole sets from."""
+
+    def __init__(self, tables: _Tables, texts: DataFrame, firsts: DataFrame, keys: DataFrame, size: int, percent: int):
+        self.tables, self.texts, self.firsts, self.keys, self.size, self.percent = tables, texts, firsts, keys, size, percent
+        self.sets = tables.write(self._made(keys, False, "class bigint, n bigint, counts binary"), "sets")
+
+    def _made(self, classes: DataFrame, whole: bool, schema: str) -> DataFrame:
+        members = self.firsts.join(classes.select("class").distinct(), "class", "left_semi").select(F.col("first").alias("doc_id"))
+        return self.texts.join(members, "doc_id", "left_semi").mapInArrow(_sets(self.size, whole), schema)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link. Each step is written, so that its shuffles can go before the next."""
+        pairs = self.tables.write(pairs, "pairs")
+        near = self.tables.write(_both(pairs, self.sets, "n", "counts").mapInArrow(_bounded(self.percent), "a bigint, b bigint").distinct(), "near")
+        ends = near.select(F.explode(F.array("a", "b")).alias("class"))
+        grams = self.tables.write(self._made(ends, True, "class bigint, grams binary"), "grams")
+        linked = self.tables.write(_both(near, grams, "grams").mapInArrow(_linked(self.percent), "a bigint, b bigint").distinct(), "linked")
+        self.tables.remove("pairs", "near", "grams")
+        return linked
+
+    def crossing_pairs(self, linked: DataFrame, closest: bool) -> DataFrame:
+        """Pairs (a, b) of classes that share a key, are not connected yet and may link."""
+        held = self.keys.join(components(linked).withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+        spread = (held.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("rows"))
+                  .where("least <> most").select("key", F.ceil(F.col("rows") / BLOCK).alias("blocks")))
+        held = held.join(spread, "key").withColumn("block", F.pmod(F.xxhash64("class", F.lit(7)), "blocks"))
+        # a row meets its own block (side 0) and, as side 1 or 2, each other block of its key
+        held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        own = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+        side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+        held = held.select(own.alias("key"), "class", "label", side.alias("side")).join(self.sets, "class")
+        parts = 8 * int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return held.withColumn("part", F.pmod("key", F.lit(parts))).groupBy("part").applyInArrow(_crossing(self.percent, closest), "a bigint, b bigint").distinct()
+
+
+def _prepared(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, _Classes]:
+    """The rows with their classes, the classes' smallest doc_id, and the classes that share keys."""
     spark = documents.sparkSession
-    cut = Cut(percent)
+    cut, tables = Cut(percent), _Tables(spark)
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = bucket_count(spark, text_bytes(texts))
-    path = scratch_path(spark, "jaccard-swept")
-    texts.mapInArrow(_swept(cut, size, buckets), SWEPT).write.partitionBy("kind").parquet(path)
-    swept = spark.read.schema(SWEPT).parquet(path)
+    swept = tables.write(texts.mapInArrow(_swept(cut, size, buckets), SWEPT), "swept", "kind")
     rows = swept.where(F.col("kind") == _DOCUMENT).select("doc_id", "n", "class")
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
-    keys = (swept.where(F.col("kind") > _DOCUMENT).select("bucket", "x", "y")
-            .groupBy("bucket").applyInArrow(_shared_keys, "key bigint, class bigint"))
-    keys = written(keys, "jaccard-keys")
+    keys = tables.write(swept.where(F.col("kind") > _DOCUMENT).select("bucket", "x", "y")
+                        .groupBy("bucket").applyInArrow(_shared_keys, "key bigint, class bigint"), "keys")
     for kind in (_KEYS, _SHARED):  # what keys were made from
-        storage.remove(spark, f"{path}/kind={kind}")
-    release(spark)
-    members = classes.join(keys.select("class").distinct(), "class", "left_semi").select(F.col("first").alias("doc_id"))
-    sets = written(texts.join(members, "doc_id", "left_semi").mapInArrow(_sets(size), "class bigint, n bigint, counts binary, grams binary"), "jaccard-sets")
-    release(spark)
-    return rows, classes, keys, sets
+        storage.remove(spark, f"{tables.paths['swept'][0]}/kind={kind}")
+    return rows, classes, _Classes(tables, texts, classes, keys, size, percent)
 
 
 def jaccard_components(documents: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -329,7 +377,8 @@ def jaccard_components(documents: DataFrame, size: int = 3, percent: int = 90) -
     component of an equal text that has one; without such a text its component_id is NULL, and it links
     nothing. Other columns are ignored; an empty table gives no rows.
     """
-    rows, classes, keys, sets = _prepared(documents, size, percent)
+    rows, classes, shared = _prepared(documents, size, percent)
+    keys = shared.keys
     mixed = F.xxhash64("class")
     hubs = keys.groupBy("key").agg(F.min("class").alias("h0"), F.max("class").alias("h1"), F.min(F.struct(mixed, "class"))["class"].alias("h2"))
     seen = keys.join(hubs, "key")
@@ -339,11 +388,10 @@ def jaccard_components(documents: DataFrame, size: int = 3, percent: int = 90) -
                  .groupBy("class").agg(F.max_by(hub, "count").alias("hub"))
                  .select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")))
         first = tried if first is None else first.unionByName(tried)
-    linked = written(_links(first.distinct(), sets, percent).distinct(), "jaccard-links")
-
+    linked = shared.links(first.distinct())
     for closest in (True, False):
-        release(documents.sparkSession)
-        linked = written(linked.unionByName(_links(_crossing_pairs(keys, sets, linked, percent, closest), sets, percent)).distinct(), "jaccard-links")
+        linked = linked.unionByName(shared.links(shared.crossing_pairs(linked, closest)))
+    shared.tables.remove("keys", "sets")
 
     first_of = {side: classes.select(F.col("class").alias(side), F.col("first").alias(f"first_{side}")) for side in "ab"}
     links = linked.join(first_of["a"], "a").join(first_of["b"], "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
@@ -359,6 +407,8 @@ def jaccard_links(documents: DataFrame, size: int = 3, percent: int = 90) -> tup
     class whose doc_ids are all NULL has no links. Every pair that shares a key is looked at, so
     a large group of near copies costs the square of its different texts; ``jaccard_components`` is the cheaper form.
     """
-    rows, _, keys, sets = _prepared(documents, size, percent)
+    rows, _, shared = _prepared(documents, size, percent)
     none = documents.sparkSession.createDataFrame([], "a bigint, b bigint")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "class"), _links(_crossing_pairs(keys, sets, none, percent, False), sets, percent)
+    links = shared.links(shared.crossing_pairs(none, False))
+    shared.tables.remove("keys", "sets")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "class"), links
