@@ -9,13 +9,15 @@ Steps, all on Spark's partitions:
 
 1. Every text becomes a set; equal sets are one class from here on, named by a fingerprint.
 2. Every class sends a key per fragment. A task first groups its own keys and sends one row
-   per key, so a key is at most as frequent as there are tasks. Keys of one class go away.
-3. Classes left get a count per fine fragment. The counts' difference bounds the overlap
-   from above, so most pairs fall without their sets.
+   per key, so a key is at most as frequent as there are tasks. Keys of one class go away, and
+   keys shared by the same classes are one key: it is named by them.
+3. Classes left get a bit per fine fragment: whether its count is odd. The differing bits bound the
+   overlap from above, so most pairs fall without their sets.
 4. First each class is compared with the first, the last and one middle class of its most
-   shared keys, then with the closest class of another component under each key. What links is
+   shared keys, then with the one closest class of another component. What links is
    one component, so a large group of copies costs a few comparisons a copy; only then are
-   all pairs compared that share a key and are still unconnected.
+   all pairs compared that share a key and are still unconnected. A pair comes under the first
+   key it shares. The largest component of a key meets the others only, never itself.
 5. Pairs that pass the bound are counted exactly: both whole sets meet in one row. Partial overlaps,
    summed per pair, would send one row for each pair and fragment that both have n-grams in.
    Only classes of such pairs have their whole sets written, made from their texts again for each step 4.
@@ -34,15 +36,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steplake.llm.components import components
-from steplake.llm.shared import bucket_count, bucket_of, group_bounds, packed, release, text_bytes, unpacked
+from steplake.llm.shared import bucket_count, bucket_of, group_bounds, packed, release, text_bytes, unpacked, written
 from steplake.llm.shingles import shingle_sets
 from steplake.llm.words import chunks, mix
 from steplake.session import scratch_path
 from steplake.sources import storage
 
 _U = np.uint64
-FINE = 256  # fragments of the bound
+FINE = 2048  # fragments of the bound
 BLOCK = 256  # rows of a frequent key that are compared with each other at once
+FIRST = 16  # smallest keys of a class, by which pairs seen under an earlier key are known
+PART = 1 << 15  # rows of blocks a task takes at once, about
+_NO_KEY = (1 << 63) - 1
 CHUNK = 1 << 18  # bytes of texts whose sets are made at a time
 BATCH = 2 << 20  # bytes of rows a Python worker is handed at a time
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -109,10 +114,20 @@ class Cut:
         return np.concatenate([keys, *extra_keys]), np.concatenate([owner, *extra_rows]).astype(np.int64)
 
 
-def fine_counts(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """N-grams of each of ``n`` rows by fine fragment; a byte each, so large counts stop at 255."""
-    where = owner * FINE + (hashes >> _U(56)).astype(np.int64)
-    return np.minimum(np.bincount(where, minlength=n * FINE), 255).astype(np.uint8).reshape(n, FINE)
+def fine_bits(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Of each of ``n`` rows a bit per fine fragment, set if it has an odd number of n-grams there; as many bits as differ, two sets differ in."""
+    where = (hashes >> _U(53)).astype(np.int64)
+    out = np.zeros(n * FINE // 8, np.uint8)
+    np.bitwise_xor.at(out, owner * (FINE // 8) + (where >> 3), (1 << (where & 7)).astype(np.uint8))
+    return out.reshape(n, FINE // 8)
+
+
+def _bits(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return unpacked(column, _U).reshape(-1, FINE // 64)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
 
 
 def may_link(n_a, n_b, difference, percent: int):
@@ -180,20 +195,26 @@ def _swept(cut: Cut, size: int, buckets: int, flush: int = 500_000):
 
 
 def _shared_keys(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Key and class of every key of a bucket with more than one class."""
+    """Every key of a bucket with more than one class, named by its classes, with each of them; weight counts the keys of a name."""
     low, classes = unpacked(table.column("x").combine_chunks(), np.uint32), unpacked(table.column("y").combine_chunks(), _U)
     order = np.lexsort((classes, low))
     low, classes = low[order], classes[order]
     first = group_bounds(low, classes)[:-1]
     low, classes = low[first], classes[first]
     bounds = group_bounds(low)
-    shared = np.repeat(np.diff(bounds) > 1, np.diff(bounds))
-    keys = low[shared].astype(np.int64) | (int(key[0].as_py()) << 32)
-    return pa.table({"key": keys, "class": classes[shared].view(np.int64)})
+    rows = np.diff(bounds)
+    shared = np.repeat(rows > 1, rows)
+    # Were two names to meet, their classes would be compared in vain, and none be lost.
+    names = mix(np.add.reduceat(mix(classes ^ _U(0x94D049BB133111EB)), bounds[:-1]) + rows.astype(_U)) if len(low) else np.zeros(0, _U)
+    names, classes = np.repeat(names, rows)[shared], classes[shared]
+    order = np.lexsort((classes, names))
+    names, classes = names[order], classes[order]
+    bounds = group_bounds(names, classes)
+    return pa.table({"key": names[bounds[:-1]].view(np.int64), "class": classes[bounds[:-1]].view(np.int64), "weight": np.diff(bounds)})
 
 
 def _sets(size: int, whole: bool):
-    """Classes with their whole sets, or with sizes and fine counts. Rows that repeat a doc_id follow each other, and of equal sets one comes."""
+    """Classes with their whole sets, or with sizes and fine bits. Rows that repeat a doc_id follow each other, and of equal sets one comes."""
     def run(batches):
         last, seen = None, set()
         for batch in batches:
@@ -210,53 +231,61 @@ def _sets(size: int, whole: bool):
                     bounds = np.append(0, np.cumsum(sizes))
                     columns = {"grams": pa.array([hashes[bounds[i]:bounds[i + 1]].tobytes() for i in new], pa.binary())}
                 else:
-                    counts = fine_counts(hashes, owner, len(rows))
-                    columns = {"n": pa.array(sizes[new], pa.int64()), "counts": pa.array([counts[i].tobytes() for i in new], pa.binary())}
+                    bits = fine_bits(hashes, owner, len(rows))
+                    columns = {"n": pa.array(sizes[new], pa.int64()), "bits": pa.array([bits[i].tobytes() for i in new], pa.binary())}
                 yield pa.record_batch({"class": prints.view(np.int64)[new], **columns})
             pa.default_memory_pool().release_unused()
     return run
 
 
 def _bounded(percent: int):
-    """Pairs (a, b) whose fine counts allow a link."""
+    """Pairs (a, b) whose fine bits allow a link."""
     def run(batches):
         for batch in batches:
-            counts = [unpacked(batch.column(f"counts_{s}"), np.uint8).reshape(-1, FINE).astype(np.int16) for s in "ab"]
             n_a, n_b = (np.asarray(batch.column(f"n_{s}")) for s in "ab")
-            keep = may_link(n_a, n_b, np.abs(counts[0] - counts[1]).sum(axis=1), percent)
+            keep = may_link(n_a, n_b, _apart(_bits(batch.column("bits_a")), _bits(batch.column("bits_b"))), percent)
             yield pa.record_batch([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
     return run
 
 
 def _crossing(percent: int, closest: bool):
-    """Pairs of different components under the keys of one block of rows, if their counts allow a link:
-    all of them, or only each row's closest partner."""
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys = np.asarray(table.column("key"))
-        order = np.argsort(keys, kind="stable")
+    """Pairs (class, other) of different components under the keys of some blocks of rows, if their bits allow a link:
+    all of them, or only the closest other of each class outside its key's largest component. Pairs known to share an earlier key are left to it."""
+    def run(part: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        blocks = np.asarray(table.column("own"))
+        order = np.argsort(blocks, kind="stable")
         table = table.take(pa.array(order))
-        bounds = group_bounds(keys[order])
-        counts = unpacked(table.column("counts").combine_chunks(), np.uint8).reshape(-1, FINE).astype(np.int16)
-        n, label, classes, side = (np.asarray(table.column(c)) for c in ("n", "label", "class", "side"))
-        found = set()
+        bounds = group_bounds(blocks[order])
+        bits = _bits(table.column("bits").combine_chunks())
+        firsts = np.asarray(table.column("firsts").combine_chunks().flatten()).reshape(-1, FIRST)
+        key, n, label, classes, side, most = (np.asarray(table.column(c)) for c in ("key", "n", "label", "class", "side", "most"))
+        found = {}
         for low, high in zip(bounds[:-1], bounds[1:]):
             rows = np.arange(low, high)
-            for i in rows:
+            for i in rows[label[low:high] != most[low:high]] if closest else rows[side[low:high] != 1]:
                 if side[i]:  # a block against another one: each row meets the other side
-                    others = rows[side[low:high] == 3 - side[i]] if closest or side[i] == 1 else rows[:0]
+                    others = rows[side[low:high] == 3 - side[i]]
                 else:
                     others = rows if closest else rows[i - low + 1:]
                 others = others[label[others] != label[i]]
                 others = others[may_link(n[i], n[others], np.abs(n[others] - n[i]), percent)]
-                if len(others):
-                    apart = np.abs(counts[others] - counts[i]).sum(axis=1)
-                    near = may_link(n[i], n[others], apart, percent)
-                    others, apart = others[near], apart[near]
-                    if closest and len(others):
-                        others = others[[apart.argmin()]]
-                    found.update((min(int(classes[i]), int(c)), max(int(classes[i]), int(c))) for c in classes[others])
-        a, b = zip(*sorted(found)) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                apart = _apart(bits[others], bits[i])
+                near = may_link(n[i], n[others], apart, percent)
+                others, apart = others[near], apart[near]
+                earlier = firsts[i][firsts[i] < key[i]]
+                if len(others) and len(earlier):
+                    new = ~np.isin(firsts[others], earlier).any(axis=1)
+                    others, apart = others[new], apart[new]
+                if not len(others):
+                    continue
+                if closest:
+                    best = (int(apart.min()), int(classes[others[apart.argmin()]]))
+                    found[int(classes[i])] = min(best, found.get(int(classes[i]), best))
+                else:
+                    found.update(((int(classes[i]), int(c)), (0, int(c))) for c in classes[others])
+        ends = [x if closest else x[0] for x in found]
+        return pa.table({"class": pa.array(ends, pa.int64()), "other": pa.array([c for _, c in found.values()], pa.int64()),
+                         "apart": pa.array([x for x, _ in found.values()], pa.int64())})
     return run
 
 
@@ -316,11 +345,13 @@ class _Tables:
 
 
 class _Classes:
-    """What is known of the classes that share keys: keys (key, class), sets (class, n, counts), and the texts to make whole sets from."""
+    """What is known of the classes that share keys: keys (key, class, weight), sets (class, n, bits, firsts), and the texts to make whole sets from."""
 
     def __init__(self, tables: _Tables, texts: DataFrame, firsts: DataFrame, keys: DataFrame, size: int, percent: int):
         self.tables, self.texts, self.firsts, self.keys, self.size, self.percent = tables, texts, firsts, keys, size, percent
-        self.sets = tables.write(self._made(keys, False, "class bigint, n bigint, counts binary"), "sets")
+        few = F.slice(F.concat(F.sort_array(F.collect_list("key")), F.array_repeat(F.lit(_NO_KEY), FIRST)), 1, FIRST)
+        sets = self._made(keys, False, "class bigint, n bigint, bits binary")
+        self.sets = tables.write(sets.join(keys.groupBy("class").agg(few.alias("firsts")), "class"), "sets")
 
     def _made(self, classes: DataFrame, whole: bool, schema: str) -> DataFrame:
         members = self.firsts.join(classes.select("class").distinct(), "class", "left_semi").select(F.col("first").alias("doc_id"))
@@ -329,26 +360,43 @@ class _Classes:
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link. Each step is written, so that its shuffles can go before the next."""
         pairs = self.tables.write(pairs, "pairs")
-        near = self.tables.write(_both(pairs, self.sets, "n", "counts").mapInArrow(_bounded(self.percent), "a bigint, b bigint").distinct(), "near")
+        near = self.tables.write(_both(pairs, self.sets, "n", "bits").mapInArrow(_bounded(self.percent), "a bigint, b bigint").distinct(), "near")
         ends = near.select(F.explode(F.array("a", "b")).alias("class"))
         grams = self.tables.write(self._made(ends, True, "class bigint, grams binary"), "grams")
         linked = self.tables.write(_both(near, grams, "grams").mapInArrow(_linked(self.percent), "a bigint, b bigint").distinct(), "linked")
         self.tables.remove("pairs", "near", "grams")
         return linked
 
-    def crossing_pairs(self, linked: DataFrame, closest: bool) -> DataFrame:
-        """Pairs (a, b) of classes that share a key, are not connected yet and may link."""
-        held = self.keys.join(components(linked).withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        spread = (held.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("rows"))
-                  .where("least <> most").select("key", F.ceil(F.col("rows") / BLOCK).alias("blocks")))
-        held = held.join(spread, "key").withColumn("block", F.pmod(F.xxhash64("class", F.lit(7)), "blocks"))
+    def crossing_pairs(self, labels: DataFrame, closest: bool) -> DataFrame:
+        """Pairs (a, b) of classes that share a key, have different labels (class, label) and may link."""
+        held = self.keys.select("key", "class").join(labels, "class")
+        # of a key's rows those of its most frequent label need not meet each other
+        spread = (held.groupBy("key", "label").agg(F.count("*").alias("rows")).groupBy("key")
+                  .agg(F.max_by("label", F.struct("rows", "label")).alias("most"), F.max("rows").alias("many"), (F.sum("rows") - F.max("rows")).alias("few"))
+                  .where("few > 0").withColumn("large", F.ceil(F.col("many") / BLOCK)).withColumn("small", F.ceil(F.col("few") / BLOCK)))
+        spread = self.tables.write(spread, "spread")
+        sent = spread.agg(F.sum(F.expr("many * small + few * (large + small)")).alias("n")).first()["n"] or 0
+        held = held.join(spread, "key").withColumn("block", F.when(F.col("label") == F.col("most"), F.pmod(F.xxhash64("class", F.lit(7)), "large"))
+                                                   .otherwise(F.col("large") + F.pmod(F.xxhash64("class", F.lit(7)), "small")))
         # a row meets its own block (side 0) and, as side 1 or 2, each other block of its key
-        held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        start = F.when(F.col("label") == F.col("most"), F.col("large")).otherwise(0)
+        held = held.withColumn("other", F.explode(F.sequence(start, F.col("large") + F.col("small") - 1)))
         own = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
         side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-        held = held.select(own.alias("key"), "class", "label", side.alias("side")).join(self.sets, "class")
-        parts = 8 * int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return held.withColumn("part", F.pmod("key", F.lit(parts))).groupBy("part").applyInArrow(_crossing(self.percent, closest), "a bigint, b bigint").distinct()
+        held = held.select(own.alias("own"), "key", "class", "label", "most", side.alias("side")).join(self.sets, "class")
+        parts = max(8 * int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), sent // PART + 1)
+        found = held.withColumn("part", F.pmod("own", F.lit(parts))).groupBy("part").applyInArrow(_crossing(self.percent, closest), "class bigint, other bigint, apart bigint")
+        if closest:
+            found = found.groupBy("class").agg(F.min(F.struct("apart", "other"))["other"].alias("other"))
+        return found.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+
+
+def _merged(labels: DataFrame, linked: DataFrame) -> DataFrame:
+    """labels (class, label) with the labels that links (a, b) connect made one, the smallest; each two labels are one link."""
+    label_of = {side: labels.select(F.col("class").alias(side), F.col("label").alias(f"label_{side}")) for side in "ab"}
+    links = linked.join(label_of["a"], "a").join(label_of["b"], "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    low = components(links).select(F.col("node").alias("label"), F.col("label").alias("low"))
+    return written(labels.join(low, "label", "left").select("class", F.coalesce("low", "label").alias("label")), "labels")
 
 
 def _prepared(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, _Classes]:
@@ -361,7 +409,8 @@ def _prepared(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame,
     rows = swept.where(F.col("kind") == _DOCUMENT).select("doc_id", "n", "class")
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
     keys = tables.write(swept.where(F.col("kind") > _DOCUMENT).select("bucket", "x", "y")
-                        .groupBy("bucket").applyInArrow(_shared_keys, "key bigint, class bigint"), "keys")
+                        .groupBy("bucket").applyInArrow(_shared_keys, "key bigint, class bigint, weight bigint")
+                        .groupBy("key", "class").agg(F.sum("weight").alias("weight")), "keys")
     for kind in (_KEYS, _SHARED):  # what keys were made from
         storage.remove(spark, f"{tables.paths['swept'][0]}/kind={kind}")
     return rows, classes, _Classes(tables, texts, classes, keys, size, percent)
@@ -384,18 +433,20 @@ def jaccard_components(documents: DataFrame, size: int = 3, percent: int = 90) -
     seen = keys.join(hubs, "key")
     first = None
     for hub in ("h0", "h1", "h2"):
-        tried = (seen.where(F.col("class") != F.col(hub)).groupBy("class", hub).count()
-                 .groupBy("class").agg(F.max_by(hub, "count").alias("hub"))
+        tried = (seen.where(F.col("class") != F.col(hub)).groupBy("class", hub).agg(F.sum("weight").alias("weight"))
+                 .groupBy("class").agg(F.max_by(hub, "weight").alias("hub"))
                  .select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")))
         first = tried if first is None else first.unionByName(tried)
-    linked = shared.links(first.distinct())
+    # Classes start with their smallest doc_id, so the label is the component's; rows that repeat a doc_id are one node.
+    ids = classes.where("first is not null")
+    labels = written(keys.select("class").distinct().join(ids, "class").select("class", F.col("first").alias("label")), "labels")
+    labels = _merged(labels, shared.links(first.distinct()))
     for closest in (True, False):
-        linked = linked.unionByName(shared.links(shared.crossing_pairs(linked, closest)))
-    shared.tables.remove("keys", "sets")
+        labels = _merged(labels, shared.links(shared.crossing_pairs(labels, closest)))
+    shared.tables.remove("keys", "sets", "spread", "linked")
 
-    first_of = {side: classes.select(F.col("class").alias(side), F.col("first").alias(f"first_{side}")) for side in "ab"}
-    links = linked.join(first_of["a"], "a").join(first_of["b"], "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-    named = classes.join(components(links).withColumnRenamed("node", "first"), "first", "left").select("class", F.coalesce("label", "first").alias("component_id"))
+    lower = labels.join(ids, "class").where("label < first").select("first", "label").distinct()
+    named = classes.join(lower, "first", "left").select("class", F.coalesce("label", "first").alias("component_id"))
     return (rows.join(named, "class", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
 
@@ -408,7 +459,7 @@ def jaccard_links(documents: DataFrame, size: int = 3, percent: int = 90) -> tup
     a large group of near copies costs the square of its different texts; ``jaccard_components`` is the cheaper form.
     """
     rows, _, shared = _prepared(documents, size, percent)
-    none = documents.sparkSession.createDataFrame([], "a bigint, b bigint")
-    links = shared.links(shared.crossing_pairs(none, False))
-    shared.tables.remove("keys", "sets")
+    apart = shared.keys.select("class").distinct().withColumn("label", F.col("class"))
+    links = shared.links(shared.crossing_pairs(apart, False))
+    shared.tables.remove("keys", "sets", "spread")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "class"), links
