@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steplake.operators.steps import quoted, require_columns
-from steplake.operators.stretches import ROWS, beside_cuts, nulls_last, place_among, sampled_cuts, tie_breaker, with_stretch
+from steplake.operators.stretches import ROWS, nulls_last, numbered_by, sampled_cuts, tie_breaker, with_stretch
 
 
 def hot_keys(counted: DataFrame, count: str, share: int = 1000) -> DataFrame:
@@ -127,13 +129,44 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, start: str,
     return joined.filter((quoted(point) >= quoted(start)) & (quoted(point) <= quoted(end))).drop("__level", "__stretch")
 
 
+_DEPTH = 500  # starts of a cell of the overlap join, on average
+_CELL_CUTS = 50_000  # beyond so many cuts of a side, which Python workers hold whole, cells get deeper
+_CELL_SPANS = 100_000  # intervals that meet a cell's starts in one place
+_TASKS = 10_000
+_TASK_MEETINGS = 20_000_000  # times that a start meets an interval in one task, about
+
+
+def _cells(cuts: Sequence[tuple[int, Sequence[float]]]) -> Callable[..., Column]:
+    """(number of the key's cuts, from, to) -> how many of these cuts lie before ``from``, and how many not behind ``to``; 0 and 0 for a key without."""
+    numbers = np.array([n for n, _ in cuts], np.int64)
+    order = np.argsort(numbers)
+    sizes = np.array([len(cuts[i][1]) for i in order], np.int64)
+    values = np.concatenate([np.asarray(cuts[i][1], np.float64) for i in order])
+    # one ascending list for all keys: a key's place, then the cut's place among all different cuts
+    axis = np.unique(values)
+    ends = np.cumsum(sizes)
+    numbers, begins, step = numbers[order], ends - sizes, len(axis) + 1
+    keyed = np.repeat(np.arange(len(sizes)), sizes) * step + np.searchsorted(axis, values)
+
+    @F.arrow_udf("struct<first int, last int>")
+    def place(number: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
+        cut = np.asarray(number.is_valid())
+        of = np.minimum(np.searchsorted(numbers, np.asarray(number.fill_null(0))), len(numbers) - 1)
+        found = [np.where(cut, np.searchsorted(keyed, of * step + np.searchsorted(axis, np.asarray(at), side)) - begins[of], 0)
+                 for at, side in ((start, "left"), (end, "right"))]
+        return pa.StructArray.from_arrays([pa.array(f.astype(np.int32)) for f in found], ["first", "last"])
+    return place
+
+
 def overlap_join(left: DataFrame, right: DataFrame, left_start: str, left_end: str, right_start: str, right_end: str,
                  by: Sequence[str] = (), rows: int = ROWS) -> DataFrame:
     """Pairs of intervals that share a point, ends included (and the ``by`` columns agree), without a nested loop or a distinct.
 
-    The axis of a key is cut at sampled starts of both sides, into cells of about ``rows`` starts. An interval stands in every cell it touches, and a
-    pair is taken in one cell only, where the later of its two starts lies, so none comes twice. A key with few rows is one cell. Intervals
-    without both ends, or that end before they start, overlap nothing.
+    Of two such intervals one starts inside the other, so a pair is a start inside an interval: a right start not before the left one, or
+    a left start behind the right one. The axis of a key is cut at sampled starts of the side whose starts are looked for, into cells of a few hundred (no more
+    than ``rows``). A start stands in one cell, so no pair comes twice, and an interval in every cell it touches: but for the first and the last,
+    all it meets there are pairs. So the work grows with the pairs that there are. Many equal starts are dealt to several cells, and the
+    intervals of a crowded cell to several parts, each beside all its starts. Intervals without both ends, or that end before they start, overlap nothing.
     """
     require_columns(left, [left_start, left_end, *by])
     require_columns(right, [right_start, right_end, *by])
@@ -142,30 +175,55 @@ def overlap_join(left: DataFrame, right: DataFrame, left_start: str, left_end: s
         raise ValueError(f"rename the columns on one side first: {', '.join(clash)}")
     keys = [f"__k{i}" for i in range(len(by))]
 
-    def ends(df, start, end, side):
+    def ends(df, start, end, name):
         known = functools.reduce(Column.__and__, [quoted(c).isNotNull() for c in by], quoted(start) <= quoted(end))
-        return df.filter(known).select(*[quoted(c).alias(k) for c, k in zip(by, keys)], F.lit(side).alias("__side"), F.struct(*map(quoted, df.columns)).alias("__row"),
-                                       _axis(df, start).alias("__from"), _axis(df, end).alias("__to"))
-
-    one, two = ends(left, left_start, left_end, 0), ends(right, right_start, right_end, 1)
-    axis = one.select(*keys, "__from").unionByName(two.select(*keys, "__from"))
-    cuts = sampled_cuts(axis, [F.col(k) for k in keys], F.struct("__from"), rows)
-
-    def placed(df, name):
-        touched = df
+        return df.filter(known).select(*[quoted(c).alias(k) for c, k in zip(by, keys)], _axis(df, start).alias(f"{name}from"), _axis(df, end).alias(f"{name}to"),
+                                       *[quoted(c).alias(f"{name}{i}") for i, c in enumerate(df.columns)])
+
+    def met(spans, span, starts, start):
+        """The rows of ``spans`` beside those of ``starts`` that stand in the same cell."""
+        tie, total = tie_breaker(starts), starts.count()
+        depth = max(min(rows, _DEPTH), total // _CELL_CUTS)
+        cuts = sampled_cuts(starts, [F.col(k) for k in keys], F.col(f"{start}from"), depth, total)
+        listed = []
+        if cuts is not None:  # their order is kept with them, so a number stays the same
+            cuts = cuts.withColumn("__number", F.monotonically_increasing_id())
+            listed = [(r["__number"], r["__cuts"]) for r in cuts.select("__number", "__cuts").toLocalIterator()]
+        place = _cells(listed) if listed else lambda *_: F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"))
+
+        def placed(df, begin, end):
+            if not listed or not by:  # without keys there is one row of cuts
+                numbered = df.withColumn("__number", F.lit(listed[0][0] if listed else 0))
+            else:
+                numbered = numbered_by(df, cuts.select("__of", "__number"), [F.col(k) for k in keys])
+            return numbered.withColumn("__place", place("__number", begin, end)).drop("__number")
+        first, last = F.col("__place")["first"], F.col("__place")["last"]
+        many = placed(spans, f"{span}from", f"{span}to").withColumn("__cell", F.explode(F.sequence(first, last))).drop("__place")
+        # the cuts before a start and those not behind it differ where it is a cut itself; a cell that cannot be NULL is not looked up twice
+        one = placed(starts, f"{start}from", f"{start}from").withColumn("__cell", F.coalesce(first + F.pmod(tie, last - first + 1).cast("int"), F.lit(0))).drop("__place")
+        at = [*keys, "__cell"]
         if cuts is None:
-            touched = df.withColumns({"__first": F.lit(0), "__cell": F.lit(0)})
-        else:
-            touched = beside_cuts(df, cuts, [F.col(k) for k in keys])
-            cell = lambda c: F.when(F.col("__cuts").isNull(), 0).otherwise(place_among(F.col("__cuts"), F.struct(F.col(c).alias("__from"))))
-            touched = touched.withColumns({"__first": cell("__from"), "__last": cell("__to")}).drop("__cuts")
-            touched = touched.withColumn("__cell", F.explode(F.sequence("__first", "__last")))
-        return touched.select(*keys, "__cell", F.col("__first").alias(f"{name}first"), F.col("__row").alias(f"{name}row"),
-                              F.col("__from").alias(f"{name}from"), F.col("__to").alias(f"{name}to"))
-
-    met = placed(one, "__l").join(placed(two, "__r"), [*keys, "__cell"])
-    met = met.filter((F.col("__lfrom") <= F.col("__rto")) & (F.col("__rfrom") <= F.col("__lto")) & (F.greatest("__lfirst", "__rfirst") == F.col("__cell")))
-    return met.select(*[F.col("__lrow")[c].alias(c) for c in left.columns], *[F.col("__rrow")[c].alias(c) for c in right.columns if c not in by])
+            return many.join(one, at)
+        # what is read says little of how many pairs there are, so tasks are made by how often rows meet
+        load = many.groupBy(*at).agg(F.count(F.lit(1)).alias("__n"))
+        most, meetings = load.agg(F.max("__n"), F.sum("__n") * depth).first()
+        if (most or 0) > _CELL_SPANS:
+            crowded = load.filter(F.col("__n") > _CELL_SPANS).select(*at, F.ceil(F.col("__n") / _CELL_SPANS).cast("int").alias("__parts")).checkpoint()
+            parts = F.coalesce("__parts", F.lit(1))
+            deal = tie_breaker(spans)
+            many = many.join(F.broadcast(crowded), at, "left").withColumn("__part", F.coalesce(F.pmod(deal, parts).cast("int"), F.lit(0))).drop("__parts")
+            one = one.join(F.broadcast(crowded), at, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+            at = [*at, "__part"]
+        tasks = max(int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions")), min((meetings or 0) // _TASK_MEETINGS, _TASKS))
+        return many.repartition(tasks, *at).join(one.repartition(tasks, *at), at)
+
+    one, two = ends(left, left_start, left_end, "__l"), ends(right, right_start, right_end, "__r")
+    common = one.select(*keys).unionByName(two.select(*keys)).schema if by else []
+    one, two = (df.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in common}) for df in (one, two))
+    chosen = [*[F.col(f"__l{i}").alias(c) for i, c in enumerate(left.columns)], *[F.col(f"__r{i}").alias(c) for i, c in enumerate(right.columns) if c not in by]]
+    behind = met(one, "__l", two, "__r").filter((F.col("__rfrom") >= F.col("__lfrom")) & (F.col("__rfrom") <= F.col("__lto")))
+    ahead = met(two, "__r", one, "__l").filter((F.col("__lfrom") > F.col("__rfrom")) & (F.col("__lfrom") <= F.col("__rto")))
+    return behind.select(*chosen).unionByName(ahead.select(*chosen))
 
 
 def full_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str]) -> DataFrame:

@@ -68,6 +68,12 @@ def beside_cuts(df: DataFrame, cuts: DataFrame, by: Sequence[Column]) -> DataFra
     return keyed.join(F.broadcast(cuts) if few else cuts, F.col("__key") == F.col("__of"), "left").drop("__key", "__of")
 
 
+def numbered_by(df: DataFrame, numbers: DataFrame, by: Sequence[Column]) -> DataFrame:
+    """The rows with the number of their group, NULL for a group without; ``numbers`` has a row for each of few groups."""
+    keyed = df.withColumn("__key", _key(by))
+    return keyed.join(F.broadcast(numbers), F.col("__key") == F.col("__of"), "left").drop("__key", "__of")
+
+
 def with_stretch(df: DataFrame, by: Sequence[Column], order: Column, name: str, rows: int = ROWS, total: int | None = None) -> DataFrame:
     """The rows with the number of their stretch within the ``by`` group; the number never falls as ``order``, a struct, rises.
 

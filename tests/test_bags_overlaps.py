@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from steplake.operators import joins
 from steplake.operators.bags import except_all, intersect_all
 from steplake.operators.joins import overlap_join
 
@@ -64,3 +65,33 @@ def test_overlaps_without_keys_and_without_a_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     with pytest.raises(ValueError, match="rename"):
         overlap_join(left, left, "s", "e", "s", "e")
+
+
+def test_starts_meet_few_intervals_that_do_not_overlap(spark, monkeypatch):
+    """One key with many short intervals and the usual ``rows``: what meets in the cells stays near the pairs, not near the product of both sides."""
+    n, met = 8000, []
+    left = spark.range(n).selectExpr("id AS a", "0 AS k", "id * 10 AS s", "id * 10 + 12 AS e")
+    right = spark.range(n).selectExpr("id AS b", "0 AS k", "id * 10 + 11 AS x", "id * 10 + 15 AS y")
+    join = type(left).join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if how is None and "__cell" in on:
+            met.append(out.count())
+        return out
+    monkeypatch.setattr(type(left), "join", counted)
+    out = overlap_join(left, right, "s", "e", "x", "y", ["k"])
+    assert out.count() == 2 * n - 1 and met and sum(met) < n * n / 2
+
+
+@pytest.mark.parametrize("spans", [7, 100_000])
+def test_overlaps_of_crowded_cells_and_bursts(spark, monkeypatch, spans):
+    """Long intervals over few starts are dealt to parts, many equal starts to cells; keys agree by value, whatever their type."""
+    monkeypatch.setattr(joins, "_CELL_SPANS", spans)
+    rng = random.Random(spans)
+    left = [(i, rng.choice([0, 1, -1]), s := rng.choice([300, rng.randrange(600)]), s + rng.choice([0, 5, 400])) for i in range(400)]
+    right = [(i, rng.choice([0, 1, 7]), s := rng.choice([300, 310, rng.randrange(600)]), s + rng.choice([0, 2, 20])) for i in range(90)]
+    got = overlap_join(spark.createDataFrame(left, "a int, k int, s int, e int"), spark.createDataFrame(right, "b int, k bigint, x int, y int"),
+                       "s", "e", "x", "y", ["k"], 10).select("a", "b").collect()
+    want = sorted((p[0], q[0]) for p in left for q in right if p[1] == q[1] and p[2] <= q[3] and q[2] <= p[3])
+    assert sorted(map(tuple, got)) == want and len(want) > 2000
