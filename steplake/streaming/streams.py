@@ -18,6 +18,7 @@ from steplake.plans.step_list import Step, run_steps
 ROW_STEPS = ("filter", "drop_null", "derive", "rename", "cast")
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+_GROUPS = 1024  # groups of keys of a micro-batch
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -88,19 +89,45 @@ class _FirstRow(StatefulProcessor):
         pass
 
 
+def _first_rows(table: pa.Table, keys: Sequence[str], order_by: Sequence[str]) -> pa.Table:
+    order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in order_by], null_placement="at_end")
+    place = pa.array(range(len(order)), pa.int64())
+    sorted_keys = table.select(list(dict.fromkeys(keys))).take(order).append_column("__place", place)
+    first = sorted_keys.group_by(list(dict.fromkeys(keys)), use_threads=False).aggregate([("__place", "min")])["__place_min"]
+    return table.take(order.take(first))
+
+
 def _thinned(keys: Sequence[str], order_by: Sequence[str]):
     """Of a key's rows in one Arrow batch only the first goes on, so a busy key costs the shuffle a row a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in order_by], null_placement="at_end")
-            place = pa.array(range(len(order)), pa.int64())
-            sorted_keys = table.select(list(dict.fromkeys(keys))).take(order).append_column("__place", place)
-            first = sorted_keys.group_by(list(dict.fromkeys(keys)), use_threads=False).aggregate([("__place", "min")])["__place_min"]
-            yield from table.take(order.take(first)).to_batches()
+            yield from _first_rows(pa.Table.from_batches([batch]), keys, order_by).to_batches()
+    return run
+
+
+def _firsts(keys: Sequence[str], order_by: Sequence[str], every: int = 1_000_000):
+    """Of all rows of some keys, given in Arrow batches, the first row of each key; what is held is thinned whenever ``every`` more rows,
+    or as many as were left, have come."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, left, come = [], 0, 0
+        for batch in batches:
+            held, come = [*held, batch], come + batch.num_rows
+            if come >= max(every, left):
+                held = _first_rows(pa.Table.from_batches(held), keys, order_by).to_batches()
+                left, come = sum(b.num_rows for b in held), 0
+        if come:
+            held = _first_rows(pa.Table.from_batches(held), keys, order_by).to_batches()
+        yield from held
     return run
 
 
+def _one_a_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """The first row of every key of a micro-batch. Keys go to groups by their hash, so a task holds one group of its keys at a time."""
+    thin = df.mapInArrow(_thinned(keys, order_by), df.schema)
+    group = F.pmod(F.xxhash64(*map(quoted, keys)), F.lit(_GROUPS))
+    return thin.groupBy(group).applyInArrow(_firsts(keys, order_by), df.schema)
+
+
 def drop_repeats(df: DataFrame, keys: Sequence[str], path: str, checkpoint: str, order_by: Sequence[str] = (),
                  forget_after_millis: int | None = None, once: bool = True):
     """Write the first row of every key, one folder per micro-batch, so a repeated batch replaces its own.
@@ -110,14 +137,17 @@ def drop_repeats(df: DataFrame, keys: Sequence[str], path: str, checkpoint: str,
     A key is never forgotten, so late rows with a new key stay and late copies go; ``forget_after_millis`` lets a key go so long after its first row,
     by the clock. Without ``order_by`` any of a key's rows in its first batch is kept; with it the first in that order (NULLs last), so the
     result depends on the batches alone. Rows equal in keys and order are taken for the same row.
+
+    A micro-batch is brought down to a row a key before the state is asked, so keys are looked up by Spark's own operator; only keys that are
+    to be forgotten are looked up from Python, one by one.
     """
     names = list(keys)
-    if order_by or forget_after_millis is not None:
+    if forget_after_millis is not None:
         thin = df.mapInArrow(_thinned(names, order_by), df.schema) if order_by else df
         fresh = thin.groupBy(*map(quoted, names)).transformWithState(
-            _FirstRow(order_by, forget_after_millis), df.schema, "append", "ProcessingTime" if forget_after_millis is not None else "None")
+            _FirstRow(order_by, forget_after_millis), df.schema, "append", "ProcessingTime")
     else:
-        fresh = df.dropDuplicates(names)
+        fresh = (_one_a_key(df, names, order_by) if order_by else df).dropDuplicates(names)
 
     def write(rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

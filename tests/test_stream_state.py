@@ -1,7 +1,9 @@
 """Duplicates on a stream, by state kept for each key."""
 
+import random
 import time
 
+import pyarrow as pa
 import pytest
 
 from steplake.streaming import streams
@@ -58,3 +60,29 @@ def test_a_busy_key_is_thinned_before_the_shuffle(spark):
     frame = spark.createDataFrame([(1, i % 7, "v") for i in range(5000)] + [(2, 1, "w"), (None, 1, None)], "k int, at int, v string").coalesce(1)
     thin = frame.mapInArrow(streams._thinned(["k"], ["at"]), frame.schema).collect()
     assert sorted(map(tuple, thin), key=str) == sorted([(1, 0, "v"), (2, 1, "w"), (None, 1, None)], key=str)
+
+
+@pytest.mark.parametrize("every", [1, 40, 1_000_000])
+def test_firsts_of_many_arrow_batches(every):
+    rng = random.Random(every)
+    rows = [(rng.choice([None, *range(30)]), rng.choice([None, *range(50)])) for _ in range(600)] + [(99, 5), (99, None)]
+    batches = [pa.RecordBatch.from_pylist([{"k": k, "at": at} for k, at in rows[i:i + 37]], pa.schema([("k", pa.int64()), ("at", pa.int64())])) for i in range(0, len(rows), 37)]
+    got = [(r["k"], r["at"]) for b in streams._firsts(["k"], ["at"], every)(iter(batches)) for r in b.to_pylist()]
+    want = {k: min((at for key, at in rows if key == k), key=lambda at: (at is None, at or 0)) for k, _ in rows}
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_keys_in_order_are_looked_up_without_python(spark, folder):
+    """A call to Python's state for each key took most of the time: the lookup is Spark's own, on a row a key, whichever tasks a key's rows come from."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(400)]), rng.choice([None, *range(100)]), "v") for _ in range(5000)]
+    _land(spark, folder, rows, 7)
+    stream = spark.readStream.schema("k int, at int, v string").parquet(f"{folder}/in")
+    run = lambda: streams.drop_repeats(stream, ["k"], f"{folder}/out", f"{folder}/ck", ["at"])
+    query = run()
+    _land(spark, folder, [(k, -1, "late copy") for k in [None, *range(400)]] + [(1000, 8, "late key")], 3)
+    last = [p for p in (run()).recentProgress if p["numInputRows"]][-1]
+    want = {k: min((at for key, at, _ in rows if key == k), key=lambda at: (at is None, at or 0)) for k, _, _ in rows} | {1000: 8}
+    assert sorted(((r.k, r.at) for r in spark.read.parquet(f"{folder}/out").collect()), key=str) == sorted(want.items(), key=str)
+    assert [p["stateOperators"][0]["operatorName"] for p in (query.recentProgress[0], last)] == ["dedupe"] * 2
+    assert last["stateOperators"][0]["numRowsUpdated"] == 1
